@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, compression, minhash, mixing, tokens
+from . import chat, compression, langid, minhash, mixing, tokens
 
 QUERIES = {
     "op1_compression_bands": compression.query,
+    "op2_langid_segmentations": langid.query,
     "op3_minmax_dedup": minhash.query,
     "op5_chat_events": chat.query,
     "op7_token_orc": tokens.query,
