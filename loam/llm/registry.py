@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, compression, langid, minhash, mixing, tokens
+from . import chat, compression, langid, minhash, mixing, quality, tokens
 
 QUERIES = {
     "op1_compression_bands": compression.query,
     "op2_langid_segmentations": langid.query,
     "op3_minmax_dedup": minhash.query,
     "op5_chat_events": chat.query,
+    "op6_random_indexing": quality.query,
     "op7_token_orc": tokens.query,
     "op8_mix_thresholds": mixing.query,
 }
