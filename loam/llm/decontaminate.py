@@ -121,6 +121,31 @@ def _matches(items: list[tuple[int, str]]):
     return run
 
 
+def _clean(items: list[tuple[int, str]]):
+    def run(batches):
+        matcher = Matcher(items)
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher(t.as_py()) for t in batch.column("text")], pa.bool_()))
+
+    return run
+
+
+def blocks(benchmark: DataFrame, pass_chars: int):
+    """The items, in blocks of at most about pass_chars characters."""
+    items = benchmark.select("item_id", "text").filter(F.length("text") >= SHORTEST)
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, math.ceil(size / pass_chars))
+    for k in range(n):
+        yield [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """The rows of docs that quote no item (see contaminated); a null text quotes none."""
+    for block in blocks(benchmark, pass_chars):
+        docs = docs.mapInArrow(_clean(block), docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, distance, stop: a row for each item that
     a document quotes, with the least distance and the first end of a passage at that distance (characters of
@@ -130,12 +155,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_C
     several wordings; a null id is reported as null; a repeated document reports its items for each row; extra
     columns are ignored; empty tables give no rows. The benchmark is the stated query set: it goes to the tasks
     in blocks of at most about pass_chars characters, found from its size."""
-    items = benchmark.select("item_id", "text").filter(F.length("text") >= SHORTEST)
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / pass_chars))
     out = None
-    for k in range(n):
-        block = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]
+    for block in blocks(benchmark, pass_chars):
         found = docs.select("doc_id", "text").filter("text IS NOT NULL").mapInArrow(_matches(block), "doc_id long, item_id long, distance long, stop long")
         out = found if out is None else out.unionByName(found)
     return out

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import bucket
 from .pieces import LONGEST_WORD, expected_counts, log_likelihoods, vocabulary
@@ -26,6 +27,8 @@ ROUNDS, SMOOTHING = 2, 0.01
 EVIDENCE = 50
 MOST_LANGUAGES = 200
 UNKNOWN = "und"
+#: Below this score a document's language is not recognised.
+LEAST_SCORE = 0.5
 #: Distinct words that a task holds before it passes them on.
 HELD = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -88,7 +91,7 @@ def train(docs: DataFrame, model_file: str, rounds: int = ROUNDS) -> tuple[list[
     return languages, model
 
 
-def _predict(model_file: str, languages: list[str], model: np.ndarray):
+def _predict(model_file: str, languages: list[str], model: np.ndarray, keep: list[str]):
     def run(batches):
         pieces = vocabulary(model_file)
         for batch in batches:
@@ -109,7 +112,7 @@ def _predict(model_file: str, languages: list[str], model: np.ndarray):
                     best = int(each.argmax())
                     lang.append(languages[best])
                     score.append(float(1 / np.exp(each - each[best]).sum()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     return run
 
@@ -120,7 +123,18 @@ def predict(docs: DataFrame, model_file: str, languages: list[str], model: np.nd
     lang_pred is `und` and score 0 if the text is null or has no letter, or no language was learned; score is the
     share of the best language in the evidence. Repeated rows and null ids keep a row each; extra columns are
     ignored; no rows give no rows. A text is read whole."""
-    return docs.select("doc_id", "text").mapInArrow(_predict(model_file, languages, model), "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(_predict(model_file, languages, model, ["doc_id"]), "doc_id long, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model_file: str, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs whose language is recognised: not `und`, and with a score of `least` or more. A row that
+    names no lang gets the one predicted."""
+    languages, model = train(docs.filter(bucket(F.col("doc_id"), 3) != 1), model_file)
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    schema = StructType([docs.schema[c] for c in names]).add("lang_pred", "string").add("score", "double")
+    found = docs.select(*names).mapInArrow(_predict(model_file, languages, model, names), schema)
+    found = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
 
 
 def identify(docs: DataFrame, model_file: str) -> DataFrame:

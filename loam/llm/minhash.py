@@ -233,6 +233,17 @@ def repeated(docs: DataFrame) -> bool:
     return not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group (see near_duplicates): the one with the smallest id, of repeated rows any
+    one, always the same. Rows without id stay."""
+    keep = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    out = docs.join(keep, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    if repeated(docs):
+        order = Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id"))
+        out = out.withColumn("row_of_id", F.row_number().over(order)).filter("row_of_id = 1 OR doc_id IS NULL").drop("row_of_id")
+    return out.select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -80,26 +80,50 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return done
 
 
+def plan(rows: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """rows (source, hash, size) -> source, source_size, target, copies, threshold: a row of a source is taken
+    `copies` times, and once more if its hash is below the threshold."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goals = saved(targets(sizes, most), "mix-targets")
+    if (n := goals.count()) > 1_000_000:
+        raise ValueError(f"{n} sources: too many to broadcast; group rare sources first")
+    goals = goals.withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("long"))
+    goals = goals.withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
+    part = thresholds(rows, goals.filter((F.col("budget") > 0) & (F.col("source_size") > 0)).select("source", "budget"))
+    goals = goals.alias("p").join(F.broadcast(part.withColumnRenamed("source", "s")), F.col("p.source").eqNullSafe(F.col("s")), "left")
+    return goals.select("p.source", "source_size", "target", "copies", F.coalesce("threshold", F.lit(-1)).alias("threshold"))
+
+
+def taken_times(most: int = MOST_COPIES) -> Column:
+    """How often a row of (hash, copies, threshold) is taken."""
+    return F.least(F.col("copies") + (F.col("hash") < F.col("threshold")).cast("long"), F.lit(most))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("hash"))
+
+
 def mix(docs: DataFrame, most: int = MOST_COPIES) -> DataFrame:
-    """docs with doc_id, text, source -> doc_id, size, source_size, target, taken (and source), a row for each of docs.
+    """docs with doc_id, text, source -> doc_id, size, source_size, target, taken, times, source, a row for each of docs.
 
     taken: the words that the mix takes of the document, repeats counted; at most `most` times its size.
-    Null text and text without words have size 0 and are taken 0 times; a null source is a source of its own;
+    Null text and text without words have size 0 and are taken 0 words of; a null source is a source of its own;
     a null id is hashed as 'null'; rows with the same id share a hash and are taken alike; extra columns are
     ignored; no rows give no rows. The number of sources must fit a broadcast (it is checked)."""
-    rows = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("hash")), "mix-rows")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = saved(targets(sizes, most), "mix-targets")
-    if (n := plan.count()) > 1_000_000:
-        raise ValueError(f"{n} sources: too many to broadcast; group rare sources first")
-    plan = plan.withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("long"))
-    plan = plan.withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
-    part = thresholds(rows, plan.filter((F.col("budget") > 0) & (F.col("source_size") > 0)).select("source", "budget"))
-    plan = plan.alias("p").join(F.broadcast(part.withColumnRenamed("source", "s")), F.col("p.source").eqNullSafe(F.col("s")), "left").select("p.*", F.coalesce("threshold", F.lit(-1)).alias("threshold")) if part is not None else plan.withColumn("threshold", F.lit(-1))
-    plan = plan.select(F.col("source").alias("s"), "source_size", "target", "copies", "threshold")
-    out = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
-    times = F.least(F.col("copies") + (F.col("hash") < F.col("threshold")).cast("long"), F.lit(most))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), "source")
+    rows = saved(sized(docs), "mix-rows")
+    chosen = plan(rows, most).withColumnRenamed("source", "s")
+    out = rows.join(F.broadcast(chosen), F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * taken_times(most)).alias("taken"), taken_times(most).alias("times"), "source")
+
+
+def mixed(docs: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """The rows of docs themselves, each as often as the mix takes it (see mix); the texts are not shuffled."""
+    rows = saved(docs.select("source", n_words(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("hash")), "mix-rows")
+    names = docs.columns
+    c = F.broadcast(plan(rows, most).select(F.col("source").alias("mix_source"), F.struct("copies", "threshold").alias("mix_plan")))
+    out = docs.withColumn("mix_hash", row_hash(F.col("doc_id"))).join(c, F.col("source").eqNullSafe(F.col("mix_source")))
+    times = F.least(F.col("mix_plan.copies") + (F.col("mix_hash") < F.col("mix_plan.threshold")).cast("long"), F.lit(most))
+    return out.withColumn("mix_times", times).filter("mix_times > 0").withColumn("mix_nth", F.explode(F.expr("sequence(1L, mix_times)"))).select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
