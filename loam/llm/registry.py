@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, compression, decontaminate, langid, minhash, mixing, quality, tokens
+from . import chat, compression, decontaminate, langid, minhash, mixing, quality, repeats, tokens
 
 QUERIES = {
     "op1_compression_bands": compression.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_random_indexing": quality.query,
     "op7_token_orc": tokens.query,
     "op8_mix_thresholds": mixing.query,
+    "op9_suffix_shards": repeats.query,
     "op10_pigeonhole_edits": decontaminate.query,
 }
 ORACLE_SQL = {"op8_mix_thresholds": mixing.ORACLE}
