@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, compression, decontaminate, langid, minhash, mixing, quality, repeats, tokens
+from . import chat, compression, decontaminate, langid, minhash, mixing, quality, repeats, tokens, winnow_lines
 
 QUERIES = {
     "op1_compression_bands": compression.query,
     "op2_langid_segmentations": langid.query,
     "op3_minmax_dedup": minhash.query,
+    "op4_winnow_lines": winnow_lines.query,
     "op5_chat_events": chat.query,
     "op6_random_indexing": quality.query,
     "op7_token_orc": tokens.query,
