@@ -1,6 +1,469 @@
-"""The registered queries and their SQL twins."""
+"""The registered queries over the driver's tables, and their SQL twins."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import MIN_SIMILARITY, Pattern, RenameMap, Settings
+from ..functions import lexical
+from ..functions.vectors import cosine
+from ..operators import audit, chunk, decisions, drift, evals, frontmatter, graph, outline, scrub, search, tracker
+from ..sources import synthetic
+from ..sources.synthetic import CTE, PREFIX, as_markdown, corpus, headed, parsed
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+FIELDS = ("token", "email", "password")
+PATTERNS = (Pattern(r"\bworthless\b", "tone", "insults go", None, ("licen",)), Pattern(r"\bCC BY-NC \d", "licence", "non-commercial text", "CC BY"))
+TERMS = ("trash", "worthless")
+BARE = synthetic.name_sql
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def seed(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The vector of row 0, which stands for an embedded query."""
+    return read(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"]
+
+
+COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+
+
+@query(f"SELECT vec_id, round(score, 6) AS score FROM (SELECT e.vec_id, {COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    scored = e.withColumn("score", cosine(F.col("embedding"), search.literal(seed(spark, sf_dir))))
+    return scored.orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COS} AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS INT) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 10")
+def vector_topk_batch(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    top = search.batch_topk(e.select("vec_id", F.col("embedding").alias("v")), q, 10, "vec_id")
+    return top.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {CTE}, s AS (SELECT s.*, coalesce({COS}, 0) AS score FROM syn s LEFT JOIN embeddings e ON e.vec_id = s.doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
+SELECT doc_id, source_file, status, round(score, 6) AS score, md5(CASE WHEN status = 'needs-review' THEN '[NEEDS REVIEW, flagged by hygiene loop]' || chr(10) || chr(10) || text ELSE text END) AS content_md5
+FROM s WHERE score >= {MIN_SIMILARITY} AND (status IS NULL OR status <> 'superseded') ORDER BY s.score DESC, doc_id LIMIT 10""")
+def filtered_search(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    c = corpus(spark, sf_dir).filter(search.authority()).join(e, "doc_id", "left")
+    c = c.withColumn("score", F.coalesce(cosine(F.col("embedding"), search.literal(seed(spark, sf_dir))), F.lit(0.0))).filter(F.col("score") >= MIN_SIMILARITY)
+    best = c.orderBy(F.desc("score"), "doc_id").limit(10)
+    return best.select("doc_id", "source_file", "status", F.round("score", 6).alias("score"), F.md5(search.banner(F.col("text"), F.col("status"), F.col("old"))).alias("content_md5"))
+
+
+STOP = ", ".join(f"'{w}'" for w in lexical.STOP_WORDS)
+WORDS = rf"list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '' AND w NOT IN ({STOP}))"
+BM25 = " + ".join(f"ln(1 + (st.n - st.n{i} + 0.5) / (st.n{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * len(w) / st.mean))" for i in range(2))
+
+
+@query(f"""WITH {CTE}, w AS (SELECT doc_id, {WORDS} AS w FROM syn WHERE status IS NULL OR status <> 'superseded'),
+t AS (SELECT doc_id, w, len(list_filter(w, lambda x: x = '{TERMS[0]}')) AS t0, len(list_filter(w, lambda x: x = '{TERMS[1]}')) AS t1 FROM w),
+st AS (SELECT count(*) AS n, avg(len(w)) AS mean, count(*) FILTER (t0 > 0) AS n0, count(*) FILTER (t1 > 0) AS n1 FROM t),
+s AS (SELECT t.doc_id, t0, t1, {BM25} AS b, coalesce({COS}, 0) AS vec FROM t LEFT JOIN embeddings e ON e.vec_id = t.doc_id, st, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
+SELECT doc_id, round(0.7 * vec + 0.3 * b / (1 + b), 6) AS score FROM s WHERE vec >= {MIN_SIMILARITY} OR (t0 > 0 AND t1 > 0) ORDER BY 0.7 * vec + 0.3 * b / (1 + b) DESC, doc_id LIMIT 20""")
+def hybrid_search(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    c = corpus(spark, sf_dir).filter(search.authority()).select("doc_id", lexical.words(F.col("text")).alias("lexemes"))
+    c = lexical.bm25(c, list(TERMS)).join(e, "doc_id", "left").withColumn("vec", F.coalesce(cosine(F.col("embedding"), search.literal(seed(spark, sf_dir))), F.lit(0.0)))
+    words = F.array(*map(F.lit, TERMS))
+    c = c.filter((F.col("vec") >= MIN_SIMILARITY) | lexical.matches_all(F.col("lexemes"), words))
+    best = c.withColumn("s", 0.7 * F.col("vec") + 0.3 * F.col("lex")).orderBy(F.desc("s"), "doc_id").limit(20)
+    return best.select("doc_id", F.round("s", 6).alias("score"))
+
+
+# --- chunks
+
+TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+HEADED = "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 7 = 3 THEN '## ' || x WHEN (i - 1) % 11 = 5 THEN '### ' || x ELSE x END), chr(10)) AS body FROM documents"
+
+
+def sections_sql(source: str, key: str, text: str, mark: str) -> str:
+    """SQL for the sections of each row: key, section_no (from 0, empty ones left out), header, content."""
+    return rf"""SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY sec) - 1 AS section_no, header, content FROM (
+  SELECT {key}, sec, coalesce(max(CASE WHEN head THEN {TRIM.format(r"ltrim(line, '# ')")} END), '(intro)') AS header, {TRIM.format("coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), '')")} AS content FROM (
+    SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY {key} ORDER BY i) AS sec FROM (
+      SELECT {key}, i, line, starts_with(line, '{mark} ') AND NOT starts_with(line, '{mark} #') AS head FROM (
+        SELECT {key}, unnest(string_split({text}, chr(10))) AS line, generate_subscripts(string_split({text}, chr(10)), 1) AS i FROM {source})))
+  GROUP BY {key}, sec) WHERE content <> ''"""
+
+
+def pieces_sql(source: str, key: str) -> str:
+    """SQL for the pieces of rows (key, content) above the limit: key, part_no from 1, content."""
+    w = "substr(rest, 3201, 800)"
+
+    def last(needle: str) -> str:
+        return f"CASE WHEN contains({w}, {needle}) THEN 4000 - instr(reverse({w}), reverse({needle})) + 1 END"
+
+    cut = f"CASE WHEN length(rest) <= 4000 THEN length(rest) ELSE coalesce({last('chr(10) || chr(10)')}, {last('chr(10)')}, {last(chr(39) + ' ' + chr(39))}, 4000) END"
+    return f"""SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY n) AS INT) AS part_no, piece AS content FROM (
+  WITH RECURSIVE p({key}, n, piece, rest) AS (
+    SELECT {key}, 0, '', content FROM {source} WHERE length(content) > 4000
+    UNION ALL SELECT {key}, n + 1, substr(rest, 1, {cut}), substr(rest, {cut} + 1) FROM p WHERE rest <> '')
+  SELECT {key}, n, {TRIM.format("piece")} AS piece FROM p WHERE n > 0) WHERE piece <> ''"""
+
+
+@query(f"WITH b AS ({HEADED}) SELECT doc_id, CAST(section_no AS INT) AS section_no, header, md5(content) AS content_md5 FROM ({sections_sql('b', 'doc_id', 'body', '##')})")
+def chunk_headings(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("body"))
+    c = chunk.chunks(d, how=lambda b: chunk.by_heading(b, 2))
+    return c.select("doc_id", F.col("chunk_no").alias("section_no"), F.col("section_header").alias("header"), F.md5("content").alias("content_md5"))
+
+
+@query(f"WITH d AS (SELECT doc_id, text AS content FROM documents) SELECT doc_id, part_no, length(content) AS n_chars, md5(content) AS content_md5 FROM ({pieces_sql('d', 'doc_id')})")
+def chunk_size_split(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").filter(F.length("text") > 4000).select("doc_id", F.col("text").alias("body"))
+    c = chunk.chunks(d, how=lambda b: chunk.by_size(F.lit("h"), b))
+    return c.select("doc_id", (F.col("chunk_no") + 1).alias("part_no"), F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"))
+
+
+CASCADE = f"""b AS ({HEADED}), h2 AS ({sections_sql('b', 'doc_id', 'body', '##')}),
+big AS (SELECT doc_id * 100000 + section_no AS k, header, content FROM h2 WHERE length(content) > 4000),
+h3 AS (SELECT s.*, g.header AS top FROM ({sections_sql('big', 'k', 'content', '###')}) s JOIN big g USING (k)),
+sub AS (SELECT k * 1000 + section_no AS kk, CASE WHEN header = '(intro)' THEN top ELSE top || ' > ' || header END AS header, content FROM h3),
+cut AS (SELECT p.*, s.header FROM ({pieces_sql('sub', 'kk')}) p JOIN sub s USING (kk)),
+cascade_ AS (SELECT doc_id, CAST(section_no AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, 0 AS c, header, content FROM h2 WHERE length(content) <= 4000
+  UNION ALL SELECT kk // 100000000, (kk // 1000) % 100000, kk % 1000, 0, header, content FROM sub WHERE length(content) <= 4000
+  UNION ALL SELECT kk // 100000000, (kk // 1000) % 100000, kk % 1000, part_no, header || ' (part ' || part_no || ')', content FROM cut),
+chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, b, c) - 1 AS INT) AS chunk_no, header, content FROM cascade_)"""
+
+
+@query(f"WITH {CASCADE} SELECT doc_id, chunk_no, header, md5(content) AS content_md5 FROM chunks")
+def chunk_cascade(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", headed(F.col("text")).alias("body"))
+    return chunk.chunks(d).select("doc_id", "chunk_no", F.col("section_header").alias("header"), F.md5("content").alias("content_md5"))
+
+
+@query(f"""WITH {CTE} SELECT doc_id, sha256('File: ' || source_file || ' · Type: ' || doc_type || ' · Status: ' || coalesce(status, 'unknown') || ' · Area ' || area || ', (intro)' || chr(10) || chr(10) || text) AS content_hash FROM syn""")
+def content_hash(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    head = chunk.preamble(F.col("source_file"), F.col("doc_type"), F.col("status"), F.col("area"), F.lit(chunk.INTRO))
+    return c.select("doc_id", chunk.content_hash(F.concat(head, F.lit("\n\n"), F.col("text"))).alias("content_hash"))
+
+
+# --- redaction
+
+SCRUB_TEXT = "text || ' token=abc123; the email: none, password = \"x y\" mytoken=1'"
+RE_QUOTED = r"""(^|[^a-zA-Z0-9_])({f})(["'']?)(\s*[:=]\s*)("(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*'')"""
+RE_BARE = r"""(^|[^a-zA-Z0-9_])({f})(["'']?)(\s*=\s*)([^\s,;}}\]\[\n"'']+)"""
+
+
+def scrub_sql(c: str) -> str:
+    for form in (RE_QUOTED, RE_BARE):
+        for f in FIELDS:
+            c = f"regexp_replace({c}, '{form.format(f=f)}', '\\1\\2\\3\\4[REDACTED:{f}]', 'gi')"
+    return c
+
+
+@query(f"SELECT doc_id, md5({scrub_sql(SCRUB_TEXT)}) AS clean_md5 FROM documents")
+def scrubbed(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(scrub.scrub(F.expr(SCRUB_TEXT), FIELDS)).alias("clean_md5"))
+
+
+@query("SELECT doc_id, field, CAST(count(*) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, unnest(regexp_extract_all({SCRUB_TEXT}, '{form.format(f=f)}', 0, 'i')) AS m FROM documents" for form in (RE_QUOTED, RE_BARE) for f in FIELDS) + ") GROUP BY ALL")
+def scrub_violations(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(scrub.violations(F.expr(SCRUB_TEXT), FIELDS)).alias("v"))
+    return d.groupBy("doc_id", F.col("v.field").alias("field")).agg(F.count("*").alias("n"))
+
+
+# --- frontmatter, outline, graph
+
+
+@query(f"""WITH {CTE} SELECT doc_id, area AS area_number, doc_type, CASE WHEN doc_id % 17 = 3 THEN 'done' ELSE status END AS status, CAST(doc_date AS VARCHAR) AS doc_date, dep AS depends_on, feed AS feeds_into, CAST(touch AS VARCHAR) AS also_touches, old AS supersedes, CASE WHEN doc_id % 19 = 4 THEN 'other' ELSE bare END AS file_field, length(text) + 3 * h2 + 4 * h3 AS body_chars
+FROM (SELECT *, len(list_filter(range(len(string_split(text, chr(10)))), lambda i: i % 7 = 3)) AS h2, len(list_filter(range(len(string_split(text, chr(10)))), lambda i: i % 7 <> 3 AND i % 11 = 5)) AS h3 FROM syn)""")
+def frontmatter_fields(spark, sf_dir):
+    p = frontmatter.parse(as_markdown(spark, sf_dir))
+    joined = lambda c: F.array_join(c, ",")
+    return p.select("doc_id", "area_number", "doc_type", "status", F.col("doc_date").cast("string").alias("doc_date"), joined("depends_on").alias("depends_on"), joined("feeds_into").alias("feeds_into"), joined(F.col("also_touches").cast("array<string>")).alias("also_touches"), "supersedes", F.col("metadata")["file"].alias("file_field"), F.length("body").cast("long").alias("body_chars"))
+
+
+SLUG = r"regexp_replace(regexp_replace(regexp_replace(lower(header), '[^\p{L}\p{M}\p{N}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(f"""WITH b AS ({HEADED}), l AS (SELECT doc_id, length(body) AS size, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM b),
+p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
+h AS (SELECT doc_id, size, pos, CASE WHEN starts_with(line, '###') THEN 3 ELSE 2 END AS level, {TRIM.format(r"regexp_replace(line, '^#+\s+', '')")} AS header FROM p WHERE regexp_matches(line, '^#{{1,3}}\\s+\\S')),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS section_no, {SLUG} AS slug0 FROM h),
+s AS (SELECT *, CASE WHEN slug0 = '' THEN 'section-' || section_no ELSE slug0 END AS slug FROM n),
+a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY pos) - 1 AS nth FROM s)
+SELECT doc_id, CAST(section_no AS INT) AS section_no, level, header, CASE WHEN nth = 0 THEN slug ELSE slug || '-' || nth END AS anchor, CAST(pos AS BIGINT) AS char_start,
+  CAST(coalesce((SELECT min(b.pos) FROM a b WHERE b.doc_id = a.doc_id AND b.pos > a.pos AND b.level <= a.level), size) AS BIGINT) AS char_end FROM a""")
+def outline_sections(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_file"), headed(F.col("text")).alias("body"))
+    o = outline.outlines(d)
+    return o.select(F.col("source_file").alias("doc_id"), "section_no", "level", "header", "anchor", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
+
+
+EDGES = "e AS (SELECT source_file, 'depends_on' AS relation, dep AS target FROM syn UNION SELECT source_file, 'feeds_into', feed FROM syn UNION SELECT source_file, 'also_touches', CAST(touch AS VARCHAR) FROM syn UNION SELECT source_file, 'supersedes', old FROM syn WHERE old IS NOT NULL)"
+
+
+@query(f"WITH {CTE}, {EDGES} SELECT * FROM e")
+def edges(spark, sf_dir):
+    return graph.edges(parsed(spark, sf_dir))
+
+
+def meta(spark, sf_dir) -> DataFrame:
+    return parsed(spark, sf_dir).select("source_file", "status", "supersedes", "doc_date", F.lit(None).cast("timestamp").alias("git_committed_at"))
+
+
+@query(f"""WITH {CTE}, {EDGES},
+o AS (SELECT e.source_file, e.relation, e.target || '|' || coalesce(m.status, '-') || '|' || CASE WHEN m.source_file IS NULL THEN 'dangling' ELSE 'known' END AS x, CASE WHEN m.source_file IS NULL THEN 1 ELSE 0 END AS warn FROM e LEFT JOIN syn m ON m.bare = e.target WHERE relation IN ('depends_on', 'feeds_into')),
+i AS (SELECT t.source_file, e.relation, s.bare || '|' || coalesce(s.status, '-') AS x FROM e JOIN syn s ON s.source_file = e.source_file JOIN syn t ON t.bare = e.target WHERE relation IN ('depends_on', 'feeds_into') AND (s.status IS NULL OR s.status <> 'superseded'))
+SELECT syn.source_file, coalesce(d, '') AS depends_on, coalesce(f, '') AS feeds_into, coalesce(w, 0) AS warnings, coalesce(b, '') AS depended_on_by, coalesce(r, '') AS feeds_from, CAST(touch AS VARCHAR) AS also_touches FROM syn
+LEFT JOIN (SELECT source_file, string_agg(CASE WHEN relation = 'depends_on' THEN x END, ',' ORDER BY x) AS d, string_agg(CASE WHEN relation = 'feeds_into' THEN x END, ',' ORDER BY x) AS f, CAST(sum(warn) AS INT) AS w FROM o GROUP BY 1) USING (source_file)
+LEFT JOIN (SELECT source_file, string_agg(CASE WHEN relation = 'depends_on' THEN x END, ',' ORDER BY x) AS b, string_agg(CASE WHEN relation = 'feeds_into' THEN x END, ',' ORDER BY x) AS r FROM i GROUP BY 1) USING (source_file)""")
+def neighborhood_all(spark, sf_dir):
+    m = meta(spark, sf_dir)
+    n = graph.neighborhoods(graph.edges(parsed(spark, sf_dir)), m, PREFIX).join(m.select("source_file"), "source_file", "left_semi")
+    line = lambda c, *more: F.array_join(F.array_sort(F.transform(F.coalesce(c, F.array()), lambda e: F.concat_ws("|", e["ref"], F.coalesce(e["status"], F.lit("-")), *(f(e) for f in more)))), ",")
+    dangling = lambda e: F.when(e["dangling"], "dangling").otherwise("known")
+    return n.select("source_file", line("depends_on", dangling).alias("depends_on"), line("feeds_into", dangling).alias("feeds_into"), F.size(F.coalesce("warnings", F.array())).alias("warnings"), line("depended_on_by").alias("depended_on_by"), line("feeds_from").alias("feeds_from"), F.array_join(F.col("also_touches").cast("array<string>"), ",").alias("also_touches"))
+
+
+#: Chains of up to nine: a document supersedes the one before it, but for each tenth.
+CHAIN = "CASE WHEN doc_id % 10 > 0 THEN " + BARE("(doc_id - 1)") + " END"
+
+
+@query(f"""WITH RECURSIVE {CTE}, m AS (SELECT doc_id, source_file, status, {CHAIN} AS sup FROM syn),
+c AS (SELECT source_file, doc_id, 0 AS hop, CAST('' AS VARCHAR) AS ref FROM m UNION ALL SELECT c.source_file, c.doc_id - 1, c.hop + 1, m.sup FROM c JOIN m ON m.doc_id = c.doc_id WHERE m.sup IS NOT NULL AND c.hop < 10)
+SELECT c.source_file, c.hop, c.ref, m.status, m.source_file IS NULL AS dangling FROM c LEFT JOIN m ON m.doc_id = c.doc_id WHERE hop > 0""")
+def supersedes_chain(spark, sf_dir):
+    m = corpus(spark, sf_dir).select("source_file", "status", F.expr(CHAIN).alias("supersedes"))
+    return graph.supersedes_chain(m, PREFIX).select("source_file", "hop", "ref", "status", "dangling")
+
+
+# --- decisions, from the parts table
+
+DECISIONS = """SELECT CAST(p_partkey AS INT) AS id, 'part-' || p_partkey AS decision_key, CAST(p_partkey % 9 AS INT) AS area, p_name AS decision, p_brand || ' ' || p_type AS current_value,
+  'doc-' || CAST(p_partkey % 100 AS STRING) AS source_doc, CASE WHEN p_partkey % 7 <> 0 THEN DATE '2024-01-01' + CAST(p_partkey % 365 AS INT) END AS decided_on,
+  CASE WHEN p_partkey % 5 < 3 THEN CAST(p_partkey + 1 AS INT) END AS superseded_by FROM part"""
+
+
+def decision_table(spark, sf_dir) -> DataFrame:
+    return spark.sql(DECISIONS.replace("FROM part", "FROM {part}"), part=read(spark, sf_dir, "part")).withColumn("cross_refs", F.array().cast("array<string>"))
+
+
+LOOKUPS = "SELECT CAST(p_partkey AS STRING) AS query FROM part WHERE p_partkey <= 5 UNION SELECT 'part-' || p_partkey FROM part WHERE p_partkey % 50 = 7 UNION SELECT p_type FROM part WHERE p_partkey % 100 = 9 UNION SELECT 'no such thing'"
+
+
+@query(f"""WITH d AS ({DECISIONS}), q AS ({LOOKUPS}),
+x AS (SELECT query, id, CASE WHEN query = CAST(id AS VARCHAR) THEN 1 ELSE 2 END AS kind FROM q JOIN d ON query = CAST(id AS VARCHAR) OR query = decision_key),
+f AS (SELECT query, arg_min(id, kind) AS id, min(kind) AS kind FROM x GROUP BY query),
+z AS (SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY length(decision), decision_key) AS INT) AS rank FROM q JOIN d ON decision ILIKE '%' || query || '%' OR current_value ILIKE '%' || query || '%' WHERE query NOT IN (SELECT query FROM f))
+SELECT query, 1 AS rank, id, CASE kind WHEN 1 THEN 'id' ELSE 'key' END AS matched_by FROM f UNION ALL SELECT query, rank, id, 'text' FROM z WHERE rank <= 5""")
+def decision_lookup(spark, sf_dir):
+    q = spark.sql(LOOKUPS.replace("FROM part", "FROM {part}"), part=read(spark, sf_dir, "part"))
+    return decisions.lookup(q, decision_table(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE d AS ({DECISIONS}), c AS (SELECT id, superseded_by AS nxt, 1 AS hop FROM d WHERE superseded_by IN (SELECT id FROM d) UNION ALL SELECT c.id, d.superseded_by, hop + 1 FROM c JOIN d ON d.id = c.nxt WHERE d.superseded_by IN (SELECT id FROM d) AND hop < 10),
+l AS (SELECT id, arg_max(nxt, hop) AS last_id, max(hop) AS hops FROM c GROUP BY id)
+SELECT d.id, coalesce(l.hops, 0) AS hops, CASE WHEN d.superseded_by IS NOT NULL AND t.id IS NOT NULL THEN '[SUPERSEDED by `' || t.decision_key || '` on ' || coalesce(CAST(t.decided_on AS VARCHAR), 'unknown date') || ']'
+  WHEN d.superseded_by IS NOT NULL THEN '[SUPERSEDED by id=' || d.superseded_by || ']' WHEN d.decided_on IS NULL THEN '[DRAFT]' ELSE '[CURRENT]' END AS banner
+FROM d LEFT JOIN l ON l.id = d.id LEFT JOIN d t ON t.id = l.last_id""")
+def decision_chain(spark, sf_dir):
+    d = decision_table(spark, sf_dir)
+    chain = decisions.successors(d)
+    hops = chain.groupBy("id").agg(F.max("hop").alias("hops"))
+    return decisions.with_banner(d, chain).join(hops, "id", "left").select("id", F.coalesce("hops", F.lit(0)).alias("hops"), "banner")
+
+
+#: Of each six parts the first three supersede each other in a ring, the rest form a line.
+RING = "CASE p_partkey % 6 WHEN 0 THEN p_partkey + 1 WHEN 1 THEN p_partkey + 1 WHEN 2 THEN p_partkey - 2 WHEN 3 THEN p_partkey + 1 WHEN 4 THEN p_partkey + 1 END"
+
+
+@query(f"SELECT 'p' || p_partkey AS decision_key, CAST(3 AS INT) AS length FROM part WHERE p_partkey % 6 < 3 AND (p_partkey - p_partkey % 6) IN (SELECT p_partkey FROM part) AND (p_partkey - p_partkey % 6 + 2) IN (SELECT p_partkey FROM part) AND ({RING}) IS NOT NULL")
+def cycle_check(spark, sf_dir):
+    rows = spark.sql(f"SELECT 'p' || p_partkey AS decision_key, 'p' || ({RING}) AS supersedes FROM {{part}}", part=read(spark, sf_dir, "part"))
+    return decisions.cycles(rows).select("decision_key", (F.size("path") - 1).alias("length"))
+
+
+ANCHORS = f"SELECT decision_key AS value FROM d WHERE id % 20 = 1 UNION SELECT {BARE('doc_id')} FROM documents WHERE doc_id % 100 = 3 UNION SELECT 'no-such-key'"
+
+
+@query(f"WITH d AS ({DECISIONS}), v AS ({ANCHORS}) SELECT value, CASE WHEN d.decision_key IS NOT NULL THEN 'decision' ELSE 'doc' END AS anchor_kind, coalesce(d.source_doc, value) AS anchor_doc FROM v LEFT JOIN d ON d.decision_key = v.value")
+def impact_targets(spark, sf_dir):
+    d = decision_table(spark, sf_dir)
+    v = spark.sql(ANCHORS.replace("FROM d ", "FROM {d} ").replace("FROM documents", "FROM {docs}"), d=d, docs=read(spark, sf_dir, "documents"))
+    return graph.impact_anchors(v, d)
+
+
+# --- drift
+
+DANGLING = f"SELECT 'docs/' || bare || '.md' AS file, '`feeds-into` ref `' || feed || '` does not match any existing doc' AS reason FROM syn WHERE feed NOT IN (SELECT bare FROM syn)"
+
+
+@query(f"WITH {CTE} {DANGLING}")
+def drift_dangling(spark, sf_dir):
+    docs = as_markdown(spark, sf_dir).select("name", "text")
+    items = drift.dangling_signal(audit.audit(docs))
+    return items.select("file", "reason")
+
+
+#: Commits go back and forth, so that some documents depend on later ones.
+COMMITTED = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * CAST((doc_id * 7919) % 1000 AS INT)"
+ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S+00:00')"
+LATE = f"SELECT 'docs/' || a.bare || '.md' AS file, 'depends-on `' || b.bare || '` was committed at ' || {ISO.format('b.ts')} || ' (newer than this doc''s ' || {ISO.format('a.ts')} || ')' AS reason FROM c a JOIN c b ON b.bare = a.dep WHERE b.ts > a.ts"
+
+
+def committed(spark, sf_dir) -> DataFrame:
+    return corpus(spark, sf_dir).select("bare", F.array("dep").alias("depends_on"), F.expr(COMMITTED).alias("git_committed_at"))
+
+
+@query(f"WITH {CTE}, c AS (SELECT *, {COMMITTED} AS ts FROM syn) {LATE}")
+def drift_dep_out_of_date(spark, sf_dir):
+    return drift.dep_out_of_date(committed(spark, sf_dir)).select("file", "reason")
+
+
+TOPICS = "SELECT 'topic-' || lpad(CAST(item_id AS STRING), 4, '0') AS decision_key, trim(substr(text, 1, 50)) AS decision, 'settled value ' || item_id AS current_value, 'doc-' || item_id AS source_doc, CAST(NULL AS INT) AS superseded_by FROM benchmark"
+
+
+@query(f"""WITH {CTE}, d AS (SELECT * FROM ({TOPICS}) WHERE decision_key IN (SELECT decision_key FROM ({TOPICS}) ORDER BY 1 LIMIT 500) AND length(decision) BETWEEN 8 AND 80),
+h AS (SELECT source_file AS file, decision_key, row_number() OVER (PARTITION BY decision_key ORDER BY source_file) AS n, current_value FROM syn JOIN d ON contains(lower(text), lower(decision)) AND NOT contains(lower(text), lower(current_value)))
+SELECT file, decision_key, current_value AS suggested_replacement FROM h WHERE n <= 5""")
+def drift_contradict(spark, sf_dir):
+    d = spark.sql(TOPICS.replace("FROM benchmark", "FROM {b}"), b=read(spark, sf_dir, "benchmark"))
+    c = corpus(spark, sf_dir).select("source_file", F.lit("(intro)").alias("section_header"), F.col("text").alias("content"))
+    items = drift.contradictions(d, c, PREFIX)
+    key = F.concat(F.lit("topic-"), F.lpad(F.regexp_extract("suggested_replacement", r"(\d+)$", 1), 4, "0"))
+    return items.select("file", key.alias("decision_key"), "suggested_replacement")
+
+
+STALE = r"""SELECT 'docs/' || doc_id AS file, CAST(i AS INT) AS line, category FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) JOIN (VALUES ('tone', '(?i)\bworthless\b', 'licen'), ('licence', '(?i)\bCC BY-NC \d', 'no excuse')) p(category, re, excuse) ON regexp_matches(t, re) AND NOT contains(lower(t), excuse)"""
+
+
+@query(STALE)
+def drift_stale(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("file"), "text")
+    return drift.stale_strings(d, PATTERNS).select("file", "line", "category")
+
+
+@query(f"""WITH {CTE}, c AS (SELECT *, {COMMITTED} AS ts FROM syn), items AS (SELECT 0 AS p, 'stale-string' AS signal, file, line, CASE category WHEN 'tone' THEN 'insults go' ELSE 'non-commercial text' END AS reason FROM ({STALE})
+  UNION SELECT 1, 'dangling-ref', file, NULL, reason FROM ({DANGLING}) UNION SELECT 2, 'dep-out-of-date', file, NULL, reason FROM ({LATE}))
+SELECT signal, file, line, reason FROM items ORDER BY p, file, coalesce(line, 0), reason LIMIT 100""")
+def drift_report(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("file"), "text")
+    dangling = drift.dangling_signal(audit.audit(as_markdown(spark, sf_dir).select("name", "text")))
+    items = drift.collect(drift.stale_signal(drift.stale_strings(d, PATTERNS)), dangling, drift.dep_out_of_date(committed(spark, sf_dir)))
+    return drift.top(items, 100).select("signal", "file", "line", "reason")
+
+
+@query(f"""WITH {CTE}, c AS (SELECT *, {COMMITTED} AS ts FROM syn), items AS (SELECT DISTINCT 'stale-string' AS signal, file, line, category FROM ({STALE}) UNION ALL SELECT 'dangling-ref', file, NULL, reason FROM ({DANGLING}) UNION ALL SELECT 'dep-out-of-date', file, NULL, reason FROM ({LATE}))
+SELECT signal, count(*) AS items FROM items GROUP BY signal""")
+def drift_by_signal(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("file"), "text")
+    dangling = drift.dangling_signal(audit.audit(as_markdown(spark, sf_dir).select("name", "text")))
+    return drift.by_signal(drift.collect(drift.stale_signal(drift.stale_strings(d, PATTERNS)), dangling, drift.dep_out_of_date(committed(spark, sf_dir))))
+
+
+# --- audit, health, evaluation, telemetry
+
+BIG = f"""sec AS (SELECT doc_id, sec, string_agg(line, chr(10) ORDER BY i) AS t, bool_or(head) AS headed FROM (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM (SELECT doc_id, i, line, starts_with(line, '## ') AS head FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM ({HEADED})))) GROUP BY 1, 2),
+big AS (SELECT doc_id, count(*) FILTER (length(t) + CASE WHEN sec = 0 THEN 1 ELSE 0 END > 4000) AS n, bool_or(headed) AS has_h2 FROM sec GROUP BY 1)"""
+VIOLATIONS = f"""v AS (SELECT bare || '.md' AS name, 'missing-fields' AS category FROM syn WHERE doc_id % 13 = 5
+  UNION ALL SELECT bare || '.md', 'filename-pattern' FROM syn WHERE doc_id % 19 = 4
+  UNION ALL SELECT bare || '.md', 'status-invalid' FROM syn WHERE doc_id % 17 = 3 OR status IS NULL
+  UNION ALL SELECT bare || '.md', 'dangling-ref' FROM syn WHERE feed NOT IN (SELECT bare FROM syn)
+  UNION ALL SELECT bare || '.md', 'no-h2' FROM syn JOIN big USING (doc_id) WHERE NOT has_h2
+  UNION ALL SELECT bare || '.md', 'oversized-section' FROM syn JOIN big USING (doc_id) WHERE has_h2 AND n > 0)"""
+
+
+@query(f"WITH {CTE}, {BIG}, {VIOLATIONS} SELECT name, category FROM v")
+def audit_violations(spark, sf_dir):
+    return audit.audit(as_markdown(spark, sf_dir).select("name", "text")).select("name", "category")
+
+
+@query(f"WITH {CTE}, {BIG}, {VIOLATIONS} SELECT category, count(DISTINCT name) AS files FROM v GROUP BY 1")
+def audit_categories(spark, sf_dir):
+    return audit.by_category(audit.audit(as_markdown(spark, sf_dir).select("name", "text")))
+
+
+@query(f"""WITH {CTE}, {BIG}, {VIOLATIONS} SELECT count(*) AS total, count(*) - count(DISTINCT v.name) AS clean, count(DISTINCT v.name) AS violating FROM (SELECT DISTINCT bare || '.md' AS name FROM syn) s LEFT JOIN (SELECT DISTINCT name FROM v) v USING (name)""")
+def audit_totals(spark, sf_dir):
+    docs = as_markdown(spark, sf_dir).select("name", "text")
+    return audit.totals(docs, audit.audit(docs))
+
+
+RENAMES = RenameMap({"00-spec-doc-0": "00-spec-doc-zero"}, {}, {}, ("00-dec-doc-9",))
+
+
+@query(f"""WITH {CTE} SELECT bare || '.md' AS name, doc_id % 19 = 4 OR dep IN ('00-spec-doc-0', '00-dec-doc-9') AS changed FROM syn""")
+def audit_fixes(spark, sf_dir):
+    return audit.fixed(as_markdown(spark, sf_dir).select("name", "text"), RENAMES).select("name", "changed")
+
+
+@query("""SELECT event_type || '/' || (user_id % 50) AS source_file, count(*) AS chunk_count, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first_updated, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_updated, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 24 HOURS AS is_stale FROM events GROUP BY 1""")
+def index_health(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.concat_ws("/", "event_type", (F.col("user_id") % 50).cast("string")).alias("source_file"), F.col("ts").alias("updated_at"))
+    now = F.lit(e.agg(F.max("updated_at")).first()[0])
+    return search.index_health(e, now).select("source_file", "chunk_count", search.stamp(F.col("first_updated")).alias("first_updated"), search.stamp(F.col("last_updated")).alias("last_updated"), "is_stale")
+
+
+@query(f"""WITH {CTE} SELECT count(*) AS total, count(*) FILTER (NOT starts_with(text, 'File: ')) AS without_preamble, round(count(*) FILTER (doc_id % 4 > 0) / count(*), 6) AS git_share, round(count(status) / count(*), 6) AS status_share, CAST(1 AS DOUBLE) AS depends_share FROM syn""")
+def field_coverage(spark, sf_dir):
+    c = parsed(spark, sf_dir).select(F.col("text").alias("content"), F.when(F.col("doc_id") % 4 > 0, "sha").alias("git_sha"), "status", "depends_on")
+    return search.field_coverage(c).select("total", "without_preamble", *(F.round(x, 6).alias(x) for x in ("git_share", "status_share", "depends_share")))
+
+
+@query(f"""WITH r AS (SELECT * FROM (SELECT q.vec_id AS id, e.vec_id, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 10),
+g AS (SELECT id, min(CASE WHEN vec_id = id THEN rank END) AS r1, min(CASE WHEN vec_id = id + 1 THEN rank END) AS r2, max(CASE WHEN rank = 1 THEN label % 2 END) AS top FROM r GROUP BY id)
+SELECT count(*) AS goldens, round(avg(CASE WHEN r1 IS NOT NULL AND r2 IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_at_k, round(avg((CASE WHEN r1 IS NULL THEN 0 ELSE 1 END + CASE WHEN r2 IS NULL THEN 0 ELSE 1 END) / 2), 6) AS recall_at_k, round(avg(coalesce(1.0 / least(r1, r2), 0)), 6) AS mrr, round(avg(CASE WHEN top = 0 THEN 1.0 ELSE 0.0 END), 6) AS top_status FROM g""")
+def eval_metrics(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    top = search.batch_topk(e.select("vec_id", F.col("embedding").alias("v")), q, 10, "vec_id").join(e.select("vec_id", "label"), "vec_id")
+    item = lambda c: F.concat(F.lit("item-"), c.cast("string"))
+    r = top.select(F.col("query_id").alias("id"), "rank", F.concat(F.lit("x/docs/"), item(F.col("vec_id")), F.lit(".md")).alias("source_file"), F.when(F.col("label") % 2 == 0, "complete").otherwise("draft").alias("status"))
+    g = q.select(F.col("query_id").alias("id"), F.array(item(F.col("query_id")), item(F.col("query_id") + 1)).alias("source_files"), F.array(F.lit("complete")).alias("top_status"))
+    m = evals.aggregate(evals.score(r, g))
+    return m.select("goldens", *(F.round(c, 6).alias(c) for c in ("hit_at_k", "recall_at_k", "mrr", "top_status")))
+
+
+@query("SELECT conv_id, turn, substr(text, 1, 500) AS query_scrubbed FROM conversations WHERE role = 'user'")
+def query_log_rows(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").filter("role = 'user'")
+    return c.select("conv_id", "turn", F.substring(scrub.scrub(F.col("text"), FIELDS), 1, 500).alias("query_scrubbed"))
+
+
+AREA = """'<html><script>var A = [{id: ' || page_id || ', n: "Area ' || page_id || '", tg: "' || length(url) || '", s: "live", sg: [{n: "G", it: [{n: "one", s: "done", o: "me"}, {n: "two: x", nt: "note",},],},], d: [{x: "yes"}], df: ["later",]}, {n: "Plain", s: "", sg: []}];</script>' || html"""
+RENDERED = "array_to_string(['# Area ' || page_id, 'Scope: ' || length(url), 'Status: live', '', '## G', '- one [done] (owner: me)', '- two: x, note', '', '## Decisions', '- yes', '', '## Deferred', '- later', ''], chr(10))"
+
+
+@query(f"SELECT page_id, 0 AS area_no, 'Area ' || page_id AS section_header, CAST(page_id AS INT) AS area_number, 'tracker' AS doc_type, md5({RENDERED}) AS content_md5 FROM pages UNION ALL SELECT page_id, 1, 'Plain', NULL, 'tracker', md5('# Plain' || chr(10) || 'Status: ' || chr(10)) FROM pages")
+def tracker_areas(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select(F.concat(F.lit("corpus/docs/tracker-"), F.col("page_id").cast("string"), F.lit(".html")).alias("source_file"), F.expr(AREA).alias("html"))
+    t = tracker.tracker_chunks(p)
+    return t.select(F.regexp_extract("source_file", r"(\d+)\.html", 1).cast("long").alias("page_id"), "area_no", "section_header", "area_number", "doc_type", F.md5("content").alias("content_md5"))
+
+
+@query(f"""WITH {CASCADE}, {CTE}, c AS (SELECT source_file, header AS section_header, sha256('File: ' || source_file || ' · Type: ' || doc_type || ' · Status: ' || CASE WHEN doc_id % 17 = 3 THEN 'done' ELSE coalesce(status, 'unknown') END || ' · Area ' || area || ', ' || header || chr(10) || chr(10) || content) AS content_hash FROM chunks JOIN syn USING (doc_id) WHERE doc_id % 3 > 0)
+SELECT content_hash, min(source_file) AS source_file, min(section_header) AS section_header FROM c GROUP BY content_hash""")
+def incremental_sync(spark, sf_dir):
+    """What a sync leaves: even documents were stored, all others arrive, and each third is deleted."""
+    from ..plans.ingest import index
+    from ..sources.store import keyed_merge
+
+    docs = as_markdown(spark, sf_dir)
+    stored = index(docs.filter("doc_id % 2 = 0").select("source_file", "text"), Settings()).chunks
+    new = index(docs.filter("doc_id % 2 = 1").select("source_file", "text"), Settings()).chunks
+    gone = docs.filter("doc_id % 3 = 0").select("source_file")
+    merged = keyed_merge(stored, new, ["content_hash"]).join(gone, "source_file", "left_anti")
+    return merged.select("content_hash", "source_file", "section_header")
