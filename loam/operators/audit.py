@@ -43,58 +43,50 @@ def _py_list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in sorted(values)) + "]"
 
 
-def _field(k: str) -> Column:
-    return F.variant_get(F.col("v"), f"$['{k}']", "variant")
+def _value(k: str) -> Column:
+    return F.try_element_at("y.fields", F.lit(k))
 
 
-def _text(k: str) -> Column:
-    """A field's value as text: dates as written, lists and the rest as JSON."""
-    return F.coalesce(F.try_variant_get(F.col("v"), f"$['{k}']['__date__']", "string"), F.try_variant_get(F.col("v"), f"$['{k}']", "string"), F.to_json(_field(k)))
-
-
-def _kind(k: str) -> Column:
-    return F.schema_of_variant(_field(k))
-
-
-def frontmatter_issues(names: DataFrame) -> Column:
-    """array<string> of what is wrong with the fields of (name, v)."""
-    has = lambda k: F.array_contains("keys", F.lit(k))
+def frontmatter_issues() -> Column:
+    """array<string> of what is wrong with the fields of (name, y)."""
     stem = F.regexp_replace("name", r"\.md\z", "")
-    fn_area = F.when(F.col("name").rlike(FILE_NAME), F.regexp_extract("name", FILE_NAME, 1).cast("int"))
-    fn_type = F.when(F.col("name").rlike(FILE_NAME), F.regexp_extract("name", FILE_NAME, 2))
+    named = F.col("name").rlike(FILE_NAME)
+    fn_area = F.when(named, F.regexp_extract("name", FILE_NAME, 1).cast("int"))
+    fn_type = F.when(named, F.regexp_extract("name", FILE_NAME, 2))
+    has = lambda k: _value(k).isNotNull()
+    kind, text, shown = (lambda k, part=part: _value(k)[part] for part in ("kind", "text", "shown"))
     say = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
-    shown = lambda k: F.coalesce(_text(k), F.lit("None"))
-    quoted = lambda k: F.when(_kind(k) == "STRING", F.concat(F.lit("'"), _text(k), F.lit("'"))).otherwise(shown(k))
     tests = [F.when(~has(f), say(f"missing required frontmatter field `{f}`")) for f in REQUIRED_FIELDS]
-    tests.append(F.when(has("file") & ~F.coalesce((_kind("file") == "STRING") & (_text("file") == stem), F.lit(False)), say("`file` field `", shown("file"), "` does not match filename `", stem, "`")))
-    ok_type = F.coalesce(_text("type").isin(*DOC_TYPES), F.lit(False))
-    tests.append(F.when(has("type") & ~ok_type, say("`type` `", shown("type"), f"` not in allowed set {_py_list(DOC_TYPES)}")).when(has("type") & (fn_type != _text("type")), say("`type` `", _text("type"), "` does not match filename type `", fn_type, "`")))
-    tests.append(F.when(has("status") & ~F.coalesce(_text("status").isin(*STATUSES), F.lit(False)), say("`status` `", shown("status"), f"` not in allowed set {_py_list(STATUSES)}")))
-    whole = _kind("area").isin("BIGINT", "INT", "BOOLEAN")
-    number = F.when(_kind("area") == "BOOLEAN", F.try_variant_get("v", "$['area']", "boolean").cast("int")).otherwise(F.try_variant_get("v", "$['area']", "int"))
-    tests.append(F.when(has("area") & ~F.coalesce(whole, F.lit(False)), say("`area` must be integer, got `", quoted("area"), "`")).when(has("area") & ~F.coalesce(number.between(0, 12), F.lit(False)), say("`area` `", shown("area"), "` out of range 0, 12")).when(has("area") & (number != fn_area), say("`area` `", shown("area"), "` does not match filename area `", fn_area.cast("string"), "`")))
-    dated = F.try_variant_get("v", "$['date']['__date__']", "string").isNotNull() | ((_kind("date") == "STRING") & _text("date").rlike(r"\A\d{4}-\d{2}-\d{2}\z"))
-    tests.append(F.when(has("date") & ~F.coalesce(dated, F.lit(False)), say("`date` `", quoted("date"), "` not in YYYY-MM-DD format")))
-    tests += [F.when(has(r) & (_kind(r) != "VOID") & ~_kind(r).startswith("ARRAY"), say(f"`{r}` must be a list (use `[]` if empty)")) for r in ("depends-on", "feeds-into")]
+    tests.append(F.when(has("file") & ((kind("file") != "text") | (text("file") != stem)), say("`file` field `", text("file"), "` does not match filename `", stem, "`")))
+    tests.append(F.when(has("type") & ~text("type").isin(*DOC_TYPES), say("`type` `", text("type"), f"` not in allowed set {_py_list(DOC_TYPES)}")).when(has("type") & (fn_type != text("type")), say("`type` `", text("type"), "` does not match filename type `", fn_type, "`")))
+    tests.append(F.when(has("status") & ~text("status").isin(*STATUSES), say("`status` `", text("status"), f"` not in allowed set {_py_list(STATUSES)}")))
+    number = _value("area")["number"]
+    tests.append(F.when(has("area") & (kind("area") != "int"), say("`area` must be integer, got `", shown("area"), "`")).when(has("area") & ~F.coalesce(number.between(0, 12), F.lit(False)), say("`area` `", text("area"), "` out of range 0, 12")).when(has("area") & (number != fn_area), say("`area` `", text("area"), "` does not match filename area `", fn_area.cast("string"), "`")))
+    tests.append(F.when(has("date") & (kind("date") != "date") & ~((kind("date") == "text") & text("date").rlike(r"\A\d{4}-\d{2}-\d{2}\z")), say("`date` `", shown("date"), "` not in YYYY-MM-DD format")))
+    tests += [F.when(has(r) & ~kind(r).isin("null", "list"), say(f"`{r}` must be a list (use `[]` if empty)")) for r in ("depends-on", "feeds-into")]
     return F.array_compact(F.array(*tests))
 
 
-def section_issues(body: Column, exempt_h2=False, exempt_deep=False, exempt_size=False) -> Column:
-    """array<string> of what is wrong with headings and section lengths (a section counts with its heading line)."""
-    rows = lines(body)
-    h2 = F.size(F.filter(rows, lambda x: x.startswith("## ")))
-    deep = F.size(F.filter(rows, lambda x: x.rlike(r"\A#{4,}\s")))
+def with_sections(docs: DataFrame, body: Column) -> DataFrame:
+    """Adds what section_issues() looks at. Step by step, so that each text is split once."""
+    d = docs.withColumn("rows_", lines(body))
+    d = d.withColumn("h2_", F.size(F.filter("rows_", lambda x: x.startswith("## ")))).withColumn("deep_", F.size(F.filter("rows_", lambda x: x.rlike(r"\A#{4,}\s"))))
     # sections with their heading lines; a line end that closes a section belongs to none
-    parts = F.split(F.array_join(rows, "\n"), r"(?m)(?=^## )", -1)
-    sized = F.transform(parts, lambda p, i: F.struct(F.when(p.startswith("## "), strip(F.regexp_extract(p, r"\A([^\n]*)", 1))).otherwise("(preamble)").alias("h"), (F.length(p) - F.when((i < F.size(parts) - 1) & p.endswith("\n"), 1).otherwise(0)).alias("n")))
-    big = F.filter(sized, lambda s: s["n"] > MAX_CHUNK_CHARS)
-    some = F.array_join(F.transform(F.slice(big, 1, 3), lambda s: F.concat(F.lit("'"), F.substring(s["h"], 1, 60), F.lit("'="), s["n"].cast("string"), F.lit("ch"))), ", ")
-    more = F.when(F.size(big) > 3, F.concat(F.lit(" (+"), (F.size(big) - 3).cast("string"), F.lit(" more)"))).otherwise("")
+    d = d.withColumn("parts_", F.split(F.array_join("rows_", "\n"), r"(?m)(?=^## )", -1)).drop("rows_")
+    size = lambda p, i: (F.length(p) - F.when((i < F.size("parts_") - 1) & p.endswith("\n"), 1).otherwise(0)).alias("n")
+    head = lambda p: F.when(p.startswith("## "), strip(F.regexp_extract(p, r"\A([^\n]*)", 1))).otherwise("(preamble)").alias("h")
+    return d.withColumn("big_", F.filter(F.transform("parts_", lambda p, i: F.struct(head(p), size(p, i))), lambda s: s["n"] > MAX_CHUNK_CHARS)).drop("parts_")
+
+
+def section_issues(exempt_h2: Column, exempt_deep: Column, exempt_size: Column) -> Column:
+    """array<string> of what is wrong with headings and section lengths (a section counts with its heading line)."""
+    some = F.array_join(F.transform(F.slice("big_", 1, 3), lambda s: F.concat(F.lit("'"), F.substring(s["h"], 1, 60), F.lit("'="), s["n"].cast("string"), F.lit("ch"))), ", ")
+    more = F.when(F.size("big_") > 3, F.concat(F.lit(" (+"), (F.size("big_") - 3).cast("string"), F.lit(" more)"))).otherwise("")
     return F.array_compact(
         F.array(
-            F.when((h2 == 0) & ~F.lit(exempt_h2), "no `##` section headers (document is a single chunk)"),
-            F.when((deep > 0) & ~F.lit(exempt_deep), F.concat(F.lit("has "), deep.cast("string"), F.lit(" header(s) nested deeper than `###`"))),
-            F.when((h2 > 0) & (F.size(big) > 0) & ~F.lit(exempt_size), F.concat(F.size(big).cast("string"), F.lit(" section(s) exceed 4000 chars: "), some, more)),
+            F.when((F.col("h2_") == 0) & ~exempt_h2, "no `##` section headers (document is a single chunk)"),
+            F.when((F.col("deep_") > 0) & ~exempt_deep, F.concat(F.lit("has "), F.col("deep_").cast("string"), F.lit(" header(s) nested deeper than `###`"))),
+            F.when((F.col("h2_") > 0) & (F.size("big_") > 0) & ~exempt_size, F.concat(F.size("big_").cast("string"), F.lit(" section(s) exceed 4000 chars: "), some, more)),
         )
     )
 
@@ -103,30 +95,26 @@ def audit(docs: DataFrame, exempt_h2: tuple = (), exempt_deep: tuple = (), exemp
     """docs (name, text) of one flat folder -> name, message, category: a row for each violation.
 
     Tracker notes and the index are skipped. A document whose frontmatter can't be read is checked no further."""
-    d = docs.filter(~F.col("name").startswith("track-") & (F.col("name") != "index.md")).withColumn("y", strict_yaml(F.col("text")))
-    d = d.withColumn("v", F.parse_json("y.json")).withColumn("keys", F.json_object_keys("y.json"))
+    d = docs.select("name", "text").filter(~F.col("name").startswith("track-") & (F.col("name") != "index.md")).withColumn("y", strict_yaml(F.col("text")))
     bad_name = F.when(~F.col("name").rlike(FILE_NAME), "filename does not match `[NN]-[type]-[name].md` pattern")
     # the body starts after the line that closes the block
-    end = F.locate("\n---", F.col("text"), 4)
-    rest = F.substring("text", end + 4, F.length("text"))
-    inner = section_issues(rest, F.col("name").isin(*exempt_h2) if exempt_h2 else False, F.col("name").isin(*exempt_deep) if exempt_deep else False, F.col("name").isin(*exempt_size) if exempt_size else False)
-    issues = F.concat(F.array_compact(F.array(bad_name, F.col("y.error"))), F.when(F.col("y.error").isNull(), F.concat(frontmatter_issues(d), inner)).otherwise(F.array().cast("array<string>")))
-    own = d.select("name", F.explode(issues).alias("message"))
-    return own.unionByName(ref_issues(d.filter("y.error IS NULL"), docs)).withColumn("category", categorize(F.col("message")))
-
-
-def ref_issues(parsed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Dependency entries that are no text, misshapen area references, or documents that don't exist (an anti join)."""
-    refs = None
-    for r in ("depends-on", "feeds-into"):
-        listed = parsed.filter(_kind(r).startswith("ARRAY")).select("name", F.lit(r).alias("rel"), F.explode(F.variant_get("v", f"$['{r}']", "array<variant>")).alias("e"))
-        refs = listed if refs is None else refs.unionByName(listed)
-    refs = refs.select("name", "rel", (F.schema_of_variant("e") == "STRING").alias("is_text"), F.coalesce(F.try_variant_get("e", "$", "string"), F.to_json("e")).alias("ref"))
-    odd = refs.filter("NOT is_text").select("name", F.concat(F.lit("`"), "rel", F.lit("` entry `"), "ref", F.lit("` is not a string")).alias("message"))
-    area = refs.filter(F.col("is_text") & F.col("ref").startswith("area-") & ~F.col("ref").rlike(r"\Aarea-\d+-[a-z0-9-]+\z")).select("name", F.concat(F.lit("`"), "rel", F.lit("` area ref `"), "ref", F.lit("` malformed (expected `area-N-name`)")).alias("message"))
+    d = with_sections(d, F.substring("text", F.locate("\n---", F.col("text"), 4) + 4, F.length("text"))).drop("text")
+    among = lambda names: F.col("name").isin(*names) if names else F.lit(False)
+    refs = F.transform("y.refs", lambda r: F.struct(r["rel"].alias("rel"), r["ref"].alias("ref"), _ref_issue(r).alias("message")))
+    lost = F.filter(refs, lambda r: r["message"].isNull() & ~r["ref"].startswith("area-"))
+    inner = F.concat(frontmatter_issues(), section_issues(among(exempt_h2), among(exempt_deep), among(exempt_size)), F.array_compact(F.transform(refs, lambda r: r["message"])))
+    d = d.select("name", F.concat(F.array_compact(F.array(bad_name, F.col("y.error"))), F.when(F.col("y.error").isNull(), inner).otherwise(F.array().cast("array<string>"))).alias("issues"), lost.alias("lost"))
+    # references to documents that don't exist: an anti join, in the same pass over the texts as all else
+    rows = d.select("name", F.explode(F.concat(F.transform("issues", lambda m: F.struct(F.lit(None).cast("string").alias("ref"), m.alias("message"))), F.transform("lost", lambda r: F.struct(r["ref"].alias("ref"), F.concat(F.lit("`"), r["rel"], F.lit("` ref `"), r["ref"], F.lit("` does not match any existing doc")).alias("message"))))).alias("m")).select("name", "m.*")
     known = docs.select(F.regexp_replace("name", r"\.md\z", "").alias("ref")).distinct()
-    lost = refs.filter(F.col("is_text") & ~F.col("ref").startswith("area-")).join(known, "ref", "left_anti").select("name", F.concat(F.lit("`"), "rel", F.lit("` ref `"), "ref", F.lit("` does not match any existing doc")).alias("message"))
-    return odd.unionByName(area).unionByName(lost)
+    return rows.join(known, "ref", "left_anti").select("name", "message").withColumn("category", categorize(F.col("message")))
+
+
+def _ref_issue(r: Column) -> Column:
+    """What is wrong with an entry in itself: it is no text, or a misshapen area reference."""
+    odd = F.concat(F.lit("`"), r["rel"], F.lit("` entry `"), r["ref"], F.lit("` is not a string"))
+    area = F.concat(F.lit("`"), r["rel"], F.lit("` area ref `"), r["ref"], F.lit("` malformed (expected `area-N-name`)"))
+    return F.when(~r["is_text"], odd).when(r["ref"].startswith("area-") & ~r["ref"].rlike(r"\Aarea-\d+-[a-z0-9-]+\z"), area)
 
 
 def by_category(violations: DataFrame) -> DataFrame:
