@@ -12,11 +12,8 @@ from ..config import CONTRADICTION_DECISIONS, CONTRADICTION_HITS, CONTRADICTION_
 from ..functions.text import lines, strip
 from .graph import normal_target, to_full
 
-NONE = F.lit(None).cast("string")
-
-
 def _items(df: DataFrame, signal: str, **c: Column) -> DataFrame:
-    get = lambda n: c.get(n, NONE)
+    get = lambda n: c.get(n, F.lit(None).cast("string"))
     return df.select(get("file").alias("file"), c.get("line", F.lit(None).cast("int")).alias("line"), F.lit(signal).alias("signal"), get("reason").alias("reason"), get("source").alias("authoritative_source"), get("replacement").alias("suggested_replacement"), get("snippet").alias("snippet"))
 
 
