@@ -14,8 +14,8 @@ from ..schema import GIT
 
 
 def _read(spark: SparkSession, root: str, glob: str, recursive: bool) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-    return reader.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(root, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def _relative(root: str):

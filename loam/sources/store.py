@@ -27,7 +27,7 @@ class Store:
         fs, p = self._fs(f"{self.root}/CURRENT")
         if not fs.exists(p):
             return {}
-        return json.loads(self.spark.read.option("wholetext", True).text(str(p)).first()[0])
+        return json.loads(self.spark.read.text(str(p), wholetext=True).first()[0])
 
     def read(self, table: str) -> DataFrame:
         folder = self.manifest().get(table)
