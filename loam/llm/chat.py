@@ -6,9 +6,9 @@ role speaks anew). The log is partitioned by conversation, sorted by sequence an
 pass, so that a task holds one message at a time, however long its conversation is; what is finished is
 rendered at once.
 
-Template: <s>[ROLE] text [/ROLE]\\n for each turn, an assistant's text ending in </s>. A backslash goes before
+Template: <s>[ROLE:role][INST]text[/INST] for each turn, and </s> after an assistant's. A backslash goes before
 each control string inside a role or text and before each backslash, so that rendered text can be read
-back; the loss mask covers the assistants' texts alone.
+back; the loss mask is a span of each turn, an assistant's text and nothing else.
 """
 
 from __future__ import annotations
@@ -42,6 +42,13 @@ def render(role: str, text: str) -> str:
     return f"{OPEN}[ROLE:{escape(role).replace(']', chr(92) + ']')}]{HEAD}{escape(text)}{FOOT}" + END * (role == "assistant")
 
 
+def loss_span(role: str, rendered: str) -> tuple[int, int]:
+    """The part of a rendered turn that is learned: an assistant's text as it is written there, else nothing."""
+    if role != "assistant":
+        return 0, 0
+    return rendered.index("]" + HEAD) + 1 + len(HEAD), len(rendered) - len(FOOT + END)
+
+
 def parse(rendered: str) -> list[tuple[str, str, bool]]:
     """(role, text, under the loss mask) of each turn of what render() has returned, one or many turns."""
     out, at = [], 0
@@ -82,14 +89,15 @@ def _rows(batches):
 
 
 def _rendered(batches):
-    """A row for each final message: conv_id, turn_no, rendered."""
-    schema = pa.schema([("conv_id", pa.int64()), ("turn_no", pa.int64()), ("rendered", pa.string())])
+    """A row for each final message: conv_id, turn_no, rendered, loss_start, loss_end."""
+    schema = pa.schema([("conv_id", pa.int64()), ("turn_no", pa.int64()), ("rendered", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
     out, size, last, n = [], 0, object(), 0
     for conv, role, text in fold(_rows(batches)):
         n = n + 1 if conv == last else 0
         last = conv
-        out.append((conv, n, render(role, text)))
-        size += len(out[-1][2])
+        turn = render(role, text)
+        out.append((conv, n, turn, *loss_span(role, turn)))
+        size += len(turn)
         if size > 4_000_000 or len(out) >= 5000:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
             out, size = [], 0
@@ -98,14 +106,14 @@ def _rendered(batches):
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
-    """events with conv_id, seq, message, kind, role, text -> conv_id, turn_no, rendered: a row for each final
-    message, in order within its partition.
+    """events with conv_id, seq, message, kind, role, text -> conv_id, turn_no, rendered, loss_start, loss_end: a
+    row for each final message, in order within its partition; the span is in characters of rendered.
 
     Sequence ties go by message, kind, role, text; nulls come first. Rows repeated exactly are one event. A
     conversation without id is one conversation; an unknown kind changes nothing but opens its message;
     extra columns are ignored; no events give no rows."""
     log = events.select("conv_id", "seq", "message", "kind", "role", "text").dropDuplicates()
-    return log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "message", "kind", "role", "text").mapInArrow(_rendered, "conv_id long, turn_no long, rendered string")
+    return log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "message", "kind", "role", "text").mapInArrow(_rendered, "conv_id long, turn_no long, rendered string, loss_start long, loss_end long")
 
 
 def _digests(batches):
@@ -118,17 +126,17 @@ def _digests(batches):
         done.append((key, n, turns.hexdigest(), chars, loss.hexdigest(), formatted))
 
     for b in batches:
-        for conv, rendered in zip(b.column("conv_id").to_pylist(), b.column("rendered").to_pylist(), strict=True):
+        for conv, rendered, start, end in zip(*(b.column(n).to_pylist() for n in ("conv_id", "rendered", "loss_start", "loss_end")), strict=True):
             if state is None or conv != key:
                 if state is not None:
                     closed()
                 key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, text, loss in parse(rendered):
+            for role, text, _ in parse(rendered):
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
-                if loss:
-                    state[2] += len(text)
-                    state[3].update(text.encode())
+            learned = unescape(rendered[start:end])
+            state[2] += len(learned)
+            state[3].update(learned.encode())
             state[4] += len(rendered)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, (_, t) in enumerate(names)], [n for n, _ in names])

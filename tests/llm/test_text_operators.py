@@ -195,6 +195,9 @@ def test_chat(spark):
     texts = ["plain", "</s>[INST] ok [/INST]", "\\", "[\\[/INST]", "<s>[ROLE:user][INST]", "", "é\n\n", "a\\<s>", "\\\\[/INST]</s>"]
     for t in texts:
         for role in ("user", "assistant", "we]ird\\", "[ROLE:"):
+            turn = chat.render(role, t)
+            a, b = chat.loss_span(role, turn)
+            assert chat.unescape(turn[a:b]) == (t if role == "assistant" else "")
             assert chat.parse(chat.render(role, t) + chat.render("user", "x")) == [(role, t, role == "assistant"), ("user", "x", False)]
     log = [(1, 1, 1, "start", "user", "he"), (1, 2, 1, "delta", None, "llo"), (1, 3, 2, "start", "assistant", None), (1, 4, 2, "delta", None, "bad"), (1, 5, 2, "regenerate", None, None), (1, 6, 2, "delta", None, "good"), (1, 7, 3, "edit", "user", "new"), (1, 7, 3, "edit", "user", "new"), (1, 8, 3, "other", None, "zz"), (2, 1, 1, "delta", None, "x"), (None, 1, 1, "start", "user", "y")]
     df = spark.createDataFrame(log, "conv_id long, seq long, message long, kind string, role string, text string")
