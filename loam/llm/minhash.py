@@ -8,9 +8,11 @@ alike; two sets with a similarity of 0.75 share no band with a probability of 0.
 What shares a band is confirmed on the full sets, without all pairs of a band:
 1. Documents with equal sets are one node.
 2. In each band bucket, every node is compared with the bucket's smallest node alone.
-3. The links found are joined into components. A bucket whose nodes are now in one component is done; in the
-   others, nodes of different components are compared in blocks, first by their sketches in numpy, and what may
-   be alike is confirmed too. So each two nodes of a bucket are in one component or have been compared.
+3. The links found are joined into components. A bucket whose nodes are now in one component is done. The nodes
+   of the others are joined exactly by prefixes: in the order of their frequency among these nodes, two sets with
+   that similarity share one of their rarest quarter of shingles. A node whose prefix no other node shares has no
+   partner, however many nodes look like it; of the rest, nodes of different components that share a prefix
+   shingle are confirmed too. So each two nodes of a bucket are in one component or are known not to be alike.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 #: Sketches (a byte of each value) that agree in less than this share are not confirmed: over five standard
 #: deviations below a similarity of 0.75.
 SKETCH_SHARE = 0.48
-#: Nodes of a bucket that are compared at once.
+#: Nodes of a prefix shingle that are compared at once.
 BLOCK = 256
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -137,49 +139,87 @@ def _confirmed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) -> those whose full sets are alike."""
-    sketch = lambda c: nodes.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) -> those whose full sets are alike. Both sides grow with the corpus, so neither is broadcast."""
+    sketch = lambda c: nodes.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}")).hint("merge")
     near = saved(pairs.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(_alike, "a long, b long").distinct(), "pairs")
-    wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    texts = saved(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "pair-texts")
-    text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
     return near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long").distinct()
 
 
+def _sets(batches):
+    hashes = WordHashes()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            sets = [shingles(t, hashes).view(np.int64) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "set", "shingles"])
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """(rep, text) -> (rep, n, place, shingle): of each set of n the shingles of its prefix that another set holds
+    too, with their places in the order.
+
+    Shingles are ordered by their frequency among these sets. Those of one set alone come first and can't meet
+    any other, so they are only counted."""
+    rows = texts.mapInArrow(_sets, "rep long, n long, set long, shingles array<long>").select("rep", "n", "set", F.explode("shingles").alias("shingle"))
+    held = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = rows.join(held.hint("merge"), "shingle")
+    own = Window.partitionBy("rep", "set")
+    by_df = own.orderBy("df", "shingle")
+    shared = shared.withColumn("place", F.row_number().over(by_df) + F.col("n") - F.count("*").over(own))
+    # sets of which one has n shingles share NUMERATOR / DENOMINATOR of them at least
+    length = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
+    return shared.filter(F.col("place") <= length).select("rep", "n", "place", "shingle").distinct()
+
+
 def _across(batches):
-    """Rows (key, i, j, block, rep, component, sketch), those of one (key, i, j) together -> pairs of different
-    components and sketches that agree enough."""
+    """Rows (shingle, i, j, block, rep, component, n, place), those of one (shingle, i, j) together -> pairs of
+    different components that can be alike: no more of both sets than what follows the first shingle that they
+    share, and that itself, is common to them. (Of later shared shingles still less follows.)"""
 
     def pairs(rows):
-        rep, comp, block = (np.array(c) for c in list(zip(*rows, strict=True))[:3])
-        sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        other = rows[0][4] != rows[0][5]
-        for n in range(len(rows) - 1):
-            rest = slice(n + 1, None)
-            look = np.flatnonzero((comp[rest] != comp[n]) & ((block[rest] != block[n]) if other else True)) + n + 1
-            for m in look[(sketch[look] == sketch[n]).mean(1) >= SKETCH_SHARE] if len(look) else ():
-                yield min(int(rep[n]), int(rep[m])), max(int(rep[n]), int(rep[m]))
+        rep, comp, block, n, place = (np.array(c) for c in zip(*(r[:5] for r in rows), strict=True))
+        other, left = rows[0][5] != rows[0][6], n - place + 1
+        for k in range(len(rows) - 1):
+            rest = slice(k + 1, None)
+            fits = (comp[rest] != comp[k]) & ((DENOMINATOR + NUMERATOR) * np.minimum(left[rest], left[k]) >= NUMERATOR * (n[rest] + n[k]))
+            if other:
+                fits &= block[rest] != block[k]
+            for m in rep[rest][fits].tolist():
+                yield min(int(rep[k]), m), max(int(rep[k]), m)
 
     def out(found):
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+        a, b = zip(*found, strict=True) if found else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    key, rows, found = None, [], []
+    key, rows, found = None, [], set()
     for batch in batches:
         c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-        for k, *row in zip(zip(c["key"], c["i"], c["j"], strict=True), c["rep"], c["component"], c["block"], c["sketch"], c["i"], c["j"], strict=True):
+        for k, *row in zip(zip(c["shingle"], c["i"], c["j"], strict=True), c["rep"], c["component"], c["block"], c["n"], c["place"], c["i"], c["j"], strict=True):
             if k != key:
                 if len(rows) > 1:
-                    found += pairs(rows)
+                    found.update(pairs(rows))
                 key, rows = k, []
+                if len(found) > 20_000:
+                    yield out(found)
+                    found = set()
             rows.append(row)
-        if len(found) > 10_000:
-            yield out(found)
-            found = []
     if len(rows) > 1:
-        found += pairs(rows)
-    if found:
-        yield out(found)
+        found.update(pairs(rows))
+    yield out(found)
+
+
+def across(prefix: DataFrame, label: DataFrame) -> DataFrame:
+    """Prefixes and (rep, component) -> pairs of different components that share a prefix shingle. A shingle's
+    nodes are compared in blocks, so that none of them makes a task hold more than two blocks."""
+    placed = prefix.join(label.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("nodes")).filter("lo <> hi")
+    blocks = F.ceil(F.col("nodes") / BLOCK).cast("int")
+    placed = placed.join(sizes.select("shingle", blocks.alias("blocks")).hint("merge"), "shingle")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("shingle", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "rep", "component", "n", "place")
+    return placed.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(_across, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -195,10 +235,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = saved(nodes.dropDuplicates(["rep", "sketch", "bands"]), "nodes")
 
     rows = nodes.select("rep", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count("*").alias("n")).filter("center <> last").select("key", "center", "n")
-    members = saved(rows.join(shared, "key"), "buckets")
+    shared = rows.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).filter("center <> last").select("key", "center")
+    members = saved(rows.join(shared.hint("merge"), "key"), "buckets")
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    texts = saved(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "bucket-texts")
     first = saved(members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = confirm(first, nodes, docs)
+    links = confirm(first, nodes, texts)
     if again := repeated(docs):
         own = full.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep").distinct()
         least = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a <> last").select("doc_id", "a")
@@ -207,16 +249,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links)
 
     label = found.withColumnRenamed("node", "rep")
-    placed = members.join(label, "rep", "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    placed = placed.join(mixed_, "key", "left_semi").join(nodes.select("rep", "sketch"), "rep")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("key", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "rep", "component", "sketch")
-    second = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long").distinct()
-    second = saved(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    placed = members.join(label.hint("merge"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    rest = placed.join(split.hint("merge"), "key", "left_semi").select("rep").distinct()
+    rest_texts = texts.withColumnRenamed("doc_id", "rep").join(rest.hint("merge"), "rep", "left_semi")
+    second = across(saved(prefixes(rest_texts), "prefixes"), label)
+    second = saved(second.join(first.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
-        more = saved(confirm(second, nodes, docs), "links")
+        more = saved(confirm(second, nodes, texts), "links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
 

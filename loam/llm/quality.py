@@ -42,18 +42,18 @@ def index_vectors() -> np.ndarray:
 
 
 class Tokens(dict):
-    """A word's two rows: form and shape."""
+    """A word's two rows, form and shape, in the lower and upper half of one number."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 700_000:
             self.clear()
         shape = _RUN.sub(rb"\1", word.translate(_SHAPE))
-        value = self[word] = (xxhash.xxh3_64_intdigest(word.lower()) % ROWS, xxhash.xxh3_64_intdigest(b"\0" + shape) % ROWS)
+        value = self[word] = xxhash.xxh3_64_intdigest(word.lower()) % ROWS | xxhash.xxh3_64_intdigest(b"\0" + shape) % ROWS << 16
         return value
 
     def ids(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").split()
-        return np.array(list(map(self.__getitem__, words)), np.uint16).ravel()
+        return np.fromiter(map(self.__getitem__, words), "<u4", len(words)).view("<u2")
 
 
 def _contexts(batches):
@@ -72,7 +72,7 @@ def _contexts(batches):
             order = np.argsort(center, kind="stable")
             ranked = center[order]
             starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-            sums[ranked[starts]] += np.add.reduceat(context[order], starts, 0, np.int64)
+            sums[ranked[starts]] += np.add.reduceat(context[order], starts, 0, np.int32)
         held[:] = [gap]
 
     for batch in batches:

@@ -87,8 +87,10 @@ def lookup(queries: DataFrame, decisions: DataFrame) -> DataFrame:
     key, else the shortest decisions whose text or value holds it, in any case (% and _ stand for any text and
     character). Rank 1 is the answer, the rest its alternatives; a query without an answer has no row."""
     d = decisions.select("id", "decision_key", "decision", "current_value")
-    exact = queries.join(d, (F.col("query").rlike(r"\A[0-9]+\z") & (F.col("query").try_cast("int") == F.col("id"))) | (F.col("query") == F.col("decision_key")))
-    exact = exact.withColumn("kind", F.when(F.col("query").rlike(r"\A[0-9]+\z") & (F.col("query").try_cast("int") == F.col("id")), 1).otherwise(2))
+    numbers = queries.filter(F.col("query").rlike(r"\A[0-9]+\z")).withColumn("id", F.col("query").try_cast("int"))
+    by_id = numbers.join(d.select("id"), "id").select("query", "id", F.lit(1).alias("kind"))
+    by_key = queries.withColumn("decision_key", F.col("query")).join(d.select("id", "decision_key"), "decision_key").select("query", "id", F.lit(2).alias("kind"))
+    exact = by_id.unionByName(by_key)
     first = exact.groupBy("query").agg(F.min(F.struct("kind", "id")).alias("m")).select("query", F.lit(1).alias("rank"), F.col("m.id").alias("id"), F.when(F.col("m.kind") == 1, "id").otherwise("key").alias("matched_by"))
     like = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
     rest = queries.join(first.select("query"), "query", "left_anti")

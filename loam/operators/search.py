@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from ..functions import lexical
 from ..functions.vectors import cosine, literal
 from .scrub import scrub
 
+#: Queries of a batch that go to the tasks at once.
+QUERY_BLOCK = 2048
 STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -55,13 +61,51 @@ def hybrid(chunks: DataFrame, query: str, vector, k: int = DEFAULT_K, stems: boo
     return best.select("content_hash", "source_file", "section_header", "area_number", "doc_type", "status", "supersedes", banner(F.col("content"), F.col("status"), F.col("supersedes")).alias("content"), stamp(F.col("updated_at")).alias("updated_at"), "score")
 
 
+def _best(item_id: str, query_ids: list, vectors: list[list[float]], k: int):
+    """Arrow batches of (id, v) -> the k most similar of a task's items for each query."""
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def run(batches):
+        q = unit(np.array(vectors, float))
+        ids, scores = np.empty((len(q), 0), np.int64), np.empty((len(q), 0))
+        for batch in batches:
+            rows = [(i, v) for i, v in zip(batch.column(item_id).to_pylist(), batch.column("v").to_pylist(), strict=True) if v and len(v) == q.shape[1]]
+            if not rows:
+                continue
+            own = q @ unit(np.array([v for _, v in rows], float)).T
+            ids = np.concatenate([ids, np.broadcast_to(np.array([i for i, _ in rows], np.int64), own.shape)], 1)
+            scores = np.concatenate([scores, own], 1)
+            # no score comes last; equal scores by id
+            order = np.lexsort((ids, np.where(np.isnan(scores), np.inf, -scores)), axis=1)[:, :k]
+            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+        row, col = np.nonzero(~np.isnan(scores))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(query_ids, np.int64)[row]), pa.array(ids[row, col]), pa.array(scores[row, col])], ["query_id", item_id, "score"])
+
+    return run
+
+
 def batch_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str = "id") -> DataFrame:
     """items (id, v), queries (query_id, q) -> query_id, id, score, rank of the k most similar items of each query.
 
-    The queries are the stated set, held against all items; row_number() <= k prunes early in each task."""
-    pairs = items.crossJoin(F.broadcast(queries)).select("query_id", item_id, cosine(F.col("v"), F.col("q")).alias("score")).filter("score IS NOT NULL")
+    The queries are the stated set, held against all items in blocks of about QUERY_BLOCK: a block goes to the tasks,
+    each task keeps its k best for each query, and only those are shuffled. Vectors that are null, of another
+    length or of length 0 have no similarity."""
+    blocks, best = max(1, math.ceil(queries.count() / QUERY_BLOCK)), None
+    for b in range(blocks):
+        block = queries.filter(F.col("q").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", "q").collect()
+        by_size: dict[int, list] = {}
+        for r in block:
+            by_size.setdefault(len(r["q"]), []).append(r)
+        for rows in by_size.values():
+            found = items.select(item_id, "v").mapInArrow(_best(item_id, [r["query_id"] for r in rows], [r["q"] for r in rows], k), f"query_id long, {item_id} long, score double")
+            best = found if best is None else best.unionByName(found)
+    if best is None:
+        best = items.sparkSession.createDataFrame([], f"query_id long, {item_id} long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), item_id)
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def log_row(spark, query: str, ids: list[str], latency_ms: int, caller: str, fields: tuple[str, ...] = (), error: str | None = None) -> DataFrame:

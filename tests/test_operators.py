@@ -292,3 +292,20 @@ def test_embedding(spark):
         Settings(repo_prefix="{{NAME}}")
     df = spark.createDataFrame([("x y",), (None,)], "t string").select(embed.embedded(F.col("t"), embed.HashedWords(8)).alias("v"))
     assert sorted(len(r.v or []) for r in df.collect()) == [0, 8]
+
+
+def test_batch_topk(spark, monkeypatch):
+    import random
+
+    r = random.Random(1)
+    vec = {i: [r.gauss(0, 1) for _ in range(5)] for i in range(60)} | {60: None, 61: [0.0] * 5, 62: [1.0, 2.0]}
+    items = spark.createDataFrame(list(vec.items()), "id long, v array<float>").repartition(3)
+    queries = items.filter("id % 7 = 0").selectExpr("id AS query_id", "v AS q")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    want = {q: sorted((i for i in range(60)), key=lambda i, q=q: (-cos(vec[q], vec[i]), i))[:4] for q in range(0, 60, 7)}
+    for size in (2048, 2):
+        monkeypatch.setattr(search, "QUERY_BLOCK", size)
+        got = {}
+        for row in search.batch_topk(items, queries, 4).orderBy("query_id", "rank").collect():
+            got.setdefault(row.query_id, []).append(row.id)
+        assert got == want
