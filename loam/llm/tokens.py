@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import new_path, saved, table
+
 END_ID = 2
 #: Chunks of text whose ids a Python worker keeps at most.
 CACHE = 1_200_000
@@ -133,9 +135,9 @@ def _checksums(batches):
 def index(tokens: DataFrame) -> DataFrame:
     """What write() wrote -> doc_id, start, n_tokens, ids_crc32. start: the ids of all documents before it.
 
-    Offsets run within a shard; the shards' own offsets come from one sum for each (there are as many as
-    files, so they fit a broadcast)."""
-    rows = tokens.mapInArrow(_checksums, "doc_id long, shard int, n_tokens long, ids_crc32 long")
+    The ids are read once; what is left of each row is kept in a table. Offsets run within a shard; the shards'
+    own offsets come from one sum for each (there are as many as files, so they fit a broadcast)."""
+    rows = saved(tokens.mapInArrow(_checksums, "doc_id long, shard int, n_tokens long, ids_crc32 long"), "token-rows")
     sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("shard").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -150,8 +152,6 @@ def lookup(spark, path: str, doc_ids: list[int]) -> DataFrame:
 
 def encode_table(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write docs into the shared folder, read the files back and index them."""
-    from .common import new_path, saved
-
     spark = docs.sparkSession
     path = new_path(spark, "orc")
     write(docs, path, tokenizer)
@@ -162,6 +162,4 @@ def encode_table(docs: DataFrame, tokenizer: str) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import table
-
     return encode_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
