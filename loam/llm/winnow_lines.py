@@ -2,9 +2,10 @@
 
 A document is the sequence of its lines that are not blank, each without white space at its ends. In every
 WINDOW lines in a row the least hash (the last of equals) is picked as a fingerprint, so that any two runs of
-WINDOW equal lines share one. The first pick of a fingerprint, by id and place, is its anchor. Each later pick is
-laid against its anchor and extended both ways while the lines are equal; where that makes a run of WINDOW
-lines or more, the later run is deleted. Its lines stand earlier, so the first of them always stays.
+WINDOW equal lines share one. Only windows whose fingerprint is picked at two places are candidates; a
+candidate is then known by the hash of all its lines, so that equal candidates are equal runs however frequent a
+line among them is. The first place of a candidate, by id and place, stays; its lines are deleted at every later
+one. Longer runs are the windows that overlap or touch.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 WINDOW = 3
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def line_hashes(text: str | None) -> np.ndarray:
@@ -25,8 +27,8 @@ def line_hashes(text: str | None) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x) for x in lines if x], np.uint64).view(np.int64)
 
 
-def picks(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places of the least hash of each window, the last of equals; none if there are fewer lines."""
+def least_places(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The place of the least hash of each window, the last of equals; none if there are fewer lines."""
     n = len(hashes) - window + 1
     if n < 1:
         return np.empty(0, np.int64)
@@ -35,35 +37,50 @@ def picks(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
         lower = hashes[k : k + n] <= least
         least[lower] = hashes[k : k + n][lower]
         at[lower] = np.flatnonzero(lower) + k
-    return np.unique(at)
+    return at
+
+
+def picks(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Places of the least hash of each window, each once."""
+    return np.unique(least_places(hashes, window))
+
+
+def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` lines in a row, in their order."""
+    n = max(0, len(hashes) - size + 1)
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = (out ^ (out >> np.uint64(32))) * _MIX + hashes[k : k + n].view(np.uint64)
+    return out.view(np.int64)
 
 
-def _lined(window: int):
+def _prints(window: int):
     def run(batches):
         for batch in batches:
-            hashes = [line_hashes(t.as_py()) for t in batch.column("text")]
-            chosen = [picks(h, window) for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(hashes, pa.list_(pa.int64())), pa.array([c.astype(np.int32) for c in chosen], pa.list_(pa.int32()))], ["doc_id", "uid", "hashes", "picks"])
+            found = []
+            for text in batch.column("text"):
+                hashes = line_hashes(text.as_py())
+                found.append(hashes[picks(hashes, window)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], ["print"])
 
     return run
 
 
-def _extended(window: int):
+def _candidates(window: int):
     def run(batches):
-        """Rows (doc_id, uid, hashes, shift, places, other): other[i] stands against hashes[i + shift]."""
+        """A row for each window: its fingerprint, its own hash, and where it starts and stops."""
         for batch in batches:
-            out = []
-            names = ("doc_id", "uid", "hashes", "shift", "places", "other")
-            for doc_id, uid, hashes, shift, places, other in zip(*(batch.column(n) for n in names), strict=True):
-                own, base, shift = np.asarray(hashes.values), np.asarray(other.values), shift.as_py()
-                n = min(len(base), len(own) - shift)
-                same = np.r_[False, own[shift : shift + n] == base[:n], False]
-                starts, ends = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
-                place = np.sort(np.asarray(places.values)) - shift
-                for a, b in zip(starts, ends, strict=True):
-                    if b - a >= window and np.searchsorted(place, a) < np.searchsorted(place, b):
-                        out.append((doc_id.as_py(), uid.as_py(), int(a + shift), int(b + shift)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["doc_id", "uid", "first", "stop"])
+            rows, prints, runs, firsts = [], [], [], []
+            for k, text in enumerate(batch.column("text")):
+                hashes = line_hashes(text.as_py())
+                at = least_places(hashes, window)
+                rows.append(np.full(len(at), k))
+                prints.append(hashes[at])
+                runs.append(run_hashes(hashes, window))
+                firsts.append(np.arange(len(at), dtype=np.int32))
+            rows, prints, runs, firsts = (np.concatenate([*x, np.empty(0, t)]) for x, t in ((rows, np.int64), (prints, np.int64), (runs, np.int64), (firsts, np.int32)))
+            ids = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "uid")]
+            yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, (prints, runs, firsts, firsts + np.int32(window)))], ["doc_id", "uid", "print", "run", "first", "stop"])
 
     return run
 
@@ -71,21 +88,14 @@ def _extended(window: int):
 def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, uid, text) -> doc_id, uid, first, stop: later runs of lines, by their places among the lines
     that are not blank. Rows of one document may overlap."""
-    lined = saved(docs.mapInArrow(_lined(window), "doc_id long, uid long, hashes array<long>, picks array<int>").distinct(), "lines")
-    picked = lined.select("doc_id", "uid", F.explode(F.transform("picks", lambda p: F.struct(p.alias("place"), F.element_at("hashes", p + 1).alias("print")))).alias("p")).select("doc_id", "uid", "p.place", "p.print")
-    first = picked.groupBy("print").agg(F.min(F.struct("doc_id", "uid", "place")).alias("anchor"), F.count("*").alias("n")).filter("n > 1").select("print", "anchor")
-    hits = picked.join(first, "print").filter(~F.struct("doc_id", "uid", "place").eqNullSafe(F.col("anchor")))
-    hits = hits.groupBy("doc_id", "uid", F.col("anchor.doc_id").alias("a_doc"), F.col("anchor.uid").alias("a_uid"), (F.col("place") - F.col("anchor.place")).alias("ahead")).agg(F.collect_set("place").alias("places"))
-    own = lined.select(F.col("doc_id").alias("o_doc"), F.col("uid").alias("o_uid"), "hashes")
-    laid = hits.join(own, (F.col("uid") == F.col("o_uid")) & F.col("doc_id").eqNullSafe(F.col("o_doc"))).drop("o_doc", "o_uid")
-    base = lined.select(F.col("doc_id").alias("b_doc"), F.col("uid").alias("b_uid"), F.col("hashes").alias("base"))
-    laid = laid.join(base, (F.col("a_uid") == F.col("b_uid")) & F.col("a_doc").eqNullSafe(F.col("b_doc")))
-    # of the anchor's lines only those that can stand against a line of the document
-    skip = F.greatest(F.lit(0), -F.col("ahead"))
-    shift = F.greatest(F.lit(0), F.col("ahead"))
-    other = F.slice("base", skip + 1, F.greatest(F.lit(0), F.least(F.size("base") - skip, F.size("hashes") - shift)))
-    laid = laid.select("doc_id", "uid", "hashes", shift.alias("shift"), "places", other.alias("other"))
-    return laid.mapInArrow(_extended(window), "doc_id long, uid long, first long, stop long")
+    twice = docs.mapInArrow(_prints(window), "print long").groupBy("print").count().filter("count > 1")
+    # tables of what is repeated, so that a frequent key's side of the join can be split
+    twice = saved(twice.select("print"), "prints")
+    every = docs.mapInArrow(_candidates(window), "doc_id long, uid long, print long, run long, first int, stop int")
+    found = saved(every.join(twice, "print").drop("print"), "candidates")
+    anchors = found.groupBy("run").agg(F.min(F.struct("doc_id", "uid", "first")).alias("anchor"), F.count("*").alias("n")).filter("n > 1")
+    anchors = saved(anchors.select("run", "anchor"), "anchors")
+    return found.join(anchors, "run").filter(~F.struct("doc_id", "uid", "first").eqNullSafe(F.col("anchor"))).select("doc_id", "uid", "first", "stop")
 
 
 def _cut(batches):

@@ -182,6 +182,29 @@ def test_line_dedup(docs, none, spark):
     assert next(r for r in odd if r.doc_id == 2).text is None
 
 
+def lines_left(rows, window=3):
+    """What brute force leaves of each document: every run of `window` lines that stood before goes."""
+    seen, left = set(), {}
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        gone = set()
+        for k in range(len(lines) - window + 1):
+            run = tuple(lines[k : k + window])
+            gone |= {*range(k, k + window)} if run in seen else set()
+            seen.add(run)
+        left[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return left
+
+
+def test_line_dedup_of_frequent_lines(spark):
+    r = random.Random(11)
+    common, rare = ["Licence", "Yes.", "No."], [f"line {k}" for k in range(40)]
+    runs = [[r.choice(rare), r.choice(common), r.choice(rare), r.choice(common)][: r.randint(3, 4)] for _ in range(12)]
+    rows = [(i, "\n".join(x for _ in range(6) for x in (*r.choice(runs), r.choice(common), f"own {r.random()}"))) for i in range(60)]
+    got = {x.doc_id: x.text for x in winnow_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == lines_left(rows)
+
+
 def test_picks_are_shared_by_equal_windows():
     for _ in range(50):
         h = np.array([rng.randrange(8) for _ in range(30)])
