@@ -4,8 +4,9 @@ A document is the sequence of its lines that are not blank, each without white s
 WINDOW lines in a row the least hash (the last of equals) is picked as a fingerprint, so that any two runs of
 WINDOW equal lines share one. Only windows whose fingerprint is picked at two places are candidates; a
 candidate is then known by the hash of all its lines, so that equal candidates are equal runs however frequent a
-line among them is. The first place of a candidate, by id and place, stays; its lines are deleted at every later
-one. Longer runs are the windows that overlap or touch.
+line among them is. Fewer lines than WINDOW that hold LONG words or more together are candidates too, each with
+its own hash as fingerprint. The first place of a candidate, by id and place, stays; its lines are deleted at
+every later one. Longer runs are the candidates that overlap or touch.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 WINDOW = 3
+#: Words from which a run counts however few its lines are.
+LONG = 50
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,33 +57,47 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def long_runs(text: str | None, hashes: np.ndarray, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, hashes) of the runs that hold LONG words, for each number of lines under `window`."""
+    # LONG words take as many characters and the spaces between them
+    if len(text or "") < 2 * LONG - 1:
+        return []
+    counts = np.array([len(x.encode("utf-8", "surrogatepass").split()) for x in text.split("\n") if x.strip()], np.int64)
+    before = np.r_[0, np.cumsum(counts)]
+    out = []
+    for size in range(1, min(window, len(hashes) + 1)):
+        at = np.flatnonzero(before[size:] - before[:-size] >= LONG)
+        out.append((at, run_hashes(hashes, size)[at]))
+    return out
+
+
 def _prints(window: int):
     def run(batches):
         for batch in batches:
-            found = []
-            for text in batch.column("text"):
-                hashes = line_hashes(text.as_py())
-                found.append(hashes[picks(hashes, window)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], ["print"])
+            found = [np.empty(0, np.int64)]
+            for text in batch.column("text").to_pylist():
+                hashes = line_hashes(text)
+                found += [hashes[picks(hashes, window)], *(h for _, h in long_runs(text, hashes, window))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["print"])
 
     return run
 
 
 def _candidates(window: int):
     def run(batches):
-        """A row for each window: its fingerprint, its own hash, and where it starts and stops."""
+        """A row for each candidate: its fingerprint, its own hash, and where it starts and stops."""
         for batch in batches:
-            rows, prints, runs, firsts = [], [], [], []
-            for k, text in enumerate(batch.column("text")):
-                hashes = line_hashes(text.as_py())
+            found = [np.empty((0, 5), np.int64)]
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                hashes = line_hashes(text)
                 at = least_places(hashes, window)
-                rows.append(np.full(len(at), k))
-                prints.append(hashes[at])
-                runs.append(run_hashes(hashes, window))
-                firsts.append(np.arange(len(at), dtype=np.int32))
-            rows, prints, runs, firsts = (np.concatenate([*x, np.empty(0, t)]) for x, t in ((rows, np.int64), (prints, np.int64), (runs, np.int64), (firsts, np.int32)))
-            ids = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "uid")]
-            yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, (prints, runs, firsts, firsts + np.int32(window)))], ["doc_id", "uid", "print", "run", "first", "stop"])
+                first = np.arange(len(at))
+                found.append(np.column_stack([np.full(len(at), k), hashes[at], run_hashes(hashes, window), first, first + window]))
+                for size, (first, own) in enumerate(long_runs(text, hashes, window), 1):
+                    found.append(np.column_stack([np.full(len(first), k), own, own, first, first + size]))
+            rows = np.concatenate(found).T
+            ids = [batch.column(c).take(pa.array(rows[0])) for c in ("doc_id", "uid")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(rows[1]), pa.array(rows[2]), *(pa.array(x.astype(np.int32)) for x in rows[3:])], ["doc_id", "uid", "print", "run", "first", "stop"])
 
     return run
 
@@ -119,8 +136,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with doc_id, text -> doc_id, n_lines, n_removed, n_runs, text (what is left), a row for each of docs.
 
     n_lines and n_removed count lines that are not blank; blank lines inside a deleted run go with it; runs that
-    touch are one of n_runs. A null text stays null and has no lines; a text of fewer than `window` lines keeps
-    them; rows repeated exactly are one document and lose the same lines; ids that tie go by a hash of id and
+    touch are one of n_runs. A null text stays null and has no lines; a text of fewer than `window` lines loses
+    only lines of LONG words together; rows repeated exactly are one document and lose the same lines; ids that tie go by a hash of id and
     text, a null id comes first; extra columns are ignored; no rows give no rows."""
     rows = docs.select("doc_id", "text").withColumn("uid", F.xxhash64("doc_id", "text"))
     runs = repeated_runs(rows, window).groupBy("doc_id", "uid").agg(F.collect_set(F.struct("first", "stop")).alias("runs"))

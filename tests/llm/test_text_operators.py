@@ -182,16 +182,18 @@ def test_line_dedup(docs, none, spark):
     assert next(r for r in odd if r.doc_id == 2).text is None
 
 
-def lines_left(rows, window=3):
-    """What brute force leaves of each document: every run of `window` lines that stood before goes."""
+def lines_left(rows, window=3, long=50):
+    """What brute force leaves of each document: a run of `window` lines or `long` words that stood before goes."""
     seen, left = set(), {}
     for i, text in sorted(rows):
         lines = text.split("\n")
         gone = set()
-        for k in range(len(lines) - window + 1):
-            run = tuple(lines[k : k + window])
-            gone |= {*range(k, k + window)} if run in seen else set()
-            seen.add(run)
+        for size in range(1, window + 1):
+            for k in range(len(lines) - size + 1):
+                run = tuple(lines[k : k + size])
+                if size == window or sum(len(words(x)) for x in run) >= long:
+                    gone |= {*range(k, k + size)} if run in seen else set()
+                    seen.add(run)
         left[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return left
 
@@ -205,6 +207,15 @@ def test_line_dedup_of_frequent_lines(spark):
     assert got == lines_left(rows)
 
 
+def test_line_dedup_of_long_lines(spark):
+    one, short = " ".join(f"w{k}" for k in range(50)), " ".join(f"v{k}" for k in range(49))
+    two = [" ".join(f"{c}{k}" for k in range(25)) for c in "ab"]
+    rows = [(1, f"{one}\nx\n{two[0]}\n{two[1]}\n{short}"), (2, one), (3, f"p\n{two[0]}\n{two[1]}\nq\n{one}\nr"), (4, "\n".join(two)), (5, short), (6, f"{two[1]}\n{two[0]}"), (7, f"{one}\n{one}")]
+    got = {x.doc_id: x for x in winnow_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: x.text for i, x in got.items()} == lines_left(rows) == {1: rows[0][1], 2: "", 3: "p\nq\nr", 4: "", 5: short, 6: rows[5][1], 7: ""}
+    assert [(got[i].n_removed, got[i].n_runs) for i in (2, 3, 4, 7)] == [(1, 1), (3, 2), (2, 1), (2, 1)]
+
+
 def test_picks_are_shared_by_equal_windows():
     for _ in range(50):
         h = np.array([rng.randrange(8) for _ in range(30)])
