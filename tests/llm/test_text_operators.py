@@ -67,6 +67,32 @@ def test_compression(docs, none):
     assert not compression.measure(noise, squeeze)[6] and not compression.measure(" ".join(f"w{k % 40}" for k in range(3000)), squeeze)[6]
 
 
+def test_compression_tells_encoded_text_from_prose():
+    import base64
+    from pydoc_data.topics import topics
+
+    r, squeeze = random.Random(3), compression.zstandard.ZstdCompressor(level=3, write_content_size=False)
+    book = "\n".join(topics[k] for k in sorted(topics))
+    wrapped = lambda s, n: " ".join(s[k : k + 6] for k in range(0, len(s), 6))[:n]
+    kinds = {
+        "base64": lambda n: wrapped(base64.b64encode(r.randbytes(n)).decode(), n),
+        "hex": lambda n: wrapped(r.randbytes(n).hex(), n),
+        "letters": lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n))[:n],
+        "template": lambda n: "".join(f"The item number {r.randrange(10**5)} costs {r.randrange(1000)} dollars today.\n" for _ in range(n))[:n],
+    }
+    kept = lambda t: compression.measure(t, squeeze)[6]
+    for n in (450, 600, 900, 1500, 3000, 6000, 12_000, 40_000, 100_000):
+        for name, make in kinds.items():
+            # order tells hex and letters from prose from 1,024 bytes on
+            assert n < 1024 and name in ("hex", "letters") or not any(kept(make(n)) for _ in range(10)), (n, name)
+        if n <= 12_000:
+            some = [book[k : k + n] for k in range(0, len(book) - n, len(book) // 30)]
+            some = [t for t in some if not compression.measure(t, squeeze)[5]]
+            assert sum(map(kept, some)) >= 0.9 * len(some) > 0, (n, sum(map(kept, some)), len(some))
+    for name in ("base64", "hex", "letters"):
+        assert not kept(book[:12_000] + kinds[name](9000)), name
+
+
 def test_chunks_make_up_the_text():
     for n in (0, 1, 1023, 1024, 3071, 3072, 3073, 10_000):
         raw = bytes(rng.randrange(256) for _ in range(n))
