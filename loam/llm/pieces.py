@@ -14,6 +14,8 @@ LONGEST_WORD = 64
 #: What the probability of a piece is multiplied by for each of its characters, so that products of many stay
 #: within floating point.
 SCALE = 20.0
+#: A sum below this is raised by a power of two, so that no stretch of rare characters, however long, ends at 0.
+TINY = 2.0**-200
 #: Words segmented at once.
 BLOCK = 8192
 
@@ -87,19 +89,30 @@ class Pieces:
                 yield np.array(some), edges
 
 
+def _raised(total: np.ndarray, power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """total, brought up where it is below TINY, and the powers of two by which it is too large now."""
+    low = total < TINY
+    if not low.any():
+        return total, power
+    step = np.where(low, -np.floor(np.log2(total)), 0.0)
+    return total * np.exp2(step), power + step
+
+
 def log_likelihoods(pieces: Pieces, model: np.ndarray, words: list[str]) -> np.ndarray:
     """(len(words), languages): log of the summed probability of all segmentations of each word.
     model: (languages, pieces.size + 1) probabilities."""
     out = np.empty((len(words), len(model)))
     scaled = [np.append(model, np.zeros((len(model), 1)), 1) * SCALE**k for k in range(pieces.longest + 1)]
     for rows, edges in pieces.lattices(words):
-        alpha = [np.ones((len(model), len(rows)))]
+        alpha, power = [np.ones((len(model), len(rows)))], [np.zeros((len(model), len(rows)))]
         for j in range(1, len(edges)):
             total = np.zeros((len(model), len(rows)))
             for i, found in edges[j]:
-                total += alpha[i] * scaled[j - i][:, found]
-            alpha.append(total)
-        out[rows] = (np.log(alpha[-1]) - (len(edges) - 1) * np.log(SCALE)).T
+                part = alpha[i] * scaled[j - i][:, found]
+                total += part if power[i] is power[-1] else part * np.exp2(power[-1] - power[i])
+            for held, x in zip((alpha, power), _raised(total, power[-1]), strict=True):
+                held.append(x)
+        out[rows] = (np.log(alpha[-1]) - power[-1] * np.log(2) - (len(edges) - 1) * np.log(SCALE)).T
     return out
 
 
@@ -110,10 +123,15 @@ def expected_counts(pieces: Pieces, model: np.ndarray, words: list[str], times:
     scaled = [np.append(model, 0.0) * SCALE**k for k in range(pieces.longest + 1)]
     for rows, edges in pieces.lattices(words):
         n = len(edges) - 1
-        weights = [[(i, found, scaled[j - i][found]) for i, found in edges[j]] for j in range(n + 1)]
-        alpha = [np.ones(len(rows))]
+        weights, alpha, power = [[]], [np.ones(len(rows))], [np.zeros(len(rows))]
         for j in range(1, n + 1):
-            alpha.append(sum(alpha[i] * p for i, _, p in weights[j]))
+            here = [(i, found, scaled[j - i][found]) for i, found in edges[j]]
+            here = [(i, found, p if power[i] is power[-1] else p * np.exp2(power[-1] - power[i])) for i, found, p in here]
+            total, now = _raised(sum(alpha[i] * p for i, _, p in here), power[-1])
+            # a weight bears the powers between its ends, so that those along any segmentation come to the same
+            weights.append(here if now is power[-1] else [(i, found, p * np.exp2(now - power[-1])) for i, found, p in here])
+            alpha.append(total)
+            power.append(now)
         beta = [np.zeros(len(rows)) for _ in range(n)] + [times[rows] / alpha[n]]
         for j in range(n, 0, -1):
             for i, found, p in weights[j]:

@@ -148,6 +148,47 @@ def test_segmentations_are_all_summed():
         assert np.allclose(got[list(want)], list(want.values())) and np.isclose(got.sum(), sum(want.values()))
 
 
+def test_long_stretches_of_rare_letters(spark):
+    from loam.llm.pieces import expected_counts, log_likelihoods, vocabulary
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    p, han, word = vocabulary(model), "".join(chr(0x4E00 + 37 * k) for k in range(64)), "▁internationalisation" * 3
+    for least in (1e-8, 1e-12, 1e-14):
+        probs = np.random.default_rng(1).random(p.size + 1) * least
+        common = probs.copy()
+        common[::7] += 1e-4
+        logs = log_likelihoods(p, np.stack([probs, common]), [han, word])
+        assert np.isfinite(logs).all()
+        # the same in logs, one place after the other
+        for row, w in enumerate((han, word)):
+            (_, edges), = p.lattices([w])
+            for k, m in enumerate((probs, common)):
+                known = np.append(m, 0.0)
+                want = [0.0]
+                with np.errstate(divide="ignore"):
+                    for e in edges[1:]:
+                        want.append(np.logaddexp.reduce([want[i] + np.log(known[found[0]]) for i, found in e]))
+                assert np.isclose(logs[row, k], want[-1], rtol=1e-12)
+                counts = expected_counts(p, m, [w], np.array([2.0]))
+                lengths = np.zeros(p.size + 1)
+                for j, e in enumerate(edges):
+                    for i, found in e:
+                        lengths[found[0]] = j - i
+                # the pieces used make up the word
+                assert np.isclose((counts * lengths).sum(), 2 * len(w))
+    english = [prose(50, 100 + k) for k in range(40)]
+    german = [" ".join(rng.choice(["der", "und", "schl", "ung", "keit", "über", "nicht"]) + rng.choice(["ung", "ein", ""]) for _ in range(50)) for _ in range(40)]
+    rows = [(i, t + (" " + han) * (i % 10 == 0), lang) for i, (t, lang) in enumerate([(t, "en") for t in english] + [(t, "de") for t in german])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for learned in (df, df.filter("doc_id % 10 != 0")):
+        languages, probs = langid.train(learned, model)
+        assert np.isfinite(probs).all()
+        # as if of a corpus a million times as large
+        probs = np.where(probs < 1e-5, probs * 1e-6, probs)
+        got = {r.doc_id: r for r in langid.predict(df, model, languages, probs).collect()}
+        assert all(0 <= got[i].score <= 1 for i in got) and all(got[i].lang_pred == lang for i, _, lang in rows if learned is df or i % 10)
+
+
 def shingle_set(text):
     w = [x.lower() for x in words(text)]
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
