@@ -29,6 +29,8 @@ MOST_LANGUAGES = 200
 UNKNOWN = "und"
 #: Below this score a document's language is not recognised.
 LEAST_SCORE = 0.5
+#: Nor is it if a character's log-likelihood is by so much below that of the language's training texts.
+MOST_BELOW = 2.0
 #: Distinct words that a task holds before it passes them on.
 HELD = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -44,33 +46,70 @@ def stretches(word: str) -> list[str]:
     return [word] if len(word) <= LONGEST_WORD else [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
 
 
+def _by_language(batches, languages: list[str], add) -> None:
+    """Call add(language number, stretches, times) with what the words of all texts come to."""
+    held = {lang: Counter() for lang in languages}
+
+    def flush():
+        for k, lang in enumerate(languages):
+            counts: Counter = Counter()
+            for w, n in held[lang].items():
+                for s in stretches(w):
+                    counts[s] += n
+            held[lang].clear()
+            if counts:
+                add(k, list(counts), np.array(list(counts.values()), float))
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            held[lang].update(words(text))
+            if sum(map(len, held.values())) > HELD:
+                flush()
+    flush()
+
+
 def _expected(model_file: str, languages: list[str], model: np.ndarray):
     def run(batches):
-        pieces, held = vocabulary(model_file), {lang: Counter() for lang in languages}
+        pieces = vocabulary(model_file)
         sums = np.zeros((len(languages), pieces.size + 1))
 
-        def flush():
-            for k, lang in enumerate(languages):
-                counts: Counter = Counter()
-                for w, n in held[lang].items():
-                    for s in stretches(w):
-                        counts[s] += n
-                held[lang].clear()
-                if counts:
-                    sums[k] += expected_counts(pieces, model[k], list(counts), np.array(list(counts.values()), float))
+        def add(k, known, times):
+            sums[k] += expected_counts(pieces, model[k], known, times)
 
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held[lang].update(words(text))
-                if sum(map(len, held.values())) > HELD:
-                    flush()
-        flush()
+        _by_language(batches, languages, add)
         lang, piece = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(piece, pa.int32()), pa.array(sums[lang, piece])], ["lang_no", "piece", "uses"])
 
     return run
 
 
+def _fitted(model_file: str, languages: list[str], model: np.ndarray):
+    def run(batches):
+        sums = np.zeros((2, len(languages)))
+
+        def add(k, known, times):
+            logs = log_likelihoods(vocabulary(model_file), model[k : k + 1], known)[:, 0]
+            sums[:, k] += (logs * times).sum(), (np.array([len(w) for w in known]) * times).sum()
+
+        _by_language(batches, languages, add)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(languages)), pa.int32()), pa.array(sums[0]), pa.array(sums[1])], ["lang_no", "log", "chars"])
+
+    return run
+
+
+def floors(docs: DataFrame, model_file: str, languages: list[str], model: np.ndarray, below: float = MOST_BELOW) -> np.ndarray:
+    """What log-likelihood per character a text of each language has at least: that of all training texts, less
+    `below`. docs as in train()."""
+    if not languages:
+        return np.zeros(0)
+    labelled = docs.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = labelled.mapInArrow(_fitted(model_file, languages, model), "lang_no int, log double, chars double").groupBy("lang_no").agg(F.sum("log").alias("log"), F.sum("chars").alias("chars")).toPandas()
+    out = np.full(len(languages), -np.inf)
+    rows = rows[rows.chars > 0]
+    out[rows.lang_no] = np.round(rows.log / rows.chars, 6) - below
+    return out
+
+
 def train(docs: DataFrame, model_file: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """docs with text, lang -> (languages, (languages, pieces + 1) probabilities). Rows without a lang are
     left out; languages in order of code point. Without any there are no languages."""
@@ -91,7 +130,7 @@ def train(docs: DataFrame, model_file: str, rounds: int = ROUNDS) -> tuple[list[
     return languages, model
 
 
-def _predict(model_file: str, languages: list[str], model: np.ndarray, keep: list[str]):
+def _predict(model_file: str, languages: list[str], model: np.ndarray, keep: list[str], least: np.ndarray | None = None):
     def run(batches):
         pieces = vocabulary(model_file)
         for batch in batches:
@@ -108,8 +147,13 @@ def _predict(model_file: str, languages: list[str], model: np.ndarray, keep: lis
                         lang.append(UNKNOWN)
                         score.append(0.0)
                         continue
-                    each = logs[ids].sum(0) * min(1.0, EVIDENCE / sizes[ids].sum())
+                    total, n_chars = logs[ids].sum(0), sizes[ids].sum()
+                    each = total * min(1.0, EVIDENCE / n_chars)
                     best = int(each.argmax())
+                    if least is not None and total[best] < least[best] * n_chars:
+                        lang.append(UNKNOWN)
+                        score.append(0.0)
+                        continue
                     lang.append(languages[best])
                     score.append(float(1 / np.exp(each - each[best]).sum()))
                 yield pa.RecordBatch.from_arrays([*map(part.column, keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
@@ -127,12 +171,15 @@ def predict(docs: DataFrame, model_file: str, languages: list[str], model: np.nd
 
 
 def recognised(docs: DataFrame, model_file: str, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs whose language is recognised: not `und`, and with a score of `least` or more. A row that
-    names no lang gets the one predicted."""
-    languages, model = train(docs.filter(bucket(F.col("doc_id"), 3) != 1), model_file)
+    """The rows of docs whose language is recognised: not `und`, with a score of `least` or more among the
+    languages learned, and with characters not much less likely than those that its language was learned from. A row
+    that names no lang gets the one predicted."""
+    learned = docs.filter(bucket(F.col("doc_id"), 3) != 1)
+    languages, model = train(learned, model_file)
+    floor = floors(learned, model_file, languages, model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = StructType([docs.schema[c] for c in names]).add("lang_pred", "string").add("score", "double")
-    found = docs.select(*names).mapInArrow(_predict(model_file, languages, model, names), schema)
+    found = docs.select(*names).mapInArrow(_predict(model_file, languages, model, names, floor), schema)
     found = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
 

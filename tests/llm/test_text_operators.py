@@ -189,6 +189,21 @@ def test_long_stretches_of_rare_letters(spark):
         assert all(0 <= got[i].score <= 1 for i in got) and all(got[i].lang_pred == lang for i, _, lang in rows if learned is df or i % 10)
 
 
+def test_unknown_languages_go(spark):
+    from pydoc_data.topics import topics
+
+    r = random.Random(13)
+    book = " ".join(" ".join(topics[k] for k in sorted(topics)).split()[:9000]).split()
+    french = "le la les un une des et est dans pour que qui avec sur pas plus nous vous ils elle monde temps jour homme femme vie pays ville grand petit ancien nouveau toujours jamais aujourd'hui histoire français école président région".split()
+    rows = [(k, " ".join(book[100 * k : 100 * k + 100]), "en") for k in range(90)] + [(100 + k, " ".join(r.choice(french) for _ in range(80)), "fr") for k in range(60)]
+    turkish = "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в духе братства."
+    gibberish = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(80)) for _ in range(5)]
+    odd = [(200 + k, t, None) for k, t in enumerate([turkish, russian, *gibberish])]
+    kept = langid.recognised(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert sorted(map(tuple, kept)) == rows
+
+
 def shingle_set(text):
     w = [x.lower() for x in words(text)]
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
