@@ -7,6 +7,10 @@ must lie in a band. A short text has little to refer back to, so the band depend
 Random letters and hexadecimal digits use few symbols and so compress about as well as prose does, but not for
 the order they stand in: with their bytes transposed they compress as well as before, and prose far worse. A
 chunk is also out if its order gains it nothing.
+
+The bands are wide, since they hold for any collection. What is repetitive beside its peers shows in the collection
+itself: of all texts in a class of length the median ratio and the spread around it are found from histograms, and a
+text that lies many spreads off is out too.
 """
 
 from __future__ import annotations
@@ -18,6 +22,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import saved
 
 #: Bytes from which a band holds, and its lowest and highest ratio. The highest lies between prose (0.79 at 350
 #: bytes, 0.59 at 2 kB, 0.44 at 16 kB at most) and base64 text (0.89, 0.76, 0.75), the lowest above lines of one template.
@@ -31,11 +38,14 @@ ORDER, ORDER_LEVEL = ((1024, 0.972), (1536, 0.96)), 9
 #: Columns of the transposition.
 COLUMNS = 17
 LEVEL = 3
+#: Spreads below and above (1.4826 times the median distance from the median, and LEAST_SPREAD at least) that a ratio may lie off those
+#: of its class of length, and the texts from which a class has a median.
+SPREADS, LEAST_SPREAD, FEWEST = (5.0, 7.0), 0.005, 200
 MIN_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
 
-FIELDS = (("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("n_bytes", "long"), ("ratio", "double"), ("n_chunks", "int"), ("n_chunks_out", "int"))
+FIELDS = (("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("n_bytes", "long"), ("ratio", "double"), ("n_chunks", "int"), ("n_chunks_out", "int"), ("band", "int"))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -91,9 +101,10 @@ def measure(text: str | None, squeeze: zstandard.ZstdCompressor) -> tuple:
         parts = chunks(raw)
         ratios = [ratio] if len(parts) == 1 else [len(squeeze.compress(x)) / len(x) for x in parts]
         out = sum((len(raw) >= CHUNK and not CHUNK_BAND[0] <= x <= CHUNK_BAND[1]) or unordered(p) for p, x in zip(parts, ratios, strict=True))
-    _, low, high = BANDS[bisect_right(BANDS, (len(raw), 2.0)) - 1]
+    band = bisect_right(BANDS, (len(raw), 2.0)) - 1
+    _, low, high = BANDS[band]
     kept = not failed and low <= ratio <= high and out <= CHUNK_SHARE * len(parts)
-    return n, len(text or "") - (len(raw) - len(raw.translate(None, SPACE))), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeats, failed, kept, len(raw), ratio, len(parts), out
+    return n, len(text or "") - (len(raw) - len(raw.translate(None, SPACE))), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeats, failed, kept, len(raw), ratio, len(parts), out, band
 
 
 def _batches(batches):
@@ -105,14 +116,30 @@ def _batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, kinds[k]) for c, (_, k) in zip(columns, FIELDS, strict=True))], ["doc_id", *(n for n, _ in FIELDS)])
 
 
-def compression_bands(docs: DataFrame) -> DataFrame:
+def usual(measured: DataFrame, spreads: tuple[float, float] = SPREADS, fewest: int = FEWEST) -> DataFrame:
+    """What _batches gave -> band, low, high: a row for each class of length with `fewest` texts that pass the base
+    rules. Medians come from histograms in steps of a thousandth, so that a class is a few hundred rows."""
+    cells = measured.filter(~F.col("base_failed")).groupBy("band", F.round(F.col("ratio") * 1000).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+    mid = cells.groupBy("band").agg(F.expr("percentile(cell, 0.5, n)").alias("mid"), F.sum("n").alias("texts")).filter(F.col("texts") >= fewest)
+    far = cells.join(mid, "band").groupBy("band", "mid").agg(F.expr("percentile(abs(cell - mid), 0.5, n)").alias("far"))
+    spread, mid = F.greatest(F.col("far") * 1.4826 / 1000, F.lit(LEAST_SPREAD)), F.col("mid") / 1000
+    return far.select("band", (mid - spreads[0] * spread).alias("low"), (mid + spreads[1] * spread).alias("high"))
+
+
+def compression_bands(docs: DataFrame, spreads: tuple[float, float] = SPREADS, fewest: int = FEWEST) -> DataFrame:
     """docs with doc_id, text -> doc_id and FIELDS, a row for each of docs.
 
     base_failed: under 50 words, or over half of them in repeated 3-word windows. kept: not base_failed,
-    and whole-text and chunk ratios within their bands, and chunks in an order that gains. A null or empty text has no words and fails; a null
-    id stays null; repeated rows are judged alike, each by itself; extra columns are ignored; no rows give
-    no rows. A text is compressed whole, whatever its length."""
-    return docs.select("doc_id", "text").mapInArrow(_batches, "doc_id long, " + ", ".join(f"{n} {k}" for n, k in FIELDS))
+    and whole-text and chunk ratios within their bands, and chunks in an order that gains, and the whole-text ratio within
+    `spreads` of the median of its class of length (`band`) in docs, if that has `fewest` texts. A null or empty text has
+    no words and fails; a null id stays null; repeated rows are judged alike, each by itself; extra columns are ignored;
+    no rows give no rows. A text is compressed whole, whatever its length."""
+    measured = docs.select("doc_id", "text").mapInArrow(_batches, "doc_id long, " + ", ".join(f"{n} {k}" for n, k in FIELDS))
+    measured = saved(measured, "ratios")
+    # one row for each of BANDS
+    rows = measured.join(F.broadcast(usual(measured, spreads, fewest)), "band", "left")
+    within = F.coalesce(F.col("ratio").between(F.col("low"), F.col("high")), F.lit(True))
+    return rows.withColumn("kept", F.col("kept") & within).select("doc_id", *(n for n, _ in FIELDS))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
