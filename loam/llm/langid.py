@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,49 +21,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import bucket
-from .pieces import LONGEST_WORD, expected_counts, log_likelihoods, vocabulary
+from .pieces import expected_counts, log_likelihoods, vocabulary
 
 ROUNDS, SMOOTHING = 2, 0.01
 #: The evidence of a text counts as that of so many characters, so that scores of long texts don't all end at 1.
 EVIDENCE = 50
-MOST_LANGUAGES = 200
 UNKNOWN = "und"
 #: Below this score a document's language is not recognised.
 LEAST_SCORE = 0.5
 #: Nor is it if a character's log-likelihood is by so much below that of the language's training texts.
 MOST_BELOW = 2.0
-#: Distinct words that a task holds before it passes them on.
-HELD = 400_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Distinct words that a task holds before it passes them on, and characters that are cut into words at once.
+HELD, BLOCK = 200_000, 1_000_000
+_RUN, _GAP = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 
 
-def words(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+def words(text: str | None) -> Iterator[list[str]]:
+    """The words of a whole text, in lists of bounded size: runs of letters in lower case. (Other signs that count as
+    word characters, such as fractions, are no letters.)"""
+    text, at = text or "", 0
+    while at < len(text):
+        gap = _GAP.search(text, at + BLOCK) if len(text) - at > BLOCK else None
+        end = gap.end() if gap else len(text)
+        found = _RUN.findall(text[at:end].lower())
+        if found and not "".join(found).isalpha():
+            found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+        yield found
+        at = end
 
 
-def stretches(word: str) -> list[str]:
-    """A word as the vocabulary spells it, cut where it is longer than LONGEST_WORD."""
-    word = "▁" + word
-    return [word] if len(word) <= LONGEST_WORD else [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
+def spelled(found: Iterable[str]) -> list[str]:
+    """Words as the vocabulary spells them."""
+    return ["▁" + w for w in found]
 
 
 def _by_language(batches, languages: list[str], add) -> None:
-    """Call add(language number, stretches, times) with what the words of all texts come to."""
+    """Call add(language number, words, times) with what the words of all texts come to."""
     held = {lang: Counter() for lang in languages}
 
     def flush():
         for k, lang in enumerate(languages):
-            counts: Counter = Counter()
-            for w, n in held[lang].items():
-                for s in stretches(w):
-                    counts[s] += n
+            if held[lang]:
+                add(k, spelled(held[lang]), np.array(list(held[lang].values()), float))
             held[lang].clear()
-            if counts:
-                add(k, list(counts), np.array(list(counts.values()), float))
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            held[lang].update(words(text))
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            for found in words(text.as_py()):
+                held[lang].update(found)
             if sum(map(len, held.values())) > HELD:
                 flush()
     flush()
@@ -112,11 +118,10 @@ def floors(docs: DataFrame, model_file: str, languages: list[str], model: np.nda
 
 def train(docs: DataFrame, model_file: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """docs with text, lang -> (languages, (languages, pieces + 1) probabilities). Rows without a lang are
-    left out; languages in order of code point. Without any there are no languages."""
+    left out; languages in order of code point. Without any there are no languages. The driver and each task hold eight
+    bytes for each language and piece (a quarter of a megabyte a language)."""
     labelled = docs.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = sorted(r.lang for r in labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would not fit the driver")
+    languages = sorted(r.lang for r in labelled.select("lang").distinct().collect())
     size = vocabulary(model_file).size + 1
     model = np.full((len(languages), size), 1 / size)
     for _ in range(rounds if languages else 0):
@@ -134,20 +139,26 @@ def _predict(model_file: str, languages: list[str], model: np.ndarray, keep: lis
     def run(batches):
         pieces = vocabulary(model_file)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            at = 0
+            while at < batch.num_rows:
                 number: dict[str, int] = {}
-                texts = [[number.setdefault(s, len(number)) for w in words(t) for s in stretches(w)] for t in part.column("text").to_pylist()]
-                known = list(number)
+                counted, start = [], at
+                while at < batch.num_rows and len(number) <= HELD // 2:
+                    found: Counter = Counter()
+                    for some in words(batch.column("text")[at].as_py()):
+                        found.update(some)
+                    counted.append((np.array([number.setdefault(w, len(number)) for w in found], int), np.array(list(found.values()))))
+                    at += 1
+                known = spelled(number)
                 logs = log_likelihoods(pieces, model, known) if known else np.zeros((0, len(languages)))
                 sizes = np.array([len(w) for w in known])
                 lang, score = [], []
-                for ids in texts:
-                    if not ids or not languages:
+                for ids, times in counted:
+                    if not len(ids) or not languages:
                         lang.append(UNKNOWN)
                         score.append(0.0)
                         continue
-                    total, n_chars = logs[ids].sum(0), sizes[ids].sum()
+                    total, n_chars = times @ logs[ids], times @ sizes[ids]
                     each = total * min(1.0, EVIDENCE / n_chars)
                     best = int(each.argmax())
                     if least is not None and total[best] < least[best] * n_chars:
@@ -156,6 +167,7 @@ def _predict(model_file: str, languages: list[str], model: np.ndarray, keep: lis
                         continue
                     lang.append(languages[best])
                     score.append(float(1 / np.exp(each - each[best]).sum()))
+                part = batch.slice(start, at - start)
                 yield pa.RecordBatch.from_arrays([*map(part.column, keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     return run
