@@ -152,17 +152,25 @@ def digests(turns: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Finished turns as the log that would have led to them: a start, then the text in two deltas. Rows that
-    share a turn number are messages of their own, in the order of role and text."""
+    """Finished turns as a log that would have led to them: a start, then the text in two deltas; of each four turns (by
+    a hash) one is begun wrong and regenerated, one streamed in part and then edited as a whole, and one edited in the
+    middle and then streamed on. Rows that share a turn number are messages of their own, in the order of role and
+    text."""
     from pyspark.sql import Window
 
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     c = conversations.select("conv_id", "turn", "role", "text").withColumn("nth", F.row_number().over(same))
     half = F.floor(F.length("text") / 2).cast("int")
-    e = F.array(
-        F.struct(F.lit(0).alias("step"), F.lit("start").alias("kind"), F.lit(None).cast("string").alias("text")),
-        F.struct(F.lit(1).alias("step"), F.lit("delta").alias("kind"), F.substring("text", F.lit(1), half).alias("text")),
-        F.struct(F.lit(2).alias("step"), F.lit("delta").alias("kind"), F.substring("text", half + 1, F.length("text")).alias("text")),
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    draft = F.concat(F.lit("draft "), F.coalesce(F.reverse("text"), F.lit("")))
+    event = lambda step, kind, text: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    start = event(0, "start", F.lit(None))
+    which = F.pmod(F.xxhash64("conv_id", "turn", "nth"), F.lit(4))
+    e = (
+        F.when(which == 0, F.array(start, event(1, "delta", draft), event(2, "regenerate", F.lit(None)), event(3, "delta", first), event(4, "delta", rest)))
+        .when(which == 1, F.array(start, event(1, "delta", first), event(2, "edit", F.col("text"))))
+        .when(which == 2, F.array(start, event(1, "delta", draft), event(2, "edit", first), event(3, "delta", rest)))
+        .otherwise(F.array(start, event(1, "delta", first), event(2, "delta", rest)))
     )
     c = c.select("conv_id", "turn", "nth", "role", F.explode(e).alias("e"))
     at = F.struct("turn", "nth")
