@@ -18,6 +18,8 @@ from .common import n_words, saved
 
 #: Hash bits that one round of the histogram resolves, and the bits in all.
 BITS, ALL_BITS = 12, 60
+#: Up to so many sources their plan is broadcast; with more it is joined by a shuffle.
+MOST_BROADCAST = 100_000
 #: A target stops at so many times its source's size.
 MOST_COPIES = 3
 
@@ -48,25 +50,24 @@ def targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     return ranked.select("source", "source_size", "weight", F.when(F.col("full"), F.col("cap")).otherwise(free * F.col("weight")).alias("target"))
 
 
-def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
+def thresholds(rows: DataFrame, goals: DataFrame, small=F.broadcast) -> DataFrame:
     """rows (source, hash, size), goals (source, budget) -> (source, threshold): the rows of the source with a
-    hash below the threshold sum to its budget as nearly as its hash order allows (a tie takes fewer)."""
-    spark = rows.sparkSession
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
+    hash below the threshold sum to its budget as nearly as its hash order allows (a tie takes fewer). small: what
+    marks a table of a row for each source for a join."""
     # below: the sum of all rows before the open bucket; prefix: its leading bits
     open_ = goals.select("source", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0.0).alias("below"))
     done = None
     for used in range(0, ALL_BITS, BITS):
         rest = ALL_BITS - used - BITS
         hist = (
-            rows.alias("r").join(F.broadcast(open_.select(F.col("source").alias("s"), F.col("prefix").alias("p"))), F.col("r.source").eqNullSafe(F.col("s")) & (F.shiftright("hash", rest + BITS) == F.col("p")))
+            rows.alias("r").join(small(open_.select(F.col("source").alias("s"), F.col("prefix").alias("p"))), F.col("r.source").eqNullSafe(F.col("s")) & (F.shiftright("hash", rest + BITS) == F.col("p")))
             .groupBy("source", F.shiftright("hash", rest).alias("cell"))
             .agg(F.sum("size").cast("double").alias("cell_size"), F.min("hash").alias("lo"), F.max("hash").alias("hi"))
         )
         run = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         hist = hist.withColumn("before", F.coalesce(F.sum("cell_size").over(run), F.lit(0.0)))
         o = open_.select(F.col("source").alias("s"), "budget", "below")
-        crossing = hist.join(F.broadcast(o), F.col("source").eqNullSafe(F.col("s"))).withColumn("before", F.col("before") + F.col("below"))
+        crossing = hist.join(small(o), F.col("source").eqNullSafe(F.col("s"))).withColumn("before", F.col("before") + F.col("below"))
         # the first cell whose end reaches the budget
         crossing = crossing.filter(F.col("before") + F.col("cell_size") >= F.col("budget")).groupBy("source").agg(F.min(F.struct("cell", "lo", "hi", "before", "cell_size", "budget")).alias("c")).select("source", "c.*")
         crossing = saved(crossing, "mix-cells")
@@ -80,18 +81,18 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return done
 
 
-def plan(rows: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+def plan(rows: DataFrame, most: int = MOST_COPIES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """rows (source, hash, size) -> source, source_size, target, copies, threshold: a row of a source is taken
-    `copies` times, and once more if its hash is below the threshold."""
+    `copies` times, and once more if its hash is below the threshold. It comes marked for a broadcast if there are at
+    most `most_broadcast` sources."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = saved(targets(sizes, most), "mix-targets")
-    if (n := goals.count()) > 1_000_000:
-        raise ValueError(f"{n} sources: too many to broadcast; group rare sources first")
+    small = F.broadcast if goals.count() <= most_broadcast else lambda df: df.hint("merge")
     goals = goals.withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("long"))
     goals = goals.withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
-    part = thresholds(rows, goals.filter((F.col("budget") > 0) & (F.col("source_size") > 0)).select("source", "budget"))
-    goals = goals.alias("p").join(F.broadcast(part.withColumnRenamed("source", "s")), F.col("p.source").eqNullSafe(F.col("s")), "left")
-    return goals.select("p.source", "source_size", "target", "copies", F.coalesce("threshold", F.lit(-1)).alias("threshold"))
+    part = thresholds(rows, goals.filter((F.col("budget") > 0) & (F.col("source_size") > 0)).select("source", "budget"), small)
+    goals = goals.alias("p").join(small(part.withColumnRenamed("source", "s")), F.col("p.source").eqNullSafe(F.col("s")), "left")
+    return small(goals.select("p.source", "source_size", "target", "copies", F.coalesce("threshold", F.lit(-1)).alias("threshold")))
 
 
 def taken_times(most: int = MOST_COPIES) -> Column:
@@ -103,16 +104,16 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("hash"))
 
 
-def mix(docs: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+def mix(docs: DataFrame, most: int = MOST_COPIES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """docs with doc_id, text, source -> doc_id, size, source_size, target, taken, times, source, a row for each of docs.
 
     taken: the words that the mix takes of the document, repeats counted; at most `most` times its size.
     Null text and text without words have size 0 and are taken 0 words of; a null source is a source of its own;
     a null id is hashed as 'null'; rows with the same id share a hash and are taken alike; extra columns are
-    ignored; no rows give no rows. The number of sources must fit a broadcast (it is checked)."""
+    ignored; no rows give no rows. Any number of sources will do."""
     rows = saved(sized(docs), "mix-rows")
-    chosen = plan(rows, most).withColumnRenamed("source", "s")
-    out = rows.join(F.broadcast(chosen), F.col("source").eqNullSafe(F.col("s")))
+    chosen = plan(rows, most, most_broadcast).withColumnRenamed("source", "s")
+    out = rows.join(chosen, F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * taken_times(most)).alias("taken"), taken_times(most).alias("times"), "source")
 
 
@@ -120,7 +121,7 @@ def mixed(docs: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     """The rows of docs themselves, each as often as the mix takes it (see mix); the texts are not shuffled."""
     rows = saved(docs.select("source", n_words(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("hash")), "mix-rows")
     names = docs.columns
-    c = F.broadcast(plan(rows, most).select(F.col("source").alias("mix_source"), F.struct("copies", "threshold").alias("mix_plan")))
+    c = plan(rows, most).select(F.col("source").alias("mix_source"), F.struct("copies", "threshold").alias("mix_plan"))
     out = docs.withColumn("mix_hash", row_hash(F.col("doc_id"))).join(c, F.col("source").eqNullSafe(F.col("mix_source")))
     times = F.least(F.col("mix_plan.copies") + (F.col("mix_hash") < F.col("mix_plan.threshold")).cast("long"), F.lit(most))
     return out.withColumn("mix_times", times).filter("mix_times > 0").withColumn("mix_nth", F.explode(F.expr("sequence(1L, mix_times)"))).select(*names)
