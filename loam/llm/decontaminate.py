@@ -8,18 +8,23 @@ bit-parallel algorithm gives the least edit distance between the item and any pa
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Errors allowed for each character of an item. A piece is then some 1 / ERROR_RATE characters long.
 ERROR_RATE = 0.08
-#: Shorter items would be met by chance and are not looked for.
+#: Shorter items would be met by chance in the middle of words or with an error: they are looked for as they stand, with
+#: no letter or digit before or after them.
 SHORTEST = 24
-#: Characters of items that are looked for in one pass over the documents; a larger benchmark takes more passes.
-PASS_CHARS = 8_000_000
+#: Characters of items that are looked for in one pass over the documents; a larger benchmark takes more passes. The
+#: automaton takes some 50 bytes for each.
+PASS_CHARS = 2_000_000
 
 
 def normal(text: str | None) -> str:
@@ -28,7 +33,12 @@ def normal(text: str | None) -> str:
 
 
 def budget(length: int) -> int:
-    return int(ERROR_RATE * length)
+    return int(ERROR_RATE * length) if length >= SHORTEST else 0
+
+
+def bounded(text: str, a: int, b: int) -> bool:
+    """Whether neither text[a:b] nor what is beside it goes on with a letter or digit."""
+    return not (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -73,7 +83,7 @@ class Matcher:
     """Items (id, text) to look for in whole texts."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t, masks(t)) for i, t in sorted({(i, normal(t)) for i, t in items}, key=lambda x: (x[0] is None, x[0] or 0, x[1])) if len(t) >= SHORTEST]
+        self.items = [(i, t, masks(t)) for i, t in sorted({(i, normal(t)) for i, t in items}, key=lambda x: (x[0] is None, x[0] or 0, x[1])) if t]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, item, _) in enumerate(self.items):
             for offset, piece in pieces(item):
@@ -97,6 +107,11 @@ class Matcher:
         for k, starts in hits.items():
             item_id, item, peq = self.items[k]
             m, e = len(item), budget(len(item))
+            if m < SHORTEST:
+                own = [s + m for s in starts if bounded(text, s, s + m)]
+                if own and (item_id not in found or (0, min(own)) < found[item_id]):
+                    found[item_id] = 0, min(own)
+                continue
             spans: list[list[int]] = []
             for s in sorted(starts):
                 a, b = max(0, s - e), min(len(text), s + m + e)
@@ -130,9 +145,9 @@ def _clean(items: list[tuple[int, str]]):
     return run
 
 
-def blocks(benchmark: DataFrame, pass_chars: int):
-    """The items, in blocks of at most about pass_chars characters."""
-    items = benchmark.select("item_id", "text").filter(F.length("text") >= SHORTEST)
+def blocks(benchmark: DataFrame, pass_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, in blocks of at most about pass_chars characters; one block is on the driver at a time."""
+    items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / pass_chars))
     for k in range(n):
@@ -140,9 +155,10 @@ def blocks(benchmark: DataFrame, pass_chars: int):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_CHARS) -> DataFrame:
-    """The rows of docs that quote no item (see contaminated); a null text quotes none."""
-    for block in blocks(benchmark, pass_chars):
-        docs = docs.mapInArrow(_clean(block), docs.schema)
+    """The rows of docs that quote no item (see contaminated); a null text quotes none, a null id changes nothing, and
+    all columns of docs are kept. Each block but the first works on a table of what the one before it left."""
+    for k, block in enumerate(blocks(benchmark, pass_chars)):
+        docs = (saved(docs, "clean") if k else docs).mapInArrow(_clean(block), docs.schema)
     return docs
 
 
@@ -151,14 +167,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_C
     a document quotes, with the least distance and the first end of a passage at that distance (characters of
     the normal text).
 
-    Items below SHORTEST normal characters and null texts match nothing; items that share an id are one item of
-    several wordings; a null id is reported as null; a repeated document reports its items for each row; extra
-    columns are ignored; empty tables give no rows. The benchmark is the stated query set: it goes to the tasks
-    in blocks of at most about pass_chars characters, found from its size."""
+    Items below SHORTEST normal characters are met only as they stand, at word bounds; empty items and null texts match
+    nothing; items that share an id are one item of several wordings; a null id is reported as null; a repeated
+    document reports its items for each row; extra columns are ignored; empty tables give no rows. The benchmark is the
+    stated query set: it goes to the tasks in blocks of at most about pass_chars characters, found from its size; a
+    block's matches are in a table before the next block is read."""
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
     out = None
     for block in blocks(benchmark, pass_chars):
-        found = docs.select("doc_id", "text").filter("text IS NOT NULL").mapInArrow(_matches(block), "doc_id long, item_id long, distance long, stop long")
-        out = found if out is None else out.unionByName(found)
+        done = saved(out, "matches") if out is not None else None
+        found = texts.mapInArrow(_matches(block), "doc_id long, item_id long, distance long, stop long")
+        out = found if done is None else done.unionByName(found)
     return out
 
 
