@@ -9,7 +9,9 @@ sums of the shards, which are as few as the files.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,11 +22,13 @@ from pyspark.sql import functions as F
 from .common import new_path, saved, table
 
 END_ID = 2
-#: Chunks of text whose ids a Python worker keeps at most.
-CACHE = 1_200_000
+#: Chunks of text whose ids a Python worker keeps at most, in each of two generations: some 40 MB each.
+CACHE = 250_000
+#: Characters that are cut into chunks at once.
+BLOCK = 1_000_000
 #: New chunks that are encoded as one text.
 JOINED = 500
-ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.encoding.strategy": "SPEED", "compression": "zstd"}
+ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(8 << 20), "orc.encoding.strategy": "SPEED", "compression": "zstd"}
 
 
 @lru_cache(maxsize=2)
@@ -32,79 +36,149 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+#: A place between chunks.
+_APART = re.compile(r"\S(?= \S)")
+
+
 class Encoder:
-    """Whole texts to ids, as the library encodes them, with the ids of frequent chunks kept.
+    """Whole texts to ids, as the library encodes them, with the ids of frequent chunks kept. It is for byte-level
+    BPE files whose added tokens are taken as they stand.
 
     A chunk is a run of text from one space to the next that neither starts nor ends in white space. Byte-level
     pre-tokenization breaks before a space that such a run follows, so a text's ids are its chunks' ids in
-    turn; where a chunk would touch other white space it is joined with its neighbours."""
+    turn; where a chunk would touch other white space it is joined with its neighbours. An added token in a text
+    (such as the end of a document) is its own id, as the library has it, and breaks the text too.
+
+    Chunks are known by what follows their space; what has none, or more than one, by itself after a space."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+        self.breaks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
+    def touching(chunk: str) -> bool:
+        """Whether a run between two spaces is empty or has white space at an end."""
+        own = chunk[1:] if chunk[:1] == " " else chunk
+        return not own or own[0].isspace() or own[-1].isspace()
+
+    @staticmethod
+    def joined(text: str) -> list[str]:
+        """The chunks of a text in which white space touches a space or an end."""
         out, held = [], ""
+
+        def close():
+            out.append(held[1:] if held[0] == " " and not held[1:2].isspace() and len(held) > 1 else " " + held)
+
         for k, part in enumerate(text.split(" ")):
             if not part:
                 held += " " if k else ""
                 continue
             if held and not part[0].isspace() and not held[-1].isspace():
-                out.append(held)
+                close()
                 held = " " + part
             else:
                 held += " " + part if k else part
         if held:
-            out.append(held)
+            close()
         return out
 
     def learn(self, missing: list[str]) -> None:
-        """Keep the ids of new chunks. Chunks of the usual form are encoded many at a time as one text, whose
-        ids are cut where the bytes of a chunk end; a token never reaches over a chunk's end."""
-        usual = [c for c in missing if c[0] == " " and not c[-1].isspace() and not c[1].isspace()]
-        rest = {*missing}.difference(usual)
-        for c in rest:
-            self.kept[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        """Keep the ids of new chunks. Chunks after a space are encoded many at a time as one text, whose ids are cut
+        where the bytes of a chunk end; a token never reaches over a chunk's end."""
+        usual = [c for c in missing if c[0] != " " and not c[-1].isspace()]
+        for c in {*missing}.difference(usual):
+            whole = c[1:] if c[0] == " " else " " + c
+            self.kept[c] = np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, "<u4").tobytes()
         for i in range(0, len(usual), JOINED):
             some = usual[i : i + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum(self.n_bytes[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in some]), "left") + 1
+            cuts = np.searchsorted(ends, np.cumsum([1 + len(c.encode()) for c in some]), "left") + 1
             raw, at = ids.tobytes(), 0
             for c, cut in zip(some, (4 * cuts).tolist(), strict=True):
                 self.kept[c] = raw[at:cut]
                 at = cut
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as unsigned 32-bit little-endian integers."""
-        split = [self.chunks(t) for t in texts]
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without added tokens."""
+        split = [(" " + t).split(" ") for t in texts]
+        for s in split:
+            s[:2] = [" " + s[1]]
+        missing = set().union(*split).difference(self.kept)
+        if bad := set(filter(self.touching, missing)):
+            split = [s if bad.isdisjoint(s) else self.joined(t) for s, t in zip(split, texts, strict=True)]
+            missing = set().union(*split).difference(self.kept)
+        if missing:
+            for c in missing & self.older.keys():
+                self.kept[c] = self.older[c]
+            self.learn(list(missing.difference(self.older)))
+        out = [b"".join(map(self.kept.__getitem__, s)) for s in split]
         if len(self.kept) > CACHE:
-            self.kept.clear()
-        if missing := set().union(*split).difference(self.kept):
-            self.learn(list(missing))
-        return [b"".join(map(self.kept.__getitem__, s)) for s in split]
+            self.kept, self.older = {}, self.kept
+        return out
+
+    def long(self, text: str) -> bytes:
+        """The ids of a text of any length, cut into blocks between chunks."""
+        out, at = [], 0
+        while len(text) - at > BLOCK and (cut := _APART.search(text, at + BLOCK - 1)):
+            out += self.plain([text[at : cut.end()]])
+            at = cut.end()
+        return b"".join(out + self.plain([text[at:]]))
+
+    def __call__(self, text: str) -> bytes:
+        """The ids of a text, as unsigned 32-bit little-endian integers."""
+        parts = self.breaks.split(text) if self.breaks else [text]
+        return b"".join(self.added[p] if k % 2 else self.long(p) for k, p in enumerate(parts))
+
+    def each(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; those without added tokens some at a time, of BLOCK characters together."""
+        held, size = [], 0
+        for t in texts:
+            usual = len(t) <= BLOCK and not (self.breaks and self.breaks.search(t))
+            if held and (not usual or size + len(t) > BLOCK):
+                yield from self.plain(held)
+                held, size = [], 0
+            if usual:
+                held.append(t)
+                size += len(t)
+            else:
+                yield self(t)
+        if held:
+            yield from self.plain(held)
 
 
 def _encode(path: str, end_id: int):
     def run(batches):
         encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+
+        def rows(part, flat):
+            offsets = np.zeros(len(flat) + 1, np.int32)
+            np.cumsum([len(x) // 4 for x in flat], out=offsets[1:])
+            ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(flat))])
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("shard"), pa.ListArray.from_arrays(pa.array(offsets), ids)], ["doc_id", "shard", "ids"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                flat = [x + end for x in encode([t or "" for t in part.column("text").to_pylist()])]
-                offsets = np.zeros(len(flat) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in flat], out=offsets[1:])
-                ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(flat))])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("shard"), pa.ListArray.from_arrays(pa.array(offsets), ids)], ["doc_id", "shard", "ids"])
+            at, flat, size = 0, [], 0
+            for k in range(0, batch.num_rows, 256):
+                for x in encode.each([t or "" for t in batch.column("text").slice(k, 256).to_pylist()]):
+                    flat.append(x + end)
+                    size += len(x)
+                    if size > 4 * BLOCK:
+                        yield rows(batch.slice(at, len(flat)), flat)
+                        at, flat, size = at + len(flat), [], 0
+            if flat:
+                yield rows(batch.slice(at), flat)
 
     return run
 
