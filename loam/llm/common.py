@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key is hot if it has more rows than HOT and more than one in MOST_HOT of all rows, so that there are at most
+#: MOST_HOT hot keys, whatever the data.
+HOT, MOST_HOT = 1000, 50_000
 #: A word, wherever a contract counts words: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set a local session, as in tests, gets one of its
+    own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loam-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,6 +52,20 @@ def drop_saved(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_counts(rows: DataFrame, counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """The inner join of rows with counts, which has one row for each long key, with how many rows have it in n. counts
+    is a saved table. Hot keys are few (see MOST_HOT), so that their rows of counts are broadcast, and their rows stay
+    spread over all partitions; all other rows are shuffled by key."""
+    least = max(HOT, (counts.agg(F.sum(n)).first()[0] or 0) // MOST_HOT)
+    side = lambda cond, name: counts.filter(cond).select(F.col(key).alias(f"_{name}_key"), F.struct(*(c for c in counts.columns if c != key)).alias(f"_{name}"))
+    out = rows.join(F.broadcast(side(F.col(n) > least, "hot")), F.col(key) == F.col("_hot_key"), "left")
+    # a hot row may go anywhere: if its number happens to be another key, its own counts still come first
+    out = out.withColumn("_to", F.when(F.col("_hot_key").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    out = out.join(side(F.col(n) <= least, "rest").hint("merge"), F.col("_to") == F.col("_rest_key"), "left")
+    out = out.withColumn("_found", F.coalesce("_hot", "_rest")).filter("_found IS NOT NULL")
+    return out.select(*rows.columns, *(F.col(f"_found.{c}").alias(c) for c in counts.columns if c != key))
+
+
 def n_words(text):
     """Words of a text as a column: null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import drop_saved, saved, with_counts
 from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Sketches (a byte of each value) that agree in less than this share are not confirmed: over five standard
-#: deviations below a similarity of 0.75.
+#: Sketches (a byte of each of the 128 values) that agree in less than this share are not confirmed. Of two sets with a
+#: similarity of 0.75 so few agree with a probability of 6 in 10**10, far less than that of sharing no band.
 SKETCH_SHARE = 0.48
 #: Nodes of a prefix shingle that are compared at once.
 BLOCK = 256
@@ -48,27 +48,17 @@ _FIRST = np.arange(0, PERMUTATIONS, 2)
 _BAND = np.stack([_FIRST, _FIRST + 1, PERMUTATIONS + (_FIRST + 2) % PERMUTATIONS, PERMUTATIONS + (_FIRST + 3) % PERMUTATIONS], 1)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while a task reads."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M2
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
+def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct shingle hashes of a whole text; a text of fewer words is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     k = min(SHINGLE, len(h))
     n = len(h) - k + 1
     out = np.full(n, k, np.uint64)
@@ -97,22 +87,20 @@ def bands(signatures: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches):
-    hashes = WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            sets = [shingles(t, hashes) for t in part.column("text").to_pylist()]
-            sig = np.array([signature(s) for s in sets], np.uint32).reshape(len(sets), 2 * PERMUTATIONS)
-            keys = bands(sig).view(np.int64)
-            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+            sizes, digests, signatures = [], [], []
+            for text in part.column("text"):
+                s = shingles(text.as_py())
+                sizes.append(len(s))
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                signatures.append(signature(s))
+            sig = np.array(signatures, np.uint32).reshape(len(sizes), 2 * PERMUTATIONS)
+            offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS)
+            keys = pa.ListArray.from_arrays(offsets, pa.array(bands(sig).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
-                    pa.array([bytes(x) for x in sig.astype(np.uint8)], pa.binary()),
-                ],
+                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), keys, pa.array([bytes(x) for x in sig.astype(np.uint8)], pa.binary())],
                 ["doc_id", "n_shingles", "digest", "bands", "sketch"],
             )
 
@@ -127,13 +115,13 @@ def _alike(batches):
 
 def _confirmed(batches):
     """Pairs with texts, those of one a together -> links."""
-    hashes, last, s = WordHashes(), None, None
+    last, s = None, None
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
             if a != last:
-                last, s = a, shingles(a, hashes)
-            t = shingles(b, hashes)
+                last, s = a, shingles(a)
+            t = shingles(b)
             both = len(np.intersect1d(s, t, assume_unique=True))
             keep.append(DENOMINATOR * both >= NUMERATOR * (len(s) + len(t) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -148,12 +136,20 @@ def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _sets(batches):
-    hashes = WordHashes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            sets = [shingles(t, hashes).view(np.int64) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "set", "shingles"])
+        at, sets, size = 0, [], 0
+
+        def rows():
+            reps = batch.column("rep").slice(at, len(sets))  # noqa: B023
+            return pa.RecordBatch.from_arrays([reps, pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "set", "shingles"])  # noqa: B023
+
+        for text in batch.column("text"):
+            sets.append(shingles(text.as_py()).view(np.int64))
+            size += len(sets[-1])
+            if size > 1_000_000:
+                yield rows()
+                at, sets, size = at + len(sets), [], 0
+        yield rows()
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
@@ -163,8 +159,8 @@ def prefixes(texts: DataFrame) -> DataFrame:
     Shingles are ordered by their frequency among these sets. Those of one set alone come first and can't meet
     any other, so they are only counted."""
     rows = texts.mapInArrow(_sets, "rep long, n long, set long, shingles array<long>").select("rep", "n", "set", F.explode("shingles").alias("shingle"))
-    held = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = rows.join(held.hint("merge"), "shingle")
+    held = saved(rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
+    shared = with_counts(rows, held, "shingle", "df")
     own = Window.partitionBy("rep", "set")
     by_df = own.orderBy("df", "shingle")
     shared = shared.withColumn("place", F.row_number().over(by_df) + F.col("n") - F.count("*").over(own))
@@ -215,8 +211,8 @@ def across(prefix: DataFrame, label: DataFrame) -> DataFrame:
     nodes are compared in blocks, so that none of them makes a task hold more than two blocks."""
     placed = prefix.join(label.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("nodes")).filter("lo <> hi")
-    blocks = F.ceil(F.col("nodes") / BLOCK).cast("int")
-    placed = placed.join(sizes.select("shingle", blocks.alias("blocks")).hint("merge"), "shingle")
+    placed = with_counts(placed, saved(sizes.select("shingle", "nodes"), "prefix-sizes"), "shingle", "nodes")
+    placed = placed.withColumn("blocks", F.ceil(F.col("nodes") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("shingle", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "rep", "component", "n", "place")
     return placed.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(_across, "a long, b long").distinct()
@@ -235,8 +231,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = saved(nodes.dropDuplicates(["rep", "sketch", "bands"]), "nodes")
 
     rows = nodes.select("rep", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).filter("center <> last").select("key", "center")
-    members = saved(rows.join(shared.hint("merge"), "key"), "buckets")
+    shared = rows.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count("*").alias("n")).filter("center <> last")
+    shared = saved(shared.select("key", "center", "n"), "bucket-centers")
+    members = saved(with_counts(rows, shared, "key").select("rep", "key", "center"), "buckets")
+    drop_saved(shared)
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = saved(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "bucket-texts")
     first = saved(members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
