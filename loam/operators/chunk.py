@@ -32,9 +32,9 @@ def by_heading(text: Column, level: int) -> Column:
     return F.filter(F.transform(parts, section), lambda s: s["content"] != "")
 
 
-def soft_cuts(text: Column, limit: int = MAX_CHUNK_CHARS, window: int = SOFT_BREAK_WINDOW) -> Column:
-    """Lengths of the pieces of a text that is cut at the last blank line, else line end, else space of the last
-    `window` characters of each `limit`, else at the limit; the rest is the last piece."""
+def soft_pieces(text: Column, limit: int = MAX_CHUNK_CHARS, window: int = SOFT_BREAK_WINDOW) -> Column:
+    """The pieces of a text that is cut at the last blank line, else line end, else space of the last `window`
+    characters of each `limit`, else at the limit; the rest is the last piece."""
     start = max(limit // 2, limit - window)
 
     def step(state: Column, _: Column) -> Column:
@@ -45,21 +45,18 @@ def soft_cuts(text: Column, limit: int = MAX_CHUNK_CHARS, window: int = SOFT_BRE
         # a needle's end lies as far from the window's end as its reverse from the start
         cut = F.when(para > 0, limit - para + 1).when(line > 0, limit - line + 1).when(space > 0, limit - space + 1).otherwise(limit)
         left = F.length(text) - pos
-        size = F.when(left <= limit, left).otherwise(cut)
-        return F.when(left <= 0, state).otherwise(F.struct((pos + size).cast("int").alias("pos"), F.concat(state["cuts"], F.array(size.cast("int"))).alias("cuts")))
+        size = F.when(left <= limit, left).otherwise(cut).cast("int")
+        return F.when(left <= 0, state).otherwise(F.struct((pos + size).cast("int").alias("pos"), F.concat(state["pieces"], F.array(F.substring(text, pos + 1, size))).alias("pieces")))
 
     most = F.ceil(F.length(text) / start).cast("int") + 1
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("cuts"))
-    return F.aggregate(F.sequence(F.lit(1), most), empty, step)["cuts"]
+    empty = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("pieces"))
+    return F.aggregate(F.sequence(F.lit(1), most), empty, step)["pieces"]
 
 
 def by_size(header: Column, text: Column, limit: int = MAX_CHUNK_CHARS, window: int = SOFT_BREAK_WINDOW) -> Column:
     """array<struct<header, content>> of stripped pieces that are not blank, numbered if there is more than one cut."""
-    cuts = soft_cuts(text, limit, window)
-    piece = lambda n, i: strip(F.substring(text, F.aggregate(F.slice(cuts, F.lit(1), i), F.lit(0), lambda a, x: a + x) + 1, n))
-    pieces = F.filter(F.transform(cuts, piece), lambda p: p != "")
-    numbered = F.transform(pieces, lambda p, i: F.struct(F.concat(header, F.when(F.length(text) > limit, F.concat(F.lit(" (part "), (i + 1).cast("string"), F.lit(")"))).otherwise("")).alias("header"), p.alias("content")))
-    return numbered
+    pieces = F.filter(F.transform(soft_pieces(text, limit, window), strip), lambda p: p != "")
+    return F.transform(pieces, lambda p, i: F.struct(F.concat(header, F.when(F.length(text) > limit, F.concat(F.lit(" (part "), (i + 1).cast("string"), F.lit(")"))).otherwise("")).alias("header"), p.alias("content")))
 
 
 def cascade(body: Column, limit: int = MAX_CHUNK_CHARS) -> Column:
