@@ -36,6 +36,11 @@ def wire(rows: DataFrame) -> DataFrame:
     return numbered.join(later, "decision_key", "left").select(*COLUMNS, "supersedes")
 
 
+def counts(rows: DataFrame) -> DataFrame:
+    """Collected decisions -> for each document how many it declares and how many of them have an error."""
+    return rows.groupBy("source_doc").agg(F.count("*").alias("declared"), F.count("error").alias("failed"))
+
+
 def unresolved(rows: DataFrame) -> DataFrame:
     """Decisions that supersede a key that no decision has."""
     keys = rows.select(F.col("decision_key").alias("supersedes"))

@@ -75,11 +75,12 @@ def contradictions(decisions: DataFrame, chunks: DataFrame, prefix: str) -> Data
 
 
 def collect(*signals: DataFrame) -> DataFrame:
-    """All items once by file, line, signal and reason."""
+    """All items once by file, line, signal and reason; of what else they say the least, so that reruns agree."""
     out = signals[0]
     for s in signals[1:]:
         out = out.unionByName(s)
-    return out.dropDuplicates(["file", "line", "signal", "reason"])
+    key, rest = ["file", "line", "signal", "reason"], ["authoritative_source", "suggested_replacement", "snippet"]
+    return out.groupBy(*key).agg(F.min(F.struct(*rest)).alias("least")).select(*key, "least.*")
 
 
 def priority(signal: Column) -> Column:
@@ -103,6 +104,11 @@ def top(items: DataFrame, n: int = DEFAULT_TOP) -> DataFrame:
     return items.orderBy(priority(F.col("signal")), "file", F.coalesce("line", F.lit(0)), "reason").limit(max(1, min(n, MAX_TOP)))
 
 
+def by_category(hits: DataFrame) -> DataFrame:
+    """What stale_strings() found -> how many lines and files each category has; the most first."""
+    return hits.groupBy("category").agg(F.count("*").alias("hits"), F.count_distinct("file").alias("files")).orderBy(F.desc("hits"), "category")
+
+
 def by_signal(items: DataFrame) -> DataFrame:
     return items.groupBy("signal").agg(F.count("*").alias("items"))
 

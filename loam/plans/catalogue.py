@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +12,11 @@ from ..config import MIN_SIMILARITY, Pattern, RenameMap, Settings
 from ..functions import lexical
 from ..functions.vectors import cosine
 from ..operators import audit, chunk, decisions, drift, evals, frontmatter, graph, outline, scrub, search, tracker
+from ..operators.embed import HashedWords
 from ..sources import synthetic
+from ..sources.store import Store, delete_files
 from ..sources.synthetic import CTE, PREFIX, as_markdown, corpus, headed, parsed
+from . import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -89,6 +95,21 @@ def hybrid_search(spark, sf_dir):
     return best.select("doc_id", F.round("s", 6).alias("score"))
 
 
+@query(f"""WITH {CTE}, w AS (SELECT doc_id, {WORDS} AS w FROM syn WHERE status = 'complete' AND area < 9 AND doc_type = 'spec'),
+t AS (SELECT doc_id, w, len(list_filter(w, lambda x: x = '{TERMS[0]}')) AS t0, len(list_filter(w, lambda x: x = '{TERMS[1]}')) AS t1 FROM w),
+st AS (SELECT count(*) AS n, avg(len(w)) AS mean, count(*) FILTER (t0 > 0) AS n0, count(*) FILTER (t1 > 0) AS n1 FROM t),
+s AS (SELECT t.doc_id, t0, t1, {BM25} AS b, coalesce({COS}, 0) AS vec FROM t LEFT JOIN embeddings e ON e.vec_id = t.doc_id, st, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
+SELECT syn.doc_id AS content_hash, source_file, status, old AS supersedes, md5(text) AS content_md5, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(s.doc_id AS INT), '%Y-%m-%dT%H:%M:%SZ') AS updated_at, round(0.7 * vec + 0.3 * b / (1 + b), 6) AS score
+FROM s JOIN syn USING (doc_id) WHERE vec >= {MIN_SIMILARITY} OR (t0 > 0 AND t1 > 0) ORDER BY 0.7 * vec + 0.3 * b / (1 + b) DESC, s.doc_id LIMIT 20""")
+def hybrid_operator(spark, sf_dir):
+    """Hybrid search as the API calls it, with filters, banners and time stamps."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    c = corpus(spark, sf_dir).join(e, "doc_id", "left")
+    c = c.select(F.col("doc_id").alias("content_hash"), "source_file", F.lit("(intro)").alias("section_header"), F.col("area").alias("area_number"), "doc_type", "status", F.col("old").alias("supersedes"), F.col("text").alias("content"), "embedding", F.expr("TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(doc_id AS INT)").alias("updated_at"))
+    found = search.hybrid(c, " ".join(TERMS), seed(spark, sf_dir), 20, status="complete", doc_type="spec")
+    return found.select("content_hash", "source_file", "status", "supersedes", F.md5("content").alias("content_md5"), "updated_at", F.round("score", 6).alias("score"))
+
+
 # --- chunks
 
 TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -134,6 +155,13 @@ def chunk_size_split(spark, sf_dir):
     return c.select("doc_id", (F.col("chunk_no") + 1).alias("part_no"), F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
+@query("SELECT doc_id, CAST(i AS INT) AS part_no, md5(substr(text, 4000 * (i - 1) + 1, 4000)) AS content_md5 FROM (SELECT doc_id, text, unnest(range(1, greatest(1, (length(text) + 3999) // 4000) + 1)) AS i FROM documents)")
+def chunk_hard_split(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    c = chunk.chunks(d, how=lambda b: chunk.hard_pieces(F.lit("h"), b))
+    return c.select("doc_id", (F.col("chunk_no") + 1).alias("part_no"), F.md5("content").alias("content_md5"))
+
+
 CASCADE = f"""b AS ({HEADED}), h2 AS ({sections_sql('b', 'doc_id', 'body', '##')}),
 big AS (SELECT doc_id * 100000 + section_no AS k, header, content FROM h2 WHERE length(content) > 4000),
 h3 AS (SELECT s.*, g.header AS top FROM ({sections_sql('big', 'k', 'content', '###')}) s JOIN big g USING (k)),
@@ -184,6 +212,15 @@ def scrub_violations(spark, sf_dir):
     return d.groupBy("doc_id", F.col("v.field").alias("field")).agg(F.count("*").alias("n"))
 
 
+LEFT = "CASE WHEN doc_id % 2 = 0 THEN text ELSE text || ' token=abc123' END"
+
+
+@query(rf"""SELECT doc_id, NOT contains(t, '[REDACTED:') AND (regexp_matches(t, '(?i)(^|[^a-zA-Z0-9_])(token|email|password)["'']?\s*[:=]\s*("[^"]+"|''[^'']+'')') OR regexp_matches(t, '(?i)(^|[^a-zA-Z0-9_])(token|email|password)["'']?\s*=\s*[^\s,;}}\]\[\n"'']+')) AS unscrubbed FROM (SELECT doc_id, {LEFT} AS t FROM documents)""")
+def scrub_check(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", scrub.unscrubbed(F.expr(LEFT), FIELDS).alias("unscrubbed"))
+
+
 # --- frontmatter, outline, graph
 
 
@@ -212,6 +249,12 @@ def outline_sections(spark, sf_dir):
     return o.select(F.col("source_file").alias("doc_id"), "section_no", "level", "header", "anchor", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
 
 
+@query(f"WITH b AS ({HEADED}), l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM b) SELECT doc_id, count(*) FILTER (regexp_matches(line, '^#{{1,2}}\\s+\\S')) AS sections FROM l GROUP BY doc_id")
+def outline_levels(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", outline.outline(headed(F.col("text"))).alias("o"))
+    return d.select("doc_id", F.size(outline.up_to_level(F.col("o"), 2)).cast("long").alias("sections"))
+
+
 EDGES = "e AS (SELECT source_file, 'depends_on' AS relation, dep AS target FROM syn UNION SELECT source_file, 'feeds_into', feed FROM syn UNION SELECT source_file, 'also_touches', CAST(touch AS VARCHAR) FROM syn UNION SELECT source_file, 'supersedes', old FROM syn WHERE old IS NOT NULL)"
 
 
@@ -306,6 +349,39 @@ def impact_targets(spark, sf_dir):
     return graph.impact_anchors(v, d)
 
 
+#: Each part declares a decision in a document of its own, each fifth without a value, each third in place of the one before,
+#: and some in place of one that nobody declares.
+REGISTRY = """SELECT p_partkey AS k, lpad(CAST(p_partkey % 9 AS STRING), 2, '0') || '-dec-part-' || lpad(CAST(p_partkey AS STRING), 9, '0') AS source_doc, CAST(p_partkey % 9 AS INT) AS area, 'part-' || CAST(p_partkey AS STRING) AS decision_key, p_name AS decision, CASE WHEN p_partkey % 5 = 2 THEN NULL ELSE p_type END AS current_value,
+  CASE WHEN p_partkey % 3 = 1 THEN 'part-' || CAST(p_partkey - 1 AS STRING) WHEN p_partkey % 50 = 0 THEN 'gone-' || CAST(p_partkey AS STRING) END AS supersedes FROM part"""
+REGISTERED = f"""r AS ({REGISTRY}), n AS (SELECT *, CAST(row_number() OVER (ORDER BY source_doc) AS INT) AS id FROM r),
+l AS (SELECT supersedes AS decision_key, min(id) AS superseded_by FROM n WHERE supersedes IS NOT NULL GROUP BY 1)"""
+
+
+def declared(spark, sf_dir) -> DataFrame:
+    """The decisions that the parts' documents declare."""
+    r = spark.sql(REGISTRY.replace("FROM part", "FROM {part}"), part=read(spark, sf_dir, "part"))
+    line = lambda k, c: F.when(c.isNull(), "").otherwise(F.concat(F.lit(f"    {k}: \""), c, F.lit("\"\n")))
+    text = F.concat(F.lit("---\narea: "), F.col("area").cast("string"), F.lit("\ndecisions:\n  - key: "), "decision_key", F.lit("\n"), line("decision", F.col("decision")), line("current_value", F.col("current_value")), line("supersedes", F.col("supersedes")), F.lit("---\nWhy.\n"))
+    return decisions.collect(r.select(F.concat("source_doc", F.lit(".md")).alias("name"), text.alias("text")))
+
+
+@query(f"WITH {REGISTERED} SELECT n.decision_key, id, area, decision, current_value, source_doc, superseded_by, CASE WHEN current_value IS NULL THEN 'missing current_value' END AS error FROM n LEFT JOIN l ON l.decision_key = n.decision_key")
+def decision_registry(spark, sf_dir):
+    rows = declared(spark, sf_dir)
+    wired = decisions.wire(rows).join(rows.select("decision_key", "error"), "decision_key")
+    return wired.select("decision_key", "id", "area", "decision", "current_value", "source_doc", "superseded_by", "error")
+
+
+@query(f"WITH r AS ({REGISTRY}) SELECT source_doc, count(*) AS declared, count(*) FILTER (current_value IS NULL) AS failed FROM r GROUP BY 1")
+def registry_counts(spark, sf_dir):
+    return decisions.counts(declared(spark, sf_dir))
+
+
+@query(f"WITH r AS ({REGISTRY}) SELECT decision_key, supersedes FROM r WHERE supersedes NOT IN (SELECT decision_key FROM r)")
+def registry_unresolved(spark, sf_dir):
+    return decisions.unresolved(declared(spark, sf_dir))
+
+
 # --- drift
 
 DANGLING = f"SELECT 'docs/' || bare || '.md' AS file, '`feeds-into` ref `' || feed || '` does not match any existing doc' AS reason FROM syn WHERE feed NOT IN (SELECT bare FROM syn)"
@@ -336,13 +412,20 @@ def drift_dep_out_of_date(spark, sf_dir):
 TOPICS = "SELECT 'topic-' || lpad(CAST(item_id AS STRING), 4, '0') AS decision_key, trim(substr(text, 1, 50)) AS decision, 'settled value ' || item_id AS current_value, 'doc-' || item_id AS source_doc, CAST(NULL AS INT) AS superseded_by FROM benchmark"
 
 
-@query(f"""WITH {CTE}, d AS (SELECT * FROM ({TOPICS}) WHERE decision_key IN (SELECT decision_key FROM ({TOPICS}) ORDER BY 1 LIMIT 500) AND length(decision) BETWEEN 8 AND 80),
-h AS (SELECT source_file AS file, decision_key, row_number() OVER (PARTITION BY decision_key ORDER BY source_file) AS n, current_value FROM syn JOIN d ON contains(lower(text), lower(decision)) AND NOT contains(lower(text), lower(current_value)))
-SELECT file, decision_key, current_value AS suggested_replacement FROM h WHERE n <= 5""")
-def drift_contradict(spark, sf_dir):
+CONTRADICTED = f"""d AS (SELECT * FROM ({TOPICS}) WHERE decision_key IN (SELECT decision_key FROM ({TOPICS}) ORDER BY 1 LIMIT 500) AND length(decision) BETWEEN 8 AND 80),
+h AS (SELECT source_file AS file, decision_key, decision, source_doc, row_number() OVER (PARTITION BY decision_key ORDER BY source_file) AS n, current_value FROM syn JOIN d ON contains(lower(text), lower(decision)) AND NOT contains(lower(text), lower(current_value)))"""
+MENTION = "'chunk mentions `' || decision || '` but not the current value (`' || current_value || '…` per `' || source_doc || '`)'"
+
+
+def contradicted(spark, sf_dir) -> DataFrame:
     d = spark.sql(TOPICS.replace("FROM benchmark", "FROM {b}"), b=read(spark, sf_dir, "benchmark"))
     c = corpus(spark, sf_dir).select("source_file", F.lit("(intro)").alias("section_header"), F.col("text").alias("content"))
-    items = drift.contradictions(d, c, PREFIX)
+    return drift.contradictions(d, c, PREFIX)
+
+
+@query(f"WITH {CTE}, {CONTRADICTED} SELECT file, decision_key, current_value AS suggested_replacement FROM h WHERE n <= 5")
+def drift_contradict(spark, sf_dir):
+    items = contradicted(spark, sf_dir)
     key = F.concat(F.lit("topic-"), F.lpad(F.regexp_extract("suggested_replacement", r"(\d+)$", 1), 4, "0"))
     return items.select("file", key.alias("decision_key"), "suggested_replacement")
 
@@ -356,22 +439,36 @@ def drift_stale(spark, sf_dir):
     return drift.stale_strings(d, PATTERNS).select("file", "line", "category")
 
 
-@query(f"""WITH {CTE}, c AS (SELECT *, {COMMITTED} AS ts FROM syn), items AS (SELECT 0 AS p, 'stale-string' AS signal, file, line, CASE category WHEN 'tone' THEN 'insults go' ELSE 'non-commercial text' END AS reason FROM ({STALE})
-  UNION SELECT 1, 'dangling-ref', file, NULL, reason FROM ({DANGLING}) UNION SELECT 2, 'dep-out-of-date', file, NULL, reason FROM ({LATE}))
-SELECT signal, file, line, reason FROM items ORDER BY p, file, coalesce(line, 0), reason LIMIT 100""")
-def drift_report(spark, sf_dir):
+DRIFT_ITEMS = f"""{CTE}, c AS (SELECT *, {COMMITTED} AS ts FROM syn), {CONTRADICTED}, items AS (SELECT 0 AS p, 'stale-string' AS signal, file, line, CASE category WHEN 'tone' THEN 'insults go' ELSE 'non-commercial text' END AS reason FROM ({STALE})
+  UNION SELECT 1, 'dangling-ref', file, NULL, reason FROM ({DANGLING}) UNION SELECT 2, 'dep-out-of-date', file, NULL, reason FROM ({LATE}) UNION SELECT 3, 'decision-contradict', file, NULL, {MENTION} FROM h WHERE n <= 5)"""
+
+
+def drift_items(spark, sf_dir) -> DataFrame:
+    """All four signals."""
     d = read(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("file"), "text")
     dangling = drift.dangling_signal(audit.audit(as_markdown(spark, sf_dir).select("name", "text")))
-    items = drift.collect(drift.stale_signal(drift.stale_strings(d, PATTERNS)), dangling, drift.dep_out_of_date(committed(spark, sf_dir)))
-    return drift.top(items, 100).select("signal", "file", "line", "reason")
+    return drift.collect(drift.stale_signal(drift.stale_strings(d, PATTERNS)), dangling, drift.dep_out_of_date(committed(spark, sf_dir)), contradicted(spark, sf_dir))
 
 
-@query(f"""WITH {CTE}, c AS (SELECT *, {COMMITTED} AS ts FROM syn), items AS (SELECT DISTINCT 'stale-string' AS signal, file, line, category FROM ({STALE}) UNION ALL SELECT 'dangling-ref', file, NULL, reason FROM ({DANGLING}) UNION ALL SELECT 'dep-out-of-date', file, NULL, reason FROM ({LATE}))
-SELECT signal, count(*) AS items FROM items GROUP BY signal""")
+@query(f"WITH {DRIFT_ITEMS} SELECT signal, file, line, reason FROM items ORDER BY p, file, coalesce(line, 0), reason LIMIT 100")
+def drift_report(spark, sf_dir):
+    return drift.top(drift_items(spark, sf_dir), 100).select("signal", "file", "line", "reason")
+
+
+@query(f"WITH {DRIFT_ITEMS} SELECT signal, count(*) AS items FROM items GROUP BY signal")
 def drift_by_signal(spark, sf_dir):
+    return drift.by_signal(drift_items(spark, sf_dir))
+
+
+@query(f"WITH {DRIFT_ITEMS} SELECT file, line, reason FROM items WHERE signal = 'dangling-ref' AND starts_with(file, 'docs/03-')")
+def drift_filtered(spark, sf_dir):
+    return drift.filtered(drift_items(spark, sf_dir), "dangling-ref", 3).select("file", "line", "reason")
+
+
+@query(f"SELECT category, count(*) AS hits, count(DISTINCT file) AS files FROM ({STALE}) GROUP BY category")
+def stale_by_category(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("file"), "text")
-    dangling = drift.dangling_signal(audit.audit(as_markdown(spark, sf_dir).select("name", "text")))
-    return drift.by_signal(drift.collect(drift.stale_signal(drift.stale_strings(d, PATTERNS)), dangling, drift.dep_out_of_date(committed(spark, sf_dir))))
+    return drift.by_category(drift.stale_strings(d, PATTERNS))
 
 
 # --- audit, health, evaluation, telemetry
@@ -417,6 +514,12 @@ def index_health(spark, sf_dir):
     return search.index_health(e, now).select("source_file", "chunk_count", search.stamp(F.col("first_updated")).alias("first_updated"), search.stamp(F.col("last_updated")).alias("last_updated"), "is_stale")
 
 
+@query("""WITH h AS (SELECT event_type || '/' || (user_id % 50) AS f, count(*) AS n, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 24 HOURS AS stale FROM events GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS total_chunks, count(*) AS total_files, count(*) FILTER (stale) AS stale_files FROM h""")
+def health_totals(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.concat_ws("/", "event_type", (F.col("user_id") % 50).cast("string")).alias("source_file"), F.col("ts").alias("updated_at"))
+    return search.health_totals(search.index_health(e, F.lit(e.agg(F.max("updated_at")).first()[0])))
+
+
 @query(f"""WITH {CTE} SELECT count(*) AS total, count(*) FILTER (NOT starts_with(text, 'File: ')) AS without_preamble, round(count(*) FILTER (doc_id % 4 > 0) / count(*), 6) AS git_share, round(count(status) / count(*), 6) AS status_share, CAST(1 AS DOUBLE) AS depends_share FROM syn""")
 def field_coverage(spark, sf_dir):
     c = parsed(spark, sf_dir).select(F.col("text").alias("content"), F.when(F.col("doc_id") % 4 > 0, "sha").alias("git_sha"), "status", "depends_on")
@@ -457,13 +560,26 @@ def tracker_areas(spark, sf_dir):
 @query(f"""WITH {CASCADE}, {CTE}, c AS (SELECT source_file, header AS section_header, sha256('File: ' || source_file || ' · Type: ' || doc_type || ' · Status: ' || CASE WHEN doc_id % 17 = 3 THEN 'done' ELSE coalesce(status, 'unknown') END || ' · Area ' || area || ', ' || header || chr(10) || chr(10) || content) AS content_hash FROM chunks JOIN syn USING (doc_id) WHERE doc_id % 3 > 0)
 SELECT content_hash, min(source_file) AS source_file, min(section_header) AS section_header FROM c GROUP BY content_hash""")
 def incremental_sync(spark, sf_dir):
-    """What a sync leaves: even documents were stored, all others arrive, and each third is deleted."""
-    from ..plans.ingest import index
-    from ..sources.store import keyed_merge
-
-    docs = as_markdown(spark, sf_dir)
-    stored = index(docs.filter("doc_id % 2 = 0").select("source_file", "text"), Settings()).chunks
-    new = index(docs.filter("doc_id % 2 = 1").select("source_file", "text"), Settings()).chunks
-    gone = docs.filter("doc_id % 3 = 0").select("source_file")
-    merged = keyed_merge(stored, new, ["content_hash"]).join(gone, "source_file", "left_anti")
-    return merged.select("content_hash", "source_file", "section_header")
+    """What is stored once even documents were indexed, all others have arrived, and each third was deleted."""
+    return synced(spark, sf_dir).read("doc_chunks").select("content_hash", "source_file", "section_header")
+
+
+def synced(spark, sf_dir) -> Store:
+    """A store in the shared folder that has gone through a reindex, a sync and a deletion."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loam-store-")
+    store, docs, embedder = Store(spark, f"{shared}/store-{uuid.uuid4().hex}"), as_markdown(spark, sf_dir), HashedWords(16)
+    ingest.reindex(store, ingest.index(docs.filter("doc_id % 2 = 0").select("source_file", "text"), Settings()), embedder)
+    none = docs.select("source_file").limit(0)
+    ingest.sync(store, ingest.index(docs.filter("doc_id % 2 = 1").select("source_file", "text"), Settings()), none, embedder)
+    delete_files(store, docs.filter("doc_id % 3 = 0").select("source_file"))
+    return store
+
+
+@query(f"""WITH {CTE}, b AS ({HEADED}), l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM b), o AS (SELECT doc_id, count(*) FILTER (regexp_matches(line, '^#{{1,3}}\\s+\\S')) AS n FROM l GROUP BY doc_id)
+SELECT source_file, 'outline' AS kind, CAST(n AS VARCHAR) AS what FROM syn JOIN o USING (doc_id) WHERE doc_id % 3 > 0
+UNION ALL SELECT source_file, relation, target FROM (SELECT doc_id, source_file, unnest(['depends_on', 'feeds_into', 'also_touches', 'supersedes']) AS relation, unnest([dep, feed, CAST(touch AS VARCHAR), old]) AS target FROM syn) WHERE doc_id % 3 > 0 AND target IS NOT NULL""")
+def stored_files(spark, sf_dir):
+    """Outlines and edges after the same."""
+    store = synced(spark, sf_dir)
+    outlines = store.read("doc_outlines").select("source_file", F.lit("outline").alias("kind"), F.size("outline").cast("string").alias("what"))
+    return outlines.unionByName(store.read("doc_relationships").select("source_file", F.col("relation").alias("kind"), F.col("target").alias("what")))

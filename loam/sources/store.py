@@ -1,7 +1,8 @@
 """The stored tables: Parquet in version folders, one pointer to the current version of all.
 
-A batch writes the whole new version beside the old one and then swaps the pointer, so that readers see all
-of a batch or none. Tables that a batch doesn't touch keep their folder.
+A batch writes the whole new version beside the old one and then a pointer with the next number, which takes its name
+in one rename. Readers take the pointer with the greatest number, so that at any moment they see all of a batch or
+none, and a batch that fails leaves no trace. Tables that a batch doesn't touch keep their folder.
 """
 
 from __future__ import annotations
@@ -23,11 +24,20 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def manifest(self) -> dict[str, str]:
+    def _pointers(self) -> list[tuple[int, object]]:
+        """(number, path) of all pointers, by number."""
         fs, p = self._fs(f"{self.root}/CURRENT")
         if not fs.exists(p):
-            return {}
-        return json.loads(self.spark.read.text(str(p), wholetext=True).first()[0])
+            return []
+        paths = [x.getPath() for x in fs.listStatus(p)]
+        return sorted(((int(x.getName()), x) for x in paths if x.getName().isdigit()), key=lambda x: x[0])
+
+    def _pointed(self, path) -> dict[str, str]:
+        return json.loads(self.spark.read.text(str(path), wholetext=True).first()[0])
+
+    def manifest(self) -> dict[str, str]:
+        found = self._pointers()
+        return self._pointed(found[-1][1]) if found else {}
 
     def read(self, table: str) -> DataFrame:
         folder = self.manifest().get(table)
@@ -41,14 +51,26 @@ class Store:
             folder = f"{name}/v-{uuid.uuid4().hex}"
             df.to(self.spark.createDataFrame([], TABLES[name]).schema).write.parquet(f"{self.root}/{folder}")
             new[name] = folder
-        fs, p = self._fs(f"{self.root}/CURRENT")
-        _, aside = self._fs(f"{self.root}/CURRENT.{uuid.uuid4().hex}")
+        found = self._pointers()
+        n = found[-1][0] + 1 if found else 1
+        fs, aside = self._fs(f"{self.root}/CURRENT/.new-{uuid.uuid4().hex}")
+        _, p = self._fs(f"{self.root}/CURRENT/{n:09d}")
         out = fs.create(aside, True)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        fs.delete(p, False)
-        if not fs.rename(aside, p):
-            raise OSError(f"the pointer of {self.root} was not swapped")
+        if fs.exists(p) or not fs.rename(aside, p):
+            raise OSError(f"another batch has become version {n} of {self.root}")
+
+    def clear(self, keep: int = 2) -> None:
+        """Delete all but the last `keep` versions, and the folders that only older ones point to."""
+        found = self._pointers()
+        used = {folder for _, path in found[-keep:] for folder in self._pointed(path).values()}
+        for _, path in found[:-keep]:
+            for folder in {*self._pointed(path).values()} - used:
+                fs, p = self._fs(f"{self.root}/{folder}")
+                fs.delete(p, True)
+            fs, _ = self._fs(self.root)
+            fs.delete(path, False)
 
     def wipe(self) -> None:
         """Chunks, outlines and edges go; decisions and the query log stay."""

@@ -13,10 +13,10 @@ from ..sources.store import Store
 
 
 def arrivals(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
-    """A stream of (source_file, text), one markdown file a row."""
+    """A stream of (source_file, text, arrived), one markdown file of the folder a row."""
     d = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").load(folder)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return d.select(F.concat(F.lit(f"{prefix}/docs/"), F.url_decode(name)).alias("source_file"), F.col("value").alias("text"))
+    return d.select(F.concat(F.lit(f"{prefix}/docs/"), F.url_decode(name)).alias("source_file"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("arrived"))
 
 
 def upsert(store: Store, settings: Settings, embedder: Embedder):
@@ -24,7 +24,10 @@ def upsert(store: Store, settings: Settings, embedder: Embedder):
     hash, and hashes that are stored already are not embedded again, so the stream keeps no state."""
 
     def run(batch: DataFrame, _: int) -> None:
-        latest = batch.dropDuplicates(["source_file"])
+        # of a file's versions in one batch the last one written, of equals (or where that isn't told) the greatest text
+        if "arrived" not in batch.columns:
+            batch = batch.withColumn("arrived", F.lit(None).cast("timestamp"))
+        latest = batch.groupBy("source_file").agg(F.max(F.struct("arrived", "text"))["text"].alias("text"))
         sync(store, index(latest, settings), batch.sparkSession.createDataFrame([], "source_file string"), embedder)
 
     return run

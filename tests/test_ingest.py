@@ -1,5 +1,6 @@
 """Storing, syncing, streaming and asking: whole paths over small collections."""
 
+import datetime
 import json
 import subprocess
 
@@ -154,3 +155,15 @@ def test_sources(spark, files, tmp_path):
     assert decisions.collect(corpus.decision_docs(spark, str(files))).count() == 0
     store.export_json(drift.top(drift.collect(drift.stale_signal(drift.stale_strings(corpus.scanned(spark, str(files)), ())))), str(tmp_path / "d.json"))
     assert json.loads((tmp_path / "d.json").read_text()) == []
+
+
+def test_versions_of_a_file_and_of_the_store(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "versions"))
+    run = stream.upsert(s, SETTINGS, HashedWords(4))
+    early, late = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 2)
+    run(spark.createDataFrame([("p/docs/a.md", "## H\nnew", late), ("p/docs/a.md", "## H\nold", early)], "source_file string, text string, arrived timestamp"), 0)
+    assert [r.content.endswith("new") for r in s.read("doc_chunks").collect()] == [True]
+    for _ in range(3):
+        s.wipe()
+    s.clear(keep=1)
+    assert s.read("doc_chunks").isEmpty() and len(list((tmp_path / "versions" / "doc_chunks").iterdir())) == 1
