@@ -7,9 +7,9 @@ sort them all, so the shards are made such that equal strings meet in one:
    that follow each other and share it are one run. Only runs whose hash occurs in two places can matter.
 2. The texts of those runs go to shards by hash. Each shard builds the suffix array of its distinct runs by
    Larsson-Sadakane refinement, and Kasai's common prefixes tell which strings start twice in it.
-3. The runs of one hash may be more than a shard holds. They then fill several, and each is merged with those
-   before it by binary search of its strings in their suffix arrays. A hash with more runs than MOST_RUNS isn't
-   collected at all: its strings' digests are counted by a shuffle.
+3. The runs of one hash may be more than a shard holds. They are then made distinct by a shuffle and dealt into blocks;
+   a task gets two blocks, builds their suffix arrays, and merges them by binary search of the strings of one in the
+   other, so that all blocks of a hash meet in pairs and no task holds more than two.
 4. The strings found are joined with their documents and cut out.
 """
 
@@ -23,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, saved
+from .common import drop_saved, saved, with_counts
 from .suffixes import common_prefixes, find, suffix_array
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
-#: Strings of a run at most, bytes of a shard, and runs of one hash that are collected in one task.
-RUN, SHARD, MOST_RUNS = 1024, 2_000_000, 40_000
+#: Strings of a run at most, bytes of a shard, and runs of a hash that are in one shard together; with more, they are
+#: dealt in blocks of so many.
+RUN, SHARD, RUNS = 1024, 2_000_000, 1000
 #: Bytes of a text that are hashed at once.
 BLOCK = 1 << 18
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -85,16 +86,19 @@ def runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return least[first].view(np.int64), first, last, twice
 
 
+#: What tells a row from all others: two hashes of 64 bits.
+ROW = ["u", "v"]
+
+
 def _run_rows(batches):
-    schema = pa.schema([("hash", pa.int64()), ("uid", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("twice", pa.bool_())])
+    schema = pa.schema([("hash", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("twice", pa.bool_())])
     for batch in batches:
         held, size = [], 0
-        for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-            raw = text.as_py()
-            found = runs(raw)
-            if len(found[0]):
-                held.append((found[0], np.full(len(found[0]), uid), found[1].astype(np.int32), found[2].astype(np.int32), found[3]))
-                size += len(found[0])
+        for u, v, text in zip(*(batch.column(c).to_pylist() for c in ROW), batch.column("text").cast(pa.binary()), strict=True):
+            h, first, last, twice = runs(text.as_py())
+            if len(h):
+                held.append((h, np.full(len(h), u), np.full(len(h), v), first.astype(np.int32), last.astype(np.int32), twice))
+                size += len(h)
             if size > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
                 held, size = [], 0
@@ -103,25 +107,25 @@ def _run_rows(batches):
 
 
 def _pieces(batches):
-    """Candidate texts with their runs -> the runs' bytes; `many`: their hash has too many runs to collect."""
+    """Candidate texts with their runs -> the runs' bytes and digests."""
+    schema = pa.schema([("hash", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("first", pa.int32()), ("piece", pa.binary()), ("digest", pa.binary())])
+
+    def rows(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
     for batch in batches:
         out, size = [], 0
-        for uid, text, some in zip(batch.column("uid").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("runs"), strict=True):
-            raw, v = text.as_py(), some.values
-            c = {n: v.field(n).to_pylist() for n in ("hash", "first", "last", "many")}
-            for h, a, b, many in sorted(set(zip(c["hash"], c["first"], c["last"], c["many"], strict=True))):
-                out.append((h, uid, a, raw[a : b + LENGTH], many))
-                size += b + LENGTH - a
-            if size > 4_000_000:
-                yield _piece_batch(out)
-                out, size = [], 0
+        for u, v, text, some in zip(*(batch.column(c).to_pylist() for c in ROW), batch.column("text").cast(pa.binary()), batch.column("runs"), strict=True):
+            raw, own = text.as_py(), some.values
+            for h, a, b in sorted(set(zip(*(own.field(n).to_pylist() for n in ("hash", "first", "last")), strict=True))):
+                piece = raw[a : b + LENGTH]
+                out.append((h, u, v, a, piece, xxhash.xxh3_128_digest(piece)))
+                size += len(piece)
+                if size > 4_000_000:
+                    yield rows(out)
+                    out, size = [], 0
         if out:
-            yield _piece_batch(out)
-
-
-def _piece_batch(out):
-    h, uid, first, piece, many = zip(*out, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(uid, pa.int64()), pa.array(first, pa.int32()), pa.array(piece, pa.binary()), pa.array(many, pa.bool_())], ["hash", "uid", "first", "piece", "many"])
+            yield rows(out)
 
 
 class Shard:
@@ -168,88 +172,117 @@ def spans_of(marks: np.ndarray) -> list[tuple[int, int]]:
 
 def _sharded(shard_bytes: int):
     def run(batches):
-        """Runs, those of one hash together -> (uid, begin, end) of repeated bytes."""
-        out: list[tuple[int, int, int]] = []
-        held: dict[bytes, list[tuple[int, int]]] = {}  # run -> its places
+        """Runs, those of one hash together -> (u, v, begin, end) of repeated bytes."""
+        out: list[tuple[int, int, int, int]] = []
+        held: dict[bytes, list[tuple[int, int, int]]] = {}  # run -> its places
         size, key = 0, None
-        earlier: list[tuple[Shard, list]] = []  # full shards of the same hash
-
-        def close(more: bool):
-            """The runs held become a shard. more: others of the same hash follow."""
-            nonlocal held, size, earlier
-            if held:
-                shard = Shard(list(held))
-                for before, _ in earlier:
-                    before.merge(shard)
-                earlier.append((shard, list(held.values())))
-                held, size = {}, 0
-            if not more:
-                for shard, places in earlier:
-                    for marks, at in zip(shard.marked(), places, strict=True):
-                        spans = spans_of(marks | (len(at) > 1))
-                        out.extend((uid, first + a, first + b) for uid, first in at for a, b in spans)
-                earlier = []
+
+        def close():
+            nonlocal held, size
+            for marks, places in zip(Shard(list(held)).marked(), held.values(), strict=True):
+                spans = spans_of(marks | (len(places) > 1))
+                out.extend((u, v, first + a, first + b) for u, v, first in places for a, b in spans)
+            held, size = {}, 0
 
         def batch_of():
-            got = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["uid", "begin", "end"])
+            got = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], [*ROW, "begin", "end"])
             out.clear()
             return got
 
-        known: dict[bytes, list] = {}
         for batch in batches:
-            for h, uid, first, piece in zip(*(batch.column(n).to_pylist() for n in ("hash", "uid", "first", "piece")), strict=True):
+            for h, u, v, first, piece in zip(*(batch.column(n).to_pylist() for n in ("hash", "u", "v", "first", "piece")), strict=True):
                 if h != key:
-                    if size > shard_bytes or earlier:
-                        close(False)
-                    key, known = h, {}
-                elif size > shard_bytes:
-                    close(True)
-                if piece not in known:
-                    known[piece] = held[piece] = []
+                    if size > shard_bytes:
+                        close()
+                    key = h
+                if piece not in held:
+                    held[piece] = []
                     size += len(piece)
-                known[piece].append((uid, first))
+                held[piece].append((u, v, first))
             if len(out) > 50_000:
                 yield batch_of()
-        close(False)
-        if out:
-            yield batch_of()
+        if held:
+            close()
+        yield batch_of()
 
     return run
 
 
-def _string_digests(batches):
+def _merged(batches):
+    """Distinct runs (hash, i, j, block, digest, piece, copies), those of one (hash, i, j) together -> (hash, digest,
+    begin, end) of bytes of a run that also stand in another, or in another place of the same."""
+    schema = pa.schema([("hash", pa.int64()), ("digest", pa.binary()), ("begin", pa.int64()), ("end", pa.int64())])
+    key, held, out = None, {}, []
+
+    def close():
+        shards = {block: Shard([piece for _, piece, _ in rows]) for block, rows in held.items()}
+        if len(shards) == 2:
+            one, other = shards.values()
+            one.merge(other)
+        for block, shard in shards.items():
+            for marks, (digest, _, copies) in zip(shard.marked(), held[block], strict=True):
+                out.extend((key[0], digest, a, b) for a, b in spans_of(marks | (copies > 1)))
+        held.clear()
+
+    def rows_of():
+        got = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(schema.types)], schema=schema)
+        out.clear()
+        return got
+
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            rows = zip(*(part.column(n).to_pylist() for n in ("uid", "first", "piece")), strict=True)
-            out = [(xxhash.xxh3_128_digest(piece[i : i + LENGTH]), uid, first + i) for uid, first, piece in rows for i in range(len(piece) - LENGTH + 1)]
-            digest, uid, begin = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(uid, pa.int64()), pa.array(begin, pa.int64())], ["digest", "uid", "begin"])
-
-
-def repeated_spans(texts: DataFrame, shard_bytes: int = SHARD, most_runs: int = MOST_RUNS) -> tuple[DataFrame, DataFrame]:
-    """texts (uid, text) -> (spans (uid, begin, end) of repeated bytes, which may overlap; candidates (uid, text):
-    the texts that may have any)."""
-    rows = saved(texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_run_rows, "hash long, uid long, first int, last int, twice boolean"), "runs")
-    often = rows.groupBy("hash").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).filter("n > 1 OR twice").select("hash", (F.col("n") > most_runs).alias("many"))
-    found = rows.drop("twice").join(often, "hash").groupBy("uid").agg(F.collect_list(F.struct("hash", "first", "last", "many")).alias("runs"))
-    candidates = saved(texts.join(found, "uid"), "candidates")
+        for h, i, j, block, digest, piece, copies in zip(*(batch.column(n).to_pylist() for n in ("hash", "i", "j", "block", "digest", "piece", "copies")), strict=True):
+            if (h, i, j) != key:
+                if held:
+                    close()
+                key = h, i, j
+            held.setdefault(block, []).append((digest, piece, copies))
+        if len(out) > 50_000:
+            yield rows_of()
+    if held:
+        close()
+    yield rows_of()
+
+
+def _dealt(places: DataFrame, most: int) -> DataFrame:
+    """The runs of hashes that have many -> spans. Equal runs become one first; the distinct runs of a hash are dealt into
+    blocks of about `most`, and each two blocks meet in a task."""
+    distinct = saved(places.groupBy("hash", "digest").agg(F.first("piece").alias("piece"), F.count("*").alias("copies")), "distinct-runs")
+    sizes = saved(distinct.groupBy("hash").agg(F.count("*").alias("n")), "hash-sizes")
+    d = with_counts(distinct, sizes, "hash").withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
+    d = d.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("hash", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "digest", "piece", "copies")
+    spans = d.repartition("hash", "i", "j").sortWithinPartitions("hash", "i", "j").mapInArrow(_merged, "hash long, digest binary, begin long, end long").distinct()
+    # a run with very many copies makes this join skewed, not large: AQE splits its side of places
+    found = places.select("hash", "digest", *ROW, "first").join(spans, ["hash", "digest"])
+    return found.select(*ROW, (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end"))
+
+
+def repeated_spans(texts: DataFrame, shard_bytes: int = SHARD, most: int = RUNS) -> tuple[DataFrame, DataFrame]:
+    """texts (u, v, text) -> (spans (u, v, begin, end) of repeated bytes, which may overlap; candidates (u, v, text): the
+    texts that may have any)."""
+    rows = saved(texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_run_rows, "hash long, u long, v long, first int, last int, twice boolean"), "runs")
+    often = saved(rows.groupBy("hash").agg(F.count("*").alias("n"), F.max("twice").alias("again")).filter("n > 1 OR again").select("hash", "n"), "hashes")
+    found = with_counts(rows.drop("twice"), often, "hash").groupBy(*ROW).agg(F.collect_list(F.struct("hash", "first", "last", "n")).alias("runs"))
+    candidates = saved(texts.join(found, ROW), "candidates")
     drop_saved(rows)
-    pieces = candidates.mapInArrow(_pieces, "hash long, uid long, first int, piece binary, many boolean")
-    few = pieces.filter("NOT many").select("hash", "uid", "first", "piece")
-    spans = few.repartition("hash").sortWithinPartitions("hash").mapInArrow(_sharded(shard_bytes), "uid long, begin long, end long")
-    if not candidates.filter(F.exists("runs", lambda r: r["many"])).isEmpty():
-        strings = pieces.filter("many").mapInArrow(_string_digests, "digest binary, uid long, begin long")
-        twice = strings.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-        spans = spans.unionByName(strings.join(twice, "digest").select("uid", "begin", (F.col("begin") + LENGTH).alias("end")))
-    return spans, candidates.select("uid", "text")
+    drop_saved(often)
+
+    def places(cond) -> DataFrame:
+        some = candidates.withColumn("runs", F.filter("runs", cond)).filter(F.size("runs") > 0)
+        return some.mapInArrow(_pieces, "hash long, u long, v long, first int, piece binary, digest binary")
+
+    few = places(lambda r: r["n"] <= most).select("hash", *ROW, "first", "piece")
+    spans = few.repartition("hash").sortWithinPartitions("hash").mapInArrow(_sharded(shard_bytes), "u long, v long, begin long, end long")
+    if not candidates.filter(F.exists("runs", lambda r: r["n"] > most)).isEmpty():
+        spans = spans.unionByName(_dealt(places(lambda r: r["n"] > most), most))
+    return spans, candidates.select(*ROW, "text")
 
 
 def _cut(batches):
-    """Texts with spans -> what is left: uid, n_removed, n_spans, kept text, its digest, spans."""
+    """Texts with spans -> what is left: u, v, n_removed, n_spans, and the digest of the kept text."""
     for batch in batches:
         out = []
-        for uid, text, spans in zip(batch.column("uid").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("spans"), strict=True):
+        for u, v, text, spans in zip(*(batch.column(c).to_pylist() for c in ROW), batch.column("text").cast(pa.binary()), batch.column("spans"), strict=True):
             raw, merged = text.as_py(), []
             for a, b in sorted(zip(spans.values.field("begin").to_pylist(), spans.values.field("end").to_pylist(), strict=True)):
                 if merged and a <= merged[-1][1]:
@@ -261,15 +294,15 @@ def _cut(batches):
                 kept.append(raw[at:a])
                 at = b
             kept = b"".join([*kept, raw[at:]])
-            out.append((uid, len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest()))
-        uid, removed, n, digest = zip(*out, strict=True) if out else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string())], ["uid", "n_removed", "n_spans", "kept_sha256"])
+            out.append((u, v, len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest()))
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())], [*ROW, "n_removed", "n_spans", "kept_sha256"])
 
 
-def with_uid(docs: DataFrame) -> DataFrame:
-    """uid: the same for rows that are the same; a null text is empty."""
+def with_row(docs: DataFrame) -> DataFrame:
+    """u and v: the same for rows that are the same, and for no others; a null text is empty."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("uid"))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("u"), F.xxhash64(F.lit(1), text, "doc_id").alias("v"))
 
 
 def remove_repeats(docs: DataFrame, **limits) -> DataFrame:
@@ -278,12 +311,12 @@ def remove_repeats(docs: DataFrame, **limits) -> DataFrame:
     A null text is empty; a text below LENGTH bytes loses nothing; repeated rows are texts of their own, so from
     LENGTH bytes on both lose all; null ids keep their rows; extra columns are ignored; no rows give no rows.
     Cuts are made between bytes, inside a character too, so what is left is told by its digest."""
-    rows = with_uid(docs)
-    spans, candidates = repeated_spans(rows.select("uid", "text"), **limits)
-    cuts = spans.groupBy("uid").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    cut = candidates.join(cuts, "uid").mapInArrow(_cut, "uid long, n_removed long, n_spans long, kept_sha256 string").distinct()
-    whole = rows.select("doc_id", "uid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("all_sha256"))
-    out = whole.join(cut, "uid", "left")
+    rows = with_row(docs)
+    spans, candidates = repeated_spans(rows.select(*ROW, "text"), **limits)
+    cuts = spans.groupBy(*ROW).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    cut = candidates.join(cuts, ROW).mapInArrow(_cut, "u long, v long, n_removed long, n_spans long, kept_sha256 string").distinct()
+    whole = rows.select("doc_id", *ROW, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("all_sha256"))
+    out = whole.join(cut, ROW, "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"))
 
