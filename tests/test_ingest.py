@@ -158,7 +158,7 @@ def test_sources(spark, files, tmp_path):
 
 
 def test_versions_of_a_file_and_of_the_store(spark, tmp_path):
-    s = Store(spark, str(tmp_path / "versions"))
+    s = store.Store(spark, str(tmp_path / "versions"))
     run = stream.upsert(s, SETTINGS, HashedWords(4))
     early, late = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 2)
     run(spark.createDataFrame([("p/docs/a.md", "## H\nnew", late), ("p/docs/a.md", "## H\nold", early)], "source_file string, text string, arrived timestamp"), 0)
