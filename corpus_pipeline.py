@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from loam.llm import decontaminate, langid, minhash, mixing, tokens
 from loam.llm.common import saved, table
 
+#: The stages before leave less of an executor's memory than a job of its own has.
+TOKEN_CACHE = 100_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -35,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.encode_table(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.encode_table(docs, public_tokenizers.path("byte_bpe_50k.json"), TOKEN_CACHE)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mix_sources", mix_sources), ("token_output", token_output)]
