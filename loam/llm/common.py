@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,24 @@ def drop_saved(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Hand memory that Python no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def giving_back(run):
+    """A task's function over batches that gives memory back when it ends: workers are used again, by other stages too."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def with_counts(rows: DataFrame, counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     """The inner join of rows with counts, which has one row for each long key, with how many rows have it in n. counts
     is a saved table. Hot keys are few (see MOST_HOT), so that their rows of counts are broadcast, and their rows stay

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bucket
+from .common import bucket, giving_back
 from .pieces import expected_counts, log_likelihoods, vocabulary
 
 ROUNDS, SMOOTHING = 2, 0.01
@@ -109,7 +109,7 @@ def floors(docs: DataFrame, model_file: str, languages: list[str], model: np.nda
     if not languages:
         return np.zeros(0)
     labelled = docs.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = labelled.mapInArrow(_fitted(model_file, languages, model), "lang_no int, log double, chars double").groupBy("lang_no").agg(F.sum("log").alias("log"), F.sum("chars").alias("chars")).toPandas()
+    rows = labelled.mapInArrow(giving_back(_fitted(model_file, languages, model)), "lang_no int, log double, chars double").groupBy("lang_no").agg(F.sum("log").alias("log"), F.sum("chars").alias("chars")).toPandas()
     out = np.full(len(languages), -np.inf)
     rows = rows[rows.chars > 0]
     out[rows.lang_no] = np.round(rows.log / rows.chars, 6) - below
@@ -125,7 +125,7 @@ def train(docs: DataFrame, model_file: str, rounds: int = ROUNDS) -> tuple[list[
     size = vocabulary(model_file).size + 1
     model = np.full((len(languages), size), 1 / size)
     for _ in range(rounds if languages else 0):
-        uses = labelled.mapInArrow(_expected(model_file, languages, model), "lang_no int, piece int, uses double")
+        uses = labelled.mapInArrow(giving_back(_expected(model_file, languages, model)), "lang_no int, piece int, uses double")
         rows = uses.groupBy("lang_no", "piece").agg(F.sum("uses").alias("uses")).toPandas()
         sums = np.zeros((len(languages), size))
         sums[rows.lang_no, rows.piece] = rows.uses
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model_file: str, languages: list[str], model: np.nd
     lang_pred is `und` and score 0 if the text is null or has no letter, or no language was learned; score is the
     share of the best language in the evidence. Repeated rows and null ids keep a row each; extra columns are
     ignored; no rows give no rows. A text is read whole."""
-    return docs.select("doc_id", "text").mapInArrow(_predict(model_file, languages, model, ["doc_id"]), "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(_predict(model_file, languages, model, ["doc_id"])), "doc_id long, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, model_file: str, least: float = LEAST_SCORE) -> DataFrame:
@@ -191,7 +191,7 @@ def recognised(docs: DataFrame, model_file: str, least: float = LEAST_SCORE) ->
     floor = floors(learned, model_file, languages, model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = StructType([docs.schema[c] for c in names]).add("lang_pred", "string").add("score", "double")
-    found = docs.select(*names).mapInArrow(_predict(model_file, languages, model, names, floor), schema)
+    found = docs.select(*names).mapInArrow(giving_back(_predict(model_file, languages, model, names, floor)), schema)
     found = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
 

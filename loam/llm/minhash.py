@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_saved, saved, with_counts
+from .common import drop_saved, giving_back, saved, with_counts
 from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -132,7 +132,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     sketch = lambda c: nodes.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}")).hint("merge")
     near = saved(pairs.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(_alike, "a long, b long").distinct(), "pairs")
     text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
-    return near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long").distinct()
+    return near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(giving_back(_confirmed), "a long, b long").distinct()
 
 
 def _sets(batches):
@@ -158,7 +158,7 @@ def prefixes(texts: DataFrame) -> DataFrame:
 
     Shingles are ordered by their frequency among these sets. Those of one set alone come first and can't meet
     any other, so they are only counted."""
-    rows = texts.mapInArrow(_sets, "rep long, n long, set long, shingles array<long>").select("rep", "n", "set", F.explode("shingles").alias("shingle"))
+    rows = texts.mapInArrow(giving_back(_sets), "rep long, n long, set long, shingles array<long>").select("rep", "n", "set", F.explode("shingles").alias("shingle"))
     held = saved(rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
     shared = with_counts(rows, held, "shingle", "df")
     own = Window.partitionBy("rep", "set")
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A null or empty text, or one of white space, has an empty set and is linked with nothing. Rows with the same
     id are one document, linked through any of their texts. A row without id is linked with nothing: its
     component_id is null and it is kept. Extra columns are ignored; no rows give no rows."""
-    signed = saved(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "signed")
+    signed = saved(docs.select("doc_id", "text").mapInArrow(giving_back(_signed), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "signed")
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
     nodes = full.join(reps.withColumnRenamed("digest", "d"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d"))).select("rep", "bands", "sketch")
