@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, saved, table
+from .common import giving_back, new_path, saved, table
 
 END_ID = 2
 #: Chunks of text whose ids a Python worker keeps at most, in each of two generations: some 40 MB each.
@@ -32,8 +32,8 @@ ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "or
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, cache: int = CACHE) -> Encoder:
+    return Encoder(path, cache)
 
 
 #: A place between chunks.
@@ -51,7 +51,8 @@ class Encoder:
 
     Chunks are known by what follows their space; what has none, or more than one, by itself after a space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,7 +79,7 @@ class Encoder:
         out, held = [], ""
 
         def close():
-            out.append(held[1:] if held[0] == " " and not held[1:2].isspace() and len(held) > 1 else " " + held)
+            out.append(held[1:] if held[0] == " " and len(held) > 1 and not held[1].isspace() and not held[-1].isspace() else " " + held)
 
         for k, part in enumerate(text.split(" ")):
             if not part:
@@ -124,7 +125,7 @@ class Encoder:
                 self.kept[c] = self.older[c]
             self.learn(list(missing.difference(self.older)))
         out = [b"".join(map(self.kept.__getitem__, s)) for s in split]
-        if len(self.kept) > CACHE:
+        if len(self.kept) > self.cache:
             self.kept, self.older = {}, self.kept
         return out
 
@@ -158,9 +159,9 @@ class Encoder:
             yield from self.plain(held)
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, cache: int):
     def run(batches):
-        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, cache), np.array([end_id], "<u4").tobytes()
 
         def rows(part, flat):
             offsets = np.zeros(len(flat) + 1, np.int32)
@@ -183,16 +184,17 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None, cache: int = CACHE) -> None:
     """Write docs (doc_id, text) as ORC (doc_id, shard, ids): one file a range of doc_id, in ascending order.
 
     A null text is empty and has the end id alone; null ids come first; rows with the same id stay together, in
     the order of their texts; extra columns are ignored; no rows make a readable table without rows. `shards`:
-    the number of ranges (the session's shuffle partitions if none)."""
+    the number of ranges (the session's shuffle partitions if none). `cache`: see CACHE; it changes the time and memory
+    that a task takes, not what it writes."""
     rows = docs.select("doc_id", "text")
     dealt = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
     dealt = dealt.withColumn("shard", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(_encode(tokenizer, end_id), "doc_id long, shard int, ids array<int>").write.options(**ORC).orc(path)
+    dealt.mapInArrow(giving_back(_encode(tokenizer, end_id, cache)), "doc_id long, shard int, ids array<int>").write.options(**ORC).orc(path)
 
 
 def _checksums(batches):
@@ -211,7 +213,7 @@ def index(tokens: DataFrame) -> DataFrame:
 
     The ids are read once; what is left of each row is kept in a table. Offsets run within a shard; the shards'
     own offsets come from one sum for each (there are as many as files, so they fit a broadcast)."""
-    rows = saved(tokens.mapInArrow(_checksums, "doc_id long, shard int, n_tokens long, ids_crc32 long"), "token-rows")
+    rows = saved(tokens.mapInArrow(giving_back(_checksums), "doc_id long, shard int, n_tokens long, ids_crc32 long"), "token-rows")
     sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("shard").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -224,11 +226,11 @@ def lookup(spark, path: str, doc_ids: list[int]) -> DataFrame:
     return spark.read.orc(path).filter(F.col("doc_id").isin(doc_ids))
 
 
-def encode_table(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode_table(docs: DataFrame, tokenizer: str, cache: int = CACHE) -> DataFrame:
     """Write docs into the shared folder, read the files back and index them."""
     spark = docs.sparkSession
     path = new_path(spark, "orc")
-    write(docs, path, tokenizer)
+    write(docs, path, tokenizer, cache=cache)
     rows = spark.read.schema("doc_id long, shard int, ids array<int>").orc(path)
     return index(rows)
 
