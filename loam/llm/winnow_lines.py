@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, with_counts
 
 WINDOW = 3
 #: Words from which a run counts however few its lines are.
@@ -105,14 +105,13 @@ def _candidates(window: int):
 def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, uid, text) -> doc_id, uid, first, stop: later runs of lines, by their places among the lines
     that are not blank. Rows of one document may overlap."""
-    twice = docs.mapInArrow(_prints(window), "print long").groupBy("print").count().filter("count > 1")
-    # tables of what is repeated, so that a frequent key's side of the join can be split
-    twice = saved(twice.select("print"), "prints")
+    twice = docs.mapInArrow(_prints(window), "print long").groupBy("print").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = saved(twice, "prints")
     every = docs.mapInArrow(_candidates(window), "doc_id long, uid long, print long, run long, first int, stop int")
-    found = saved(every.join(twice, "print").drop("print"), "candidates")
+    found = saved(with_counts(every, twice, "print").drop("print", "n"), "candidates")
     anchors = found.groupBy("run").agg(F.min(F.struct("doc_id", "uid", "first")).alias("anchor"), F.count("*").alias("n")).filter("n > 1")
-    anchors = saved(anchors.select("run", "anchor"), "anchors")
-    return found.join(anchors, "run").filter(~F.struct("doc_id", "uid", "first").eqNullSafe(F.col("anchor"))).select("doc_id", "uid", "first", "stop")
+    later = with_counts(found, saved(anchors, "anchors"), "run").filter(~F.struct("doc_id", "uid", "first").eqNullSafe(F.col("anchor")))
+    return later.select("doc_id", "uid", "first", "stop")
 
 
 def _cut(batches):
