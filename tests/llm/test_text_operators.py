@@ -1,7 +1,9 @@
 """Each corpus operator on odd rows, against brute force on small fixtures."""
 
 import hashlib
+import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -45,6 +47,8 @@ def none(docs):
     return docs.limit(0)
 
 
+
+
 def words(text):
     return (text or "").encode().split()
 
@@ -67,6 +71,28 @@ def test_compression(docs, none):
     assert not compression.measure(noise, squeeze)[6] and not compression.measure(" ".join(f"w{k % 40}" for k in range(3000)), squeeze)[6]
 
 
+def test_compression_beside_peers(spark):
+    """Each limit alone: low, high, chunks, and the distance from texts of the same length."""
+    pick = random.Random(5)
+    usual = [(k, prose(400, 3000 + k)) for k in range(60)]
+    dull = " ".join(pick.choice(["alpha", "beta", "gamma", "delta", "eps"]) + pick.choice("abcdefgh") for _ in range(500))
+    got = {r.doc_id: r for r in compression.compression_bands(spark.createDataFrame([*usual, (900, dull)], "doc_id long, text string"), fewest=50).collect()}
+    assert all(got[k].kept for k, _ in usual) and not got[900].base_failed and not got[900].kept
+    alone = compression.compression_bands(spark.createDataFrame([(900, dull)], "doc_id long, text string")).collect()[0]
+    low, high = compression.BANDS[alone.band][1:]
+    assert alone.kept == (low <= alone.ratio <= high and alone.n_chunks_out <= compression.CHUNK_SHARE * alone.n_chunks)
+
+
+def test_hot_keys_meet_their_counts(spark, monkeypatch):
+    from loam.llm import common
+
+    monkeypatch.setattr(common, "HOT", 3)
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(200)] + [(99, 1)], "key long, x long")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("x").alias("most")).filter("key <> 99")
+    got = common.with_counts(rows, common.saved(counts, "counts"), "key")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(counts, "key").select("key", "x", "n", "most").collect()))
+
+
 def test_compression_tells_encoded_text_from_prose():
     import base64
     from pydoc_data.topics import topics
@@ -189,6 +215,26 @@ def test_long_stretches_of_rare_letters(spark):
         assert all(0 <= got[i].score <= 1 for i in got) and all(got[i].lang_pred == lang for i, _, lang in rows if learned is df or i % 10)
 
 
+def test_words_of_any_length_and_letters_alone(spark, monkeypatch):
+    from loam.llm import pieces
+
+    assert [w for some in langid.words("Ab½c ² Ⅷ x_y 1é") for w in some] == ["ab", "c", "x", "y", "é"]
+    monkeypatch.setattr(langid, "BLOCK", 5)
+    assert Counter(w for some in langid.words("one two  three four5six") for w in some) == Counter(["one", "two", "three", "four", "six"])
+    vocabulary = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    draw = np.random.default_rng(4)
+    model = draw.random((3, vocabulary.size + 1)) ** 9
+    model /= model.sum(1, keepdims=True)
+    known, times = ["▁" + "".join(draw.choice(list("etaoinß漢"), n)) for n in (3, 20, 45, 63)], np.array([2.0, 1.0, 3.0, 1.0])
+    logs, uses = pieces.log_likelihoods(vocabulary, model, known), pieces.expected_counts(vocabulary, model[0], known, times)
+    monkeypatch.setattr(pieces, "LONG_WORD", 1)
+    assert np.allclose(logs, pieces.log_likelihoods(vocabulary, model, known)) and np.allclose(uses, pieces.expected_counts(vocabulary, model[0], known, times))
+    assert np.isfinite(pieces.log_likelihoods(vocabulary, model, ["▁" + "漢a" * 3000])).all()
+    rows = [(k, "the old house", "en") for k in range(9)] + [(10 + k, f"l{k}", f"l{k:03}") for k in range(205)] + [(300, "½ ² Ⅷ 12", "en")]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model"))
+    assert got.count() == len(rows) and [r.lang_pred for r in got.filter("doc_id = 300").collect()] == ["und"]
+
+
 def test_unknown_languages_go(spark):
     from pydoc_data.topics import topics
 
@@ -252,6 +298,27 @@ def test_near_duplicate_chains_and_blocks(spark, monkeypatch):
     assert got == classes(rows)
 
 
+def test_near_duplicates_of_generated_copies(spark):
+    """Recall and precision against all pairs."""
+    pick, rows = random.Random(8), []
+    for k in range(40):
+        base = prose(pick.randint(6, 120), 5000 + k).split()
+        for c in range(4):
+            copy = list(base)
+            for _ in range(pick.randint(0, 4)):
+                copy[pick.randrange(len(copy))] = f"new{pick.randint(0, 9)}"
+            rows.append((10 * k + c, " ".join(copy)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [t.lower().split()]]
+    least = {i: i for i, _ in rows}
+    for _ in rows:
+        for (a, _), s in zip(rows, sets, strict=True):
+            for (b, _), t in zip(rows, sets, strict=True):
+                if a // 10 == b // 10 and 100 * len(s & t) >= 75 * len(s | t):
+                    least[a] = least[b] = min(least[a], least[b])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == least
+
+
 def test_line_dedup(docs, none, spark):
     lines = [prose(6, 300 + k).replace("\n", " ") for k in range(12)]
     rows = [(1, "\n".join(lines[:6])), (2, "\n".join([lines[9], *lines[1:5], lines[8]])), (3, "\n".join([lines[7]] * 5)), (4, "\n".join(lines[:2])), (5, "\n".join(["x", "", *lines[2:5], "", "y"])), (6, "\n".join(lines[6:9] + lines[:6]))]
@@ -331,6 +398,15 @@ def test_chat_digests(spark):
     loss = "bç</s>ç</s>"
     assert (got[5].n_turns, got[5].turns_sha256, got[5].loss_chars, got[5].loss_sha256) == (4, hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert (got[6].n_turns, got[6].loss_chars) == (1, 0)
+    many = [(k, t, ("user", "assistant")[t % 2], prose(6, 40 * k + t)) for k in range(8) for t in range(6)] + [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    log = chat.as_events(spark.createDataFrame(many, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(chat.KINDS)
+    got = {r.conv_id: r for r in chat.digests(chat.reconstruct(log)).collect()}
+    for conv in {r[0] for r in many}:
+        own = [r for r in many if r[0] == conv]
+        loss = "".join(t for _, _, role, t in own if role == "assistant")
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, _, role, t in own).encode()).hexdigest()
+        assert (got[conv].n_turns, got[conv].loss_chars, got[conv].loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
 def test_quality(docs, none, spark):
@@ -346,12 +422,42 @@ def test_quality(docs, none, spark):
     assert len(odd) == len(ROWS) and {r.score for r in odd} == {0.5} and quality.quality(none, labels).count() == 0
 
 
+def test_word_vectors(docs):
+    index, tokens_of = quality.index_vectors().astype(int), quality.Tokens()
+    want = np.zeros((quality.ROWS, quality.DIM))
+    for _, text, *_ in ROWS:
+        ids = tokens_of.ids(text)
+        for i, a in enumerate(ids):
+            for j in range(max(0, i - quality.NEAR), min(len(ids), i + quality.NEAR + 1)):
+                if i != j:
+                    want[a] += index[ids[j]]
+    size = np.abs(want).sum()
+    want -= np.abs(want).sum(1, keepdims=True) * want.sum(0) / size
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.abs(quality.word_vectors(docs) - want).max() < 1e-5
+
+
+def test_calibration():
+    """Noisy labels make an overtrained network too sure of itself; its temperature brings its scores near the truth."""
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(4000, 10))
+    y = (draw.random(4000) < 1 / (1 + np.exp(-x[:, 0] - x[:, 1]))).astype(float)
+    network = quality.Network(10).fit(x[:2000], y[:2000])
+    score = network.score(x[2000:])
+    bins = np.minimum((score * 10).astype(int), 9)
+    error = sum(abs(score[bins == b].mean() - y[2000:][bins == b].mean()) * (bins == b).mean() for b in range(10) if (bins == b).any())
+    assert network.temperature > 1 and error < 0.06
+    unsure = quality.Network(2)
+    unsure.w2 *= 0
+    clear = np.repeat([[2.0, 0.0], [-2.0, 0.0]], 500, 0)
+    assert 0.25 <= quality.Network(2).fit(clear, (clear[:, 0] > 0).astype(float)).temperature < 1
+
+
 def test_tokens(docs, none, spark, tmp_path):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = sorted(tokens.encode_table(docs, path).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((i for i, *_ in ROWS), key=lambda i: (i is not None, i or 0))
     at = 0
@@ -370,12 +476,33 @@ def test_tokens(docs, none, spark, tmp_path):
     assert len(one) == 1 and t.decode(one[0].ids[:-1]) == "one two" and "PushedFilters: [In(doc_id" in tokens.lookup(spark, f"{tmp_path}/t", [8, 9])._jdf.queryExecution().toString()
 
 
-def test_chunked_encoding_is_the_librarys():
-    e = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+def test_token_files_have_indexes_and_bloom_filters(spark, tmp_path):
+    rows = spark.createDataFrame([(3 * k, "a b") for k in range(5000)], "doc_id long, text string")
+    tokens.write(rows, f"{tmp_path}/t", public_tokenizers.path("byte_bpe_50k.json"), shards=1)
+    (part,) = [f for f in os.listdir(f"{tmp_path}/t") if f.endswith(".orc")]
+    orc, path = spark._jvm.org.apache.orc.OrcFile, spark._jvm.org.apache.hadoop.fs.Path(f"{tmp_path}/t/{part}")
+    reader = orc.createReader(path, orc.readerOptions(spark._jsc.hadoopConfiguration()))
+    assert reader.getRowIndexStride() == 1000
+    kinds = [(x.getKind().toString(), x.getColumn()) for x in reader.rows().readStripeFooter(reader.getStripes()[0]).getStreamsList()]
+    assert ("BLOOM_FILTER_UTF8", 1) in kinds and ("ROW_INDEX", 1) in kinds and reader.getSchema().getFieldNames()[0] == "doc_id"
+    assert [r.doc_id for r in tokens.lookup(spark, f"{tmp_path}/t", [9, 10]).collect()] == [9]
+
+
+def test_chunked_encoding_is_the_librarys(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, library = tokens.encoder(path, 20), Tokenizer.from_file(path)
+    library_ids = lambda x: np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    assert np.frombuffer(e("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    monkeypatch.setattr(tokens, "BLOCK", 30)
+    some = []
     parts = [" ", "  ", "\n", "a", "b's", "é", "1", "!", "\t", " ", "　", " \n", "x", "<|endoftext|>", "\x1c", "日本"]
     for _ in range(3000):
         x = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert np.frombuffer(e([x])[0], "<u4").tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids
+        assert e(x) == library_ids(x)
+        some.append(x)
+    assert list(e.each(some)) == list(map(library_ids, some))
 
 
 def test_mixing(docs, none):
@@ -452,7 +579,7 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"shard_bytes": 1500}, {"most_runs": 2}])
+@pytest.mark.parametrize("limits", [{}, {"shard_bytes": 1500}, {"most": 2}])
 def test_repeats(spark, limits):
     shared = prose(100, 40)
     rows = [(k, prose(40, 800 + k) + " " + shared[k * 7 :] + prose(30, 900 + k)) for k in range(25)] + [(100, "ab" * 400), (101, "x" * 150 + "x" * 51), (102, "z" * 200), (103, shared), (103, shared), (None, shared[:250]), (104, None), (105, "q" * 5000 + shared + "q" * 300)]
@@ -479,19 +606,24 @@ def edit_distance(pattern, text):
 
 
 def test_decontamination(docs, none, spark):
-    items, rows = [(k, prose(rng.randint(4, 25), 60 + k)) for k in range(12)] + [(50, "short"), (51, None), (None, prose(12, 99)), (3, prose(12, 98))], []
+    items, rows = [(k, prose(rng.randint(4, 25), 60 + k)) for k in range(12)] + [(50, "Short one"), (52, "  "), (51, None), (None, prose(12, 99)), (3, prose(12, 98))], []
     for k in range(40):
         quoted = list(rng.choice([t for _, t in items if t]))
         for _ in range(rng.randint(0, 8)):
             quoted[rng.randrange(len(quoted))] = rng.choice("aeé ")
         rows.append((k, prose(10) + " " + "".join(quoted).upper() + "\n" + prose(10)))
+    rows += [(60, "a short one."), (61, "a short ones"), (62, "ashort one")]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     want = set()
     for i, t in rows:
         best = {}
         for item, x in items:
             n = decontaminate.normal(x)
-            if len(n) >= decontaminate.SHORTEST:
+            if n and len(n) < decontaminate.SHORTEST:
+                at = re.search(rf"(?<![^\W_]){re.escape(n)}(?![^\W_])", decontaminate.normal(t))
+                if at:
+                    best[item] = 0, at.end()
+            elif n:
                 d, at = edit_distance(n, decontaminate.normal(t))
                 if d <= decontaminate.budget(len(n)):
                     best[item] = min(best.get(item, (d, at)), (d, at))
