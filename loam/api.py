@@ -15,6 +15,9 @@ from .operators import drift, graph, outline, search
 from .operators.embed import Embedder
 from .sources.store import Store
 
+#: Files that an answer on index health lists.
+HEALTH_FILES = 10_000
+
 
 class Tools:
     def __init__(self, store: Store, settings: Settings, embedder: Embedder, docs=None):
@@ -51,13 +54,16 @@ class Tools:
     def get_decision(self, query_or_id: str | int) -> dict:
         d = self.store.read("decisions")
         spark = self.store.spark
-        found = dec.lookup(spark.createDataFrame([(str(query_or_id),)], "query string"), d).join(dec.with_banner(d), "id").orderBy("rank").collect()
+        hits = dec.lookup(spark.createDataFrame([(str(query_or_id),)], "query string"), d).orderBy("rank").collect()
         if isinstance(query_or_id, int):
-            found = [r for r in found if r.matched_by == "id"]
+            hits = [r for r in hits if r.matched_by == "id"]
+        some = d.filter(F.col("id").isin([r["id"] for r in hits]))
+        shown = {r["id"]: r for r in dec.with_banner(some, registry=d).collect()} if hits else {}
+        found = [shown[r["id"]] for r in hits]
         if not found:
             return {"decision": None, "alternatives": [], "supersedes_chain": [], "banner": "[NOT FOUND]"}
         row = lambda r: {c: (str(r[c]) if c == "decided_on" and r[c] else r[c]) for c in dec.COLUMNS}
-        chain = dec.successors(d).filter(F.col("id") == found[0]["id"]).select("hop", F.col("successor").alias("id")).join(d, "id").orderBy("hop").collect()
+        chain = dec.successors(d, starts=d.filter(F.col("id") == found[0]["id"])).select("hop", F.col("successor").alias("id")).join(d, "id").orderBy("hop").collect()
         return {"decision": row(found[0]), "alternatives": [row(r) for r in found[1:]], "supersedes_chain": [row(r) for r in chain], "banner": found[0]["banner"]}
 
     def get_doc_neighborhood(self, filename: str, include_superseded: bool = False) -> dict:
@@ -91,7 +97,9 @@ class Tools:
         counts = {r.signal: r["items"] for r in drift.by_signal(items).collect()}
         return {"total": sum(counts.values()), "by_signal": counts, "items": [r.asDict() for r in drift.top(items, top).collect()], "cache_age_seconds": round(age, 1)}
 
-    def check_index_health(self) -> dict:
+    def check_index_health(self, most: int = HEALTH_FILES) -> dict:
+        """Totals over all files, and the files that were updated longest ago, so the stale ones first, up to `most`;
+        search.index_health() has them all as a table."""
         h = search.index_health(self.store.read("doc_chunks"))
-        rows, t = h.collect(), search.health_totals(h).first()
-        return {"total_chunks": t.total_chunks or 0, "total_files": t.total_files, "stale_files": [r.source_file for r in rows if r.is_stale], "files": [r.asDict() for r in rows]}
+        rows, t = h.limit(most).collect(), search.health_totals(h).first()
+        return {"total_chunks": t.total_chunks or 0, "total_files": t.total_files, "total_stale": t.stale_files, "stale_files": [r.source_file for r in rows if r.is_stale], "files": [r.asDict() for r in rows]}

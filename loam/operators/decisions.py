@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from .graph import normal_target
 
 #: A decision document's name.
 FILE_NAME = r"\A\d{2}-dec-[a-z0-9-]+\.md\z"
+#: Queries of a lookup that are held against all decisions at once, if neither an id nor a key answers them.
+LOOKUP_BLOCK = 1000
 BLOCK = "struct<area:string,decisions:array<struct<key:string,decision:string,current_value:string,decided_on:string,cross_refs:array<string>,supersedes:string>>>"
 COLUMNS = ("id", "decision_key", "area", "decision", "current_value", "source_doc", "decided_on", "cross_refs", "superseded_by")
 
@@ -62,12 +66,12 @@ def cycles(rows: DataFrame) -> DataFrame:
     )
 
 
-def successors(decisions: DataFrame, depth: int = CHAIN_DEPTH) -> DataFrame:
-    """decisions (id, superseded_by, ...) -> id, hop from 1, successor: who replaced each, and who replaced that; a
-    decision met before ends the chain."""
+def successors(decisions: DataFrame, depth: int = CHAIN_DEPTH, starts: DataFrame | None = None) -> DataFrame:
+    """decisions (id, superseded_by, ...) -> id, hop from 1, successor: who replaced each (or each of starts), and who
+    replaced that; a decision met before ends the chain."""
     step = decisions.select(F.col("id").alias("at"), F.col("superseded_by").alias("next")).filter("next IS NOT NULL")
     known = decisions.select(F.col("id").alias("next"))
-    front = decisions.select("id", F.col("id").alias("at"), F.array().cast("array<int>").alias("seen"))
+    front = (decisions if starts is None else starts).select("id", F.col("id").alias("at"), F.array().cast("array<int>").alias("seen"))
     hops = None
     for hop in range(1, depth + 1):
         front = front.filter(~F.array_contains("seen", F.col("at"))).withColumn("seen", F.concat("seen", F.array("at"))).join(step, "at").join(known, "next", "left_semi")
@@ -77,11 +81,13 @@ def successors(decisions: DataFrame, depth: int = CHAIN_DEPTH) -> DataFrame:
     return hops
 
 
-def with_banner(decisions: DataFrame, chain: DataFrame | None = None) -> DataFrame:
-    """Adds the banner: current, draft (no date), or superseded by the end of its chain."""
-    chain = successors(decisions) if chain is None else chain
+def with_banner(decisions: DataFrame, chain: DataFrame | None = None, registry: DataFrame | None = None) -> DataFrame:
+    """Adds the banner: current, draft (no date), or superseded by the end of its chain. registry: where chains lead,
+    if decisions are some of it only."""
+    registry = decisions if registry is None else registry
+    chain = successors(registry, starts=decisions) if chain is None else chain
     last = chain.groupBy("id").agg(F.max(F.struct("hop", "successor")).alias("e")).select("id", F.col("e.successor").alias("last_id"))
-    target = decisions.select(F.col("id").alias("last_id"), F.col("decision_key").alias("last_key"), F.col("decided_on").alias("last_date"))
+    target = registry.select(F.col("id").alias("last_id"), F.col("decision_key").alias("last_key"), F.col("decided_on").alias("last_date"))
     d = decisions.join(last, "id", "left").join(target, "last_id", "left")
     gone = F.when(F.col("last_key").isNotNull(), F.concat(F.lit("[SUPERSEDED by `"), F.col("last_key"), F.lit("` on "), F.coalesce(F.col("last_date").cast("string"), F.lit("unknown date")), F.lit("]"))).otherwise(F.concat(F.lit("[SUPERSEDED by id="), F.col("superseded_by").cast("string"), F.lit("]")))
     return d.withColumn("banner", F.when(F.col("superseded_by").isNotNull(), gone).when(F.col("decided_on").isNull(), "[DRAFT]").otherwise("[CURRENT]")).drop("last_id", "last_key", "last_date")
@@ -90,7 +96,10 @@ def with_banner(decisions: DataFrame, chain: DataFrame | None = None) -> DataFra
 def lookup(queries: DataFrame, decisions: DataFrame) -> DataFrame:
     """queries (query) -> query, rank from 1, id, matched_by: by id if the query is a number, else or failing that by
     key, else the shortest decisions whose text or value holds it, in any case (% and _ stand for any text and
-    character). Rank 1 is the answer, the rest its alternatives; a query without an answer has no row."""
+    character). Rank 1 is the answer, the rest its alternatives; a query without an answer has no row.
+
+    Ids and keys are joined. What they leave of the queries, the stated set, is held against all decisions in blocks of
+    about LOOKUP_BLOCK, and each task keeps the best few of a query before they are shuffled."""
     d = decisions.select("id", "decision_key", "decision", "current_value")
     numbers = queries.filter(F.col("query").rlike(r"\A[0-9]+\z")).withColumn("id", F.col("query").try_cast("int"))
     by_id = numbers.join(d.select("id"), "id").select("query", "id", F.lit(1).alias("kind"))
@@ -99,7 +108,12 @@ def lookup(queries: DataFrame, decisions: DataFrame) -> DataFrame:
     first = exact.groupBy("query").agg(F.min(F.struct("kind", "id")).alias("m")).select("query", F.lit(1).alias("rank"), F.col("m.id").alias("id"), F.when(F.col("m.kind") == 1, "id").otherwise("key").alias("matched_by"))
     like = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
     rest = queries.join(first.select("query"), "query", "left_anti")
-    fuzzy = rest.join(d, F.ilike(F.col("decision"), like) | F.ilike(F.col("current_value"), like))
+    blocks = max(1, math.ceil(queries.count() / LOOKUP_BLOCK))
     by = Window.partitionBy("query").orderBy(F.length("decision"), "decision_key")
-    fuzzy = fuzzy.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= FUZZY_MATCHES)
-    return first.unionByName(fuzzy.select("query", "rank", "id", F.lit("text").alias("matched_by")))
+    out = first
+    for b in range(blocks):
+        block = F.broadcast(rest.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b))
+        fuzzy = d.join(block, F.ilike(F.col("decision"), like) | F.ilike(F.col("current_value"), like))
+        fuzzy = fuzzy.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= FUZZY_MATCHES)
+        out = out.unionByName(fuzzy.select("query", "rank", "id", F.lit("text").alias("matched_by")))
+    return out

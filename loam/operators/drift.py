@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,10 +58,14 @@ def dep_out_of_date(docs: DataFrame) -> DataFrame:
     return _items(late, "dep-out-of-date", file=F.concat(F.lit("docs/"), "bare", F.lit(".md")), reason=reason, source=F.concat(F.lit("docs/"), "ref", F.lit(".md")))
 
 
-def contradictions(decisions: DataFrame, chunks: DataFrame, prefix: str) -> DataFrame:
-    """Chunks that mention a current decision's text but not its value. The decisions are a bounded side (the first
-    CONTRADICTION_DECISIONS by key, of moderate length), so they are broadcast to the chunks."""
-    d = decisions.filter("superseded_by IS NULL").orderBy("decision_key").limit(CONTRADICTION_DECISIONS)
+def contradictions(decisions: DataFrame, chunks: DataFrame, prefix: str, most: int | None = CONTRADICTION_DECISIONS) -> DataFrame:
+    """Chunks that mention a current decision's text but not its value. The first `most` decisions by key are looked
+    for (all if None), those of moderate length among them. They go to the chunks in blocks of about
+    CONTRADICTION_DECISIONS, so that each broadcast has a bound."""
+    d = decisions.filter("superseded_by IS NULL")
+    if most is not None:
+        d = d.orderBy("decision_key").limit(most)
+    blocks = math.ceil((d.count() if most is None else most) / CONTRADICTION_DECISIONS) or 1
     d = d.filter(F.length("decision").between(*CONTRADICTION_LENGTHS)).select("decision_key", "decision", "current_value", "source_doc")
     d = d.withColumn("own", to_full(F.col("source_doc"), prefix)).withColumn("like_text", F.concat(F.lit("%"), "decision", F.lit("%"))).withColumn("like_value", F.concat(F.lit("%"), F.substring("current_value", 1, CONTRADICTION_PREFIX), F.lit("%")))
     # plain texts are looked for as they are; only those with wildcards need a pattern
@@ -67,7 +73,9 @@ def contradictions(decisions: DataFrame, chunks: DataFrame, prefix: str) -> Data
     d = d.withColumns({"low_text": F.when(~wild("decision"), F.lower("decision")), "low_value": F.when(~wild("current_value"), F.lower(F.substring("current_value", 1, CONTRADICTION_PREFIX)))})
     c = chunks.select("source_file", "section_header", "content").withColumn("low", F.lower("content"))
     holds = lambda low, like: F.when(F.col(low).isNotNull(), F.contains(F.col("low"), F.col(low))).otherwise(F.ilike(F.col("content"), F.col(like)))
-    hits = c.join(F.broadcast(d), holds("low_text", "like_text") & ~holds("low_value", "like_value") & (F.col("source_file") != F.col("own")))
+    mentions = holds("low_text", "like_text") & ~holds("low_value", "like_value") & (F.col("source_file") != F.col("own"))
+    block = lambda b: d if blocks == 1 else d.filter(F.pmod(F.xxhash64("decision_key"), F.lit(blocks)) == b)
+    hits = reduce(DataFrame.unionByName, (c.join(F.broadcast(block(b)), mentions) for b in range(blocks)))
     order = Window.partitionBy("decision_key").orderBy("source_file", "section_header")
     hits = hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= CONTRADICTION_HITS)
     reason = F.concat(F.lit("chunk mentions `"), "decision", F.lit("` but not the current value (`"), F.substring("current_value", 1, CONTRADICTION_REASON), F.lit("…` per `"), "source_doc", F.lit("`)"))

@@ -99,3 +99,9 @@ def impact_anchors(values: DataFrame, decisions: DataFrame) -> DataFrame:
     found = values.join(d, "value", "left")
     hit = is_decision_key(F.col("value")) & F.col("source_doc").isNotNull()
     return found.select("value", F.when(hit, "decision").otherwise("doc").alias("anchor_kind"), to_bare(F.when(hit, F.col("source_doc")).otherwise(F.col("value"))).alias("anchor_doc"))
+
+
+def impacts(values: DataFrame, decisions: DataFrame, edges_: DataFrame, meta: DataFrame, prefix: str, include_superseded: bool = False) -> DataFrame:
+    """The anchors of all values, each with the neighborhood of its document; that is null where the document is not known."""
+    anchors = impact_anchors(values, decisions).withColumn("source_file", to_full(F.col("anchor_doc"), prefix))
+    return anchors.join(neighborhoods(edges_, meta, prefix, include_superseded), "source_file", "left")

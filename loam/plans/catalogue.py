@@ -64,15 +64,16 @@ def vector_topk_batch(spark, sf_dir):
     return top.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {CTE}, s AS (SELECT s.*, coalesce({COS}, 0) AS score FROM syn s LEFT JOIN embeddings e ON e.vec_id = s.doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
-SELECT doc_id, source_file, status, round(score, 6) AS score, md5(CASE WHEN status = 'needs-review' THEN '[NEEDS REVIEW, flagged by hygiene loop]' || chr(10) || chr(10) || text ELSE text END) AS content_md5
-FROM s WHERE score >= {MIN_SIMILARITY} AND (status IS NULL OR status <> 'superseded') ORDER BY s.score DESC, doc_id LIMIT 10""")
+@query(f"""WITH {CTE}, s AS (SELECT s.*, q.vec_id AS query_id, {COS} AS score FROM syn s JOIN embeddings e ON e.vec_id = s.doc_id, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE status IS NULL OR status <> 'superseded'),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score >= {MIN_SIMILARITY})
+SELECT query_id, rank, doc_id, source_file, status, round(score, 6) AS score, md5(CASE WHEN status = 'needs-review' THEN '[NEEDS REVIEW, flagged by hygiene loop]' || chr(10) || chr(10) || text ELSE text END) AS content_md5 FROM r WHERE rank <= 10""")
 def filtered_search(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    c = corpus(spark, sf_dir).filter(search.authority()).join(e, "doc_id", "left")
-    c = c.withColumn("score", F.coalesce(cosine(F.col("embedding"), search.literal(seed(spark, sf_dir))), F.lit(0.0))).filter(F.col("score") >= MIN_SIMILARITY)
-    best = c.orderBy(F.desc("score"), "doc_id").limit(10)
-    return best.select("doc_id", "source_file", "status", F.round("score", 6).alias("score"), F.md5(search.banner(F.col("text"), F.col("status"), F.col("old"))).alias("content_md5"))
+    e = read(spark, sf_dir, "embeddings")
+    c = corpus(spark, sf_dir).filter(search.authority())
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    items = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")).join(c.select("doc_id"), "doc_id", "left_semi")
+    best = search.batch_topk(items, q, 10, "doc_id").filter(F.col("score") >= MIN_SIMILARITY).join(c, "doc_id")
+    return best.select("query_id", "rank", "doc_id", "source_file", "status", F.round("score", 6).alias("score"), F.md5(search.banner(F.col("text"), F.col("status"), F.col("old"))).alias("content_md5"))
 
 
 STOP = ", ".join(f"'{w}'" for w in lexical.STOP_WORDS)
@@ -267,18 +268,26 @@ def meta(spark, sf_dir) -> DataFrame:
     return parsed(spark, sf_dir).select("source_file", "status", "supersedes", "doc_date", F.lit(None).cast("timestamp").alias("git_committed_at"))
 
 
-@query(f"""WITH {CTE}, {EDGES},
+NEIGHBORHOODS = f"""{CTE}, {EDGES},
 o AS (SELECT e.source_file, e.relation, e.target || '|' || coalesce(m.status, '-') || '|' || CASE WHEN m.source_file IS NULL THEN 'dangling' ELSE 'known' END AS x, CASE WHEN m.source_file IS NULL THEN 1 ELSE 0 END AS warn FROM e LEFT JOIN syn m ON m.bare = e.target WHERE relation IN ('depends_on', 'feeds_into')),
-i AS (SELECT t.source_file, e.relation, s.bare || '|' || coalesce(s.status, '-') AS x FROM e JOIN syn s ON s.source_file = e.source_file JOIN syn t ON t.bare = e.target WHERE relation IN ('depends_on', 'feeds_into') AND (s.status IS NULL OR s.status <> 'superseded'))
-SELECT syn.source_file, coalesce(d, '') AS depends_on, coalesce(f, '') AS feeds_into, coalesce(w, 0) AS warnings, coalesce(b, '') AS depended_on_by, coalesce(r, '') AS feeds_from, CAST(touch AS VARCHAR) AS also_touches FROM syn
+i AS (SELECT t.source_file, e.relation, s.bare || '|' || coalesce(s.status, '-') AS x FROM e JOIN syn s ON s.source_file = e.source_file JOIN syn t ON t.bare = e.target WHERE relation IN ('depends_on', 'feeds_into') AND (s.status IS NULL OR s.status <> 'superseded')),
+nb AS (SELECT syn.source_file, coalesce(d, '') AS depends_on, coalesce(f, '') AS feeds_into, coalesce(w, 0) AS warnings, coalesce(b, '') AS depended_on_by, coalesce(r, '') AS feeds_from, CAST(touch AS VARCHAR) AS also_touches FROM syn
 LEFT JOIN (SELECT source_file, string_agg(CASE WHEN relation = 'depends_on' THEN x END, ',' ORDER BY x) AS d, string_agg(CASE WHEN relation = 'feeds_into' THEN x END, ',' ORDER BY x) AS f, CAST(sum(warn) AS INT) AS w FROM o GROUP BY 1) USING (source_file)
-LEFT JOIN (SELECT source_file, string_agg(CASE WHEN relation = 'depends_on' THEN x END, ',' ORDER BY x) AS b, string_agg(CASE WHEN relation = 'feeds_into' THEN x END, ',' ORDER BY x) AS r FROM i GROUP BY 1) USING (source_file)""")
+LEFT JOIN (SELECT source_file, string_agg(CASE WHEN relation = 'depends_on' THEN x END, ',' ORDER BY x) AS b, string_agg(CASE WHEN relation = 'feeds_into' THEN x END, ',' ORDER BY x) AS r FROM i GROUP BY 1) USING (source_file))"""
+
+
+def neighbors(n: DataFrame, *first: str) -> DataFrame:
+    """What neighborhoods() gives as text."""
+    line = lambda c, *more: F.array_join(F.array_sort(F.transform(F.coalesce(c, F.array()), lambda e: F.concat_ws("|", e["ref"], F.coalesce(e["status"], F.lit("-")), *(f(e) for f in more)))), ",")
+    dangling = lambda e: F.when(e["dangling"], "dangling").otherwise("known")
+    return n.select(*first, line("depends_on", dangling).alias("depends_on"), line("feeds_into", dangling).alias("feeds_into"), F.size(F.coalesce("warnings", F.array())).alias("warnings"), line("depended_on_by").alias("depended_on_by"), line("feeds_from").alias("feeds_from"), F.array_join(F.col("also_touches").cast("array<string>"), ",").alias("also_touches"))
+
+
+@query(f"WITH {NEIGHBORHOODS} SELECT * FROM nb")
 def neighborhood_all(spark, sf_dir):
     m = meta(spark, sf_dir)
     n = graph.neighborhoods(graph.edges(parsed(spark, sf_dir)), m, PREFIX).join(m.select("source_file"), "source_file", "left_semi")
-    line = lambda c, *more: F.array_join(F.array_sort(F.transform(F.coalesce(c, F.array()), lambda e: F.concat_ws("|", e["ref"], F.coalesce(e["status"], F.lit("-")), *(f(e) for f in more)))), ",")
-    dangling = lambda e: F.when(e["dangling"], "dangling").otherwise("known")
-    return n.select("source_file", line("depends_on", dangling).alias("depends_on"), line("feeds_into", dangling).alias("feeds_into"), F.size(F.coalesce("warnings", F.array())).alias("warnings"), line("depended_on_by").alias("depended_on_by"), line("feeds_from").alias("feeds_from"), F.array_join(F.col("also_touches").cast("array<string>"), ",").alias("also_touches"))
+    return neighbors(n, "source_file")
 
 
 #: Chains of up to nine: a document supersedes the one before it, but for each tenth.
@@ -295,8 +304,8 @@ def supersedes_chain(spark, sf_dir):
 
 # --- decisions, from the parts table
 
-DECISIONS = """SELECT CAST(p_partkey AS INT) AS id, 'part-' || p_partkey AS decision_key, CAST(p_partkey % 9 AS INT) AS area, p_name AS decision, p_brand || ' ' || p_type AS current_value,
-  'doc-' || CAST(p_partkey % 100 AS STRING) AS source_doc, CASE WHEN p_partkey % 7 <> 0 THEN DATE '2024-01-01' + CAST(p_partkey % 365 AS INT) END AS decided_on,
+DECISIONS = f"""SELECT CAST(p_partkey AS INT) AS id, 'part-' || p_partkey AS decision_key, CAST(p_partkey % 9 AS INT) AS area, p_name AS decision, p_brand || ' ' || p_type AS current_value,
+  {BARE('(p_partkey % 100)')} AS source_doc, CASE WHEN p_partkey % 7 <> 0 THEN DATE '2024-01-01' + CAST(p_partkey % 365 AS INT) END AS decided_on,
   CASE WHEN p_partkey % 5 < 3 THEN CAST(p_partkey + 1 AS INT) END AS superseded_by FROM part"""
 
 
@@ -304,7 +313,8 @@ def decision_table(spark, sf_dir) -> DataFrame:
     return spark.sql(DECISIONS.replace("FROM part", "FROM {part}"), part=read(spark, sf_dir, "part")).withColumn("cross_refs", F.array().cast("array<string>"))
 
 
-LOOKUPS = "SELECT CAST(p_partkey AS STRING) AS query FROM part WHERE p_partkey <= 5 UNION SELECT 'part-' || p_partkey FROM part WHERE p_partkey % 50 = 7 UNION SELECT p_type FROM part WHERE p_partkey % 100 = 9 UNION SELECT 'no such thing'"
+#: The stated set: the id, the key and the type of each part whose id is divisible by 50.
+LOOKUPS = "SELECT CAST(p_partkey AS STRING) AS query FROM part WHERE p_partkey % 50 = 0 UNION SELECT 'part-' || p_partkey FROM part WHERE p_partkey % 50 = 0 UNION SELECT p_type FROM part WHERE p_partkey % 50 = 0 UNION SELECT 'no such thing'"
 
 
 @query(f"""WITH d AS ({DECISIONS}), q AS ({LOOKUPS}),
@@ -339,14 +349,17 @@ def cycle_check(spark, sf_dir):
     return decisions.cycles(rows).select("decision_key", (F.size("path") - 1).alias("length"))
 
 
-ANCHORS = f"SELECT decision_key AS value FROM d WHERE id % 20 = 1 UNION SELECT {BARE('doc_id')} FROM documents WHERE doc_id % 100 = 3 UNION SELECT 'no-such-key'"
+#: All decisions and all documents.
+ANCHORS = f"SELECT decision_key AS value FROM d UNION SELECT {BARE('doc_id')} FROM documents UNION SELECT 'no-such-key'"
 
 
-@query(f"WITH d AS ({DECISIONS}), v AS ({ANCHORS}) SELECT value, CASE WHEN d.decision_key IS NOT NULL THEN 'decision' ELSE 'doc' END AS anchor_kind, coalesce(d.source_doc, value) AS anchor_doc FROM v LEFT JOIN d ON d.decision_key = v.value")
+@query(f"""WITH {NEIGHBORHOODS}, d AS ({DECISIONS}), v AS ({ANCHORS}), a AS (SELECT value, CASE WHEN d.decision_key IS NOT NULL THEN 'decision' ELSE 'doc' END AS anchor_kind, coalesce(d.source_doc, value) AS anchor_doc FROM v LEFT JOIN d ON d.decision_key = v.value)
+SELECT value, anchor_kind, anchor_doc, coalesce(depends_on, '') AS depends_on, coalesce(feeds_into, '') AS feeds_into, coalesce(warnings, 0) AS warnings, coalesce(depended_on_by, '') AS depended_on_by, coalesce(feeds_from, '') AS feeds_from, also_touches FROM a LEFT JOIN nb ON nb.source_file = '{PREFIX}/docs/' || anchor_doc || '.md'""")
 def impact_targets(spark, sf_dir):
     d = decision_table(spark, sf_dir)
     v = spark.sql(ANCHORS.replace("FROM d ", "FROM {d} ").replace("FROM documents", "FROM {docs}"), d=d, docs=read(spark, sf_dir, "documents"))
-    return graph.impact_anchors(v, d)
+    n = graph.impacts(v, d, graph.edges(parsed(spark, sf_dir)), meta(spark, sf_dir), PREFIX)
+    return neighbors(n, "value", "anchor_kind", "anchor_doc")
 
 
 #: Each part declares a decision in a document of its own, each fifth without a value, each third in place of the one before,
