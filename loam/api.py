@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from .config import DEFAULT_K, DEFAULT_TOP, MAX_K, Settings
+from .config import CHAIN_DEPTH, DEFAULT_K, DEFAULT_TOP, MAX_K, Settings
 from .operators import decisions as dec
 from .operators import drift, graph, outline, search
 from .operators.embed import Embedder
@@ -57,14 +57,26 @@ class Tools:
         hits = dec.lookup(spark.createDataFrame([(str(query_or_id),)], "query string"), d).orderBy("rank").collect()
         if isinstance(query_or_id, int):
             hits = [r for r in hits if r.matched_by == "id"]
-        some = d.filter(F.col("id").isin([r["id"] for r in hits]))
-        shown = {r["id"]: r for r in dec.with_banner(some, registry=d).collect()} if hits else {}
-        found = [shown[r["id"]] for r in hits]
-        if not found:
+        if not hits:
             return {"decision": None, "alternatives": [], "supersedes_chain": [], "banner": "[NOT FOUND]"}
         row = lambda r: {c: (str(r[c]) if c == "decided_on" and r[c] else r[c]) for c in dec.COLUMNS}
-        chain = dec.successors(d, starts=d.filter(F.col("id") == found[0]["id"])).select("hop", F.col("successor").alias("id")).join(d, "id").orderBy("hop").collect()
-        return {"decision": row(found[0]), "alternatives": [row(r) for r in found[1:]], "supersedes_chain": [row(r) for r in chain], "banner": found[0]["banner"]}
+        own = d.filter(F.col("id").isin([r["id"] for r in hits]))
+        shown = {r["id"]: r for r in own.collect()}
+        found = [shown[r["id"]] for r in hits]
+        chain = self._successors(d, found[0])
+        hops = spark.createDataFrame([(found[0]["id"], k, r["id"]) for k, r in enumerate(chain, 1)], "id int, hop int, successor int")
+        banner = dec.with_banner(own.filter(F.col("id") == found[0]["id"]), hops, d).first()["banner"]
+        return {"decision": row(found[0]), "alternatives": [row(r) for r in found[1:]], "supersedes_chain": [row(r) for r in chain], "banner": banner}
+
+    @staticmethod
+    def _successors(d, row) -> list:
+        """As decisions.successors() of one row, read from the store hop by hop: most chains are short."""
+        out, seen = [], set()
+        while row and row["superseded_by"] is not None and row["id"] not in seen and len(out) < CHAIN_DEPTH:
+            seen.add(row["id"])
+            row = d.filter(F.col("id") == row["superseded_by"]).first()
+            out += [row] if row else []
+        return out
 
     def get_doc_neighborhood(self, filename: str, include_superseded: bool = False) -> dict:
         prefix = self.settings.repo_prefix
