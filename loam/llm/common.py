@@ -94,3 +94,18 @@ def n_words(text):
 def bucket(doc_id, modulus: int):
     """crc32 of doc_id as text, modulo; null ids count as the text 'null'."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), F.lit(modulus))
+
+
+def with_rows(rows: DataFrame, side: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """The inner join of rows with side on keys of any types, null being equal to null. side is a saved table with one
+    row for each key and in n how many rows have it. As in with_counts(), hot keys are few and their rows of side are
+    broadcast; their rows of `rows` stay spread over all partitions."""
+    least = max(HOT, (side.agg(F.sum(n)).first()[0] or 0) // MOST_HOT)
+    more = [c for c in side.columns if c not in (*keys, n)]
+    pick = lambda cond, name: side.filter(cond).select(F.struct(*keys).alias(f"_{name}_key"), F.struct(*more).alias(f"_{name}"))
+    out = rows.join(F.broadcast(pick(F.col(n) > least, "hot")), F.struct(*keys) == F.col("_hot_key"), "left")
+    out = out.withColumn("_to", F.when(F.col("_hot_key").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64(*rows.columns)))
+    rest = pick(F.col(n) <= least, "rest").withColumn("_at", F.xxhash64(*(F.col(f"_rest_key.{k}") for k in keys)))
+    out = out.join(rest.hint("merge"), (F.col("_to") == F.col("_at")) & (F.struct(*keys) == F.col("_rest_key")), "left")
+    out = out.withColumn("_found", F.coalesce("_hot", "_rest")).filter("_found IS NOT NULL")
+    return out.select(*rows.columns, *(F.col(f"_found.{c}").alias(c) for c in more))

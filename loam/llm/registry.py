@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, compression, decontaminate, langid, minhash, mixing, quality, repeats, tokens, winnow_lines
+from . import chat, codebooks, compression, decontaminate, langid, minhash, mixing, quality, repeats, tokens, winnow_lines
 
 QUERIES = {
     "op1_compression_bands": compression.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_mix_thresholds": mixing.query,
     "op9_suffix_shards": repeats.query,
     "op10_pigeonhole_edits": decontaminate.query,
+    "op11_weighted_codebooks": codebooks.query,
 }
-ORACLE_SQL = {"op8_mix_thresholds": mixing.ORACLE}
+ORACLE_SQL = {"op8_mix_thresholds": mixing.ORACLE, "op11_weighted_codebooks": codebooks.ORACLE}
