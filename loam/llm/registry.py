@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, codebooks, compression, decontaminate, langid, minhash, mixing, quality, repeats, tokens, winnow_lines
+from . import chat, codebooks, compression, decontaminate, langid, minhash, mixing, prefixes, quality, repeats, tokens, winnow_lines
 
 QUERIES = {
     "op1_compression_bands": compression.query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_suffix_shards": repeats.query,
     "op10_pigeonhole_edits": decontaminate.query,
     "op11_weighted_codebooks": codebooks.query,
+    "op12_family_trie": prefixes.query,
 }
-ORACLE_SQL = {"op8_mix_thresholds": mixing.ORACLE, "op11_weighted_codebooks": codebooks.ORACLE}
+ORACLE_SQL = {"op8_mix_thresholds": mixing.ORACLE, "op11_weighted_codebooks": codebooks.ORACLE, "op12_family_trie": prefixes.ORACLE}
