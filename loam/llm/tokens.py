@@ -100,16 +100,27 @@ class Encoder:
         usual = [c for c in missing if c[0] != " " and not c[-1].isspace()]
         for c in {*missing}.difference(usual):
             whole = c[1:] if c[0] == " " else " " + c
-            self.kept[c] = np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, "<u4").tobytes()
+            self.keep([c], np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, "<u4"), [-1])
         for i in range(0, len(usual), JOINED):
             some = usual[i : i + JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum(self.n_bytes[ids])
-            cuts = np.searchsorted(ends, np.cumsum([1 + len(c.encode()) for c in some]), "left") + 1
-            raw, at = ids.tobytes(), 0
-            for c, cut in zip(some, (4 * cuts).tolist(), strict=True):
-                self.kept[c] = raw[at:cut]
-                at = cut
+            self.keep(some, ids, np.searchsorted(ends, np.cumsum([1 + len(c.encode()) for c in some]), "left"))
+
+    def keep(self, chunks: list[str], ids: np.ndarray, last) -> None:
+        """Keep chunks that follow each other: their ids together, and the place of each one's last."""
+        raw, at = ids.tobytes(), 0
+        for c, k in zip(chunks, last, strict=True):
+            cut = 4 * int(k) + 4 or len(raw)
+            self.kept[c] = raw[at:cut]
+            at = cut
+
+    #: What becomes of the chunks of a text.
+    total = staticmethod(b"".join)
+
+    def fresh(self) -> dict:
+        """What a new generation of kept chunks starts with."""
+        return {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """The ids of texts without added tokens."""
@@ -124,23 +135,27 @@ class Encoder:
             for c in missing & self.older.keys():
                 self.kept[c] = self.older[c]
             self.learn(list(missing.difference(self.older)))
-        out = [b"".join(map(self.kept.__getitem__, s)) for s in split]
+        out = [self.total(map(self.kept.__getitem__, s)) for s in split]
         if len(self.kept) > self.cache:
-            self.kept, self.older = {}, self.kept
+            self.kept, self.older = self.fresh(), self.kept
         return out
 
-    def long(self, text: str) -> bytes:
-        """The ids of a text of any length, cut into blocks between chunks."""
-        out, at = [], 0
+    @staticmethod
+    def blocks(text: str) -> Iterator[str]:
+        """A text of any length, cut into blocks between chunks."""
+        at = 0
         while len(text) - at > BLOCK and (cut := _APART.search(text, at + BLOCK - 1)):
-            out += self.plain([text[at : cut.end()]])
+            yield text[at : cut.end()]
             at = cut.end()
-        return b"".join(out + self.plain([text[at:]]))
+        yield text[at:]
+
+    def parts(self, text: str) -> list[str]:
+        """A text as stretches without added tokens, and between them the added tokens."""
+        return self.breaks.split(text) if self.breaks else [text]
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text, as unsigned 32-bit little-endian integers."""
-        parts = self.breaks.split(text) if self.breaks else [text]
-        return b"".join(self.added[p] if k % 2 else self.long(p) for k, p in enumerate(parts))
+        return self.total(self.added[p] if k % 2 else self.total(self.plain([b])[0] for b in self.blocks(p)) for k, p in enumerate(self.parts(text)))
 
     def each(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; those without added tokens some at a time, of BLOCK characters together."""
@@ -161,13 +176,16 @@ class Encoder:
 
 def _encode(path: str, end_id: int, cache: int):
     def run(batches):
-        encode, end = encoder(path, cache), np.array([end_id], "<u4").tobytes()
+        encode, end, n = encoder(path, cache), np.array([end_id], "<u4").tobytes(), 0
 
         def rows(part, flat):
+            nonlocal n
+            n += len(flat)
             offsets = np.zeros(len(flat) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in flat], out=offsets[1:])
             ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(flat))])
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("shard"), pa.ListArray.from_arrays(pa.array(offsets), ids)], ["doc_id", "shard", "ids"])
+            numbers = pa.array(np.arange(n - len(flat), n))
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("shard"), numbers, pa.ListArray.from_arrays(pa.array(offsets), ids)], ["doc_id", "shard", "row", "ids"])
 
         for batch in batches:
             at, flat, size = 0, [], 0
@@ -185,7 +203,8 @@ def _encode(path: str, end_id: int, cache: int):
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None, cache: int = CACHE) -> None:
-    """Write docs (doc_id, text) as ORC (doc_id, shard, ids): one file a range of doc_id, in ascending order.
+    """Write docs (doc_id, text) as ORC (doc_id, shard, row, ids): one file a range of doc_id, in ascending order; row is
+    the place in the file, from 0.
 
     A null text is empty and has the end id alone; null ids come first; rows with the same id stay together, in
     the order of their texts; extra columns are ignored; no rows make a readable table without rows. `shards`:
@@ -194,7 +213,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shar
     rows = docs.select("doc_id", "text")
     dealt = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
     dealt = dealt.withColumn("shard", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(giving_back(_encode(tokenizer, end_id, cache)), "doc_id long, shard int, ids array<int>").write.options(**ORC).orc(path)
+    dealt.mapInArrow(giving_back(_encode(tokenizer, end_id, cache)), "doc_id long, shard int, row long, ids array<int>").write.options(**ORC).orc(path)
 
 
 def _checksums(batches):
@@ -204,20 +223,20 @@ def _checksums(batches):
         view = memoryview(np.ascontiguousarray(flat)).cast("B")
         spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("shard"), pa.array([b - a for a, b in spans], pa.int64()), pa.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in spans], pa.int64())], ["doc_id", "shard", "n_tokens", "ids_crc32"]
+            [batch.column("doc_id"), batch.column("shard"), batch.column("row"), pa.array([b - a for a, b in spans], pa.int64()), pa.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in spans], pa.int64())], ["doc_id", "shard", "row", "n_tokens", "ids_crc32"]
         )
 
 
 def index(tokens: DataFrame) -> DataFrame:
     """What write() wrote -> doc_id, start, n_tokens, ids_crc32. start: the ids of all documents before it.
 
-    The ids are read once; what is left of each row is kept in a table. Offsets run within a shard; the shards'
+    The ids are read once; what is left of each row is kept in a table. Offsets run within a shard, by the rows' places in the file; the shards'
     own offsets come from one sum for each (there are as many as files, so they fit a broadcast)."""
-    rows = saved(tokens.mapInArrow(giving_back(_checksums), "doc_id long, shard int, n_tokens long, ids_crc32 long"), "token-rows")
+    rows = saved(tokens.mapInArrow(giving_back(_checksums), "doc_id long, shard int, row long, n_tokens long, ids_crc32 long"), "token-rows")
     sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("shard").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("shard").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(F.broadcast(sums), F.col("shard") == F.col("s")).select("doc_id", (F.col("base") + F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -231,7 +250,7 @@ def encode_table(docs: DataFrame, tokenizer: str, cache: int = CACHE) -> DataFra
     spark = docs.sparkSession
     path = new_path(spark, "orc")
     write(docs, path, tokenizer, cache=cache)
-    rows = spark.read.schema("doc_id long, shard int, ids array<int>").orc(path)
+    rows = spark.read.schema("doc_id long, shard int, row long, ids array<int>").orc(path)
     return index(rows)
 
 
