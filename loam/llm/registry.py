@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, codebooks, compression, decontaminate, langid, minhash, mixing, prefixes, quality, repeats, tokens, winnow_lines
+from . import chat, codebooks, compression, counts, decontaminate, langid, minhash, mixing, prefixes, quality, repeats, tokens, winnow_lines
 
 QUERIES = {
     "op1_compression_bands": compression.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_pigeonhole_edits": decontaminate.query,
     "op11_weighted_codebooks": codebooks.query,
     "op12_family_trie": prefixes.query,
+    "op13_two_tier_counts": counts.query,
 }
 ORACLE_SQL = {"op8_mix_thresholds": mixing.ORACLE, "op11_weighted_codebooks": codebooks.ORACLE, "op12_family_trie": prefixes.ORACLE}
