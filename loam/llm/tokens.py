@@ -27,7 +27,7 @@ CACHE = 250_000
 #: Characters that are cut into chunks at once.
 BLOCK = 1_000_000
 #: New chunks that are encoded as one text.
-JOINED = 500
+JOINED = 100
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(8 << 20), "orc.encoding.strategy": "SPEED", "compression": "zstd"}
 
 
