@@ -24,6 +24,8 @@ class Tools:
         """docs: a function that gives the drift signals' frames, where there is a collection to compare with."""
         self.store, self.settings, self.embedder, self.signals = store, settings, embedder, docs
         self.cache = drift.Cache()
+        #: Searches that couldn't be logged, and the last reason.
+        self.unlogged, self.unlogged_because = 0, None
 
     def search_docs(self, query: str, k: int = DEFAULT_K, status=None, area=None, doc_type=None, include_superseded=False, caller: str = "tool") -> list[dict] | dict:
         """The k best chunks (k is brought into 1 to 20), or {"error", "results"}; each call is logged."""
@@ -41,8 +43,8 @@ class Tools:
         try:
             ms = int((time.monotonic() - began) * 1000)
             self.store.append("query_log", search.log_row(self.store.spark, query, ids, ms, caller, self.settings.excluded_fields, error))
-        except Exception:  # a log that can't be written must not fail a search
-            pass
+        except Exception as e:  # a log that can't be written must not fail a search
+            self.unlogged, self.unlogged_because = self.unlogged + 1, e
 
     def search(self, query: str, k: int = DEFAULT_K, **filters) -> dict:
         """As search_docs, but k has to be from 1 to 20, and the reply counts its results."""
@@ -83,7 +85,7 @@ class Tools:
         bare = filename.rsplit("/", 1)[-1].removesuffix(".md")
         full = f"{prefix}/docs/{bare}.md"
         edges = self.store.read("doc_relationships").filter((F.col("source_file") == full) | (F.col("target") == bare))
-        meta = graph.doc_meta(self.store.read("doc_chunks"))
+        meta = self.store.read("file_stats")
         r = graph.neighborhoods(edges, meta, prefix, include_superseded).filter(F.col("source_file") == full).first()
         start = self.store.spark.createDataFrame([(full,)], "source_file string")
         chain = graph.supersedes_chain(meta, prefix, start).orderBy("hop").collect()
@@ -99,7 +101,7 @@ class Tools:
 
     def get_doc_outline(self, filename: str, max_level: int = 3) -> dict:
         full = f"{self.settings.repo_prefix}/docs/{filename.rsplit('/', 1)[-1].removesuffix('.md')}.md"
-        r = self.store.read("doc_outlines").filter(F.col("source_file") == full).select(outline.up_to_level(F.col("outline"), max_level).alias("o")).first()
+        r = self.store.read_keys("doc_outlines", [full]).select(outline.up_to_level(F.col("outline"), max_level).alias("o")).first()
         return {"source_file": full, "outline": [e.asDict() for e in r.o] if r and r.o else []}
 
     def get_drift_report(self, signal: str | None = None, area: int | None = None, top: int = DEFAULT_TOP) -> dict:
@@ -111,7 +113,7 @@ class Tools:
 
     def check_index_health(self, most: int = HEALTH_FILES) -> dict:
         """Totals over all files, and the files that were updated longest ago, so the stale ones first, up to `most`;
-        search.index_health() has them all as a table."""
-        h = search.index_health(self.store.read("doc_chunks"))
+        search.stored_health() has them all as a table."""
+        h = search.stored_health(self.store.read("file_stats"))
         rows, t = h.limit(most).collect(), search.health_totals(h).first()
         return {"total_chunks": t.total_chunks or 0, "total_files": t.total_files, "total_stale": t.stale_files, "stale_files": [r.source_file for r in rows if r.is_stale], "files": [r.asDict() for r in rows]}

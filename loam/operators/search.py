@@ -108,19 +108,32 @@ def batch_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str = "id"
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def log_rows(asked: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
+    """asked (query, ids, latency_ms, caller, error) -> rows for the query log: queries without excluded values, and the
+    error where there was one, both cut."""
+    text = F.substring(scrub(F.col("query"), fields), 1, LOGGED_QUERY)
+    error = F.concat(F.lit(" [error: "), F.substring("error", 1, LOGGED_ERROR), F.lit("]"))
+    ids = F.coalesce("ids", F.array()).cast("array<string>")
+    return asked.select(F.concat(text, F.coalesce(error, F.lit(""))).alias("query_scrubbed"), ids.alias("top_k_ids"), F.col("latency_ms").cast("int").alias("latency_ms"), "caller", F.current_timestamp().alias("created_at"))
+
+
 def log_row(spark, query: str, ids: list[str], latency_ms: int, caller: str, fields: tuple[str, ...] = (), error: str | None = None) -> DataFrame:
-    """One row for the query log: the query without excluded values, and the error if there was one, both cut."""
-    text = F.substring(scrub(F.lit(query), fields), 1, LOGGED_QUERY)
-    if error:
-        text = F.concat(text, F.lit(f" [error: {error[:LOGGED_ERROR]}]"))
-    return spark.range(1).select(text.alias("query_scrubbed"), (F.array(*map(F.lit, ids)) if ids else F.array()).cast("array<string>").alias("top_k_ids"), F.lit(latency_ms).cast("int").alias("latency_ms"), F.lit(caller).alias("caller"), F.current_timestamp().alias("created_at"))
+    """One search as a row for the query log."""
+    one = spark.createDataFrame([(query, ids, latency_ms, caller, error or None)], "query string, ids array<string>, latency_ms int, caller string, error string")
+    return log_rows(one, fields)
 
 
 def index_health(chunks: DataFrame, now: Column | None = None) -> DataFrame:
     """A row for each file: chunks, first and last update, stale after STALE_HOURS; the oldest first."""
-    now = F.current_timestamp() if now is None else now
     g = chunks.groupBy("source_file").agg(F.count("*").alias("chunk_count"), F.min("updated_at").alias("first_updated"), F.max("updated_at").alias("last_updated"))
-    return g.withColumn("is_stale", F.col("last_updated") < now - F.expr(f"INTERVAL {STALE_HOURS} HOURS")).orderBy("last_updated", "source_file")
+    return stored_health(g, now)
+
+
+def stored_health(stats: DataFrame, now: Column | None = None) -> DataFrame:
+    """The same from the rows that a store keeps for each file, so that no chunk is read."""
+    now = F.current_timestamp() if now is None else now
+    s = stats.select("source_file", "chunk_count", "first_updated", "last_updated")
+    return s.withColumn("is_stale", F.col("last_updated") < now - F.expr(f"INTERVAL {STALE_HOURS} HOURS")).orderBy("last_updated", "source_file")
 
 
 def health_totals(health: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from ..functions.vectors import cosine
 from ..operators import audit, chunk, decisions, drift, evals, frontmatter, graph, outline, scrub, search, tracker
 from ..operators.embed import HashedWords
 from ..sources import synthetic
+from ..sources.shared import shared_dir
 from ..sources.store import Store, delete_files
 from ..sources.synthetic import CTE, PREFIX, as_markdown, corpus, headed, parsed
 from . import ingest
@@ -96,19 +96,38 @@ def hybrid_search(spark, sf_dir):
     return best.select("doc_id", F.round("s", 6).alias("score"))
 
 
-@query(f"""WITH {CTE}, w AS (SELECT doc_id, {WORDS} AS w FROM syn WHERE status = 'complete' AND area < 9 AND doc_type = 'spec'),
+def hybrid_sql(where: str, words: str = WORDS, k: int = 20) -> str:
+    """SQL for hybrid search over the documents that some filters let through."""
+    return f"""WITH {CTE}, w AS (SELECT doc_id, {words} AS w FROM syn WHERE {where}),
 t AS (SELECT doc_id, w, len(list_filter(w, lambda x: x = '{TERMS[0]}')) AS t0, len(list_filter(w, lambda x: x = '{TERMS[1]}')) AS t1 FROM w),
 st AS (SELECT count(*) AS n, avg(len(w)) AS mean, count(*) FILTER (t0 > 0) AS n0, count(*) FILTER (t1 > 0) AS n1 FROM t),
 s AS (SELECT t.doc_id, t0, t1, {BM25} AS b, coalesce({COS}, 0) AS vec FROM t LEFT JOIN embeddings e ON e.vec_id = t.doc_id, st, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
 SELECT syn.doc_id AS content_hash, source_file, status, old AS supersedes, md5(text) AS content_md5, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(s.doc_id AS INT), '%Y-%m-%dT%H:%M:%SZ') AS updated_at, round(0.7 * vec + 0.3 * b / (1 + b), 6) AS score
-FROM s JOIN syn USING (doc_id) WHERE vec >= {MIN_SIMILARITY} OR (t0 > 0 AND t1 > 0) ORDER BY 0.7 * vec + 0.3 * b / (1 + b) DESC, s.doc_id LIMIT 20""")
-def hybrid_operator(spark, sf_dir):
-    """Hybrid search as the API calls it, with filters, banners and time stamps."""
+FROM s JOIN syn USING (doc_id) WHERE vec >= {MIN_SIMILARITY} OR (t0 > 0 AND t1 > 0) ORDER BY 0.7 * vec + 0.3 * b / (1 + b) DESC, s.doc_id LIMIT {k}"""
+
+
+def searchable(spark, sf_dir) -> DataFrame:
+    """Documents as stored chunks, with the vectors that there are."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     c = corpus(spark, sf_dir).join(e, "doc_id", "left")
-    c = c.select(F.col("doc_id").alias("content_hash"), "source_file", F.lit("(intro)").alias("section_header"), F.col("area").alias("area_number"), "doc_type", "status", F.col("old").alias("supersedes"), F.col("text").alias("content"), "embedding", F.expr("TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(doc_id AS INT)").alias("updated_at"))
-    found = search.hybrid(c, " ".join(TERMS), seed(spark, sf_dir), 20, status="complete", doc_type="spec")
-    return found.select("content_hash", "source_file", "status", "supersedes", F.md5("content").alias("content_md5"), "updated_at", F.round("score", 6).alias("score"))
+    return c.select(F.col("doc_id").alias("content_hash"), "source_file", F.lit("(intro)").alias("section_header"), F.col("area").alias("area_number"), "doc_type", "status", F.col("old").alias("supersedes"), F.col("text").alias("content"), "embedding", F.expr("TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(doc_id AS INT)").alias("updated_at"))
+
+
+def found(hits: DataFrame) -> DataFrame:
+    return hits.select("content_hash", "source_file", "status", "supersedes", F.md5("content").alias("content_md5"), "updated_at", F.round("score", 6).alias("score"))
+
+
+@query(hybrid_sql("status = 'complete' AND area < 9 AND doc_type = 'spec'"))
+def hybrid_operator(spark, sf_dir):
+    """Hybrid search as the API calls it, with filters, banners and time stamps."""
+    return found(search.hybrid(searchable(spark, sf_dir), " ".join(TERMS), seed(spark, sf_dir), 20, status="complete", doc_type="spec"))
+
+
+@query(hybrid_sql("status IN ('complete', 'in-progress', 'draft') AND area = 4"))
+def area_search(spark, sf_dir):
+    """Within one area, of chunks that need no banner."""
+    c = searchable(spark, sf_dir).filter("status IN ('complete', 'in-progress', 'draft')")
+    return found(search.hybrid(c, " ".join(TERMS), seed(spark, sf_dir), 20, area=4))
 
 
 # --- chunks
@@ -577,13 +596,17 @@ def incremental_sync(spark, sf_dir):
     return synced(spark, sf_dir).read("doc_chunks").select("content_hash", "source_file", "section_header")
 
 
+def new_store(spark) -> Store:
+    """An empty store in the folder that driver and executors share."""
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
 def synced(spark, sf_dir) -> Store:
-    """A store in the shared folder that has gone through a reindex, a sync and a deletion."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loam-store-")
-    store, docs, embedder = Store(spark, f"{shared}/store-{uuid.uuid4().hex}"), as_markdown(spark, sf_dir), HashedWords(16)
-    ingest.reindex(store, ingest.index(docs.filter("doc_id % 2 = 0").select("source_file", "text"), Settings()), embedder)
+    """A store that has gone through a reindex, a sync and a deletion."""
+    store, docs, embedder = new_store(spark), as_markdown(spark, sf_dir), HashedWords(16)
+    ingest.reindex(store, ingest.index(docs.filter("doc_id % 2 = 0").select("source_file", "text"), Settings(), store=store), embedder)
     none = docs.select("source_file").limit(0)
-    ingest.sync(store, ingest.index(docs.filter("doc_id % 2 = 1").select("source_file", "text"), Settings()), none, embedder)
+    ingest.sync(store, ingest.index(docs.filter("doc_id % 2 = 1").select("source_file", "text"), Settings(), store=store), none, embedder)
     delete_files(store, docs.filter("doc_id % 3 = 0").select("source_file"))
     return store
 
@@ -596,3 +619,28 @@ def stored_files(spark, sf_dir):
     store = synced(spark, sf_dir)
     outlines = store.read("doc_outlines").select("source_file", F.lit("outline").alias("kind"), F.size("outline").cast("string").alias("what"))
     return outlines.unionByName(store.read("doc_relationships").select("source_file", F.col("relation").alias("kind"), F.col("target").alias("what")))
+
+
+@query(f"""WITH {CASCADE}, {CTE}, c AS (SELECT DISTINCT source_file, status, doc_date, old, sha256('File: ' || source_file || ' · Type: ' || doc_type || ' · Status: ' || CASE WHEN doc_id % 17 = 3 THEN 'done' ELSE coalesce(status, 'unknown') END || ' · Area ' || area || ', ' || header || chr(10) || chr(10) || content) AS content_hash, doc_id FROM chunks JOIN syn USING (doc_id) WHERE doc_id % 3 > 0)
+SELECT source_file, count(*) AS chunk_count, max(CASE WHEN doc_id % 17 = 3 THEN 'done' ELSE status END) AS status, CAST(max(doc_date) AS VARCHAR) AS doc_date, max(old) AS supersedes, false AS is_stale FROM c GROUP BY source_file""")
+def stored_health(spark, sf_dir):
+    """Health and metadata of each file as the same store keeps them, without reading a chunk."""
+    stats = synced(spark, sf_dir).read("file_stats")
+    health = search.stored_health(stats).select("source_file", "chunk_count", "is_stale")
+    return health.join(stats.select("source_file", "status", F.col("doc_date").cast("string").alias("doc_date"), "supersedes"), "source_file")
+
+
+#: Every turn as a search: assistants' as ones that failed.
+ASKED = ("text || ' token=abc123' AS query", "CASE WHEN role = 'assistant' THEN 'no answer to ' || text END AS error", "'conv-' || conv_id AS caller", "turn AS latency_ms")
+
+
+@query(f"SELECT substr({scrub_sql('query')}, 1, 500) || CASE WHEN error IS NULL THEN '' ELSE ' [error: ' || substr(error, 1, 200) || ']' END AS query_scrubbed, CAST(latency_ms AS INT) AS latency_ms, caller FROM (SELECT {', '.join(ASKED)} FROM conversations)")
+def query_log_stored(spark, sf_dir):
+    """The log after two appends, a compaction, another append and a second compaction."""
+    store, c = new_store(spark), read(spark, sf_dir, "conversations")
+    rows = c.selectExpr(*ASKED, "array(CAST(turn AS STRING)) AS ids", "pmod(conv_id, 3) AS part")
+    for k in range(3):
+        store.append("query_log", search.log_rows(rows.filter(F.col("part") == k), FIELDS))
+        if k:
+            store.compact_log()
+    return store.read("query_log").select("query_scrubbed", "latency_ms", "caller")

@@ -1,17 +1,19 @@
-"""Indexing: from files to chunks, outlines and edges, as one lazy plan for each table."""
+"""Indexing: from files to chunks, outlines and edges, and from those into the store's buckets."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.text import strip
 from ..operators import chunk, frontmatter, graph, outline, scrub, tracker
 from ..operators.embed import Embedder, embedded
-from ..sources.store import Store, keyed_merge, replace_files
+from ..schema import OUTLINE
+from ..sources import corpus
+from ..sources.store import Store, file_stats, replace
 
 
 @dataclass
@@ -46,19 +48,30 @@ def html_chunks(pages: DataFrame, settings: Settings, git: DataFrame | None = No
     return t.select("source_file", "section_header", "area_number", "doc_type", "content", "content_hash", "status", "supersedes", "doc_date", "git_sha", "git_committed_at", "depends_on", "feeds_into", "also_touches").dropDuplicates(["content_hash"])
 
 
-def index(docs: DataFrame, settings: Settings, pages: DataFrame | None = None, git: DataFrame | None = None) -> Indexed:
-    """docs (source_file, text), pages (source_file, html) -> the new rows of all tables."""
-    parsed = frontmatter.parse(docs, nested=settings.parity)
+def outlines(parsed: DataFrame) -> DataFrame:
+    """Parsed documents -> source_file, outline, updated_at; a document without headings has an empty outline."""
+    o = outline.outlines(parsed.select("source_file", "body"))
+    entry = F.struct("section_no", "level", "header", "anchor", "char_start", "char_end")
+    o = o.groupBy("source_file").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.dropFields("section_no")).alias("outline"))
+    each = parsed.select("source_file").distinct().join(o, "source_file", "left")
+    return each.select("source_file", F.coalesce("outline", F.array().cast(OUTLINE)).alias("outline"), F.current_timestamp().alias("updated_at"))
+
+
+def index(docs: DataFrame, settings: Settings, pages: DataFrame | None = None, git: DataFrame | None = None, store: Store | None = None) -> Indexed:
+    """docs (source_file, text), pages (source_file, html) -> the new rows of all tables. store: where documents are
+    written once as they are parsed, so that no table parses them again."""
+    parsed = frontmatter.parse(docs.select("source_file", "text"), nested=settings.parity).drop("text", "metadata")
+    if store is not None:
+        parsed = store.cut(parsed, "parsed")
     chunks = md_chunks(parsed, settings, git)
     files = docs.select("source_file")
     if pages is not None:
         chunks = chunks.unionByName(html_chunks(pages, settings, git)).dropDuplicates(["content_hash"])
         files = files.union(pages.select("source_file"))
-    outlines = parsed.select("source_file", outline.outline(F.col("body")).alias("outline"), F.current_timestamp().alias("updated_at"))
-    empty = parsed.filter(strip(F.col("body")) == "").select("source_file")
-    if settings.parity:
-        files = files.join(empty, "source_file", "left_anti")
-    return Indexed(chunks, outlines, graph.edges(parsed), files.distinct())
+    if settings.parity:  # what is stored of files edited to nothing stays
+        empty = parsed.filter(strip(F.col("body")) == "").select("source_file")
+        files, parsed = (d.join(empty, "source_file", "left_anti") for d in (files, parsed))
+    return Indexed(chunks, outlines(parsed), graph.edges(parsed), files.distinct())
 
 
 def fresh(chunks: DataFrame, stored: DataFrame, embedder: Embedder) -> DataFrame:
@@ -71,14 +84,42 @@ def fresh(chunks: DataFrame, stored: DataFrame, embedder: Embedder) -> DataFrame
 
 def reindex(store: Store, new: Indexed, embedder: Embedder) -> None:
     """The whole collection anew: what is stored but wasn't read goes; decisions and the log stay."""
-    store.commit({"doc_chunks": fresh(new.chunks, store.read("doc_chunks"), embedder), "doc_outlines": new.outlines, "doc_relationships": new.edges})
+    stored = store.read("doc_chunks")
+    if stored.isEmpty():
+        chunks = new.chunks.withColumn("embedding", embedded(F.col("content"), embedder)).withColumn("updated_at", F.current_timestamp())
+    else:
+        chunks = fresh(store.cut(new.chunks, "chunks"), stored, embedder)
+    staged = store.stage_all({"doc_chunks": chunks, "doc_outlines": new.outlines, "doc_relationships": new.edges})
+    rows = store.staged("doc_chunks", staged["doc_chunks"])
+    staged |= store.stage_all({"file_stats": file_stats(rows), "chunk_hashes": rows.select("content_hash", "source_file")})
+    store.publish(staged, {})
+    store.tidy()
 
 
-def sync(store: Store, new: Indexed, deleted: DataFrame, embedder: Embedder) -> None:
+def sync(store: Store, new: Indexed, deleted: DataFrame, embedder: Embedder, batch: tuple[str, int] | None = None, snapshot: DataFrame | None = None) -> None:
     """Changed files give up their rows for the new ones; deleted files give theirs up. The same files in any
-    batches end in the same tables as all at once."""
-    old = {t: store.read(t) for t in ("doc_chunks", "doc_outlines", "doc_relationships")}
-    gone = new.files.unionByName(deleted.select("source_file")).distinct()
-    chunks = fresh(new.chunks, old["doc_chunks"], embedder)
-    left = old["doc_chunks"].join(gone, "source_file", "left_anti")
-    store.commit({"doc_chunks": keyed_merge(left, chunks.select(*left.columns), ["content_hash"]), "doc_outlines": replace_files(old["doc_outlines"], gone, new.outlines), "doc_relationships": replace_files(old["doc_relationships"], gone, new.edges)})
+    batches end in the same tables as all at once. batch: a stream and its number, stored with what it did."""
+    gone = new.files.unionByName(deleted.select("source_file"))
+    chunks = store.cut(new.chunks, "chunks")
+    tables = {"doc_outlines": new.outlines, "doc_relationships": new.edges}
+    replace(store, gone, tables, lambda stored: fresh(chunks, stored, embedder), chunks.select("content_hash"), batch, snapshot)
+
+
+def sync_folder(spark: SparkSession, root: str, store: Store, settings: Settings, embedder: Embedder) -> dict[str, int]:
+    """Bring the store up to what lies below root: the snapshot of the last time tells which files have come, changed and
+    gone. Only files whose length or time differ are read, and of those only the ones whose text differs are indexed.
+    How many there are of each."""
+    found = store.cut(corpus.changes(spark, root, settings.repo_prefix, store.read("snapshot"), settings.exclude_globs), "changes")
+    texts = corpus.markdown_of(spark, root, settings.repo_prefix, found.filter("op IN ('added', 'changed')"), settings.exclude_globs)
+    read = store.cut(texts.withColumn("new_digest", F.sha2(F.col("text"), 256)), "texts")
+    rows = found.join(read.select("source_file", "new_digest"), "source_file", "left")
+    rows = rows.withColumn("op", F.when((F.col("op") == "changed") & (F.col("new_digest") == F.col("digest")), "same").otherwise(F.col("op")))
+    rows = store.cut(rows, "changes")
+    n = {r["op"]: r["count"] for r in rows.groupBy("op").count().collect()}
+    if n.keys() - {"same"} or rows.filter("new_digest IS NOT NULL").limit(1).count():
+        told = rows.filter("op <> 'deleted'").select("source_file", "path", "length", "modified", F.coalesce("new_digest", "digest").alias("digest"))
+        docs = read.join(rows.filter("op IN ('added', 'changed')"), "source_file", "left_semi")
+        sync(store, index(docs, settings, store=store), rows.filter("op = 'deleted'"), embedder, snapshot=told)
+    else:
+        store.tidy()
+    return {op: n.get(op, 0) for op in ("added", "changed", "deleted", "same")}

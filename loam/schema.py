@@ -9,4 +9,9 @@ QUERY_LOG = "query_scrubbed string, top_k_ids array<string>, latency_ms int, cal
 DRIFT = "file string, line int, signal string, reason string, authoritative_source string, suggested_replacement string, snippet string"
 TRACKER = "array<struct<id:string,n:string,tg:string,s:string,sg:array<struct<n:string,it:array<struct<n:string,s:string,o:string,y:string,nt:string>>>>,d:array<struct<x:string>>,df:array<string>>>"
 GIT = "source_file string, git_sha string, git_committed_at timestamp"
-TABLES = {"doc_chunks": CHUNKS, "doc_outlines": OUTLINES, "doc_relationships": EDGES, "decisions": DECISIONS, "query_log": QUERY_LOG}
+CHUNK_HASHES = "content_hash string, source_file string"
+FILE_STATS = "source_file string, chunk_count long, first_updated timestamp, last_updated timestamp, status string, supersedes string, doc_date date, git_committed_at timestamp"
+SNAPSHOT = "source_file string, path string, length long, modified timestamp, digest string"
+TABLES = {"doc_chunks": CHUNKS, "doc_outlines": OUTLINES, "doc_relationships": EDGES, "chunk_hashes": CHUNK_HASHES, "file_stats": FILE_STATS, "snapshot": SNAPSHOT, "decisions": DECISIONS, "query_log": QUERY_LOG}
+#: What a table's rows are dealt out to buckets by; the log has days instead.
+KEYS = {"doc_chunks": "source_file", "doc_outlines": "source_file", "doc_relationships": "source_file", "chunk_hashes": "content_hash", "file_stats": "source_file", "snapshot": "source_file", "decisions": "decision_key"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import subprocess
 from pathlib import Path
 
@@ -18,7 +19,7 @@ def _read(spark: SparkSession, root: str, glob: str, recursive: bool) -> DataFra
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def _relative(root: str):
+def relative(root: str):
     """The path below root, whatever the store's URI looks like."""
     tail = root.rstrip("/").split("://")[-1]
     return F.url_decode(F.substring_index("path", tail + "/", -1))
@@ -26,20 +27,51 @@ def _relative(root: str):
 
 def markdown(spark: SparkSession, root: str, prefix: str, recursive: bool = True, exclude: tuple[str, ...] = ("TEMPLATES",)) -> DataFrame:
     """source_file, name, text of the *.md files below root, one file a row."""
-    d = _read(spark, root, "*.md", recursive).withColumn("rel", _relative(root))
+    d = _read(spark, root, "*.md", recursive).withColumn("rel", relative(root))
     for part in exclude:
         d = d.filter(~F.array_contains(F.split("rel", "/"), part))
     return d.select(F.concat(F.lit(f"{prefix}/docs/"), "rel").alias("source_file"), F.element_at(F.split("rel", "/"), -1).alias("name"), "text")
 
 
+#: Files that are read by name; beyond it the whole folder is read and the rest left out.
+NAMED = 10_000
+
+
+def changes(spark: SparkSession, root: str, prefix: str, snapshot: DataFrame, exclude: tuple[str, ...] = ("TEMPLATES",)) -> DataFrame:
+    """What lies below root against a snapshot (source_file, path, length, modified, digest) -> source_file, path, length,
+    modified, digest (the snapshot's) and op: added, changed (length or time differ), deleted or same. Files are listed,
+    not read."""
+    d = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
+    d = d.select("path", F.col("modificationTime").alias("modified"), "length").withColumn("rel", relative(root))
+    for part in exclude:
+        d = d.filter(~F.array_contains(F.split("rel", "/"), part))
+    now = d.select(F.concat(F.lit(f"{prefix}/docs/"), "rel").alias("source_file"), "path", "length", "modified")
+    was = snapshot.select("source_file", *(F.col(c).alias(f"old_{c}") for c in ("path", "length", "modified")), "digest", F.lit(True).alias("known"))
+    both = now.withColumn("there", F.lit(True)).join(was, "source_file", "full_outer")
+    same = F.col("length").eqNullSafe(F.col("old_length")) & F.col("modified").eqNullSafe(F.col("old_modified"))
+    op = F.when(F.col("known").isNull(), "added").when(F.col("there").isNull(), "deleted").when(same, "same").otherwise("changed")
+    return both.select("source_file", *(F.coalesce(c, f"old_{c}").alias(c) for c in ("path", "length", "modified")), "digest", op.alias("op"))
+
+
+def markdown_of(spark: SparkSession, root: str, prefix: str, files: DataFrame, exclude: tuple[str, ...] = ("TEMPLATES",)) -> DataFrame:
+    """source_file, text of some files (source_file, path) below root."""
+    some = [r["path"] for r in files.select("path").limit(NAMED + 1).collect()]
+    if not some:
+        return spark.createDataFrame([], "source_file string, text string")
+    if len(some) > NAMED:
+        return markdown(spark, root, prefix, exclude=exclude).join(files.select("source_file"), "source_file", "left_semi").select("source_file", "text")
+    d = spark.read.text([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in some], wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return d.select(F.concat(F.lit(f"{prefix}/docs/"), relative(root)).alias("source_file"), "text")
+
+
 def html(spark: SparkSession, root: str, prefix: str) -> DataFrame:
-    d = _read(spark, root, "*.html", True).withColumn("rel", _relative(root))
+    d = _read(spark, root, "*.html", True).withColumn("rel", relative(root))
     return d.select(F.concat(F.lit(f"{prefix}/docs/"), "rel").alias("source_file"), F.col("text").alias("html"))
 
 
 def scanned(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIP_DIRS) -> DataFrame:
     """file, text for the stale-string scan: everything but what lies in a skipped folder."""
-    d = _read(spark, root, "*.md", True).withColumn("rel", _relative(root))
+    d = _read(spark, root, "*.md", True).withColumn("rel", relative(root))
     return d.filter(~F.arrays_overlap(F.split("rel", "/"), F.array(*map(F.lit, skip)))).select(F.concat(F.lit("docs/"), "rel").alias("file"), "text")
 
 

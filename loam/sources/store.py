@@ -1,87 +1,203 @@
-"""The stored tables: Parquet in version folders, one pointer to the current version of all.
+"""The stored tables: Parquet in hash buckets, and one manifest that says which folder holds each bucket of each table.
 
-A batch writes the whole new version beside the old one and then a pointer with the next number, which takes its name
-in one rename. Readers take the pointer with the greatest number, so that at any moment they see all of a batch or
-none, and a batch that fails leaves no trace. Tables that a batch doesn't touch keep their folder.
+A batch writes the buckets that hold its files or hashes anew, beside the old ones, and then a manifest with the next
+number, which takes its name in one rename. Readers take the manifest with the greatest number, so that at any moment
+they see all of a batch or none, and a batch that fails leaves no trace; buckets that a batch doesn't touch keep their
+folder. That holds on file systems whose rename is atomic and fails where the name is taken (HDFS, local ones); on an
+object store without it let one writer at a time commit.
+
+Beside the tables of the collection there are two that only speed things up: chunk_hashes says which file has a chunk
+(so that a batch finds the buckets of its hashes), file_stats has a row for each file with what health and
+neighborhoods ask of its chunks. The query log is appended to, a folder for each append, and compacted by day.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import TABLES
+from ..schema import KEYS, TABLES
+
+#: Buckets of a new store; a sync of few files writes about one in BUCKETS of the bytes for each.
+BUCKETS = 64
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """buckets: into how many a new store is dealt; one that exists keeps its own."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self._new_buckets, self._buckets = spark, root.rstrip("/"), buckets, None
+        self._work = f"{self.root}/work/{uuid.uuid4().hex}"
+
+    # --- files and manifests
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _pointers(self) -> list[tuple[int, object]]:
-        """(number, path) of all pointers, by number."""
-        fs, p = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(p):
-            return []
-        paths = [x.getPath() for x in fs.listStatus(p)]
-        return sorted(((int(x.getName()), x) for x in paths if x.getName().isdigit()), key=lambda x: x[0])
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
-    def _pointed(self, path) -> dict[str, str]:
-        return json.loads(self.spark.read.text(str(path), wholetext=True).first()[0])
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
 
-    def manifest(self) -> dict[str, str]:
-        found = self._pointers()
-        return self._pointed(found[-1][1]) if found else {}
+    def _pointed(self, number: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/CURRENT/{number}", wholetext=True).first()[0])
 
-    def read(self, table: str) -> DataFrame:
-        folder = self.manifest().get(table)
-        schema = self.spark.createDataFrame([], TABLES[table]).schema
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], schema)
+    def _numbers(self) -> list[str]:
+        return sorted((n for n in self._names(f"{self.root}/CURRENT") if n.isdigit()), key=int)
 
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Write the new states and swap the pointer."""
-        new = self.manifest()
-        for name, df in tables.items():
-            folder = f"{name}/v-{uuid.uuid4().hex}"
-            df.to(self.spark.createDataFrame([], TABLES[name]).schema).write.parquet(f"{self.root}/{folder}")
-            new[name] = folder
-        found = self._pointers()
-        n = found[-1][0] + 1 if found else 1
+    def manifest(self) -> dict:
+        """buckets; tables: the folder of each bucket that has rows; batches: the last of each stream; log."""
+        found = self._numbers()
+        if found:
+            return self._pointed(found[-1])
+        return {"buckets": self._new_buckets, "tables": {}, "batches": {}, "log": {"days": {}, "from": 0, "current": 0}}
+
+    def _point(self, manifest: dict) -> None:
+        found = self._numbers()
+        n = int(found[-1]) + 1 if found else 1
         fs, aside = self._fs(f"{self.root}/CURRENT/.new-{uuid.uuid4().hex}")
         _, p = self._fs(f"{self.root}/CURRENT/{n:09d}")
         out = fs.create(aside, True)
-        out.write(bytearray(json.dumps(new).encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
         if fs.exists(p) or not fs.rename(aside, p):
             raise OSError(f"another batch has become version {n} of {self.root}")
 
     def clear(self, keep: int = 2) -> None:
-        """Delete all but the last `keep` versions, and the folders that only older ones point to."""
-        found = self._pointers()
-        used = {folder for _, path in found[-keep:] for folder in self._pointed(path).values()}
-        for _, path in found[:-keep]:
-            for folder in {*self._pointed(path).values()} - used:
-                fs, p = self._fs(f"{self.root}/{folder}")
-                fs.delete(p, True)
-            fs, _ = self._fs(self.root)
-            fs.delete(path, False)
+        """Delete all but the last `keep` manifests, and the folders that only older ones name."""
+        numbers = self._numbers()
+        all_ = [self._pointed(n) for n in numbers]
+        folders = lambda ms: {f"{t}/{folder}/bucket={b}" for m in ms for t, bs in m["tables"].items() for b, folder in bs.items()} | {f"query_log/{f}" for m in ms for f in m["log"]["days"].values()}
+        used = folders(all_[-keep:])
+        for folder in folders(all_[:-keep]) - used:
+            self._delete(f"{self.root}/{folder}")
+        live = {u.rsplit("/", 1)[0] for u in used}
+        for folder in {f.rsplit("/", 1)[0] for f in folders(all_[:-keep]) if not f.startswith("query_log/")} - live:
+            self._delete(f"{self.root}/{folder}")
+        for epoch in range(min((m["log"]["from"] for m in all_[-keep:]), default=0)):
+            self._delete(f"{self.root}/query_log/epoch={epoch}")
+        for n in numbers[:-keep]:
+            self._delete(f"{self.root}/CURRENT/{n}")
+
+    # --- reading and writing buckets
+
+    def schema(self, table: str):
+        return self.spark.createDataFrame([], TABLES[table]).schema
+
+    def bucket(self, key: Column) -> Column:
+        if self._buckets is None:
+            self._buckets = self.manifest()["buckets"]
+        return F.pmod(F.xxhash64(key), F.lit(self._buckets)).cast("int")
+
+    def buckets_of(self, rows: DataFrame, key: str) -> set[int]:
+        """The buckets that rows belong to by a column; no more numbers than the store has buckets."""
+        return {r[0] for r in rows.select(self.bucket(F.col(key)).alias("b")).distinct().collect()}
+
+    def _load(self, table: str, folders: dict[str, str]) -> DataFrame:
+        paths = [f"{self.root}/{table}/{v}/bucket={b}" for b, v in folders.items()]
+        return self.spark.read.schema(self.schema(table)).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema(table))
+
+    def read(self, table: str, buckets: set[int] | None = None) -> DataFrame:
+        """A table as the newest manifest has it; only some buckets of it if they are named."""
+        m = self.manifest()
+        if table == "query_log":
+            return self._log(m)
+        return self._load(table, {b: v for b, v in m["tables"].get(table, {}).items() if buckets is None or int(b) in buckets})
+
+    def read_keys(self, table: str, keys: list[str]) -> DataFrame:
+        """The rows of some keys; only their buckets are read."""
+        some = self.spark.createDataFrame([(k,) for k in keys], "k string")
+        return self.read(table, self.buckets_of(some, "k")).filter(F.col(KEYS[table]).isin(keys))
+
+    def stage(self, table: str, rows: DataFrame) -> dict[str, str]:
+        """Write rows in buckets that no manifest names yet -> the folder of each bucket that has any."""
+        version = f"v-{uuid.uuid4().hex}"
+        dealt = rows.to(self.schema(table)).withColumn("bucket", self.bucket(F.col(KEYS[table])))
+        dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{table}/{version}")
+        return {n.removeprefix("bucket="): version for n in self._names(f"{self.root}/{table}/{version}") if n.startswith("bucket=")}
+
+    def stage_all(self, tables: dict[str, DataFrame]) -> dict[str, dict[str, str]]:
+        """stage() of tables that don't wait for each other, at once."""
+        with ThreadPoolExecutor(len(tables) or 1) as pool:
+            return dict(zip(tables, pool.map(self.stage, tables, tables.values()), strict=True))
+
+    def staged(self, table: str, folders: dict[str, str]) -> DataFrame:
+        return self._load(table, folders)
+
+    def publish(self, staged: dict[str, dict[str, str]], touched: dict[str, set[int] | None], batch: tuple[str, int] | None = None) -> None:
+        """Let the next manifest name what was staged in place of the touched buckets (all if None), and the batch of a
+        stream that did it."""
+        m = self.manifest()
+        for table, folders in staged.items():
+            gone = touched.get(table)
+            kept = {} if gone is None else {b: v for b, v in m["tables"].get(table, {}).items() if int(b) not in gone}
+            m["tables"][table] = kept | folders
+        if batch:
+            m["batches"][batch[0]] = batch[1]
+        self._point(m)
+
+    def commit(self, tables: dict[str, DataFrame]) -> None:
+        """Whole tables anew."""
+        self.publish(self.stage_all(tables), {})
+
+    def has_batch(self, stream: str, number: int) -> bool:
+        return self.manifest()["batches"].get(stream, -1) >= number
 
     def wipe(self) -> None:
-        """Chunks, outlines and edges go; decisions and the query log stay."""
-        self.commit({t: self.read(t).limit(0) for t in ("doc_chunks", "doc_outlines", "doc_relationships")})
+        """Chunks, outlines, edges and what was derived from them go; decisions and the query log stay."""
+        self.publish({t: {} for t in ("doc_chunks", "doc_outlines", "doc_relationships", "chunk_hashes", "file_stats", "snapshot")}, {})
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Write an intermediate table into the store's work folder and read it again."""
+        path = f"{self._work}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def tidy(self) -> None:
+        """Delete what cut() has written."""
+        self._delete(self._work)
+
+    # --- the query log
 
     def append(self, table: str, df: DataFrame) -> None:
-        folder = self.manifest().get(table)
-        if folder:
-            df.to(self.spark.createDataFrame([], TABLES[table]).schema).write.mode("append").parquet(f"{self.root}/{folder}")
-        else:
-            self.commit({table: df})
+        """Add rows to the log, in a folder of their own below the epoch that is current."""
+        if table != "query_log":
+            raise ValueError(f"{table} is not appended to")
+        df.to(self.schema(table)).write.parquet(f"{self.root}/query_log/epoch={self.manifest()['log']['current']}/{uuid.uuid4().hex}")
+
+    def _appended(self, first: int, last: int | None = None) -> list[str]:
+        """The folders of all appends from one epoch to another, that have been written to their end."""
+        top = f"{self.root}/query_log"
+        epochs = [n for n in self._names(top) if n.startswith("epoch=") and first <= int(n[6:]) and (last is None or int(n[6:]) <= last)]
+        return [f"{top}/{e}/{n}" for e in epochs for n in self._names(f"{top}/{e}") if "_SUCCESS" in self._names(f"{top}/{e}/{n}")]
+
+    def _log(self, m: dict) -> DataFrame:
+        paths = [f"{self.root}/query_log/{f}" for f in m["log"]["days"].values()] + self._appended(m["log"]["from"])
+        return self.spark.read.schema(self.schema("query_log")).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema("query_log"))
+
+    def compact_log(self) -> None:
+        """Fold the appends of all epochs but the current one into a folder for each day, and begin an epoch. A day that
+        gets no rows is not touched. An append that began before the last compaction has to be done by the next."""
+        m = self.manifest()
+        log = m["log"]
+        dated = lambda paths: self.spark.read.schema(self.schema("query_log")).parquet(*paths).withColumn("day", F.coalesce(F.to_date("created_at").cast("string"), F.lit("none")))
+        loose = self._appended(log["from"], log["current"] - 1)
+        days = {r["day"] for r in dated(loose).select("day").distinct().collect()} if loose else set()
+        if days:
+            old = [f"{self.root}/query_log/{log['days'][d]}" for d in days & log["days"].keys()]
+            name = f"days-{uuid.uuid4().hex}"
+            dated(loose + old).repartition("day").write.partitionBy("day").parquet(f"{self.root}/query_log/{name}")
+            log["days"] |= {d: f"{name}/day={d}" for d in days}
+        log["from"], log["current"] = log["current"], log["current"] + 1
+        self._point(m)
 
 
 def keyed_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,16 +205,50 @@ def keyed_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def replace_files(old: DataFrame, files: DataFrame, new: DataFrame) -> DataFrame:
-    """old without any row of the files, and new."""
-    return old.join(files.select("source_file"), "source_file", "left_anti").unionByName(new)
+def file_stats(chunks: DataFrame) -> DataFrame:
+    """A row for each file, of what its chunks say."""
+    told = (F.max(c).alias(c) for c in ("status", "supersedes", "doc_date", "git_committed_at"))
+    return chunks.groupBy("source_file").agg(F.count("*").alias("chunk_count"), F.min("updated_at").alias("first_updated"), F.max("updated_at").alias("last_updated"), *told)
+
+
+def replace(store: Store, gone: DataFrame, tables: dict[str, DataFrame], chunks=None, hashes: DataFrame | None = None, batch: tuple[str, int] | None = None, snapshot: DataFrame | None = None) -> None:
+    """One batch: all rows of the files in gone (source_file) go, and those of tables (outlines and edges of such files)
+    come. chunks: a function of what the touched buckets hold that gives the new chunks of such files; hashes: their
+    content_hash, which other files' rows lose. snapshot: the new snapshot, whole. Only the buckets of these files and
+    hashes are read and written."""
+    gone = store.cut(gone.select("source_file").distinct(), "gone")
+    own = store.buckets_of(gone, "source_file")
+    without = lambda table: store.read(table, own).join(gone, "source_file", "left_anti")
+    new = {name: without(name).unionByName(tables[name].select(*without(name).columns)) if name in tables else without(name) for name in ("doc_outlines", "doc_relationships")}
+    touched, left = own, without("doc_chunks")
+    if hashes is not None:
+        held = store.read("chunk_hashes", store.buckets_of(hashes, "content_hash")).join(hashes, "content_hash", "left_semi")
+        touched = own | store.buckets_of(held, "source_file")
+        left = store.read("doc_chunks", touched).join(gone, "source_file", "left_anti").join(hashes, "content_hash", "left_anti")
+    stored = store.read("doc_chunks", touched)
+    new["doc_chunks"] = left if chunks is None else left.unionByName(chunks(stored).select(*left.columns))
+    where: dict[str, set[int] | None] = {"doc_outlines": own, "doc_relationships": own, "doc_chunks": touched, "file_stats": touched}
+    if snapshot is not None:
+        new["snapshot"], where["snapshot"] = snapshot, None
+    staged = store.stage_all(new)
+
+    rows = store.staged("doc_chunks", staged["doc_chunks"])
+    pair = lambda df, sign: df.select("content_hash", "source_file", F.lit(sign).alias("n"))
+    moved = pair(stored, -1).unionByName(pair(rows, 1)).groupBy("content_hash", "source_file").agg(F.sum("n").alias("n")).filter("n <> 0")
+    moved = store.cut(moved, "hashes")
+    where["chunk_hashes"] = store.buckets_of(moved, "content_hash")
+    known = store.read("chunk_hashes", where["chunk_hashes"]).join(moved.filter("n < 0"), ["content_hash", "source_file"], "left_anti")
+    staged |= store.stage_all({"file_stats": file_stats(rows), "chunk_hashes": known.unionByName(moved.filter("n > 0").drop("n"))})
+    store.publish(staged, where, batch)
+    store.tidy()
 
 
 def delete_files(store: Store, files: DataFrame) -> int:
     """Drop all that is stored of some files; the number of chunks that go."""
-    old = {t: store.read(t) for t in ("doc_chunks", "doc_outlines", "doc_relationships")}
-    n = old["doc_chunks"].join(files.select("source_file"), "source_file", "left_semi").count()
-    store.commit({t: df.join(files.select("source_file"), "source_file", "left_anti") for t, df in old.items()})
+    files = files.select("source_file").distinct()
+    stats = store.read("file_stats", store.buckets_of(files, "source_file")).join(files, "source_file", "left_semi")
+    n = stats.agg(F.sum("chunk_count")).first()[0] or 0
+    replace(store, files, {})
     return n
 
 

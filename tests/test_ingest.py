@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 import subprocess
 
 import pytest
@@ -105,6 +106,113 @@ def test_stream(spark, files, tmp_path):
     assert rows(s.read("doc_chunks")) == before
 
 
+def bytes_below(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_small_syncs_write_few_buckets(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"), buckets=128)
+    text = lambda k: doc(k % 9, f"## One {k}\n" + f"words of file {k} " * 200 + f"\n## Two\nmore {k}")
+    many = spark.createDataFrame([(f"p/docs/f{k}.md", text(k)) for k in range(300)], "source_file string, text string")
+    ingest.reindex(s, ingest.index(many, SETTINGS, store=s), HashedWords(16))
+    tables = ("doc_chunks", "doc_outlines", "doc_relationships", "file_stats", "chunk_hashes")
+    size = lambda: {t: bytes_below(tmp_path / "store" / t) for t in tables}
+    whole, before = size(), s.manifest()["tables"]
+    few = spark.createDataFrame([("p/docs/f7.md", text(9000)), ("p/docs/new.md", text(9001))], "source_file string, text string")
+    gone = spark.createDataFrame([("p/docs/f8.md",)], "source_file string")
+    ingest.sync(s, ingest.index(few, SETTINGS, store=s), gone, HashedWords(16))
+    after = s.manifest()["tables"]
+    changed = {t: sum(before[t].get(b) != after[t].get(b) for b in before[t].keys() | after[t].keys()) for t in tables}
+    assert all(0 < changed[t] <= 3 for t in ("doc_chunks", "doc_outlines", "file_stats")) and changed["chunk_hashes"] <= 8
+    wrote = size()
+    assert wrote["doc_chunks"] - whole["doc_chunks"] <= 0.05 * whole["doc_chunks"]
+    assert s.read("doc_chunks").count() == 600 and s.read("chunk_hashes").count() == 600 and s.read("file_stats").agg(F.sum("chunk_count")).first()[0] == 600
+    assert store.delete_files(s, spark.createDataFrame([("p/docs/new.md",), ("p/docs/none.md",)], "source_file string")) == 2
+    assert sorted(r.source_file for r in s.read_keys("doc_outlines", ["p/docs/f7.md", "p/docs/new.md"]).collect()) == ["p/docs/f7.md"]
+    s.clear(keep=1)
+    assert s.read("doc_chunks").count() == 598 and not (tmp_path / "store" / "work").exists() or not list((tmp_path / "store" / "work").iterdir())
+
+
+def test_a_chunk_moves_to_the_file_that_has_it_last(spark, tmp_path):
+    """Without a preamble two files can hold the same chunk: one row, of the later file."""
+    lite = Settings(repo_prefix="p", lite=True)
+    s = store.Store(spark, str(tmp_path / "store"))
+    none = spark.createDataFrame([], "source_file string")
+    frame = lambda *r: spark.createDataFrame(r, "source_file string, text string")
+    ingest.sync(s, ingest.index(frame(("p/docs/a.md", "## H\nsame"), ("p/docs/c.md", "## H\nother")), lite), none, HashedWords(4))
+    ingest.sync(s, ingest.index(frame(("p/docs/b.md", "## H\nsame")), lite), none, HashedWords(4))
+    assert {(r.source_file, r.content) for r in s.read("doc_chunks").collect()} == {("p/docs/b.md", "same"), ("p/docs/c.md", "other")}
+    assert {r.source_file for r in s.read("chunk_hashes").collect()} == {r.source_file for r in s.read("file_stats").collect()} == {"p/docs/b.md", "p/docs/c.md"}
+
+
+def test_a_folder_tells_what_has_changed(spark, files, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+    go = lambda: ingest.sync_folder(spark, str(files), s, SETTINGS, HashedWords(4))
+    assert go() == {"added": 3, "changed": 0, "deleted": 0, "same": 0}
+    version = len(s._numbers())
+    assert go() == {"added": 0, "changed": 0, "deleted": 0, "same": 3} and len(s._numbers()) == version
+    (files / "sub").mkdir()
+    (files / "sub" / "01-dec-d1.md").write_text(doc(1, "## Sub\nof the same name"))
+    (files / "01-dec-d1.md").write_text(doc(1, "## Trial length\nthirty days"))
+    (files / "02-dec-d2.md").unlink()
+    os.utime(files / "03-dec-d3.md", (1, 1))
+    assert go() == {"added": 1, "changed": 1, "deleted": 1, "same": 1}
+    again = store.Store(spark, str(tmp_path / "again"))
+    ingest.reindex(again, ingest.index(corpus.markdown(spark, str(files), "p"), SETTINGS), HashedWords(4))
+    assert rows(s.read("doc_chunks")) == rows(again.read("doc_chunks"))
+    assert go() == {"added": 0, "changed": 0, "deleted": 0, "same": 3}
+
+
+def test_a_batch_is_done_once(spark, files, tmp_path, monkeypatch):
+    """A stream dies between what it has written and the manifest that names it, and comes again; then one batch comes twice."""
+    s = store.Store(spark, str(tmp_path / "store"))
+    args = (spark, str(files), s, SETTINGS, HashedWords(4), str(tmp_path / "cp"))
+    (files / "sub").mkdir()
+    (files / "sub" / "01-dec-d1.md").write_text(doc(1, "## Sub\nof the same name"))
+
+    def dies(manifest):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(s, "_point", dies)
+        with pytest.raises(Exception, match="gone"):
+            stream.start(*args).awaitTermination(120)
+    assert s.read("doc_chunks").isEmpty() and s.manifest()["batches"] == {}
+    stream.start(*args).awaitTermination(120)
+    assert s.manifest()["batches"] == {str(tmp_path / "cp"): 0}
+    assert {r.source_file for r in s.read("doc_chunks").collect()} == {f"p/docs/{n}.md" for n in ("01-dec-d1", "02-dec-d2", "03-dec-d3", "sub/01-dec-d1")}
+    version = len(s._numbers())
+    done = []
+    monkeypatch.setattr(stream, "sync", lambda *a: done.append(a[-1]))
+    run = stream.upsert(s, SETTINGS, HashedWords(4), str(tmp_path / "cp"))
+    run(spark.createDataFrame([("p/docs/x.md", "## New\nnever seen")], "source_file string, text string"), 0)
+    assert len(s._numbers()) == version and not done
+    run(spark.createDataFrame([("p/docs/x.md", "## New\nnever seen")], "source_file string, text string"), 1)
+    assert done == [(str(tmp_path / "cp"), 1)]
+
+
+def test_log_days_and_epochs(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+    row = lambda q, day: spark.createDataFrame([(q, [], 1, "c", datetime.datetime(2024, 1, day))], "query_scrubbed string, top_k_ids array<string>, latency_ms int, caller string, created_at timestamp")
+    asked = lambda: sorted(r.query_scrubbed for r in s.read("query_log").collect())
+    assert asked() == []
+    s.append("query_log", row("a", 1))
+    s.compact_log()  # what the current epoch holds is left for the next time
+    s.append("query_log", row("b", 1))
+    s.append("query_log", row("c", 2))
+    (tmp_path / "store" / "query_log" / "epoch=1" / "torn").mkdir(parents=True)
+    assert asked() == ["a", "b", "c"]
+    s.compact_log()
+    assert asked() == ["a", "b", "c"] and s.manifest()["log"]["days"].keys() == {"2024-01-01"}
+    days = s.manifest()["log"]["days"]
+    s.compact_log()
+    assert asked() == ["a", "b", "c"] and s.manifest()["log"]["days"].keys() == {"2024-01-01", "2024-01-02"} and s.manifest()["log"]["days"]["2024-01-01"] != days["2024-01-01"]
+    s.clear(keep=1)
+    assert asked() == ["a", "b", "c"] and not (tmp_path / "store" / "query_log" / "epoch=0").exists()
+    with pytest.raises(ValueError):
+        s.append("decisions", row("x", 1))
+
+
 def test_tools(spark, files, tmp_path):
     s = store.Store(spark, str(tmp_path / "store"))
     ingest.reindex(s, indexed(spark, files), HashedWords(16))
@@ -134,6 +242,8 @@ def test_tools(spark, files, tmp_path):
     assert h["total_files"] == 4 and h["stale_files"] == []
     broken = Tools(s, SETTINGS, lambda texts: 1 / 0).search_docs("x")
     assert broken["results"] == [] and broken["error"]
+    t.store = None
+    assert t.search_docs("x")["error"] and t.unlogged == 1 and t.unlogged_because
 
 
 def test_sources(spark, files, tmp_path):
@@ -166,4 +276,4 @@ def test_versions_of_a_file_and_of_the_store(spark, tmp_path):
     for _ in range(3):
         s.wipe()
     s.clear(keep=1)
-    assert s.read("doc_chunks").isEmpty() and len(list((tmp_path / "versions" / "doc_chunks").iterdir())) == 1
+    assert s.read("doc_chunks").isEmpty() and not list((tmp_path / "versions" / "doc_chunks").iterdir())
