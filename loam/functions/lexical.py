@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 # English stop words.
 STOP_WORDS = tuple("a about above after again all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own s same she should so some such t than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with you your".split())
@@ -105,6 +106,22 @@ def stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda ws: None if ws is None else [kept.setdefault(w, "") or kept.__setitem__(w, stem(w)) or kept[w] for w in ws])
 
 
+@pandas_udf(ArrayType(StructType().add("term", StringType()).add("tf", IntegerType())))
+def _counted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    kept: dict[str, str] = {}
+    for words_, stems in batches:
+        if len(kept) > 200_000:
+            kept.clear()
+        for ws in words_[stems]:
+            kept.update((w, stem(w)) for w in {*(() if ws is None else ws)} - kept.keys())
+        yield pd.Series([None if ws is None else [{"term": t, "tf": n} for t, n in Counter(kept[w] if s else w for w in ws).items()] for ws, s in zip(words_, stems, strict=True)])
+
+
+def counted(c: Column, stems: bool = True) -> Column:
+    """array<struct<term, tf>>: the different lexemes of a text, with how often it has each."""
+    return _counted(words(c), F.lit(stems))
+
+
 def lexemes(c: Column, stems: bool = True) -> Column:
     return stemmed(words(c)) if stems else words(c)
 
@@ -118,6 +135,16 @@ def _is(term: str):
     return lambda w: w == term
 
 
+def weight(n_docs: int, df: int) -> float:
+    """How much a term counts that df of n_docs documents have."""
+    return math.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+
+
+def gain(tf: Column, length: Column, mean: float | None) -> Column:
+    """What a term adds for each unit of its weight."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
+
+
 def bm25(docs: DataFrame, terms: list[str], lexeme_col: str = "lexemes", into: str = "lex") -> DataFrame:
     """docs with `into`: the BM25 score s of the terms as s / (1 + s). One pass counts what the score needs: the
     number of documents, their mean length and how many hold each term."""
@@ -128,8 +155,6 @@ def bm25(docs: DataFrame, terms: list[str], lexeme_col: str = "lexemes", into: s
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(lexeme_col)).alias("mean"), *held).first()
     score = F.lit(0.0)
     for i, t in enumerate(terms):
-        df = stats[f"n{i}"]
-        idf = F.lit(math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5)))
         tf = F.size(F.filter(lexeme_col, _is(t))).cast("double")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(lexeme_col) / F.lit(stats["mean"] or 1.0)))
+        score = score + F.lit(weight(stats["n"], stats[f"n{i}"])) * gain(tf, F.size(lexeme_col), stats["mean"])
     return docs.withColumn(into, score / (1 + score))

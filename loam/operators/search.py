@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_K, LEXICAL_WEIGHT, LOGGED_ERROR, LOGGED_QUERY, MAX_K, MIN_SIMILARITY, STALE_HOURS, VECTOR_WEIGHT
 from ..functions import lexical
 from ..functions.vectors import cosine, literal
+from ..sources.shared import shared_dir
 from .scrub import scrub
 
 #: Queries of a batch that go to the tasks at once.
@@ -54,11 +57,22 @@ def hybrid(chunks: DataFrame, query: str, vector, k: int = DEFAULT_K, stems: boo
     once for each chunk that the authority filters let through."""
     c = chunks.filter(authority(**filters)).withColumn("lexemes", lexical.lexemes(F.col("content"), stems))
     asked = chunks.sparkSession.range(1).select(lexical.lexemes(F.lit(query), stems).alias("q")).first()["q"]
-    c = lexical.bm25(c, asked).withColumn("vec", F.coalesce(cosine(F.col("embedding"), literal(vector)), F.lit(0.0)))
+    c = lexical.bm25(c, asked)
     words = F.array(*(F.lit(t) for t in asked)) if asked else F.array().cast("array<string>")
-    c = c.filter((F.col("vec") >= MIN_SIMILARITY) | lexical.matches_all(F.col("lexemes"), words))
-    best = rank(c.withColumn("score", VECTOR_WEIGHT * F.col("vec") + LEXICAL_WEIGHT * F.col("lex")), k)
-    return best.select("content_hash", "source_file", "section_header", "area_number", "doc_type", "status", "supersedes", banner(F.col("content"), F.col("status"), F.col("supersedes")).alias("content"), stamp(F.col("updated_at")).alias("updated_at"), "score")
+    return shown(best(c, vector, lexical.matches_all(F.col("lexemes"), words), k))
+
+
+def best(rows: DataFrame, vector, holds: Column, k: int) -> DataFrame:
+    """rows (content_hash, embedding, lex, ...) -> the k best by both arms, of those that are similar enough or for which
+    `holds` is true, with score."""
+    c = rows.withColumn("vec", F.coalesce(cosine(F.col("embedding"), literal(vector)), F.lit(0.0)))
+    c = c.filter((F.col("vec") >= MIN_SIMILARITY) | holds)
+    return rank(c.withColumn("score", VECTOR_WEIGHT * F.col("vec") + LEXICAL_WEIGHT * F.col("lex")), k)
+
+
+def shown(hits: DataFrame) -> DataFrame:
+    """Chunks with a score as an answer shows them."""
+    return hits.select("content_hash", "source_file", "section_header", "area_number", "doc_type", "status", "supersedes", banner(F.col("content"), F.col("status"), F.col("supersedes")).alias("content"), stamp(F.col("updated_at")).alias("updated_at"), "score")
 
 
 def _best(item_id: str, query_ids: list, vectors: list[list[float]], k: int):
@@ -87,25 +101,43 @@ def _best(item_id: str, query_ids: list, vectors: list[list[float]], k: int):
     return run
 
 
+def by_blocks(queries: DataFrame, run, empty: DataFrame) -> DataFrame:
+    """What run(rows) returns for blocks of about QUERY_BLOCK rows of queries (query_id, ...). Only one block is with the
+    driver at a time: what it gives is written before the next is fetched."""
+    spark = queries.sparkSession
+    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    for b in range(blocks):
+        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if blocks == 1:
+            return run(some) if some else empty
+        if some:
+            run(some).write.mode("append").parquet(path)
+    return spark.read.schema(empty.schema).parquet(path)
+
+
+def ranked(hits: DataFrame, k: int, item_id: str) -> DataFrame:
+    """Each task's best (query_id, id, score) -> the k best of each query with their rank."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), item_id)
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def batch_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str = "id") -> DataFrame:
     """items (id, v), queries (query_id, q) -> query_id, id, score, rank of the k most similar items of each query.
 
     The queries are the stated set, held against all items in blocks of about QUERY_BLOCK: a block goes to the tasks,
     each task keeps its k best for each query, and only those are shuffled. Vectors that are null, of another
     length or of length 0 have no similarity."""
-    blocks, best = max(1, math.ceil(queries.count() / QUERY_BLOCK)), None
-    for b in range(blocks):
-        block = queries.filter(F.col("q").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", "q").collect()
+    empty = items.sparkSession.createDataFrame([], f"query_id long, {item_id} long, score double")
+
+    def one(block: list) -> DataFrame:
         by_size: dict[int, list] = {}
         for r in block:
             by_size.setdefault(len(r["q"]), []).append(r)
-        for rows in by_size.values():
-            found = items.select(item_id, "v").mapInArrow(_best(item_id, [r["query_id"] for r in rows], [r["q"] for r in rows], k), f"query_id long, {item_id} long, score double")
-            best = found if best is None else best.unionByName(found)
-    if best is None:
-        best = items.sparkSession.createDataFrame([], f"query_id long, {item_id} long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), item_id)
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        found = [items.select(item_id, "v").mapInArrow(_best(item_id, [r["query_id"] for r in rows], [r["q"] for r in rows], k), empty.schema) for rows in by_size.values()]
+        return reduce(DataFrame.unionByName, found)
+
+    return ranked(by_blocks(queries.filter("q IS NOT NULL").select("query_id", "q"), one, empty), k, item_id)
 
 
 def log_rows(asked: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:

@@ -13,8 +13,9 @@ from ..functions.vectors import cosine
 from ..operators import audit, chunk, decisions, drift, evals, frontmatter, graph, outline, scrub, search, tracker
 from ..operators.embed import HashedWords
 from ..sources import synthetic
+from ..sources import indexes
 from ..sources.shared import shared_dir
-from ..sources.store import Store, delete_files
+from ..sources.store import BUCKETS, Store, delete_files
 from ..sources.synthetic import CTE, PREFIX, as_markdown, corpus, headed, parsed
 from . import ingest
 
@@ -96,10 +97,10 @@ def hybrid_search(spark, sf_dir):
     return best.select("doc_id", F.round("s", 6).alias("score"))
 
 
-def hybrid_sql(where: str, words: str = WORDS, k: int = 20) -> str:
-    """SQL for hybrid search over the documents that some filters let through."""
-    return f"""WITH {CTE}, w AS (SELECT doc_id, {words} AS w FROM syn WHERE {where}),
-t AS (SELECT doc_id, w, len(list_filter(w, lambda x: x = '{TERMS[0]}')) AS t0, len(list_filter(w, lambda x: x = '{TERMS[1]}')) AS t1 FROM w),
+def hybrid_sql(where: str, forms: tuple[str, str] = tuple(f"'{t}'" for t in TERMS), k: int = 20) -> str:
+    """SQL for hybrid search over the documents that some filters let through; forms: words that count as each term."""
+    return f"""WITH {CTE}, w AS (SELECT doc_id, {WORDS} AS w FROM syn WHERE {where}),
+t AS (SELECT doc_id, w, len(list_filter(w, lambda x: x IN ({forms[0]}))) AS t0, len(list_filter(w, lambda x: x IN ({forms[1]}))) AS t1 FROM w),
 st AS (SELECT count(*) AS n, avg(len(w)) AS mean, count(*) FILTER (t0 > 0) AS n0, count(*) FILTER (t1 > 0) AS n1 FROM t),
 s AS (SELECT t.doc_id, t0, t1, {BM25} AS b, coalesce({COS}, 0) AS vec FROM t LEFT JOIN embeddings e ON e.vec_id = t.doc_id, st, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
 SELECT syn.doc_id AS content_hash, source_file, status, old AS supersedes, md5(text) AS content_md5, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(s.doc_id AS INT), '%Y-%m-%dT%H:%M:%SZ') AS updated_at, round(0.7 * vec + 0.3 * b / (1 + b), 6) AS score
@@ -596,9 +597,9 @@ def incremental_sync(spark, sf_dir):
     return synced(spark, sf_dir).read("doc_chunks").select("content_hash", "source_file", "section_header")
 
 
-def new_store(spark) -> Store:
+def new_store(spark, buckets: int = BUCKETS) -> Store:
     """An empty store in the folder that driver and executors share."""
-    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", buckets)
 
 
 def synced(spark, sf_dir) -> Store:
@@ -644,3 +645,40 @@ def query_log_stored(spark, sf_dir):
         if k:
             store.compact_log()
     return store.read("query_log").select("query_scrubbed", "latency_ms", "caller")
+
+
+def stored_documents(spark, sf_dir) -> Store:
+    """A store of whole documents as chunks."""
+    store = new_store(spark, 8)
+    store.commit({"doc_chunks": searchable(spark, sf_dir).withColumn("content_hash", F.col("content_hash").cast("string"))})
+    return store
+
+
+#: Forms that have one stem.
+FORMS = ("'trash', 'trashs', 'trashes', 'trashed', 'trashing'", "'worthless', 'worthlessed', 'worthlessing', 'worthlessly'")
+
+
+@query(hybrid_sql("status = 'complete' AND doc_type = 'spec'", FORMS))
+def indexed_search(spark, sf_dir):
+    """Hybrid search by stems, over the stored lexical index."""
+    store = stored_documents(spark, sf_dir)
+    indexes.LexicalIndex(store).refresh()
+    hits = indexes.hybrid(store, "trashing, worthless", seed(spark, sf_dir), 20, status="complete", doc_type="spec")
+    return found(hits.withColumn("content_hash", F.col("content_hash").cast("long")))
+
+
+@query("SELECT count(*) AS queries, true AS recalled FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index(spark, sf_dir):
+    """The index's neighbors of every vector whose id is divisible by 50, all vectors indexed: whether nine of ten that exact
+    search finds are among them."""
+    store, e = new_store(spark, 8), read(spark, sf_dir, "embeddings")
+    none = {n: F.lit(None).cast(k) for n, k in store.spark.createDataFrame([], store.schema("doc_chunks")).dtypes}
+    own = {"content_hash": F.col("vec_id").cast("string"), "embedding": F.col("embedding"), "source_file": F.concat(F.lit("f"), F.col("vec_id").cast("string"))}
+    rows = e.select(*((none | own)[c].alias(c) for c in none))
+    store.commit({"doc_chunks": rows})
+    index = indexes.VectorIndex(store)
+    index.refresh()
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    near = index.batch_topk(q, 10).select("query_id", F.col("content_hash").cast("long").alias("vec_id"), F.lit(1).alias("hit"))
+    exact = search.batch_topk(e.select("vec_id", F.col("embedding").alias("v")), q, 10, "vec_id").select("query_id", "vec_id")
+    return exact.join(near, ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("recalled"))

@@ -102,8 +102,13 @@ class Store:
         return {r[0] for r in rows.select(self.bucket(F.col(key)).alias("b")).distinct().collect()}
 
     def _load(self, table: str, folders: dict[str, str]) -> DataFrame:
+        return self.load(table, folders).select(self.schema(table).names)
+
+    def load(self, table: str, folders: dict[str, str]) -> DataFrame:
+        """Some buckets, with what their folders say too."""
         paths = [f"{self.root}/{table}/{v}/bucket={b}" for b, v in folders.items()]
-        return self.spark.read.schema(self.schema(table)).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema(table))
+        reader = self.spark.read.schema(self.schema(table)).option("basePath", f"{self.root}/{table}")
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema(table))
 
     def read(self, table: str, buckets: set[int] | None = None) -> DataFrame:
         """A table as the newest manifest has it; only some buckets of it if they are named."""
@@ -117,11 +122,16 @@ class Store:
         some = self.spark.createDataFrame([(k,) for k in keys], "k string")
         return self.read(table, self.buckets_of(some, "k")).filter(F.col(KEYS[table]).isin(keys))
 
-    def stage(self, table: str, rows: DataFrame) -> dict[str, str]:
-        """Write rows in buckets that no manifest names yet -> the folder of each bucket that has any."""
-        version = f"v-{uuid.uuid4().hex}"
+    def stage(self, table: str, rows: DataFrame, part: tuple[str, Column] | None = None, order: str | None = None) -> dict[str, str]:
+        """Write rows in buckets that no manifest names yet -> the folder of each bucket that has any. part: a name and a
+        column by which buckets have folders of their own; order: what rows are sorted by there."""
+        version = f"version={uuid.uuid4().hex}"
+        by = ["bucket"] + ([part[0]] if part else [])
         dealt = rows.to(self.schema(table)).withColumn("bucket", self.bucket(F.col(KEYS[table])))
-        dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{table}/{version}")
+        dealt = (dealt.withColumn(*part) if part else dealt).hint("rebalance", *by)
+        if order:
+            dealt = dealt.sortWithinPartitions(*by, order)
+        dealt.write.partitionBy(*by).parquet(f"{self.root}/{table}/{version}")
         return {n.removeprefix("bucket="): version for n in self._names(f"{self.root}/{table}/{version}") if n.startswith("bucket=")}
 
     def stage_all(self, tables: dict[str, DataFrame]) -> dict[str, dict[str, str]]:
@@ -132,10 +142,10 @@ class Store:
     def staged(self, table: str, folders: dict[str, str]) -> DataFrame:
         return self._load(table, folders)
 
-    def publish(self, staged: dict[str, dict[str, str]], touched: dict[str, set[int] | None], batch: tuple[str, int] | None = None) -> None:
-        """Let the next manifest name what was staged in place of the touched buckets (all if None), and the batch of a
-        stream that did it."""
-        m = self.manifest()
+    def publish(self, staged: dict[str, dict[str, str]], touched: dict[str, set[int] | None], batch: tuple[str, int] | None = None, told: dict | None = None) -> None:
+        """Let the next manifest name what was staged in place of the touched buckets (all if None), the batch of a
+        stream that did it, and what else is told."""
+        m = self.manifest() | (told or {})
         for table, folders in staged.items():
             gone = touched.get(table)
             kept = {} if gone is None else {b: v for b, v in m["tables"].get(table, {}).items() if int(b) not in gone}
