@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHAIN_DEPTH, FUZZY_MATCHES
+from ..sources.shared import written
 from .frontmatter import registry_yaml
-from .graph import normal_target
+from .graph import first_again, normal_target, paths
 
 #: A decision document's name.
 FILE_NAME = r"\A\d{2}-dec-[a-z0-9-]+\.md\z"
-#: Queries of a lookup that are held against all decisions at once, if neither an id nor a key answers them.
-LOOKUP_BLOCK = 1000
+#: Characters of the stretches by which a lookup finds candidates.
+GRAM = 3
 BLOCK = "struct<area:string,decisions:array<struct<key:string,decision:string,current_value:string,decided_on:string,cross_refs:array<string>,supersedes:string>>>"
 COLUMNS = ("id", "decision_key", "area", "decision", "current_value", "source_doc", "decided_on", "cross_refs", "superseded_by")
 
@@ -68,17 +67,14 @@ def cycles(rows: DataFrame) -> DataFrame:
 
 def successors(decisions: DataFrame, depth: int = CHAIN_DEPTH, starts: DataFrame | None = None) -> DataFrame:
     """decisions (id, superseded_by, ...) -> id, hop from 1, successor: who replaced each (or each of starts), and who
-    replaced that; a decision met before ends the chain."""
+    replaced that; the hop that leads to a decision met before is the last."""
     step = decisions.select(F.col("id").alias("at"), F.col("superseded_by").alias("next")).filter("next IS NOT NULL")
-    known = decisions.select(F.col("id").alias("next"))
-    front = (decisions if starts is None else starts).select("id", F.col("id").alias("at"), F.array().cast("array<int>").alias("seen"))
-    hops = None
-    for hop in range(1, depth + 1):
-        front = front.filter(~F.array_contains("seen", F.col("at"))).withColumn("seen", F.concat("seen", F.array("at"))).join(step, "at").join(known, "next", "left_semi")
-        found = front.select("id", F.lit(hop).alias("hop"), F.col("next").alias("successor"))
-        hops = found if hops is None else hops.unionByName(found)
-        front = front.select("id", F.col("next").alias("at"), "seen")
-    return hops
+    chains = paths(step.join(decisions.select(F.col("id").alias("next")), "next", "left_semi"), depth)
+    if starts is not None:
+        chains = chains.join(starts.select(F.col("id").alias("at")), "at", "left_semi")
+    ends = F.coalesce(first_again(F.col("at"), F.col("path")), F.size("path"))
+    hops = chains.select(F.col("at").alias("id"), F.posexplode(F.slice("path", F.lit(1), ends)).alias("hop", "p"))
+    return hops.select("id", (F.col("hop") + 1).alias("hop"), F.col("p.next").alias("successor"))
 
 
 def with_banner(decisions: DataFrame, chain: DataFrame | None = None, registry: DataFrame | None = None) -> DataFrame:
@@ -93,27 +89,64 @@ def with_banner(decisions: DataFrame, chain: DataFrame | None = None, registry:
     return d.withColumn("banner", F.when(F.col("superseded_by").isNotNull(), gone).when(F.col("decided_on").isNull(), "[DRAFT]").otherwise("[CURRENT]")).drop("last_id", "last_key", "last_date")
 
 
+def grams(text: Column, size: int) -> Column:
+    """The different stretches of `size` characters of a text."""
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def _sized(size: int):
+    return lambda text: grams(text, size)
+
+
+def _candidates(asked: DataFrame, d: DataFrame) -> DataFrame:
+    """asked (query), d (id, decision, current_value, ...) -> query with the decisions that may hold it: those that have its
+    rarest stretch of three characters, or of two or one if it has no longer stretch between its wildcards."""
+    pieces = F.split(F.lower("query"), r"(?s)\\.|[%_]|\\", -1)
+    longest = F.least(F.array_max(F.transform(pieces, lambda p: F.length(p))), F.lit(GRAM))
+    of = F.when(F.lit(False), F.array().cast("array<string>"))
+    for size in range(1, GRAM + 1):
+        of = of.when(longest == size, F.flatten(F.transform(pieces, _sized(size))))
+    q = written(asked.select("query", F.explode(of).alias("gram")).distinct(), "grams")
+    wanted = q.select("gram").distinct()
+    texts = F.array(F.lower(F.coalesce("decision", F.lit(""))), F.lower(F.coalesce("current_value", F.lit(""))))
+    held = F.array_distinct(F.flatten(F.concat(*(F.transform(texts, _sized(size)) for size in range(1, GRAM + 1)))))
+    postings = written(d.select("id", F.explode(held).alias("gram")).join(wanted, "gram", "left_semi"), "grams")
+    n = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    # a query with a stretch that nobody has finds nothing
+    rarest = q.join(n, "gram", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    return rarest.join(postings, "gram").select("query", "id").join(d, "id")
+
+
+def _anything(asked: DataFrame, d: DataFrame) -> DataFrame:
+    """asked (query) that are wildcards alone: they hold for every text of so many characters. Of the decisions of each
+    length the first few will do."""
+    own = F.greatest(F.length("decision"), F.length("current_value"))
+    few = d.withColumn("most", own).filter("most IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("most").orderBy(F.length("decision"), "decision_key"))).filter(F.col("n") <= FUZZY_MATCHES)
+    few = written(few.drop("n"), "lengths")
+    most = few.agg(F.max("most")).first()[0] or 0
+    least = F.length("query") - F.length(F.replace("query", F.lit("_")))
+    return asked.select("query", F.explode(F.sequence(least, F.greatest(least, F.lit(most)))).alias("most")).join(few, "most").drop("most")
+
+
 def lookup(queries: DataFrame, decisions: DataFrame) -> DataFrame:
     """queries (query) -> query, rank from 1, id, matched_by: by id if the query is a number, else or failing that by
     key, else the shortest decisions whose text or value holds it, in any case (% and _ stand for any text and
     character). Rank 1 is the answer, the rest its alternatives; a query without an answer has no row.
 
-    Ids and keys are joined. What they leave of the queries, the stated set, is held against all decisions in blocks of
-    about LOOKUP_BLOCK, and each task keeps the best few of a query before they are shuffled."""
+    Ids and keys are joined. What they leave of the queries meets the decisions that have its rarest stretch of up to GRAM
+    characters, where the pattern is confirmed; patterns of wildcards alone go by the lengths of the texts."""
     d = decisions.select("id", "decision_key", "decision", "current_value")
+    queries = queries.select("query").filter("query IS NOT NULL").distinct()
     numbers = queries.filter(F.col("query").rlike(r"\A[0-9]+\z")).withColumn("id", F.col("query").try_cast("int"))
     by_id = numbers.join(d.select("id"), "id").select("query", "id", F.lit(1).alias("kind"))
     by_key = queries.withColumn("decision_key", F.col("query")).join(d.select("id", "decision_key"), "decision_key").select("query", "id", F.lit(2).alias("kind"))
     exact = by_id.unionByName(by_key)
     first = exact.groupBy("query").agg(F.min(F.struct("kind", "id")).alias("m")).select("query", F.lit(1).alias("rank"), F.col("m.id").alias("id"), F.when(F.col("m.kind") == 1, "id").otherwise("key").alias("matched_by"))
+    rest = written(queries.join(first.select("query"), "query", "left_anti"), "queries")
+    bare = F.col("query").rlike(r"\A[%_]*\z")
     like = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
-    rest = queries.join(first.select("query"), "query", "left_anti")
-    blocks = max(1, math.ceil(queries.count() / LOOKUP_BLOCK))
+    met = _candidates(rest.filter(~bare), d).unionByName(_anything(rest.filter(bare), d), allowMissingColumns=True)
+    met = met.filter(F.ilike(F.col("decision"), like) | F.ilike(F.col("current_value"), like))
     by = Window.partitionBy("query").orderBy(F.length("decision"), "decision_key")
-    out = first
-    for b in range(blocks):
-        block = F.broadcast(rest.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b))
-        fuzzy = d.join(block, F.ilike(F.col("decision"), like) | F.ilike(F.col("current_value"), like))
-        fuzzy = fuzzy.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= FUZZY_MATCHES)
-        out = out.unionByName(fuzzy.select("query", "rank", "id", F.lit("text").alias("matched_by")))
-    return out
+    fuzzy = met.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= FUZZY_MATCHES)
+    return first.unionByName(fuzzy.select("query", "rank", "id", F.lit("text").alias("matched_by")))

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import math
+import re
 import time
+import uuid
 from collections.abc import Sequence
-from functools import reduce
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CONTRADICTION_DECISIONS, CONTRADICTION_HITS, CONTRADICTION_LENGTHS, CONTRADICTION_PREFIX, CONTRADICTION_REASON, DEFAULT_TOP, DRIFT_TTL_SECONDS, MAX_TOP, SIGNALS, Pattern
+from ..config import CONTRADICTION_HITS, CONTRADICTION_LENGTHS, CONTRADICTION_PREFIX, CONTRADICTION_REASON, DEFAULT_TOP, DRIFT_TTL_SECONDS, MAX_TOP, SIGNALS, Pattern
 from ..functions.text import lines, strip
 from .graph import normal_target, to_full
 
+#: Decisions that are looked for at once.
+MENTIONED = 100_000
+
+
 def _items(df: DataFrame, signal: str, **c: Column) -> DataFrame:
     get = lambda n: c.get(n, F.lit(None).cast("string"))
     return df.select(get("file").alias("file"), c.get("line", F.lit(None).cast("int")).alias("line"), F.lit(signal).alias("signal"), get("reason").alias("reason"), get("source").alias("authoritative_source"), get("replacement").alias("suggested_replacement"), get("snippet").alias("snippet"))
@@ -58,26 +65,111 @@ def dep_out_of_date(docs: DataFrame) -> DataFrame:
     return _items(late, "dep-out-of-date", file=F.concat(F.lit("docs/"), "bare", F.lit(".md")), reason=reason, source=F.concat(F.lit("docs/"), "ref", F.lit(".md")))
 
 
-def contradictions(decisions: DataFrame, chunks: DataFrame, prefix: str, most: int | None = CONTRADICTION_DECISIONS) -> DataFrame:
-    """Chunks that mention a current decision's text but not its value. The first `most` decisions by key are looked
-    for (all if None), those of moderate length among them. They go to the chunks in blocks of about
-    CONTRADICTION_DECISIONS, so that each broadcast has a bound."""
+def _like(pattern: str) -> re.Pattern:
+    """A LIKE pattern, already in lower case, as a regular expression for a search anywhere."""
+    parts = re.findall(r"\\.|[%_]|[^%_\\]+|\\", pattern, re.S)
+    return re.compile("".join({"%": ".*", "_": "."}.get(p) or re.escape(p[1:] if len(p) == 2 and p[0] == "\\" else p) for p in parts), re.S)
+
+
+def _literal(pattern: str) -> str:
+    """The longest stretch of a LIKE pattern that a match holds as it stands."""
+    return max(re.split(r"\\.|[%_]|\\", pattern, flags=re.S), key=len)
+
+
+class _Mentions:
+    """All decisions of a block in one automaton."""
+
+    def __init__(self, decisions: list[tuple]):
+        import ahocorasick
+
+        wild = re.compile(r"[%_\\]").search
+        self.rows, by_text = decisions, {}
+        self.always = []
+        for k, (_, text, *_) in enumerate(decisions):
+            literal = _literal(text) if wild(text) else text
+            if literal:
+                by_text.setdefault(literal, []).append(k)
+            else:
+                self.always.append(k)
+        self.confirm = {k: _like(text).search for k, (_, text, *_) in enumerate(decisions) if wild(text)}
+        self.value = [_like(v).search if wild(v) else None for _, _, v, _ in decisions]
+        self.automaton = ahocorasick.Automaton()
+        for text, ks in by_text.items():
+            self.automaton.add_word(text, ks)
+        self.automaton.make_automaton()
+
+    def of(self, source_file: str, low: str):
+        """The numbers of the decisions that a chunk mentions without their value."""
+        met = {k for _, ks in self.automaton.iter(low) for k in ks} if len(self.automaton) else set()
+        for k in met.union(self.always):
+            _, _, value, own = self.rows[k]
+            held = self.value[k](low) if self.value[k] else value in low
+            if own != source_file and not held and (k not in self.confirm or self.confirm[k](low)):
+                yield k
+
+
+@lru_cache(maxsize=2)
+def _mentions(token: str, block) -> _Mentions:
+    return _Mentions(block.value)
+
+
+class _Block:
+    """A broadcast block, told apart by its token."""
+
+    def __init__(self, spark, rows: list[tuple]):
+        self.token, self.rows = uuid.uuid4().hex, spark.sparkContext.broadcast(rows)
+
+    def __eq__(self, other):
+        return self.token == other.token
+
+    def __hash__(self):
+        return hash(self.token)
+
+    @property
+    def value(self):
+        return self.rows.value
+
+
+def _hits(block: _Block):
+    """Chunks (source_file, section_header, low) -> for each decision the first chunks of a task that contradict it."""
+
+    def run(batches):
+        mentions, best = _mentions(block.token, block), {}
+        for b in batches:
+            for file, section, low in zip(*(b.column(n).to_pylist() for n in ("source_file", "section_header", "low")), strict=True):
+                for k in mentions.of(file, low):
+                    some = best.setdefault(k, [])
+                    some.append((file, section is not None, section or ""))
+                    if len(some) > 20 * CONTRADICTION_HITS:
+                        best[k] = sorted(some)[:CONTRADICTION_HITS]
+        rows = [(mentions.rows[k][0], file, section if told else None) for k, some in best.items() for file, told, section in sorted(some)[:CONTRADICTION_HITS]]
+        columns = list(zip(*rows, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["decision_key", "source_file", "section_header"])
+
+    return run
+
+
+def contradictions(decisions: DataFrame, chunks: DataFrame, prefix: str, most: int | None = None) -> DataFrame:
+    """Chunks that mention a current decision's text but not its value, in any case (% and _ in them stand for any text
+    and character). All decisions are looked for, or the first `most` by key (the surveyed system: the first
+    CONTRADICTION_DECISIONS), those of moderate length among them.
+
+    Decisions become one automaton, which goes to the tasks in blocks of MENTIONED at most (of CONTRADICTION_LENGTHS, so
+    of a known size): one pass over the chunks for each. A task keeps the first few chunks of a decision."""
     d = decisions.filter("superseded_by IS NULL")
     if most is not None:
         d = d.orderBy("decision_key").limit(most)
-    blocks = math.ceil((d.count() if most is None else most) / CONTRADICTION_DECISIONS) or 1
-    d = d.filter(F.length("decision").between(*CONTRADICTION_LENGTHS)).select("decision_key", "decision", "current_value", "source_doc")
-    d = d.withColumn("own", to_full(F.col("source_doc"), prefix)).withColumn("like_text", F.concat(F.lit("%"), "decision", F.lit("%"))).withColumn("like_value", F.concat(F.lit("%"), F.substring("current_value", 1, CONTRADICTION_PREFIX), F.lit("%")))
-    # plain texts are looked for as they are; only those with wildcards need a pattern
-    wild = lambda c: F.col(c).rlike(r"[%_\\\\]")
-    d = d.withColumns({"low_text": F.when(~wild("decision"), F.lower("decision")), "low_value": F.when(~wild("current_value"), F.lower(F.substring("current_value", 1, CONTRADICTION_PREFIX)))})
-    c = chunks.select("source_file", "section_header", "content").withColumn("low", F.lower("content"))
-    holds = lambda low, like: F.when(F.col(low).isNotNull(), F.contains(F.col("low"), F.col(low))).otherwise(F.ilike(F.col("content"), F.col(like)))
-    mentions = holds("low_text", "like_text") & ~holds("low_value", "like_value") & (F.col("source_file") != F.col("own"))
-    block = lambda b: d if blocks == 1 else d.filter(F.pmod(F.xxhash64("decision_key"), F.lit(blocks)) == b)
-    hits = reduce(DataFrame.unionByName, (c.join(F.broadcast(block(b)), mentions) for b in range(blocks)))
+    d = d.filter(F.length("decision").between(*CONTRADICTION_LENGTHS)).select("decision_key", "decision", "current_value", "source_doc", to_full(F.col("source_doc"), prefix).alias("own"))
+    asked = d.filter("current_value IS NOT NULL AND own IS NOT NULL").select("decision_key", F.lower("decision").alias("text"), F.lower(F.substring("current_value", 1, CONTRADICTION_PREFIX)).alias("value"), "own")
+    blocks = max(1, math.ceil(asked.count() / (MENTIONED / 2)))
+    c = chunks.filter("source_file IS NOT NULL AND content IS NOT NULL").select("source_file", "section_header", F.lower("content").alias("low"))
+    spark, hits = chunks.sparkSession, None
+    for b in range(blocks):
+        some = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("decision_key"), F.lit(blocks)) == b)
+        found = c.mapInArrow(_hits(_Block(spark, [tuple(r) for r in some.collect()])), "decision_key string, source_file string, section_header string")
+        hits = found if hits is None else hits.unionByName(found)
     order = Window.partitionBy("decision_key").orderBy("source_file", "section_header")
-    hits = hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= CONTRADICTION_HITS)
+    hits = hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= CONTRADICTION_HITS).join(d, "decision_key")
     reason = F.concat(F.lit("chunk mentions `"), "decision", F.lit("` but not the current value (`"), F.substring("current_value", 1, CONTRADICTION_REASON), F.lit("…` per `"), "source_doc", F.lit("`)"))
     return _items(hits, "decision-contradict", file=F.col("source_file"), reason=reason, source=F.concat(F.lit("docs/"), "source_doc", F.lit(".md")), replacement=F.col("current_value"), snippet=F.col("section_header"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHAIN_DEPTH, NULLS
 from ..functions.text import strip, unquote
+from ..sources.shared import written
 
 
 def to_bare(file: Column) -> Column:
@@ -55,18 +56,36 @@ def incoming(edges_: DataFrame, meta: DataFrame, prefix: str, include_superseded
     return out if include_superseded else out.filter(F.coalesce(F.col("from_status") != "superseded", F.lit(True)))
 
 
+def paths(step: DataFrame, depth: int) -> DataFrame:
+    """step (at, next, ...), each `at` once -> at, path: the steps (structs) that follow each other from there, `depth` at
+    most. By doubling: a round appends to each path the path of where it ends, so that four rounds make sixteen steps;
+    each round is written and read."""
+    entry = F.struct(*(c for c in step.columns if c != "at"))
+    found, length = written(step.select("at", F.array(entry).alias("path")), "paths"), 1
+    while length < depth:
+        more = found.select(F.col("at").alias("end"), F.col("path").alias("more"))
+        ends = F.when(F.size("path") == length, F.element_at("path", -1)["next"])
+        found = written(found.withColumn("end", ends).join(more, "end", "left").select("at", F.concat("path", F.coalesce("more", F.slice("path", 1, 0))).alias("path")), "paths")
+        length *= 2
+    return found.select("at", F.slice("path", 1, depth).alias("path"))
+
+
+def first_again(at: Column, path: Column) -> Column:
+    """The place, from 1, of the first step of a path that leads to where it has been before; null if none does."""
+    been = lambda i: F.concat(F.array(at), F.transform(F.slice(path, F.lit(1), i), lambda p: p["next"]))
+    return F.array_min(F.filter(F.transform(path, lambda p, i: F.when(F.array_contains(been(i), p["next"]), i + 1)), lambda i: i.isNotNull()))
+
+
 def supersedes_chain(meta: DataFrame, prefix: str, starts: DataFrame | None = None, depth: int = CHAIN_DEPTH) -> DataFrame:
     """meta (source_file, supersedes, status) -> source_file, hop from 1, ref, target_file, status, dangling: what each
-    document replaces, what that replaced, and so on; a document met before ends the chain. Newest first."""
+    document (of starts, if given) replaces, what that replaced, and so on; a document met before ends the chain."""
     m = meta.select("source_file", normal_target(F.col("supersedes")).alias("ref")).filter("ref IS NOT NULL")
-    step = m.select(F.col("source_file").alias("at"), "ref", to_full(F.col("ref"), prefix).alias("next"))
-    front = (starts or meta).select("source_file", F.col("source_file").alias("at"), F.array("source_file").alias("path"))
-    hops = None
-    for hop in range(1, depth + 1):
-        front = front.join(step, "at").filter(~F.array_contains("path", F.col("next")))
-        found = front.select("source_file", F.lit(hop).alias("hop"), "ref", F.col("next").alias("target_file"))
-        hops = found if hops is None else hops.unionByName(found)
-        front = front.select("source_file", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
+    chains = paths(m.select(F.col("source_file").alias("at"), "ref", to_full(F.col("ref"), prefix).alias("next")), depth)
+    if starts is not None:
+        chains = chains.join(starts.select(F.col("source_file").alias("at")), "at", "left_semi")
+    ends = F.coalesce(first_again(F.col("at"), F.col("path")) - 1, F.size("path"))
+    hops = chains.select(F.col("at").alias("source_file"), F.posexplode(F.slice("path", F.lit(1), ends)).alias("hop", "p"))
+    hops = hops.select("source_file", (F.col("hop") + 1).alias("hop"), "p.ref", F.col("p.next").alias("target_file"))
     known = meta.select(F.col("source_file").alias("target_file"), "status", F.lit(True).alias("known"))
     return hops.join(known, "target_file", "left").select("source_file", "hop", "ref", "target_file", "status", F.col("known").isNull().alias("dangling"))
 

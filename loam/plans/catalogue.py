@@ -442,25 +442,26 @@ def drift_dep_out_of_date(spark, sf_dir):
     return drift.dep_out_of_date(committed(spark, sf_dir)).select("file", "reason")
 
 
-TOPICS = "SELECT 'topic-' || lpad(CAST(item_id AS STRING), 4, '0') AS decision_key, trim(substr(text, 1, 50)) AS decision, 'settled value ' || item_id AS current_value, 'doc-' || item_id AS source_doc, CAST(NULL AS INT) AS superseded_by FROM benchmark"
+#: The stated set: every whole line of moderate length of the documents whose id is divisible by 50.
+LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id % 50 = 0"
+TOPIC = "'topic-' || doc_id || '-' || n AS decision_key, line AS decision, 'settled value ' || n AS current_value, 'doc-' || doc_id AS source_doc, CAST(NULL AS INT) AS superseded_by"
 
 
-CONTRADICTED = f"""d AS (SELECT * FROM ({TOPICS}) WHERE decision_key IN (SELECT decision_key FROM ({TOPICS}) ORDER BY 1 LIMIT 500) AND length(decision) BETWEEN 8 AND 80),
+CONTRADICTED = f"""d AS (SELECT * FROM (SELECT {TOPIC} FROM ({LINES})) WHERE length(decision) BETWEEN 8 AND 80),
 h AS (SELECT source_file AS file, decision_key, decision, source_doc, row_number() OVER (PARTITION BY decision_key ORDER BY source_file) AS n, current_value FROM syn JOIN d ON contains(lower(text), lower(decision)) AND NOT contains(lower(text), lower(current_value)))"""
 MENTION = "'chunk mentions `' || decision || '` but not the current value (`' || current_value || '…` per `' || source_doc || '`)'"
 
 
 def contradicted(spark, sf_dir) -> DataFrame:
-    d = spark.sql(TOPICS.replace("FROM benchmark", "FROM {b}"), b=read(spark, sf_dir, "benchmark"))
+    lines_ = read(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    d = lines_.withColumn("n", F.col("at") + 1).selectExpr(*TOPIC.split(", "))
     c = corpus(spark, sf_dir).select("source_file", F.lit("(intro)").alias("section_header"), F.col("text").alias("content"))
     return drift.contradictions(d, c, PREFIX)
 
 
-@query(f"WITH {CTE}, {CONTRADICTED} SELECT file, decision_key, current_value AS suggested_replacement FROM h WHERE n <= 5")
+@query(f"WITH {CTE}, {CONTRADICTED} SELECT file, {MENTION} AS reason, current_value AS suggested_replacement FROM h WHERE n <= 5")
 def drift_contradict(spark, sf_dir):
-    items = contradicted(spark, sf_dir)
-    key = F.concat(F.lit("topic-"), F.lpad(F.regexp_extract("suggested_replacement", r"(\d+)$", 1), 4, "0"))
-    return items.select("file", key.alias("decision_key"), "suggested_replacement")
+    return contradicted(spark, sf_dir).select("file", "reason", "suggested_replacement")
 
 
 STALE = r"""SELECT 'docs/' || doc_id AS file, CAST(i AS INT) AS line, category FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) JOIN (VALUES ('tone', '(?i)\bworthless\b', 'licen'), ('licence', '(?i)\bCC BY-NC \d', 'no excuse')) p(category, re, excuse) ON regexp_matches(t, re) AND NOT contains(lower(t), excuse)"""

@@ -165,7 +165,7 @@ def test_graph(spark):
     assert [r[0] for r in keys.select(graph.is_decision_key(F.col("v"))).collect()] == [True, False, False, False, False]
 
 
-def test_decisions(spark, monkeypatch):
+def test_decisions(spark):
     docs = spark.createDataFrame([("03-dec-stack.md", DOC), ("04-dec-bad.md", "---\narea: x\ndecisions:\n  - key: k\n    decision: d\n---\n"), ("05-spec-no.md", DOC)], "name string, text string")
     got = {r.decision_key: r for r in decisions.collect(docs).collect()}
     assert got.keys() == {"vector-store", "api", "k"} and got["vector-store"].error is None and got["api"].current_value == "3"
@@ -186,9 +186,6 @@ def test_decisions(spark, monkeypatch):
     for r in decisions.lookup(q, w).orderBy("query", "rank").collect():
         found.setdefault(r["query"], []).append((r["rank"], r.id, r.matched_by))
     assert found["2"] == [(1, 2, "id")] and found["c"] == [(1, ids["c"][0], "key")] and len(found["0%"]) == 5 and [i for _, i, _ in found["T r%"]] == [ids["r1"][0], ids["r2"][0]] and "zzz" not in found
-    whole = sorted(decisions.lookup(q, w).collect())
-    monkeypatch.setattr(decisions, "LOOKUP_BLOCK", 1)
-    assert sorted(decisions.lookup(q, w).collect()) == whole
     some = w.filter(F.col("id") == ids["b"][0])
     assert [r.banner for r in decisions.with_banner(some, registry=w).collect()] == [banners["b"]]
     assert {(r.hop, r.successor) for r in decisions.successors(w, starts=some).collect()} == {(h, s) for i, h, s in hops if i == ids["b"][0]}
@@ -233,7 +230,7 @@ def test_drift(spark, monkeypatch):
     c = spark.createDataFrame([(f"p/docs/{i:02d}.md", "h", t) for i, t in enumerate(["the TRIAL length is 30", "trial length: 14 DAYS", "gone by now", "x 100 and uptime"] + ["trial length"] * 6)] + [("p/docs/01-dec-t.md", "h", "trial length")], "source_file string, section_header string, content string")
     got = drift.contradictions(d, c, "p").collect()
     assert sum(r.suggested_replacement == "14 days" for r in got) == 5 and {r.file for r in got if r.suggested_replacement == "v"} == {"p/docs/03.md"}  # % stands for any text
-    monkeypatch.setattr(drift, "CONTRADICTION_DECISIONS", 2)
+    monkeypatch.setattr(drift, "MENTIONED", 2)
     assert sorted(drift.contradictions(d, c, "p", most=None).collect()) == sorted(got) == sorted(drift.contradictions(d, c, "p", most=4).collect())
     assert {r.suggested_replacement for r in drift.contradictions(d, c, "p", most=1).collect()} == {"14 days"}
     ts = spark.createDataFrame([("a", ["b", "area-1-x", "c.md"], 1), ("b", [], 2), ("c", None, 0), ("d", ["a"], None)], "bare string, depends_on array<string>, t long").withColumn("git_committed_at", F.timestamp_seconds("t"))
