@@ -13,6 +13,7 @@ from .config import CHAIN_DEPTH, DEFAULT_K, DEFAULT_TOP, MAX_K, Settings
 from .operators import decisions as dec
 from .operators import drift, graph, outline, search
 from .operators.embed import Embedder
+from .sources import indexes
 from .sources.store import Store
 
 #: Files that an answer on index health lists.
@@ -20,9 +21,10 @@ HEALTH_FILES = 10_000
 
 
 class Tools:
-    def __init__(self, store: Store, settings: Settings, embedder: Embedder, docs=None):
-        """docs: a function that gives the drift signals' frames, where there is a collection to compare with."""
-        self.store, self.settings, self.embedder, self.signals = store, settings, embedder, docs
+    def __init__(self, store: Store, settings: Settings, embedder: Embedder, docs=None, stems: bool = False):
+        """docs: a function that gives the drift signals' frames, where there is a collection to compare with. stems: whether
+        words are compared by their stems. Searches go over the store's lexical index as long as that is up to date."""
+        self.store, self.settings, self.embedder, self.signals, self.stems = store, settings, embedder, docs, stems
         self.cache = drift.Cache()
         #: Searches that couldn't be logged, and the last reason.
         self.unlogged, self.unlogged_because = 0, None
@@ -32,7 +34,11 @@ class Tools:
         began, error, rows = time.monotonic(), None, []
         try:
             vector = self.embedder([query])[0]
-            got = search.hybrid(self.store.read("doc_chunks"), query, vector, k, status=status, area=area, doc_type=doc_type, include_superseded=include_superseded)
+            filters = {"status": status, "area": area, "doc_type": doc_type, "include_superseded": include_superseded}
+            if indexes.LexicalIndex(self.store, self.stems).stale():
+                got = search.hybrid(self.store.read("doc_chunks"), query, vector, k, self.stems, **filters)
+            else:
+                got = indexes.hybrid(self.store, query, vector, k, self.stems, **filters)
             rows = [r.asDict() for r in got.collect()]
         except Exception as e:  # the caller gets the error, whatever it is
             error = str(e)
@@ -87,11 +93,23 @@ class Tools:
         edges = self.store.read("doc_relationships").filter((F.col("source_file") == full) | (F.col("target") == bare))
         meta = self.store.read("file_stats")
         r = graph.neighborhoods(edges, meta, prefix, include_superseded).filter(F.col("source_file") == full).first()
-        start = self.store.spark.createDataFrame([(full,)], "source_file string")
-        chain = graph.supersedes_chain(meta, prefix, start).orderBy("hop").collect()
         get = lambda c: [e.asDict() if hasattr(e, "asDict") else e for e in (r[c] or [])] if r else []
         names = ("depends_on", "feeds_into", "also_touches", "depended_on_by", "feeds_from", "warnings")
-        return {"filename": bare, "source_file": full, **{n: get(n) for n in names}, "supersedes_chain": [c.asDict() for c in chain]}
+        return {"filename": bare, "source_file": full, **{n: get(n) for n in names}, "supersedes_chain": self._replaced(full)}
+
+    def _replaced(self, full: str) -> list[dict]:
+        """As graph.supersedes_chain() of one document, read hop by hop: most chains are short."""
+        out, seen, at = [], {full}, full
+        of = lambda f: self.store.read_keys("file_stats", [f]).select("status", graph.normal_target(F.col("supersedes")).alias("ref")).first()
+        row = of(full)
+        while row and row["ref"] and len(out) < CHAIN_DEPTH:
+            ref, at = row["ref"], f"{self.settings.repo_prefix}/docs/{row['ref']}.md"
+            if at in seen:
+                break
+            seen.add(at)
+            row = of(at)
+            out.append({"source_file": full, "hop": len(out) + 1, "ref": ref, "target_file": at, "status": row and row["status"], "dangling": row is None})
+        return out
 
     def get_impact_targets(self, doc_or_decision: str) -> dict:
         d = self.store.read("decisions")

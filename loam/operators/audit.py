@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DOC_TYPES, LEGACY_STATUS, MAX_CHUNK_CHARS, REQUIRED_FIELDS, STATUSES, RenameMap
@@ -121,6 +121,12 @@ def by_category(violations: DataFrame) -> DataFrame:
     return violations.groupBy("category").agg(F.countDistinct("name").alias("files"))
 
 
+def ranked_categories(violations: DataFrame) -> DataFrame:
+    """Categories with the files that have them and their place, the most first. They are few, so one window does."""
+    place = F.row_number().over(Window.orderBy(F.desc("files"), "category"))
+    return by_category(violations).withColumn("place", place)
+
+
 def totals(docs: DataFrame, violations: DataFrame) -> DataFrame:
     bad = violations.select("name").distinct().withColumn("bad", F.lit(1))
     return docs.join(bad, "name", "left").agg(F.count("*").alias("total"), F.count_if(F.col("bad").isNull()).alias("clean"), F.count("bad").alias("violating"))
@@ -130,7 +136,7 @@ def report(docs: DataFrame, violations: DataFrame) -> str:
     """The findings as markdown; what it lists is collected, so it is for collections that people read."""
     t = totals(docs, violations).first()
     out = ["# Standards audit", "", f"- Total: {t.total}", f"- Clean: {t.clean}", f"- With violations: {t.violating}", "", "## Categories", "", "| Category | Files |", "|---|---|"]
-    out += [f"| {r.category} | {r.files} |" for r in by_category(violations).orderBy(F.desc("files"), "category").collect()]
+    out += [f"| {r.category} | {r.files} |" for r in ranked_categories(violations).orderBy("place").collect()]
     out += ["", "## Violations"]
     for r in violations.groupBy("name").agg(F.array_sort(F.collect_list("message")).alias("m")).orderBy("name").collect():
         out += ["", f"### {r['name']}", "", *(f"- {m}" for m in r.m)]

@@ -15,7 +15,7 @@ from ..operators.embed import HashedWords
 from ..sources import synthetic
 from ..sources import indexes
 from ..sources.shared import shared_dir
-from ..sources.store import BUCKETS, Store, delete_files
+from ..sources.store import BUCKETS, Store, delete_files, merge_decisions
 from ..sources.synthetic import CTE, PREFIX, as_markdown, corpus, headed, parsed
 from . import ingest
 
@@ -605,7 +605,7 @@ def new_store(spark, buckets: int = BUCKETS) -> Store:
 
 def synced(spark, sf_dir) -> Store:
     """A store that has gone through a reindex, a sync and a deletion."""
-    store, docs, embedder = new_store(spark), as_markdown(spark, sf_dir), HashedWords(16)
+    store, docs, embedder = new_store(spark, 16), as_markdown(spark, sf_dir), HashedWords(16)
     ingest.reindex(store, ingest.index(docs.filter("doc_id % 2 = 0").select("source_file", "text"), Settings(), store=store), embedder)
     none = docs.select("source_file").limit(0)
     ingest.sync(store, ingest.index(docs.filter("doc_id % 2 = 1").select("source_file", "text"), Settings(), store=store), none, embedder)
@@ -683,3 +683,42 @@ def vector_index(spark, sf_dir):
     near = index.batch_topk(q, 10).select("query_id", F.col("content_hash").cast("long").alias("vec_id"), F.lit(1).alias("hit"))
     exact = search.batch_topk(e.select("vec_id", F.col("embedding").alias("v")), q, 10, "vec_id").select("query_id", "vec_id")
     return exact.join(near, ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("recalled"))
+
+
+@query(f"""WITH {CTE}, {BIG}, {VIOLATIONS} SELECT category, count(DISTINCT name) AS files, CAST(row_number() OVER (ORDER BY count(DISTINCT name) DESC, category) AS INT) AS place FROM v GROUP BY 1""")
+def audit_ranking(spark, sf_dir):
+    """Categories in the order that a report has them."""
+    return audit.ranked_categories(audit.audit(as_markdown(spark, sf_dir).select("name", "text")))
+
+
+#: The first hundred documents, by the rule that names them.
+EXEMPT = tuple(f"{i % 9:02d}-{('spec', 'res', 'str', 'dec', 'pol', 'fwk')[i % 6]}-doc-{i}.md" for i in range(100))
+
+
+@query(f"""WITH {CTE}, {BIG}, {VIOLATIONS.replace("feed NOT IN (SELECT bare FROM syn)", "feed NOT IN (SELECT bare FROM syn WHERE area <> 3)")}, w AS (SELECT * FROM v UNION ALL SELECT bare || '.md', 'dangling-ref' FROM syn WHERE dep NOT IN (SELECT bare FROM syn WHERE area <> 3)) SELECT v.name, v.category FROM w v JOIN syn ON v.name = bare || '.md' WHERE area <> 3 AND NOT (category IN ('no-h2', 'oversized-section') AND doc_id < 100)""")
+def audit_exempted(spark, sf_dir):
+    """Trackers are skipped; some documents may have no sections, or long ones."""
+    docs = as_markdown(spark, sf_dir).select(F.concat(F.when(F.col("doc_id") % 9 == 3, "track-").otherwise(""), "name").alias("name"), "text")
+    return audit.audit(docs, exempt_h2=EXEMPT, exempt_size=EXEMPT).select("name", "category")
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {LEFT} AS t FROM documents), u AS (SELECT doc_id FROM t WHERE NOT contains(t, '[REDACTED:') AND (regexp_matches(t, '(?i)(^|[^a-zA-Z0-9_])(token|email|password)["'']?\s*[:=]\s*("[^"]+"|''[^'']+'')') OR regexp_matches(t, '(?i)(^|[^a-zA-Z0-9_])(token|email|password)["'']?\s*=\s*[^\s,;}}\]\[
+"'']+')))
+SELECT 'f' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS source_file, (SELECT count(*) FROM u) AS unscrubbed FROM u ORDER BY 1 LIMIT 20""")
+def scrub_sample(spark, sf_dir):
+    """How many chunks hold excluded values, and the first twenty."""
+    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("source_file"), F.lit("(intro)").alias("section_header"), F.expr(LEFT).alias("content"))
+    n, some = scrub.verify_scrub(d, FIELDS)
+    return spark.createDataFrame([(r["source_file"], n) for r in some], "source_file string, unscrubbed long")
+
+
+@query(f"WITH {REGISTERED} SELECT n.decision_key, id, area, CASE WHEN id % 3 = 0 THEN 'changed: ' || decision ELSE decision END AS decision, current_value, source_doc, superseded_by FROM n LEFT JOIN l ON l.decision_key = n.decision_key")
+def stored_decisions(spark, sf_dir):
+    """The registry in a store, of which each third decision is then put in anew, after the chunks have been wiped."""
+    store = new_store(spark, 8)
+    d = decisions.wire(declared(spark, sf_dir)).drop("supersedes").withColumn("updated_at", F.current_timestamp())
+    store.commit({"decisions": merge_decisions(store.read("decisions"), d)})
+    changed = store.read("decisions").filter("id % 3 = 0").withColumn("decision", F.concat(F.lit("changed: "), "decision"))
+    store.commit({"decisions": merge_decisions(store.read("decisions"), changed)})
+    store.wipe()
+    return store.read("decisions").select("decision_key", "id", "area", "decision", "current_value", "source_doc", "superseded_by")

@@ -13,7 +13,7 @@ from loam.config import Settings
 from loam.operators import decisions, drift
 from loam.operators.embed import HashedWords
 from loam.plans import ingest
-from loam.sources import corpus, store
+from loam.sources import corpus, indexes, store
 from loam.streaming import ingest as stream
 
 SETTINGS = Settings(repo_prefix="p", excluded_fields=("token",))
@@ -224,9 +224,12 @@ def test_tools(spark, files, tmp_path):
     got = t.search_docs("twelve euros", k=3)
     assert got[0]["section_header"] == "Price" and got[0]["source_file"] == "p/docs/03-dec-d3.md" and all(r["status"] != "superseded" for r in got)
     assert t.search("twelve euros", 1)["count"] == 1
+    indexes.LexicalIndex(s, stems=False).refresh()
+    plain = lambda rows: [{**r, "score": round(r["score"], 9)} for r in rows]
+    assert plain(t.search_docs("twelve euros", k=3)) == plain(got)
     with pytest.raises(ValueError):
         t.search("x", 0)
-    assert s.read("query_log").count() == 2
+    assert s.read("query_log").count() == 3
     assert t.get_decision(1)["banner"] == "[SUPERSEDED by `price-2` on unknown date]" and [r["id"] for r in t.get_decision("price")["supersedes_chain"]] == [2]
     assert t.get_decision("much now")["banner"] == "[DRAFT]" and t.get_decision("zzz")["banner"] == "[NOT FOUND]"
     n = t.get_doc_neighborhood("p/docs/01-dec-d1.md")
