@@ -39,8 +39,9 @@ ORDER, ORDER_LEVEL = ((1024, 0.972), (1536, 0.96)), 9
 COLUMNS = 17
 LEVEL = 3
 #: Spreads below and above (1.4826 times the median distance from the median, and LEAST_SPREAD at least) that a ratio may lie off those
-#: of its class of length, and the texts from which a class has a median.
-SPREADS, LEAST_SPREAD, FEWEST = (5.0, 7.0), 0.005, 200
+#: of its class of length; and how many texts the fixed band weighs in a class's limits, so that they pass over from the band
+#: to the peers as a class grows.
+SPREADS, LEAST_SPREAD, BAND_WEIGHT = (5.0, 7.0), 0.005, 25
 MIN_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
@@ -116,28 +117,33 @@ def _batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, kinds[k]) for c, (_, k) in zip(columns, FIELDS, strict=True))], ["doc_id", *(n for n, _ in FIELDS)])
 
 
-def usual(measured: DataFrame, spreads: tuple[float, float] = SPREADS, fewest: int = FEWEST) -> DataFrame:
-    """What _batches gave -> band, low, high: a row for each class of length with `fewest` texts that pass the base
-    rules. Medians come from histograms in steps of a thousandth, so that a class is a few hundred rows."""
+def usual(measured: DataFrame, spreads: tuple[float, float] = SPREADS, weight: float = BAND_WEIGHT) -> DataFrame:
+    """What _batches gave -> band, low, high: a row for each class of length that has texts which pass the base rules.
+    What the median and the spread of n texts allow counts n, the fixed band `weight`. Medians come from histograms in
+    steps of a thousandth, so that a class is a few hundred rows."""
     cells = measured.filter(~F.col("base_failed")).groupBy("band", F.round(F.col("ratio") * 1000).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    mid = cells.groupBy("band").agg(F.expr("percentile(cell, 0.5, n)").alias("mid"), F.sum("n").alias("texts")).filter(F.col("texts") >= fewest)
-    far = cells.join(mid, "band").groupBy("band", "mid").agg(F.expr("percentile(abs(cell - mid), 0.5, n)").alias("far"))
+    mid = cells.groupBy("band").agg(F.expr("percentile(cell, 0.5, n)").alias("mid"), F.sum("n").alias("texts"))
+    far = cells.join(mid, "band").groupBy("band", "mid", "texts").agg(F.expr("percentile(abs(cell - mid), 0.5, n)").alias("far"))
     spread, mid = F.greatest(F.col("far") * 1.4826 / 1000, F.lit(LEAST_SPREAD)), F.col("mid") / 1000
-    return far.select("band", (mid - spreads[0] * spread).alias("low"), (mid + spreads[1] * spread).alias("high"))
+    fixed = [F.array(*(F.lit(b[k]) for b in BANDS))[F.col("band")] for k in (1, 2)]
+    shared = lambda own, band: (F.col("texts") * own + F.lit(float(weight)) * band) / (F.col("texts") + F.lit(float(weight)))
+    return far.select("band", shared(mid - spreads[0] * spread, fixed[0]).alias("low"), shared(mid + spreads[1] * spread, fixed[1]).alias("high"))
 
 
-def compression_bands(docs: DataFrame, spreads: tuple[float, float] = SPREADS, fewest: int = FEWEST) -> DataFrame:
+def compression_bands(docs: DataFrame, spreads: tuple[float, float] = SPREADS, weight: float = BAND_WEIGHT) -> DataFrame:
     """docs with doc_id, text -> doc_id and FIELDS, a row for each of docs.
 
     base_failed: under 50 words, or over half of them in repeated 3-word windows. kept: not base_failed,
     and whole-text and chunk ratios within their bands, and chunks in an order that gains, and the whole-text ratio within
-    `spreads` of the median of its class of length (`band`) in docs, if that has `fewest` texts. A null or empty text has
+    the limits of its class of length (`band`): `spreads` around the median of its texts in docs, drawn towards the fixed
+    band as if that were `weight` texts; a text alone is held to its band, for a tenth of a class the limits move by what
+    its median, spread and share of that weight do. A null or empty text has
     no words and fails; a null id stays null; repeated rows are judged alike, each by itself; extra columns are ignored;
     no rows give no rows. A text is compressed whole, whatever its length."""
     measured = docs.select("doc_id", "text").mapInArrow(_batches, "doc_id long, " + ", ".join(f"{n} {k}" for n, k in FIELDS))
     measured = saved(measured, "ratios")
     # one row for each of BANDS
-    rows = measured.join(F.broadcast(usual(measured, spreads, fewest)), "band", "left")
+    rows = measured.join(F.broadcast(usual(measured, spreads, weight)), "band", "left")
     within = F.coalesce(F.col("ratio").between(F.col("low"), F.col("high")), F.lit(True))
     return rows.withColumn("kept", F.col("kept") & within).select("doc_id", *(n for n, _ in FIELDS))
 

@@ -262,7 +262,7 @@ def repeated_spans(texts: DataFrame, shard_bytes: int = SHARD, most: int = RUNS)
     texts that may have any)."""
     rows = saved(texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_run_rows, "hash long, u long, v long, first int, last int, twice boolean"), "runs")
     often = saved(rows.groupBy("hash").agg(F.count("*").alias("n"), F.max("twice").alias("again")).filter("n > 1 OR again").select("hash", "n"), "hashes")
-    found = with_counts(rows.drop("twice"), often, "hash").groupBy(*ROW).agg(F.collect_list(F.struct("hash", "first", "last", "n")).alias("runs"))
+    found = with_counts(rows.drop("twice"), often, "hash").groupBy(*ROW).agg(F.collect_set(F.struct("hash", "first", "last", "n")).alias("runs"))
     candidates = saved(texts.join(found, ROW), "candidates")
     drop_saved(rows)
     drop_saved(often)

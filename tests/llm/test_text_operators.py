@@ -72,17 +72,44 @@ def test_compression(docs, none):
 
 
 def test_compression_beside_peers(spark):
-    """Each limit alone: low, high, chunks, and the distance from texts of the same length."""
+    """Repetitive beside its peers, and not by its band alone."""
     pick = random.Random(5)
     usual = [(k, prose(400, 3000 + k)) for k in range(60)]
     dull = " ".join(pick.choice(["alpha", "beta", "gamma", "delta", "eps"]) + pick.choice("abcdefgh") for _ in range(500))
-    got = {r.doc_id: r for r in compression.compression_bands(spark.createDataFrame([*usual, (900, dull)], "doc_id long, text string"), fewest=50).collect()}
+    got = {r.doc_id: r for r in compression.compression_bands(spark.createDataFrame([*usual, (900, dull)], "doc_id long, text string"), weight=1).collect()}
     assert all(got[k].kept for k, _ in usual) and not got[900].base_failed and not got[900].kept
     alone = compression.compression_bands(spark.createDataFrame([(900, dull)], "doc_id long, text string")).collect()[0]
     low, high = compression.BANDS[alone.band][1:]
     assert alone.kept == (low <= alone.ratio <= high and alone.n_chunks_out <= compression.CHUNK_SHARE * alone.n_chunks)
 
 
+def test_compression_verdicts_over_a_table(spark):
+    """kept by medians and spreads that numpy works out, for a table and for a tenth of it."""
+    pick = random.Random(8)
+    kinds = [lambda n, k: prose(n, k), lambda n, k: " ".join(pick.choice("abcdefgh") + pick.choice(["one", "two"]) for _ in range(n)), lambda n, k: "".join(chr(33 + pick.randrange(90)) + " " * (j % 9 == 0) for j in range(5 * n))]
+    rows = [(k, kinds[0 if k % 8 else 1 + k % 3 % 2](pick.choice([60, 90, 150, 300, 700]), 7000 + k)) for k in range(320)] + [(900, None), (901, "few words")]
+    squeeze = compression._at_level(compression.LEVEL)
+
+    def judged(some):
+        values = {i: dict(zip((n for n, _ in compression.FIELDS), compression.measure(t, squeeze), strict=True)) for i, t in some}
+        out = {}
+        for i, v in values.items():
+            peers = np.array([round(p["ratio"] * 1000) for p in values.values() if p["band"] == v["band"] and not p["base_failed"]])
+            _, low, high = compression.BANDS[v["band"]]
+            if len(peers):
+                mid = np.median(peers)
+                spread = max(np.median(np.abs(peers - mid)) * 1.4826 / 1000, compression.LEAST_SPREAD)
+                w = compression.BAND_WEIGHT
+                low, high = ((len(peers) * own + w * band) / (len(peers) + w) for own, band in ((mid / 1000 - compression.SPREADS[0] * spread, low), (mid / 1000 + compression.SPREADS[1] * spread, high)))
+            out[i] = v["kept"] and low <= v["ratio"] <= high
+        return out
+
+    for some in (rows, [r for r in rows if r[0] % 10 == 0], rows[:1]):
+        got = {r.doc_id: r.kept for r in compression.compression_bands(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+        assert got == judged(some)
+    assert 0 < sum(judged(rows).values()) < len(rows)
+
+
 def test_hot_keys_meet_their_counts(spark, monkeypatch):
     from loam.llm import common
 
@@ -476,6 +503,18 @@ def test_tokens(docs, none, spark, tmp_path):
     assert len(one) == 1 and t.decode(one[0].ids[:-1]) == "one two" and "PushedFilters: [In(doc_id" in tokens.lookup(spark, f"{tmp_path}/t", [8, 9])._jdf.queryExecution().toString()
 
 
+def test_starts_are_places_in_the_file(spark):
+    """Rows of one id lie in the order of their texts, whatever their lengths and checksums."""
+    rows = [(5, "z"), (6, "q"), (5, "a b c d e f"), (5, "m n"), (None, "x y z"), (None, "b")]
+    got = tokens.encode_table(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    at, want = 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = [*tokens.encoder(public_tokenizers.path("byte_bpe_50k.json")).tokenizer.encode(t, add_special_tokens=False).ids, tokens.END_ID]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
 def test_token_files_have_indexes_and_bloom_filters(spark, tmp_path):
     rows = spark.createDataFrame([(3 * k, "a b") for k in range(5000)], "doc_id long, text string")
     tokens.write(rows, f"{tmp_path}/t", public_tokenizers.path("byte_bpe_50k.json"), shards=1)
@@ -593,6 +632,15 @@ def test_repeats_odd(docs, none):
     assert sorted(map(tuple, got), key=str) == sorted(removed(small), key=str) and repeats.remove_repeats(none).count() == 0
 
 
+def test_repeats_of_very_many_rows_that_are_one(spark):
+    """Runs of equal rows are held once, however many rows there are."""
+    text, other = prose(60, 91), prose(60, 92)
+    rows = [(1, text)] * 1000 + [(k, text + other) for k in range(2, 5)] + [(9, other[:150])]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).groupBy("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").count().collect()
+    want = Counter(map(tuple, removed([(1, text)] * 2 + rows[1000:])))
+    assert {tuple(r)[:5]: r["count"] for r in got} == {k: 1000 if k[0] == 1 else n for k, n in want.items()}
+
+
 def edit_distance(pattern, text):
     row, best, at = list(range(len(pattern) + 1)), len(pattern), 0
     for j, c in enumerate(text):
