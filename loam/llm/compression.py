@@ -41,7 +41,7 @@ LEVEL = 3
 #: Spreads below and above (1.4826 times the median distance from the median, and LEAST_SPREAD at least) that a ratio may lie off those
 #: of its class of length; and how many texts the fixed band weighs in a class's limits, so that they pass over from the band
 #: to the peers as a class grows.
-SPREADS, LEAST_SPREAD, BAND_WEIGHT = (5.0, 7.0), 0.005, 25
+SPREADS, LEAST_SPREAD, BAND_WEIGHT = (5.0, 7.0), 0.005, 5
 MIN_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
