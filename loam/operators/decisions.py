@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHAIN_DEPTH, FUZZY_MATCHES
-from ..sources.shared import written
+from ..sources.shared import numbered, written
 from .frontmatter import registry_yaml
 from .graph import first_again, normal_target, paths
 
@@ -32,11 +32,10 @@ def collect(docs: DataFrame) -> DataFrame:
 
 
 def wire(rows: DataFrame) -> DataFrame:
-    """Collected decisions -> with id, by document and place, and superseded_by: the one that names it. The
-    registry is small by nature, so numbering it in one window is no bottleneck."""
-    numbered = rows.withColumn("id", F.row_number().over(Window.orderBy("source_doc", "position")))
-    later = numbered.filter("supersedes IS NOT NULL").groupBy(F.col("supersedes").alias("decision_key")).agg(F.min("id").alias("superseded_by"))
-    return numbered.join(later, "decision_key", "left").select(*COLUMNS, "supersedes")
+    """Collected decisions -> with id, by document and place, and superseded_by: the one that names it."""
+    placed = numbered(rows, ["source_doc", "position"], "id")
+    later = placed.filter("supersedes IS NOT NULL").groupBy(F.col("supersedes").alias("decision_key")).agg(F.min("id").alias("superseded_by"))
+    return placed.join(later, "decision_key", "left").select(*COLUMNS, "supersedes")
 
 
 def counts(rows: DataFrame) -> DataFrame:
