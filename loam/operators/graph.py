@@ -90,6 +90,15 @@ def supersedes_chain(meta: DataFrame, prefix: str, starts: DataFrame | None = No
     return hops.join(known, "target_file", "left").select("source_file", "hop", "ref", "target_file", "status", F.col("known").isNull().alias("dangling"))
 
 
+def neighbors(edges_: DataFrame, meta: DataFrame, prefix: str, include_superseded: bool = False) -> DataFrame:
+    """The same as neighborhoods() with a row for each neighbor: source_file, side, ref, neighbor_file, status, doc_date,
+    git_committed_at, dangling. However many documents point at one, they stay rows."""
+    facts = lambda who, more: [F.col(f"{who}_status").alias("status"), F.col(f"{who}_date").alias("doc_date"), F.col(f"{who}_committed_at").alias("git_committed_at"), more.alias("dangling")]
+    out = outgoing(edges_, meta, prefix).select("source_file", F.col("relation").alias("side"), F.col("target").alias("ref"), F.col("target_file").alias("neighbor_file"), *facts("target", F.col("dangling")))
+    inc = incoming(edges_, meta, prefix, include_superseded)
+    return out.unionByName(inc.select("source_file", F.col("relation").alias("side"), to_bare(F.col("from_file")).alias("ref"), F.col("from_file").alias("neighbor_file"), *facts("from", F.lit(False))))
+
+
 def neighborhoods(edges_: DataFrame, meta: DataFrame, prefix: str, include_superseded: bool = False) -> DataFrame:
     """All documents' neighborhoods: a row for each, with sorted arrays of what it points at, what points at it,
     the areas it touches, and warnings for targets that no document answers to."""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..api import Tools
 from ..config import MIN_SIMILARITY, Pattern, RenameMap, Settings
 from ..functions import lexical
 from ..functions.vectors import cosine
@@ -15,7 +16,8 @@ from ..operators.embed import HashedWords
 from ..sources import synthetic
 from ..sources import indexes
 from ..sources.shared import shared_dir
-from ..sources.store import BUCKETS, Store, delete_files, merge_decisions
+from ..sources.store import BUCKETS, Store, delete_files, export_json, merge_decisions
+from ..schema import DRIFT
 from ..sources.synthetic import CTE, PREFIX, as_markdown, corpus, headed, parsed
 from . import ingest
 
@@ -303,6 +305,13 @@ def neighbors(n: DataFrame, *first: str) -> DataFrame:
     return n.select(*first, line("depends_on", dangling).alias("depends_on"), line("feeds_into", dangling).alias("feeds_into"), F.size(F.coalesce("warnings", F.array())).alias("warnings"), line("depended_on_by").alias("depended_on_by"), line("feeds_from").alias("feeds_from"), F.array_join(F.col("also_touches").cast("array<string>"), ",").alias("also_touches"))
 
 
+@query(f"""WITH {CTE}, {EDGES} SELECT e.source_file, e.relation AS side, e.target AS ref, m.status, m.source_file IS NULL AS dangling FROM e LEFT JOIN syn m ON m.bare = e.target WHERE relation IN ('depends_on', 'feeds_into')
+UNION ALL SELECT '{PREFIX}/docs/' || e.target || '.md', CASE relation WHEN 'depends_on' THEN 'depended_on_by' ELSE 'feeds_from' END, s.bare, s.status, false FROM e JOIN syn s ON s.source_file = e.source_file WHERE relation IN ('depends_on', 'feeds_into') AND (s.status IS NULL OR s.status <> 'superseded')""")
+def neighbor_rows(spark, sf_dir):
+    n = graph.neighbors(graph.edges(parsed(spark, sf_dir)), meta(spark, sf_dir), PREFIX)
+    return n.select("source_file", "side", "ref", "status", "dangling")
+
+
 @query(f"WITH {NEIGHBORHOODS} SELECT * FROM nb")
 def neighborhood_all(spark, sf_dir):
     m = meta(spark, sf_dir)
@@ -722,3 +731,34 @@ def stored_decisions(spark, sf_dir):
     store.commit({"decisions": merge_decisions(store.read("decisions"), changed)})
     store.wipe()
     return store.read("decisions").select("decision_key", "id", "area", "decision", "current_value", "source_doc", "superseded_by")
+
+
+@query(f"WITH {DRIFT_ITEMS} SELECT signal, file, line, reason FROM items ORDER BY p, file, coalesce(line, 0), reason LIMIT 100")
+def drift_exported(spark, sf_dir):
+    """The report as the JSON file that people get, read back."""
+    path = f"{shared_dir(spark)}/drift-{uuid.uuid4().hex}.json"
+    export_json(drift.top(drift_items(spark, sf_dir), 100), path)
+    return spark.read.schema(DRIFT).option("multiLine", True).json(path).select("signal", "file", "line", "reason")
+
+
+@query(f"""WITH {CTE}, {BIG}, {VIOLATIONS}, n AS (SELECT count(DISTINCT bare) AS total, (SELECT count(DISTINCT name) FROM v) AS bad FROM syn)
+SELECT '| ' || category || ' | ' || count(DISTINCT name) || ' |' AS line FROM v GROUP BY category UNION ALL SELECT unnest(['- Total: ' || total, '- Clean: ' || (total - bad), '- With violations: ' || bad, '| Category | Files |', '|---|---|']) FROM n""")
+def audit_report(spark, sf_dir):
+    """The head of the report that people get: totals and categories."""
+    docs = as_markdown(spark, sf_dir).select("name", "text")
+    head = audit.report(docs, audit.audit(docs)).split("## Violations")[0].splitlines()
+    return spark.createDataFrame([(x,) for x in head if x[:1] in ("|", "-")], "line string")
+
+
+@query(hybrid_sql("status = 'complete' AND doc_type = 'spec'", FORMS))
+def tool_search(spark, sf_dir):
+    """The search tool over a store with its index, and what it says when it can't embed."""
+    store = stored_documents(spark, sf_dir)
+    indexes.LexicalIndex(store).refresh()
+    vector = seed(spark, sf_dir)
+    rows = Tools(store, Settings(), lambda texts: [vector] * len(texts), stems=True).search_docs("trashing, worthless", 20, status="complete", doc_type="spec")
+    broken = Tools(store, Settings(), lambda texts: texts[1:][0]).search_docs("x")
+    if broken["results"] or not broken["error"] or store.read("query_log").count() != 2:
+        raise ValueError(f"not the answer to a failed search, or not logged: {broken}")
+    hits = spark.createDataFrame(rows, "content_hash string, source_file string, section_header string, area_number int, doc_type string, status string, supersedes string, content string, updated_at string, score double")
+    return found(hits.withColumn("content_hash", F.col("content_hash").cast("long")))

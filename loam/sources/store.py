@@ -268,10 +268,13 @@ def merge_decisions(old: DataFrame, new: DataFrame, prune: bool = False) -> Data
 
 
 def export_json(items: DataFrame, path: str) -> None:
-    """A bounded list as one indented JSON file, for people to read."""
+    """A bounded list as one indented JSON file, for people to read, at a path of any file system."""
     rows = [json.loads(r) for r in items.toJSON().collect()]
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump([{c: r.get(c) for c in items.columns} for r in rows], f, indent=2, ensure_ascii=False)
+    text = json.dumps([{c: r.get(c) for c in items.columns} for r in rows], indent=2, ensure_ascii=False)
+    p = items.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(items.sparkSession._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def counters(rows: DataFrame) -> DataFrame:
