@@ -3,7 +3,7 @@
 A document is the sequence of its lines that are not blank, each without white space at its ends. In every
 WINDOW lines in a row the least hash (the last of equals) is picked as a fingerprint, so that any two runs of
 WINDOW equal lines share one. Only windows whose fingerprint is picked at two places are candidates; a
-candidate is then known by the hash of all its lines, so that equal candidates are equal runs however frequent a
+candidate is then known by a hash of all its lines (128 bits), so that equal candidates are equal runs however frequent a
 line among them is. Fewer lines than WINDOW that hold LONG words or more together are candidates too, each with
 its own hash as fingerprint. The first place of a candidate, by id and place, stays; its lines are deleted at
 every later one. Longer runs are the candidates that overlap or touch.
@@ -26,8 +26,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def line_hashes(text: str | None) -> np.ndarray:
+    """Two 64-bit halves of a hash of each line that is not blank: fingerprints are picked by the first, runs told by both."""
     lines = (x.strip() for x in (text or "").split("\n"))
-    return np.array([xxhash.xxh3_64_intdigest(x) for x in lines if x], np.uint64).view(np.int64)
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines if x]), np.int64).reshape(-1, 2)
 
 
 def least_places(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -49,7 +50,7 @@ def picks(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each `size` lines in a row, in their order."""
+    """A hash of each `size` lines in a row, in their order, from one half of the lines' hashes."""
     n = max(0, len(hashes) - size + 1)
     out = np.full(n, size, np.uint64)
     for k in range(size):
@@ -58,7 +59,7 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def long_runs(text: str | None, hashes: np.ndarray, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, hashes) of the runs that hold LONG words, for each number of lines under `window`."""
+    """(places, both hashes) of the runs that hold LONG words, for each number of lines under `window`."""
     # LONG words take as many characters and the spaces between them
     if len(text or "") < 2 * LONG - 1:
         return []
@@ -67,7 +68,7 @@ def long_runs(text: str | None, hashes: np.ndarray, window: int) -> list[tuple[n
     out = []
     for size in range(1, min(window, len(hashes) + 1)):
         at = np.flatnonzero(before[size:] - before[:-size] >= LONG)
-        out.append((at, run_hashes(hashes, size)[at]))
+        out.append((at, np.column_stack([run_hashes(hashes[:, k], size)[at] for k in range(2)])))
     return out
 
 
@@ -77,7 +78,7 @@ def _prints(window: int):
             found = [np.empty(0, np.int64)]
             for text in batch.column("text").to_pylist():
                 hashes = line_hashes(text)
-                found += [hashes[picks(hashes, window)], *(h for _, h in long_runs(text, hashes, window))]
+                found += [hashes[picks(hashes[:, 0], window), 0], *(h[:, 0] for _, h in long_runs(text, hashes, window))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["print"])
 
     return run
@@ -85,19 +86,19 @@ def _prints(window: int):
 
 def _candidates(window: int):
     def run(batches):
-        """A row for each candidate: its fingerprint, its own hash, and where it starts and stops."""
+        """A row for each candidate: its fingerprint, its own hash in two halves, and where it starts and stops."""
         for batch in batches:
-            found = [np.empty((0, 5), np.int64)]
+            found = [np.empty((0, 6), np.int64)]
             for k, text in enumerate(batch.column("text").to_pylist()):
                 hashes = line_hashes(text)
-                at = least_places(hashes, window)
+                at = least_places(hashes[:, 0], window)
                 first = np.arange(len(at))
-                found.append(np.column_stack([np.full(len(at), k), hashes[at], run_hashes(hashes, window), first, first + window]))
+                found.append(np.column_stack([np.full(len(at), k), hashes[at, 0], *(run_hashes(hashes[:, h], window) for h in range(2)), first, first + window]))
                 for size, (first, own) in enumerate(long_runs(text, hashes, window), 1):
-                    found.append(np.column_stack([np.full(len(first), k), own, own, first, first + size]))
+                    found.append(np.column_stack([np.full(len(first), k), own[:, 0], own, first, first + size]))
             rows = np.concatenate(found).T
             ids = [batch.column(c).take(pa.array(rows[0])) for c in ("doc_id", "uid")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(rows[1]), pa.array(rows[2]), *(pa.array(x.astype(np.int32)) for x in rows[3:])], ["doc_id", "uid", "print", "run", "first", "stop"])
+            yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, rows[1:4]), *(pa.array(x.astype(np.int32)) for x in rows[4:])], ["doc_id", "uid", "print", "run", "run2", "first", "stop"])
 
     return run
 
@@ -107,10 +108,11 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     that are not blank. Rows of one document may overlap."""
     twice = docs.mapInArrow(_prints(window), "print long").groupBy("print").agg(F.count("*").alias("n")).filter("n > 1")
     twice = saved(twice, "prints")
-    every = docs.mapInArrow(_candidates(window), "doc_id long, uid long, print long, run long, first int, stop int")
+    every = docs.mapInArrow(_candidates(window), "doc_id long, uid long, print long, run long, run2 long, first int, stop int")
     found = saved(with_counts(every, twice, "print").drop("print", "n"), "candidates")
-    anchors = found.groupBy("run").agg(F.min(F.struct("doc_id", "uid", "first")).alias("anchor"), F.count("*").alias("n")).filter("n > 1")
-    later = with_counts(found, saved(anchors, "anchors"), "run").filter(~F.struct("doc_id", "uid", "first").eqNullSafe(F.col("anchor")))
+    anchors = found.groupBy("run", F.col("run2").alias("anchor_run2")).agg(F.min(F.struct("doc_id", "uid", "first")).alias("anchor"), F.count("*").alias("n")).filter("n > 1")
+    # of runs that share the first half of their hash each meets the anchors of all, and keeps its own
+    later = with_counts(found, saved(anchors, "anchors"), "run").filter((F.col("run2") == F.col("anchor_run2")) & ~F.struct("doc_id", "uid", "first").eqNullSafe(F.col("anchor")))
     return later.select("doc_id", "uid", "first", "stop")
 
 
