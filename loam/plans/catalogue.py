@@ -126,11 +126,11 @@ def hybrid_operator(spark, sf_dir):
     return found(search.hybrid(searchable(spark, sf_dir), " ".join(TERMS), seed(spark, sf_dir), 20, status="complete", doc_type="spec"))
 
 
-@query(hybrid_sql("status IN ('complete', 'in-progress', 'draft') AND area = 4"))
+@query(hybrid_sql("status IN ('complete', 'in-progress', 'draft') AND area = 0"))
 def area_search(spark, sf_dir):
     """Within one area, of chunks that need no banner."""
     c = searchable(spark, sf_dir).filter("status IN ('complete', 'in-progress', 'draft')")
-    return found(search.hybrid(c, " ".join(TERMS), seed(spark, sf_dir), 20, area=4))
+    return found(search.hybrid(c, " ".join(TERMS), seed(spark, sf_dir), 20, area=0))
 
 
 # --- chunks
