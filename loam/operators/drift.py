@@ -65,10 +65,27 @@ def dep_out_of_date(docs: DataFrame) -> DataFrame:
     return _items(late, "dep-out-of-date", file=F.concat(F.lit("docs/"), "bare", F.lit(".md")), reason=reason, source=F.concat(F.lit("docs/"), "ref", F.lit(".md")))
 
 
-def _like(pattern: str) -> re.Pattern:
-    """A LIKE pattern, already in lower case, as a regular expression for a search anywhere."""
-    parts = re.findall(r"\\.|[%_]|[^%_\\]+|\\", pattern, re.S)
-    return re.compile("".join({"%": ".*", "_": "."}.get(p) or re.escape(p[1:] if len(p) == 2 and p[0] == "\\" else p) for p in parts), re.S)
+def _like(pattern: str):
+    """A LIKE pattern, already in lower case, as a test whether a text holds it: what stands between its % is looked for
+    one after the other, so that no text is gone over again."""
+    pieces = [""]
+    for p in re.findall(r"\\.|[%_]|[^%_\\]+|\\", pattern, re.S):
+        if p == "%":
+            pieces.append("")
+        else:
+            pieces[-1] += "." if p == "_" else re.escape(p[1:] if len(p) == 2 and p[0] == "\\" else p)
+    searches = [re.compile(x, re.S).search for x in pieces if x]
+
+    def holds(text: str) -> bool:
+        at = 0
+        for search in searches:
+            m = search(text, at)
+            if not m:
+                return False
+            at = m.end()
+        return True
+
+    return holds
 
 
 def _literal(pattern: str) -> str:
@@ -91,17 +108,18 @@ class _Mentions:
                 by_text.setdefault(literal, []).append(k)
             else:
                 self.always.append(k)
-        self.confirm = {k: _like(text).search for k, (_, text, *_) in enumerate(decisions) if wild(text)}
-        self.value = [_like(v).search if wild(v) else None for _, _, v, _ in decisions]
-        self.automaton = ahocorasick.Automaton()
-        for text, ks in by_text.items():
-            self.automaton.add_word(text, ks)
+        self.confirm = {k: _like(text) for k, (_, text, *_) in enumerate(decisions) if wild(text)}
+        self.value = [_like(v) if wild(v) else None for _, _, v, _ in decisions]
+        # a text that many decisions share is met once
+        self.automaton, self.sharing = ahocorasick.Automaton(), list(by_text.values())
+        for i, text in enumerate(by_text):
+            self.automaton.add_word(text, i)
         self.automaton.make_automaton()
 
     def of(self, source_file: str, low: str):
         """The numbers of the decisions that a chunk mentions without their value."""
-        met = {k for _, ks in self.automaton.iter(low) for k in ks} if len(self.automaton) else set()
-        for k in met.union(self.always):
+        texts = {i for _, i in self.automaton.iter(low)} if len(self.automaton) else ()
+        for k in (k for ks in (*(self.sharing[i] for i in texts), self.always) for k in ks):
             _, _, value, own = self.rows[k]
             held = self.value[k](low) if self.value[k] else value in low
             if own != source_file and not held and (k not in self.confirm or self.confirm[k](low)):

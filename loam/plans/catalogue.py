@@ -451,9 +451,9 @@ def drift_dep_out_of_date(spark, sf_dir):
     return drift.dep_out_of_date(committed(spark, sf_dir)).select("file", "reason")
 
 
-#: The stated set: every whole line of moderate length of the documents whose id is divisible by 50.
-LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id % 50 = 0"
-TOPIC = "'topic-' || doc_id || '-' || n AS decision_key, line AS decision, 'settled value ' || n AS current_value, 'doc-' || doc_id AS source_doc, CAST(NULL AS INT) AS superseded_by"
+#: The stated set: every different whole line of moderate length of the documents whose id is divisible by 50.
+LINES = "SELECT min(doc_id) AS doc_id, line, min(n) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id % 50 = 0) GROUP BY line"
+TOPIC = "'topic-' || md5(line) AS decision_key, line AS decision, 'settled value ' || n AS current_value, 'doc-' || doc_id AS source_doc, CAST(NULL AS INT) AS superseded_by"
 
 
 CONTRADICTED = f"""d AS (SELECT * FROM (SELECT {TOPIC} FROM ({LINES})) WHERE length(decision) BETWEEN 8 AND 80),
@@ -463,7 +463,7 @@ MENTION = "'chunk mentions `' || decision || '` but not the current value (`' ||
 
 def contradicted(spark, sf_dir) -> DataFrame:
     lines_ = read(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    d = lines_.withColumn("n", F.col("at") + 1).selectExpr(*TOPIC.split(", "))
+    d = lines_.groupBy("line").agg(F.min("doc_id").alias("doc_id"), (F.min("at") + 1).alias("n")).selectExpr(*TOPIC.split(", "))
     c = corpus(spark, sf_dir).select("source_file", F.lit("(intro)").alias("section_header"), F.col("text").alias("content"))
     return drift.contradictions(d, c, PREFIX)
 
