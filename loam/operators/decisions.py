@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,19 +51,36 @@ def unresolved(rows: DataFrame) -> DataFrame:
     return rows.filter("supersedes IS NOT NULL").join(keys, "supersedes", "left_anti").select("decision_key", "supersedes")
 
 
+def _looping(step: DataFrame) -> DataFrame:
+    """step (at, next), each `at` once -> those of its rows that lie on a cycle. By doubling: a round leaves the keys that
+    lead on for twice as many steps and are led to by as many; on cycles all do, lines run out. When a round leaves them all, they
+    are cycles. Each round is written and read."""
+    far = written(step.join(step.select(F.col("next").alias("at")).distinct(), "at", "left_semi"), "loops")
+    left, before = far.count(), -1
+    while left and left != before:
+        on = far.join(far.select(F.col("next").alias("at")).distinct(), "at", "left_semi")
+        far = written(on.join(far.select(F.col("at").alias("next"), F.col("next").alias("then")), "next").select("at", F.col("then").alias("next")), "loops")
+        left, before = far.count(), left
+    return step.join(far.select("at"), "at", "left_semi")
+
+
 def cycles(rows: DataFrame) -> DataFrame:
-    """(decision_key, path) of the keys that supersede themselves over others; each key supersedes one at most."""
-    step = rows.select("decision_key", "supersedes").filter("supersedes IS NOT NULL")
-    spark = rows.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE walk(decision_key, at, path) AS (
-             SELECT decision_key, supersedes, array(decision_key, supersedes) FROM {step}
-             UNION ALL
-             SELECT w.decision_key, s.supersedes, concat(w.path, array(s.supersedes)) FROM walk w JOIN {step} s ON s.decision_key = w.at
-             WHERE w.at <> w.decision_key AND NOT array_contains(slice(w.path, 2, size(w.path) - 2), w.at))
-           SELECT decision_key, path FROM walk WHERE at = decision_key""",
-        step=step,
-    )
+    """(decision_key, path) of the keys that supersede themselves over others; each key supersedes one at most.
+
+    What lies on no cycle is left out first. Then paths double until they come back to where they began: as many rounds as
+    the longest cycle's length has binary digits, and no more rows than keys."""
+    step = rows.filter("decision_key IS NOT NULL AND supersedes IS NOT NULL").select(F.col("decision_key").alias("at"), F.col("supersedes").alias("next")).distinct()
+    open_ = written(_looping(step).select("at", F.array("next").alias("path")), "cycles")
+    closed = []
+    while True:
+        back = F.array_position("path", F.col("at"))
+        closed.append(open_.filter(back > 0).select(F.col("at").alias("decision_key"), F.concat(F.array("at"), F.slice("path", F.lit(1), back.cast("int"))).alias("path")))
+        open_ = open_.filter(back == 0)
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, closed)
+        # of a cycle all paths are open or none
+        more = open_.select(F.col("at").alias("end"), F.col("path").alias("more"))
+        open_ = written(open_.withColumn("end", F.element_at("path", -1)).join(more, "end").select("at", F.concat("path", "more").alias("path")), "cycles")
 
 
 def successors(decisions: DataFrame, depth: int = CHAIN_DEPTH, starts: DataFrame | None = None) -> DataFrame:

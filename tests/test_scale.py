@@ -4,10 +4,21 @@ import time
 
 from pyspark.sql import functions as F
 
-from loam.operators import outline
+from loam.operators import decisions, outline
 from loam.plans import catalogue
 
 
+def test_long_cycles_and_lines(spark):
+    """Longer than a recursive query may go, beside a line and a tail that leads into the cycle."""
+    ring = [(f"c{i}", f"c{(i + 1) % 150}") for i in range(150)]
+    line = [(f"l{i}", f"l{i + 1}") for i in range(300)]
+    rows = spark.createDataFrame([*ring, *line, ("tail", "c7"), ("self", "self"), (None, "c1"), ("end", None)], "decision_key string, supersedes string")
+    got = {r.decision_key: r.path for r in decisions.cycles(rows).collect()}
+    assert got.keys() == {k for k, _ in ring} | {"self"} and got["self"] == ["self", "self"]
+    assert all(got[f"c{i}"] == [f"c{(i + k) % 150}" for k in range(151)] for i in range(150))
+    assert decisions.cycles(rows.filter("startswith(decision_key, 'l')")).count() == 0
+
+
 def test_outline_of_many_lines(spark):
     body = "\n".join(("# T", "## A b", "plain", "### A b", "text", "## c")[i % 6] for i in range(1200))
     df = spark.createDataFrame([("f", body)], "source_file string, body string")
