@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from .scrub import scrub
 
 #: Queries of a batch that go to the tasks at once.
 QUERY_BLOCK = 2048
+#: Similarities that a task works out at once: 4 MB of them.
+SCORES = 500_000
 STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -75,28 +78,52 @@ def shown(hits: DataFrame) -> DataFrame:
     return hits.select("content_hash", "source_file", "section_header", "area_number", "doc_type", "status", "supersedes", banner(F.col("content"), F.col("status"), F.col("supersedes")).alias("content"), stamp(F.col("updated_at")).alias("updated_at"), "score")
 
 
-def _best(item_id: str, query_ids: list, vectors: list[list[float]], k: int):
-    """Arrow batches of (id, v) -> the k most similar of a task's items for each query."""
+def vectors_of(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of an Arrow column's vectors of a length, and those vectors as rows; a null within one is no number."""
+    at = np.flatnonzero(pc.equal(pc.list_value_length(column), dims).fill_null(False).to_numpy(zero_copy_only=False))
+    flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+    return at, flat.astype(float).reshape(-1, dims)
+
+
+def best_of(query: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+    """The places of each query's k greatest scores, query by query; equal scores by the lesser tie."""
+    order = np.lexsort((tie, -score, query))
+    of = query[order]
+    begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
+    return order[np.arange(len(of)) - np.repeat(begins, np.diff(np.r_[begins, len(of)])) < k]
+
+
+def raised(kth: np.ndarray, query: np.ndarray, score: np.ndarray, k: int) -> None:
+    """Bring each query's k-th score up to what best_of() has kept of all; fewer than k leave it."""
+    n = np.bincount(query, minlength=len(kth))
+    full = n >= k
+    kth[full] = score[np.cumsum(n)[full] - 1]
+
+
+def _best(item_id: str, query_ids: list, vectors: np.ndarray, k: int):
+    """Arrow batches of (id, v) -> the k most similar of a task's items for each query. At most SCORES similarities are held
+    at once; of those only what reaches a query's k-th so far is looked at again."""
 
     def unit(x: np.ndarray) -> np.ndarray:
         with np.errstate(invalid="ignore", divide="ignore"):
             return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def run(batches):
-        q = unit(np.array(vectors, float))
-        ids, scores = np.empty((len(q), 0), np.int64), np.empty((len(q), 0))
+        q = unit(vectors)
+        step = max(1, SCORES // max(1, len(q)))
+        own, ids, scores, kth = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.full(len(q), -np.inf)
         for batch in batches:
-            rows = [(i, v) for i, v in zip(batch.column(item_id).to_pylist(), batch.column("v").to_pylist(), strict=True) if v and len(v) == q.shape[1]]
-            if not rows:
-                continue
-            own = q @ unit(np.array([v for _, v in rows], float)).T
-            ids = np.concatenate([ids, np.broadcast_to(np.array([i for i, _ in rows], np.int64), own.shape)], 1)
-            scores = np.concatenate([scores, own], 1)
-            # no score comes last; equal scores by id
-            order = np.lexsort((ids, np.where(np.isnan(scores), np.inf, -scores)), axis=1)[:, :k]
-            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-        row, col = np.nonzero(~np.isnan(scores))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(query_ids, np.int64)[row]), pa.array(ids[row, col]), pa.array(scores[row, col])], ["query_id", item_id, "score"])
+            at, x = vectors_of(batch.column("v"), q.shape[1])
+            items = batch.column(item_id).to_numpy(zero_copy_only=False)[at].astype(np.int64)
+            for i in range(0, len(at), step):
+                s = q @ unit(x[i : i + step]).T
+                # what is no number reaches nothing
+                row, col = np.nonzero(s >= kth[:, None])
+                own, ids, scores = np.concatenate([own, row]), np.concatenate([ids, items[i + col]]), np.concatenate([scores, s[row, col]])
+                keep = best_of(own, scores, ids, k)
+                own, ids, scores = own[keep], ids[keep], scores[keep]
+                raised(kth, own, scores, k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(query_ids, np.int64)[own]), pa.array(ids), pa.array(scores)], ["query_id", item_id, "score"])
 
     return run
 
@@ -134,7 +161,7 @@ def batch_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str = "id"
         by_size: dict[int, list] = {}
         for r in block:
             by_size.setdefault(len(r["q"]), []).append(r)
-        found = [items.select(item_id, "v").mapInArrow(_best(item_id, [r["query_id"] for r in rows], [r["q"] for r in rows], k), empty.schema) for rows in by_size.values()]
+        found = [items.select(item_id, "v").mapInArrow(_best(item_id, [r["query_id"] for r in rows], np.array([r["q"] for r in rows], float), k), empty.schema) for rows in by_size.values()]
         return reduce(DataFrame.unionByName, found)
 
     return ranked(by_blocks(queries.filter("q IS NOT NULL").select("query_id", "q"), one, empty), k, item_id)

@@ -105,12 +105,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
+def _closest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The list of each vector, of which at most search.SCORES similarities are held at once."""
+    step = max(1, search.SCORES // max(1, len(centroids)))
+    return np.concatenate([np.zeros(0, int), *((x[i : i + step] @ centroids.T).argmax(1) for i in range(0, len(x), step))])
+
+
 def trained(vectors: np.ndarray, lists: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
     """Centroids of length 1 for vectors compared by their cosine."""
     x = _unit(vectors)
     c = x[np.random.default_rng(seed).permutation(len(x))[:lists]]
     for _ in range(rounds):
-        own = (x @ c.T).argmax(1)
+        own = _closest(x, c)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
         c = np.where((np.bincount(own, minlength=len(c)) > 0)[:, None], _unit(sums), c)
@@ -122,8 +128,8 @@ def _filed(centroids: np.ndarray):
 
     def run(batches):
         for b in batches:
-            x = np.array(b.column("v").to_pylist(), float).reshape(-1, centroids.shape[1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((_unit(x) @ centroids.T).argmax(1).astype(np.int32))], [*b.schema.names, "list"])
+            _, x = search.vectors_of(b.column("v"), centroids.shape[1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_closest(_unit(x), centroids).astype(np.int32))], [*b.schema.names, "list"])
 
     return run
 
@@ -133,20 +139,32 @@ def _nearest(queries: np.ndarray, ids: list, probed: np.ndarray, k: int):
 
     def run(batches):
         best: dict[int, list[tuple[float, str]]] = {}
+        kth = np.full(len(queries), -np.inf)
         for b in batches:
             lists = b.column("list").to_numpy()
-            x = _unit(np.array(b.column("v").to_pylist(), float).reshape(-1, queries.shape[1]))
-            hashes = b.column("content_hash").to_pylist()
+            _, x = search.vectors_of(b.column("v"), queries.shape[1])
+            x, hashes = _unit(x), b.column("content_hash").to_pylist()
+            # equal scores by id: its place among the batch's
+            place = np.empty(len(hashes), int)
+            place[sorted(range(len(hashes)), key=hashes.__getitem__)] = np.arange(len(hashes))
+            own, rows, scores = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
             for one in np.unique(lists):
-                rows, asking = np.nonzero(lists == one)[0], np.nonzero(probed[:, one])[0]
-                own = queries[asking] @ x[rows].T
-                for q, scores in zip(asking.tolist(), own, strict=True):
-                    some = rows[np.argsort(-scores, kind="stable")[: 2 * k]]
-                    # equal scores by id: all that reach the k-th best are candidates
-                    if len(rows) > k:
-                        some = rows[scores >= np.partition(scores, -k)[-k]]
-                    at = dict(zip(rows.tolist(), scores.tolist(), strict=True))
-                    best[q] = sorted([*best.get(q, []), *((-at[r], hashes[r]) for r in some.tolist())])[:k]
+                filed, asking = np.flatnonzero(lists == one), np.flatnonzero(probed[:, one])
+                step = max(1, search.SCORES // max(1, len(asking)))
+                for i in range(0, len(filed), step):
+                    some = filed[i : i + step]
+                    s = queries[asking] @ x[some].T
+                    row, col = np.nonzero(s >= kth[asking][:, None])
+                    own, rows, scores = np.concatenate([own, asking[row]]), np.concatenate([rows, some[col]]), np.concatenate([scores, s[row, col]])
+                    keep = search.best_of(own, scores, place[rows], k)
+                    own, rows, scores = own[keep], rows[keep], scores[keep]
+            found: dict[int, list[tuple[float, str]]] = {}
+            for q, r, s in zip(own.tolist(), rows.tolist(), scores.tolist(), strict=True):
+                found.setdefault(q, []).append((-s, hashes[r]))
+            for q, hits in found.items():
+                best[q] = sorted([*best.get(q, []), *hits])[:k]
+                if len(best[q]) == k:
+                    kth[q] = -best[q][-1][0]
         flat = [(ids[q], h, -s) for q, hits in best.items() for s, h in hits]
         columns = list(zip(*flat, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], ["query_id", "content_hash", "score"])

@@ -34,3 +34,50 @@ def test_outline_levels(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.sections for r in catalogue.outline_levels(spark, str(tmp_path)).collect()}
     assert got == {1: len([i for i in range(3000) if i % 7 == 3]), 2: 0, 3: 0}
+
+
+def test_similarities_at_once(spark, monkeypatch):
+    """Many queries against many items of a batch in little memory, with copies, zeros and nulls among them."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from loam.operators import search
+    from loam.sources import indexes
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(-3, 4, (6000, 8)).astype(float)
+    v[1000:2000] = v[:1000]
+    items = [None if i % 97 == 0 else x.tolist()[: 7 if i % 101 == 0 else 8] for i, x in enumerate(v)]
+    for i in (5, 2000):
+        items[i][3] = None
+    q = v[rng.permutation(6000)[:1500]] + 0.25
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 3000)), pa.array(items[a : a + 3000], pa.list_(pa.float32()))], ["id", "v"]) for a in (0, 3000)]
+    tracemalloc.start()
+    (got,) = search._best("id", list(range(1500)), q, 5)(iter(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000  # a score of each query and item of a batch would be 36 MB, five times over
+    ok = [i for i, x in enumerate(items) if x and len(x) == 8 and None not in x and any(x)]
+    norm = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(norm(q) @ norm(np.array([items[i] for i in ok], np.float32).astype(float)).T, 9)
+    found: dict = {}
+    for a, b, s in zip(*(got.column(c).to_pylist() for c in ("query_id", "id", "score")), strict=True):
+        found.setdefault(a, []).append((-round(s, 9), b))
+    for n in range(0, 1500, 7):
+        want = sorted(zip((-scores[n]).tolist(), ok, strict=True))[:5]
+        assert [s for s, _ in sorted(found[n])] == [s for s, _ in want]
+    lists = np.arange(3000, dtype=np.int32) // 1500
+    plain = [pa.RecordBatch.from_arrays([pa.array(lists), pa.array([f"{i:05d}" for i in range(a, a + 3000)]), pa.array((v[a : a + 3000] + 0.5).tolist(), pa.list_(pa.float32()))], ["list", "content_hash", "v"]) for a in (0, 3000)]
+    tracemalloc.start()
+    (near,) = indexes._nearest(norm(q), list(range(1500)), np.ones((1500, 2), bool), 5)(iter(plain))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000 and near.num_rows == 7500
+    scores = np.round(norm(q) @ norm(v + 0.5).T, 9)
+    found = {}
+    for a, s in zip(near.column("query_id").to_pylist(), near.column("score").to_pylist(), strict=True):
+        found.setdefault(a, []).append(round(s, 9))
+    for n in range(0, 1500, 7):
+        assert sorted(found[n], reverse=True) == sorted(scores[n].tolist(), reverse=True)[:5]
