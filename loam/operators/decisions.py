@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHAIN_DEPTH, FUZZY_MATCHES
-from ..sources.shared import numbered, written
+from ..sources.shared import numbered, spread, written
 from .frontmatter import registry_yaml
 from .graph import first_again, normal_target, paths
 
@@ -22,9 +22,12 @@ COLUMNS = ("id", "decision_key", "area", "decision", "current_value", "source_do
 
 def collect(docs: DataFrame) -> DataFrame:
     """docs (name, text) of decision documents -> a row for each declared decision, and `error` for what is wrong
-    with it: a document without an integer area, or a decision without key, text or value, or a key twice."""
-    named = docs.filter(F.col("name").rlike(FILE_NAME)).withColumn("y", registry_yaml(F.col("text")))
-    rows = named.select(F.regexp_replace("name", r"\.md\z", "").alias("source_doc"), "y.error", F.from_json("y.json", BLOCK).alias("b"))
+    with it: a document without an integer area, or a decision without key, text or value, or a key twice.
+
+    The blocks are read as YAML once, on all cores, and what they say is written."""
+    named = spread(docs.select("name", "text").filter(F.col("name").rlike(FILE_NAME)), "name").withColumn("y", registry_yaml(F.col("text")))
+    told = written(named.select(F.regexp_replace("name", r"\.md\z", "").alias("source_doc"), "y.error", "y.json"), "decisions")
+    rows = told.select("source_doc", "error", F.from_json("json", BLOCK).alias("b"))
     rows = rows.select("source_doc", F.col("b.area").try_cast("int").alias("area"), F.col("error").alias("doc_error"), F.posexplode("b.decisions").alias("position", "d"))
     rows = rows.select("source_doc", "area", "doc_error", "position", F.col("d.key").alias("decision_key"), "d.decision", "d.current_value", F.to_date("d.decided_on").alias("decided_on"), F.coalesce("d.cross_refs", F.array().cast("array<string>")).alias("cross_refs"), normal_target(F.col("d.supersedes")).alias("supersedes"))
     missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), n) for n, c in (("key", "decision_key"), ("decision", "decision"), ("current_value", "current_value")))))

@@ -29,6 +29,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt to some tasks for each core: for rows of few bytes that take long, of which one task would read a whole file."""
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
     """df with the place of each row in an order, from 1. Rows are dealt out in ranges and numbered there; only the ranges'
     sizes meet in one task."""

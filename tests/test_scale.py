@@ -81,3 +81,12 @@ def test_similarities_at_once(spark, monkeypatch):
         found.setdefault(a, []).append(round(s, 9))
     for n in range(0, 1500, 7):
         assert sorted(found[n], reverse=True) == sorted(scores[n].tolist(), reverse=True)[:5]
+
+
+def test_registry_on_all_cores(spark):
+    """One partition of documents is read as YAML by many tasks, and once."""
+    text = F.concat(F.lit("---\narea: 3\ndecisions:\n  - key: k"), F.col("id").cast("string"), F.lit("\n    decision: d\n    current_value: 1\n---\n"))
+    docs = spark.range(200).coalesce(1).select(F.concat(F.lit("03-dec-d"), F.col("id").cast("string"), F.lit(".md")).alias("name"), text.alias("text"))
+    rows = decisions.collect(docs)
+    assert len(rows.inputFiles()) > 4 and "ArrowEvalPython" not in rows._jdf.queryExecution().toString()
+    assert {r.decision_key for r in rows.filter("error IS NULL AND area = 3").collect()} == {f"k{i}" for i in range(200)}
