@@ -90,3 +90,24 @@ def test_registry_on_all_cores(spark):
     rows = decisions.collect(docs)
     assert len(rows.inputFiles()) > 4 and "ArrowEvalPython" not in rows._jdf.queryExecution().toString()
     assert {r.decision_key for r in rows.filter("error IS NULL AND area = 3").collect()} == {f"k{i}" for i in range(200)}
+
+
+def test_one_block_of_decisions_at_a_time():
+    """A worker that goes from block to block holds one automaton, and of each decision few chunks."""
+    import gc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from loam.operators import drift
+
+    def chunks():
+        for a in (300, 200, 100, 0):
+            yield pa.RecordBatch.from_pydict({"source_file": [f"f{i:03d}" for i in range(a + 99, a - 1, -1)], "section_header": [None] * 100, "low": ["a settled matter"] * 100})
+
+    for token in ("one", "two", "three"):
+        block = SimpleNamespace(token=token, value=[("k" + token, "settled", "done", "own")])
+        (got,) = drift._hits(block)(chunks())
+        assert got.to_pydict() == {"decision_key": ["k" + token] * 5, "source_file": [f"f{i:03d}" for i in range(5)], "section_header": [None] * 5}
+        gc.collect()
+        assert sum(isinstance(x, drift._Mentions) for x in gc.get_objects()) == 1
