@@ -97,3 +97,15 @@ def test_chains_by_doubling(spark):
     one = graph.supersedes_chain(meta, "p", meta.filter(F.col("source_file") == name(3))).collect()
     assert len(one) == 10 and graph.supersedes_chain(meta.limit(0), "p").count() == 0
     assert decisions.successors(d, depth=1).count() == len([k for k in ids if after.get(k) in ids])
+
+
+def test_lines_with_wildcards_as_they_stand(spark, tmp_path):
+    """Documents' lines are looked for as they are, as in the SQL: their %, _ and \\ are no wildcards."""
+    from loam.plans import catalogue
+
+    texts = [(0, "All 100% sure_of it\nback\\slash% it"), (1, "all 100 per cent sure of it"), (2, "so: ALL 100% SURE_OF IT"), (3, "all 100% sureXof it"), (4, "backslash it"), (5, "x back\\slash% it"), (6, "back\\slash or it"), (7, "settled value 1, all 100% sure_of it")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.suggested_replacement, int(r.file.rsplit("-", 1)[1][:-3])) for r in catalogue.drift_contradict(spark, str(tmp_path)).collect())
+    assert got == [("settled value 1", 0), ("settled value 1", 2), ("settled value 2", 0), ("settled value 2", 5)]
+    counts = {r.signal: r["items"] for r in catalogue.drift_by_signal(spark, str(tmp_path)).collect()}
+    assert counts["decision-contradict"] == 4
