@@ -8,7 +8,6 @@ without stop words, optionally stemmed by Porter's published rules.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,6 +19,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 # English stop words.
 STOP_WORDS = tuple("a about above after again all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own s same she should so some such t than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with you your".split())
+_STOPS = frozenset(STOP_WORDS)
 K1, B = 1.2, 0.75
 
 
@@ -28,25 +28,19 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
 
 
-def _measure(stem: str) -> int:
-    return len(re.findall(r"[aeiouy]+[^aeiouy]+", re.sub(r"^[^aeiouy]+", "", _classes(stem))))
+_VOWELS = str.maketrans({chr(c): "v" if chr(c) in "aeiouy" else "c" for c in range(128)})
 
 
-def _classes(w: str) -> str:
-    """A y after a consonant is a vowel; any other y is none."""
-    return "".join("b" if c == "y" and (i == 0 or w[i - 1] in "aeiou") else c for i, c in enumerate(w))
+def _sounds(w: str) -> str:
+    """v for each vowel, c for each consonant. A y after a consonant is a vowel; any other y is none. What a word's
+    beginning has doesn't hang on its end."""
+    if "y" in w:
+        w = "".join("b" if c == "y" and (i == 0 or w[i - 1] in "aeiou") else c for i, c in enumerate(w))
+    return w.translate(_VOWELS)
 
 
-def _has_vowel(s: str) -> bool:
-    return bool(re.search("[aeiouy]", _classes(s)))
-
-
-def _double(s: str) -> bool:
-    return len(s) > 1 and s[-1] == s[-2] and _classes(s)[-1] not in "aeiouy"
-
-
-def _cvc(s: str) -> bool:
-    return bool(re.search(r"[^aeiouy][aeiouy][^aeiouywx]$", _classes(s)))
+def _short(w: str, sounds: str) -> bool:
+    return sounds[-3:] == "cvc" and w[-1] not in "wx"
 
 
 # Porter's suffixes of steps 2, 3 and 4.
@@ -55,46 +49,59 @@ STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
 
 
+def _by_last(table: str) -> dict[str, list[tuple[str, str]]]:
+    """The suffixes that end in a letter with what takes their place, the longest first."""
+    out: dict[str, list[tuple[str, str]]] = {}
+    for end, _, new in sorted((x.partition(":") for x in table.split()), key=lambda x: -len(x[0])):
+        out.setdefault(end[-1], []).append((end, new))
+    return out
+
+
+_SWAPPED, _CUT = (_by_last(STEP2), _by_last(STEP3)), _by_last(STEP4)
+
+
 def stem(w: str) -> str:
-    """Porter's algorithm (1980)."""
+    """Porter's algorithm (1980). How many runs of vowels are followed by consonants is the number of vc in the sounds."""
     if len(w) < 3 or not w.isascii() or not w.isalpha():
         return w
     if w.endswith("sses") or w.endswith("ies"):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
+    sounds = _sounds(w)
     if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) > 0 else w
+        w = w[:-1] if "vc" in sounds[:-3] else w
     else:
-        for end in ("ed", "ing"):
-            if w.endswith(end):
-                if _has_vowel(w[: -len(end)]):
-                    w = w[: -len(end)]
-                    if w.endswith(("at", "bl", "iz")):
-                        w += "e"
-                    elif _double(w) and w[-1] not in "lsz":
-                        w = w[:-1]
-                    elif _measure(w) == 1 and _cvc(w):
-                        w += "e"
-                break
-    if w.endswith("y") and _has_vowel(w[:-1]):
+        end = 2 if w.endswith("ed") else 3 if w.endswith("ing") else 0
+        if end and "v" in sounds[:-end]:
+            w, sounds = w[:-end], sounds[:-end]
+            if w.endswith(("at", "bl", "iz")):
+                w += "e"
+            elif len(w) > 1 and w[-1] == w[-2] and sounds[-1] == "c":
+                w = w if w[-1] in "lsz" else w[:-1]
+            elif sounds.count("vc") == 1 and _short(w, sounds):
+                w += "e"
+    sounds = _sounds(w)
+    if w.endswith("y") and "v" in sounds[:-1]:
         w = w[:-1] + "i"
-    for table in (STEP2, STEP3):
-        for end, new in sorted((x.split(":") for x in table.split()), key=lambda x: -len(x[0])):
+        sounds = sounds[:-1] + "v"
+    for table in _SWAPPED:
+        for end, new in table.get(w[-1:], ()):
             if w.endswith(end):
-                w = w[: -len(end)] + new if _measure(w[: -len(end)]) > 0 else w
+                if "vc" in sounds[: -len(end)]:
+                    w = w[: -len(end)] + new
+                    sounds = _sounds(w)
                 break
-    for end in sorted(STEP4.split(), key=len, reverse=True):
+    for end, _ in _CUT.get(w[-1:], ()):
         if w.endswith(end):
-            base = w[: -len(end)]
-            if _measure(base) > 1 and (end != "ion" or base.endswith(("s", "t"))):
-                w = base
+            if sounds[: -len(end)].count("vc") > 1 and (end != "ion" or w[-4:-3] in ("s", "t")):
+                w, sounds = w[: -len(end)], sounds[: -len(end)]
             break
     if w.endswith("e"):
-        m = _measure(w[:-1])
-        if m > 1 or m == 1 and not _cvc(w[:-1]):
-            w = w[:-1]
-    return w[:-1] if _measure(w) > 1 and w.endswith("ll") else w
+        m = sounds[:-1].count("vc")
+        if m > 1 or m == 1 and not _short(w[:-1], sounds[:-1]):
+            w, sounds = w[:-1], sounds[:-1]
+    return w[:-1] if w.endswith("ll") and sounds.count("vc") > 1 else w
 
 
 @pandas_udf(ArrayType(StringType()))
@@ -122,6 +129,35 @@ def counted(c: Column, stems: bool = True) -> Column:
     return _counted(words(c), F.lit(stems))
 
 
+def spaced(c: Column) -> Column:
+    """The words of a text as words() has them, stop words among them, as one string with spaces between."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")
+
+
+class Lexemes(dict):
+    """word -> the number of its lexeme in `terms`, or -1 for a stop word; asked for the first time, a word gets its number.
+    kept: stems of words, held from one to the next."""
+
+    def __init__(self, stems: bool, kept: dict[str, str]):
+        self.stems, self.kept, self.terms, self._numbers = stems, kept, [], {}
+
+    def __missing__(self, word: str) -> int:
+        if word in _STOPS:
+            self[word] = -1
+            return -1
+        term = word
+        if self.stems:
+            term = self.kept.get(word)
+            if term is None:
+                if len(self.kept) > 200_000:
+                    self.kept.clear()
+                term = self.kept[word] = stem(word)
+        self[word] = n = self._numbers.setdefault(term, len(self._numbers))
+        if n == len(self.terms):
+            self.terms.append(term)
+        return n
+
+
 def lexemes(c: Column, stems: bool = True) -> Column:
     return stemmed(words(c)) if stems else words(c)
 

@@ -13,9 +13,10 @@ CHUNK_HASHES = "content_hash string, source_file string"
 FILE_STATS = "source_file string, chunk_count long, first_updated timestamp, last_updated timestamp, status string, supersedes string, doc_date date, git_committed_at timestamp"
 SNAPSHOT = "source_file string, path string, length long, modified timestamp, digest string"
 _FILTERS = "source_file string, status string, area_number int, doc_type string"
-POSTINGS = f"term string, content_hash string, tf int, n int, {_FILTERS}"
-LENGTHS = f"content_hash string, n int, {_FILTERS}"
+#: A term's chunks of one block by their number there; content_hash and filters of a number are in LENGTHS.
+POSTINGS = "term string, block long, nos array<int>, tfs array<int>"
+LENGTHS = f"block long, no int, content_hash string, n int, {_FILTERS}"
 VECTORS = f"content_hash string, v array<float>, {_FILTERS}"
 TABLES = {"doc_chunks": CHUNKS, "doc_outlines": OUTLINES, "doc_relationships": EDGES, "chunk_hashes": CHUNK_HASHES, "file_stats": FILE_STATS, "snapshot": SNAPSHOT, "decisions": DECISIONS, "query_log": QUERY_LOG, "postings": POSTINGS, "lengths": LENGTHS, "vectors": VECTORS}
 #: What a table's rows are dealt out to buckets by; the log has days instead.
-KEYS = {"doc_chunks": "source_file", "doc_outlines": "source_file", "doc_relationships": "source_file", "chunk_hashes": "content_hash", "file_stats": "source_file", "snapshot": "source_file", "decisions": "decision_key", "postings": "source_file", "lengths": "source_file", "vectors": "source_file"}
+KEYS = {"doc_chunks": "source_file", "doc_outlines": "source_file", "doc_relationships": "source_file", "chunk_hashes": "content_hash", "file_stats": "source_file", "snapshot": "source_file", "decisions": "decision_key", "lengths": "source_file", "vectors": "source_file"}

@@ -1,7 +1,8 @@
 """Two indexes over stored chunks, kept bucket by bucket: after a sync only the buckets it wrote are indexed anew.
 
-Lexical: for each lexeme the chunks that have it, with counts, lengths and what authority filters ask of; in folders by
-a hash of the term and sorted by it, so that a search reads the folders of its terms alone.
+Lexical: for each lexeme the chunks that have it, with counts; in folders by a hash of the term and sorted by it, so that
+a search reads the folders of its terms alone. A row holds a term's chunks of one block (some hundred thousand words of
+one bucket) as numbers; what a number stands for, its length and what authority filters ask of are in a row for each chunk.
 
 Vectors: inverted lists. Centroids are trained on a bounded sample, every chunk with a vector is filed under the nearest,
 and a search reads the lists of the centroids nearest to its query. How many lists that takes is measured: on a
@@ -14,11 +15,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import lexical
 from ..operators import search
+from ..schema import LENGTHS, POSTINGS
 from .store import Store
 
 #: Folders of a bucket that terms are dealt out to.
@@ -28,6 +32,8 @@ ROWS_PER_LIST, FEWEST_LISTS, MOST_LISTS = 1000, 16, 4096
 TRAINED, ROUNDS = 64, 8
 #: Recall that the number of lists read is set for, the sample it is measured on, and the neighbors of each that count.
 RECALL, MEASURED, NEIGHBORS = 0.95, 256, 10
+#: Bytes of words that a block of postings begins with; a chunk is never dealt to two.
+BLOCK_BYTES = 4_000_000
 _FILTERS = ("source_file", "status", "area_number", "doc_type")
 
 
@@ -54,22 +60,65 @@ class _Derived:
         self.store.publish(staged, dict.fromkeys(staged, buckets), told={"built": built} | told)
 
 
+def _blocks(stems: bool, schema: pa.Schema):
+    """Batches of chunks (bucket, content_hash, filters, words) -> their rows of lengths, and those of postings; `of` says
+    which. A batch's chunks of one bucket make a block for each BLOCK_BYTES."""
+
+    def rows(size: int, /, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in schema], schema=schema)
+
+    def block(some: pa.RecordBatch, kept: dict) -> list[pa.RecordBatch]:
+        number, texts = uuid.uuid4().int >> 65, some.column("words").to_pylist()
+        lexemes = lexical.Lexemes(stems, kept)
+        of = [np.array([lexemes[w] for w in (t or "").split()], np.int64) for t in texts]
+        of = [x[x >= 0] for x in of]
+        sizes = np.array([len(x) for x in of])
+        bucket = some.column("bucket")[0].as_py()
+        same = lambda v, n, t: pa.array(np.full(n, v), t)
+        told = {c: some.column(c) for c in ("content_hash", *_FILTERS)}
+        n = pa.array(sizes, pa.int32(), mask=np.array([t is None for t in texts]))
+        out = [rows(len(texts), of=same(0, len(texts), pa.int32()), bucket=same(bucket, len(texts), pa.int32()), block=same(number, len(texts), pa.int64()), no=pa.array(np.arange(len(texts), dtype=np.int32)), n=n, **told)]
+        pairs, tfs = np.unique(np.concatenate(of) * len(texts) + np.repeat(np.arange(len(texts)), sizes), return_counts=True)
+        if len(pairs):
+            term, nos = pairs // len(texts), pairs % len(texts)
+            begins = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+            ends = pa.array(np.r_[begins, len(pairs)], pa.int32())
+            lists = lambda x: pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32)))
+            terms = pa.array([lexemes.terms[k] for k in term[begins].tolist()], pa.string())
+            out.append(rows(len(begins), of=same(1, len(begins), pa.int32()), bucket=same(bucket, len(begins), pa.int32()), block=same(number, len(begins), pa.int64()), term=terms, nos=lists(nos), tfs=lists(tfs)))
+        return out
+
+    def run(batches):
+        kept: dict[str, str] = {}
+        for b in batches:
+            buckets = b.column("bucket").to_numpy()
+            lengths = pc.fill_null(pc.binary_length(b.column("words")), 0).to_numpy(zero_copy_only=False)
+            for one in np.unique(buckets):
+                own = np.flatnonzero(buckets == one)
+                cuts = np.cumsum(lengths[own], dtype=np.int64) // BLOCK_BYTES
+                for c in np.unique(cuts):
+                    yield from block(b.take(pa.array(own[cuts == c])), kept)
+
+    return run
+
+
 class LexicalIndex(_Derived):
     """stems: whether lexemes are stemmed; an index keeps to one."""
 
     def __init__(self, store: Store, stems: bool = True):
         super().__init__(store)
-        self.stems, self.name = stems, f"lexical-{'stems' if stems else 'words'}"
+        self.stems, self.name = stems, f"lexical-blocks-{'stems' if stems else 'words'}"
 
     def refresh(self) -> int:
         """Index what is stale; how many buckets that was."""
         buckets = self.stale()
         if buckets:
-            rows = self.store.read("doc_chunks", buckets).select("content_hash", *_FILTERS, lexical.counted(F.col("content"), self.stems).alias("terms"))
-            rows = self.store.cut(rows.withColumn("n", F.aggregate("terms", F.lit(0), lambda a, t: a + t["tf"])), "terms")
-            each = rows.select("content_hash", *_FILTERS, "n", F.explode("terms").alias("t")).select("*", "t.term", "t.tf")
+            rows = self.store.read("doc_chunks", buckets)
+            rows = rows.select(self.store.bucket(F.col("source_file")).alias("bucket"), "content_hash", *_FILTERS, lexical.spaced(F.col("content")).alias("words"))
+            own = self.store.spark.createDataFrame([], f"{POSTINGS}, {LENGTHS.replace('block long, ', '')}, bucket int, of int").schema
+            made = self.store.cut(rows.mapInArrow(_blocks(self.stems, to_arrow_schema(own)), own), "blocks")
             part = ("part", F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int"))
-            staged = {"postings": self.store.stage("postings", each.drop("t"), part, "term"), "lengths": self.store.stage("lengths", rows.drop("terms"))}
+            staged = {"postings": self.store.stage("postings", made.filter("of = 1"), part, "term", "bucket"), "lengths": self.store.stage("lengths", made.filter("of = 0"), bucket="bucket")}
             self._publish(staged, buckets)
             self.store.tidy()
         return len(buckets)
@@ -79,20 +128,20 @@ class LexicalIndex(_Derived):
         return sorted(set(words))
 
     def postings(self, terms: list[str]) -> DataFrame:
-        """The chunks that have each of some terms; the folders of other terms are not read."""
+        """term, block, no, tf of the chunks that have each of some terms; the folders of other terms are not read."""
         m = self.store.manifest()
         some = self.store.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int"))
         rows = self.store.load("postings", m["tables"].get("postings", {}))
-        if "part" not in rows.columns:
-            return rows
-        return rows.filter(F.col("part").isin([r[0] for r in some.collect()]) & F.col("term").isin(terms)).drop("version", "bucket", "part")
+        if "part" in rows.columns:
+            rows = rows.filter(F.col("part").isin([r[0] for r in some.collect()]) & F.col("term").isin(terms))
+        return rows.select("term", "block", F.explode(F.arrays_zip("nos", "tfs")).alias("p")).select("term", "block", F.col("p.nos").alias("no"), F.col("p.tfs").alias("tf"))
 
     def scores(self, terms: list[str], **filters) -> DataFrame:
         """content_hash, lex (the BM25 rank in 0 to 1 as the exact search has it, over the chunks that the filters let
         through) and held (how many of the terms it has) of the chunks that have any."""
-        allowed = search.authority(**filters)
-        stats = self.store.read("lengths").filter(allowed).agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
-        hits = self.postings(terms).filter(allowed)
+        allowed = self.store.read("lengths").filter(search.authority(**filters)).select("block", "no", "content_hash", "n")
+        stats = allowed.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
+        hits = self.postings(terms).join(allowed, ["block", "no"])
         df = {r["term"]: r["count"] for r in hits.groupBy("term").count().collect()}
         weights = F.lit(0.0)
         for t, n in df.items():

@@ -122,12 +122,14 @@ class Store:
         some = self.spark.createDataFrame([(k,) for k in keys], "k string")
         return self.read(table, self.buckets_of(some, "k")).filter(F.col(KEYS[table]).isin(keys))
 
-    def stage(self, table: str, rows: DataFrame, part: tuple[str, Column] | None = None, order: str | None = None) -> dict[str, str]:
+    def stage(self, table: str, rows: DataFrame, part: tuple[str, Column] | None = None, order: str | None = None, bucket: str | None = None) -> dict[str, str]:
         """Write rows in buckets that no manifest names yet -> the folder of each bucket that has any. part: a name and a
-        column by which buckets have folders of their own; order: what rows are sorted by there."""
+        column by which buckets have folders of their own; order: what rows are sorted by there; bucket: the column that
+        has a row's bucket, where that of its table's key is not in the rows."""
         version = f"version={uuid.uuid4().hex}"
         by = ["bucket"] + ([part[0]] if part else [])
-        dealt = rows.to(self.schema(table)).withColumn("bucket", self.bucket(F.col(KEYS[table])))
+        own = self.bucket(F.col(KEYS[table])) if bucket is None else F.col(bucket)
+        dealt = rows.withColumn("bucket", own).to(self.schema(table).add("bucket", "integer"))
         dealt = (dealt.withColumn(*part) if part else dealt).hint("rebalance", *by)
         if order:
             dealt = dealt.sortWithinPartitions(*by, order)

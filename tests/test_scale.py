@@ -111,3 +111,32 @@ def test_one_block_of_decisions_at_a_time():
         assert got.to_pydict() == {"decision_key": ["k" + token] * 5, "source_file": [f"f{i:03d}" for i in range(5)], "section_header": [None] * 5}
         gc.collect()
         assert sum(isinstance(x, drift._Mentions) for x in gc.get_objects()) == 1
+
+
+def test_postings_in_blocks(spark, tmp_path):
+    """A term is a row for each block, not for each chunk that has it; all counts are there, and nulls and stop words."""
+    from test_indexes import chunks
+
+    from loam.functions import lexical
+    from loam.sources import indexes, store
+
+    s = store.Store(spark, str(tmp_path / "store"), buckets=2)
+    rows = chunks(spark, range(400)).withColumn("content", F.when(F.col("content_hash") == "h0007", None).when(F.col("content_hash") == "h0008", "The ÉCOLES of y's: hoping, 42 hopes").otherwise(F.col("content")))
+    s.commit({"doc_chunks": rows})
+    index = indexes.LexicalIndex(s)
+    index.refresh()
+    want = {(r.content_hash, t.term): t.tf for r in rows.select("content_hash", lexical.counted(F.col("content")).alias("c")).collect() for t in r.c or []}
+    terms = sorted({t for _, t in want})
+    got = index.postings(terms).join(s.read("lengths"), ["block", "no"]).collect()
+    assert {(r.content_hash, r.term): r.tf for r in got} == want and len(got) == len(want) and ("h0008", "écoles") in want
+    assert s.read("postings").count() * 5 < len(want)
+    lengths = {r.content_hash: r.n for r in s.read("lengths").collect()}
+    assert len(lengths) == 400 and lengths["h0007"] is None and lengths["h0008"] == 5
+
+
+def test_stems_of_many_words():
+    """Published examples of the algorithm; a word takes some microseconds, as made-up ones are many."""
+    from loam.functions import lexical
+
+    told = "caresses:caress ponies:poni cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop tanned:tan falling:fall hissing:hiss fizzed:fizz failing:fail filing:file happy:happi sky:sky relational:relat conditional:condit rational:ration digitizer:digit radically:radic vietnamization:vietnam hopefulness:hope formaliti:formal triplicate:triplic electrical:electr goodness:good revival:reviv allowance:allow adjustment:adjust adoption:adopt probate:probat rate:rate cease:ceas controll:control roll:roll yields:yield"
+    assert {w: lexical.stem(w) for w, _, _ in (x.partition(":") for x in told.split())} == dict(x.split(":") for x in told.split())
