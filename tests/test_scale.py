@@ -140,3 +140,21 @@ def test_stems_of_many_words():
 
     told = "caresses:caress ponies:poni cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop tanned:tan falling:fall hissing:hiss fizzed:fizz failing:fail filing:file happy:happi sky:sky relational:relat conditional:condit rational:ration digitizer:digit radically:radic vietnamization:vietnam hopefulness:hope formaliti:formal triplicate:triplic electrical:electr goodness:good revival:reviv allowance:allow adjustment:adjust adoption:adopt probate:probat rate:rate cease:ceas controll:control roll:roll yields:yield"
     assert {w: lexical.stem(w) for w, _, _ in (x.partition(":") for x in told.split())} == dict(x.split(":") for x in told.split())
+
+
+def test_report_goes_over_texts_once(spark):
+    from loam.operators import audit
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(f"00-dec-d{i}.md", "no block" if i % 2 else "---\nfile: 1\n---\n") for i in range(20)] + [("track-x.md", "")], "name string, text string")
+    rows = audit.audit(docs)
+    text = audit.report(docs, rows.mapInArrow(told, rows.schema))
+    assert seen.value == rows.count() > 20
+    assert text.startswith(audit.report_head(docs, rows) + "\n## Violations\n\n### 00-dec-d0.md\n") and text.endswith("## Clean files\n\n- track-x.md\n")
+    assert "- Total: 21\n- Clean: 1\n- With violations: 20\n" in text
