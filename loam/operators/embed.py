@@ -17,19 +17,33 @@ from ..config import BATCH, RETRIES
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
+def _digest(gram: str) -> bytes:
+    return hashlib.blake2b(gram.encode(), digest_size=8).digest()
+
+
+class _Digests(dict):
+    """The digests of words, worked out the first time that one is asked for."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = d = _digest(word)
+        return d
+
+
 class HashedWords:
     """An embedder that needs no service: signed hashes of words and their neighbours, of length 1."""
 
     def __init__(self, dims: int = 64):
-        self.dims = dims
+        self.dims, self._digests = dims, _Digests()
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dims))
         for i, t in enumerate(texts):
             words = t.lower().split()
-            for w in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dims] += 1 if h >> 63 else -1
+            grams = [*map(self._digests.__getitem__, words), *map(_digest, map(" ".join, zip(words, words[1:], strict=False)))]
+            h = np.frombuffer(b"".join(grams), "<u8")
+            out[i] = np.bincount((h % np.uint64(self.dims)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), self.dims)
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
 

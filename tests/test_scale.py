@@ -158,3 +158,24 @@ def test_report_goes_over_texts_once(spark):
     assert seen.value == rows.count() > 20
     assert text.startswith(audit.report_head(docs, rows) + "\n## Violations\n\n### 00-dec-d0.md\n") and text.endswith("## Clean files\n\n- track-x.md\n")
     assert "- Total: 21\n- Clean: 1\n- With violations: 20\n" in text
+
+
+def test_words_are_hashed_once(monkeypatch):
+    """Each different word once over all texts, and the same vectors as hashing word by word gives."""
+    import hashlib
+
+    import numpy as np
+
+    from loam.operators import embed
+
+    asked, plain = [], hashlib.blake2b
+    monkeypatch.setattr(hashlib, "blake2b", lambda x, **k: asked.append(x) or plain(x, **k))
+    texts = ["To be or not to be", "be É be be", "", "be"]
+    got = embed.HashedWords(8)(texts)
+    assert sorted(asked) == sorted(x.encode() for x in ["to", "be", "or", "not", "é", "to be", "be or", "or not", "not to", "to be", "be é", "é be", "be be"])
+    for t, v in zip(texts, got, strict=True):
+        want, words = np.zeros(8), t.lower().split()
+        for w in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
+            h = int.from_bytes(plain(w.encode(), digest_size=8).digest(), "little")
+            want[h % 8] += 1 if h >> 63 else -1
+        assert v == (want / max(np.linalg.norm(want), 1e-12)).tolist()
