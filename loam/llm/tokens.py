@@ -11,33 +11,45 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import giving_back, new_path, saved, table
 
 END_ID = 2
-#: Chunks of text whose ids a Python worker keeps at most, in each of two generations: some 40 MB each.
-CACHE = 250_000
+#: Chunks of text whose ids a Python worker keeps when it makes room, which it does at twice as many: some 70 MB.
+CACHE = 200_000
+#: Characters of a chunk that is kept then, and on average of all that are kept.
+LONGEST, USUAL = 64, 16
 #: Characters that are cut into chunks at once.
 BLOCK = 1_000_000
 #: New chunks that are encoded as one text.
 JOINED = 100
+#: Characters of texts that are encoded at once, and runs without letters whose ids a worker keeps.
+TOGETHER, MARKS = 2_000_000, 20_000
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(8 << 20), "orc.encoding.strategy": "SPEED", "compression": "zstd"}
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, cache: int = CACHE) -> Encoder:
-    return Encoder(path, cache)
+def encoder(path: str, cache: int = CACHE) -> Ids:
+    return Ids(path, cache)
 
 
 #: A place between chunks.
 _APART = re.compile(r"\S(?= \S)")
+#: Letters, and signs that the pattern of byte-level pre-tokenization always breaks from them. An apostrophe isn't: "'s" is one piece.
+_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ſ", r"0-9!-&(-/:-@\[-`{-~"
+_WORD, _PARTS = re.compile(f"[{_LETTER}]+"), re.compile(f"[{_LETTER}]+|[^{_LETTER}]+")
+#: Words and signs; a single line end between them is a piece by itself.
+_MADE = re.compile(f"[{_LETTER}{_SIGN}]+(?:\n[{_LETTER}{_SIGN}]+)*")
 
 
 class Encoder:
@@ -174,30 +186,173 @@ class Encoder:
             yield from self.plain(held)
 
 
-def _encode(path: str, end_id: int, cache: int):
-    def run(batches):
-        encode, end, n = encoder(path, cache), np.array([end_id], "<u4").tobytes(), 0
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all stretches, one after another."""
+    ends = np.cumsum(lengths)
+    out = np.repeat((starts - ends + lengths).astype(np.int32), lengths)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
 
-        def rows(part, flat):
-            nonlocal n
-            n += len(flat)
-            offsets = np.zeros(len(flat) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in flat], out=offsets[1:])
-            ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(flat))])
-            numbers = pa.array(np.arange(n - len(flat), n))
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("shard"), numbers, pa.ListArray.from_arrays(pa.array(offsets), ids)], ["doc_id", "shard", "row", "ids"])
+class Ids(Encoder):
+    """Many texts at once. Arrow splits them and tells their chunks apart, so that only different chunks are looked up; the
+    ids of those that are kept lie in one array, from which the ids of the texts are taken together.
+
+    A new chunk of letters is one pre-token, which the library's model takes as it is. One of words and signs is put together from
+    its parts, since pre-tokenization breaks between them. All others are left to the library as they stand."""
+
+    def __init__(self, path: str, cache: int = CACHE):
+        super().__init__(path, cache)
+        mapped = lambda t: self.tokenizer.pre_tokenizer.pre_tokenize_str(t)[0][0]
+        self.space = mapped(" a")[:-1]
+        self.letters = {k: mapped(chr(k)) for k in range(128, 384) if _WORD.match(chr(k))}
+        self.tokenize = self.tokenizer.model.tokenize
+        #: The n-th chunk of kept has the ids from ends[n] to ends[n + 1] in pool.
+        self.kept: dict[str, int] = {}
+        self.pool, self.ends, self.uses = array("I"), array("i", [0]), np.zeros(0, np.int32)
+        self.marks: dict[str, list[int]] = {}
+        self.size = 0
+
+    def put(self, chunk: str, ids: list[int]) -> None:
+        self.kept[chunk] = len(self.kept)
+        self.pool.extend(ids)
+        self.ends.append(len(self.pool))
+        self.size += len(chunk)
+
+    def keep(self, chunks: list[str], ids: np.ndarray, last) -> None:
+        at = 0
+        for c, k in zip(chunks, last, strict=True):
+            cut = int(k) + 1 or len(ids)
+            self.put(c, ids[at:cut].tolist())
+            at = cut
 
+    def word(self, text: str, space: bool) -> list[int]:
+        """The ids of letters alone."""
+        text = text if text.isascii() else text.translate(self.letters)
+        return [t.id for t in self.tokenize(self.space + text if space else text)]
+
+    def part(self, text: str, space: bool) -> list[int]:
+        """The ids of a word, or of signs, that is part of a chunk."""
+        if _WORD.match(text):
+            chunk = text if space else " " + text
+            if (n := self.kept.get(chunk)) is not None:
+                return self.pool[self.ends[n] : self.ends[n + 1]]
+            self.put(chunk, ids := self.word(text, space))
+            return ids
+        text = " " + text if space else text
+        if (ids := self.marks.get(text)) is None:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if len(text) <= LONGEST:
+                if len(self.marks) >= MARKS:
+                    self.marks.clear()
+                self.marks[text] = ids
+        return ids
+
+    def learn(self, missing: list[str]) -> None:
+        rest = []
+        for c in missing:
+            if c in self.kept:  # as a part of one before
+                continue
+            space = c[0] != " "
+            text = c if space else c[1:]
+            if text.isalpha() and (text.isascii() or _WORD.fullmatch(text)):
+                self.put(c, self.word(text, space))
+            elif _MADE.fullmatch(text):
+                ids = []
+                for p in _PARTS.findall(text):
+                    ids += self.part(p, space)
+                    space = False
+                self.put(c, ids)
+            else:
+                rest.append(c)
+        super().learn(list(dict.fromkeys(rest)))
+
+    def make_room(self) -> None:
+        """Of all chunks, keep those that were used most, and none of the long ones."""
+        names = list(self.kept)
+        usual = np.flatnonzero(np.fromiter(map(len, names), np.int64, len(names)) <= LONGEST)
+        if len(usual) > self.cache:
+            usual = np.sort(usual[np.argpartition(-self.uses[usual], self.cache)[: self.cache]])
+        ends = np.array(self.ends)
+        lengths = ends[usual + 1] - ends[usual]
+        pool = np.array(self.pool, np.uint32)[_ragged(ends[usual], lengths)]
+        self.kept = {names[k]: n for n, k in enumerate(usual.tolist())}
+        self.pool, self.ends = array("I", pool.tobytes()), array("i", np.append(0, np.cumsum(lengths)).astype(np.int32).tobytes())
+        self.uses, self.size = self.uses[usual] // 2, sum(map(len, self.kept))
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without added tokens, one text after another, and how many each has."""
+        if len(self.kept) > 2 * self.cache or self.size > 2 * self.cache * USUAL:
+            self.make_room()
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy()
+        heads = pc.binary_join_element_wise(pa.scalar(" ", texts.type), pc.list_element(split, 0), pa.scalar("", texts.type))
+        told = pc.dictionary_encode(pa.concat_arrays([split.values, heads]))
+        order = told.indices.to_numpy().copy()
+        order[bounds[:-1]] = order[bounds[-1] :]
+        order = order[: bounds[-1]]
+        chunks = told.dictionary.to_numpy(zero_copy_only=False).tolist()
+        slots = np.fromiter(map(self.kept.get, chunks, repeat(-1)), np.int32, len(chunks))
+        new = np.flatnonzero(slots < 0)
+        touching = np.fromiter((self.touching(chunks[k]) for k in new.tolist()), bool, len(new))
+        fresh = [chunks[k] for k in new[~touching].tolist()]
+        self.learn(fresh)
+        slots[new[~touching]] = [self.kept[c] for c in fresh]
+        counts = np.bincount(order, minlength=len(chunks))
+        bad = slots < 0
+        seq = slots[order]
+        if bad.any():
+            parts, lengths, at = [], np.diff(bounds), 0
+            for k in np.unique(np.searchsorted(bounds, np.flatnonzero(bad[order]), "right") - 1).tolist():
+                own = self.joined(texts[k].as_py())
+                self.learn([c for c in own if c not in self.kept])
+                parts += [seq[at : bounds[k]], np.array([self.kept[c] for c in own], np.int32)]
+                lengths[k], at = len(own), bounds[k + 1]
+            seq, bounds = np.concatenate([*parts, seq[at:]]), np.append(0, np.cumsum(lengths))
+        self.uses = np.append(self.uses, np.zeros(len(self.kept) - len(self.uses), np.int32))
+        self.uses[slots[~bad]] += counts[~bad].astype(np.int32)
+        pool, ends = np.frombuffer(self.pool, np.uint32), np.frombuffer(self.ends, np.int32)
+        starts = ends[seq]
+        lengths = ends[seq + 1] - starts
+        before = np.append(0, np.cumsum(lengths))
+        return pool[_ragged(starts, lengths)], np.diff(before[bounds])
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        ids, lengths = self.many(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+
+    def runs(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of texts, and how many each has, for some texts after another: TOGETHER characters of those without added tokens."""
+        size = pc.binary_length(texts).to_numpy()
+        single = size > BLOCK
+        if self.breaks:
+            single |= pc.match_substring_regex(texts, self.breaks.pattern).to_numpy(zero_copy_only=False)
+        held = n = 0
+        for k, (alone, x) in enumerate(zip(single.tolist(), size.tolist(), strict=True)):
+            if k > held and (alone or n + x > TOGETHER):
+                yield self.many(texts.slice(held, k - held))
+                held, n = k, 0
+            n += x
+            if alone:
+                ids = np.frombuffer(self(texts[k].as_py()), "<u4")
+                yield ids, np.array([len(ids)])
+                held, n = k + 1, 0
+        if held < len(texts):
+            yield self.many(texts.slice(held))
+
+
+def _encode(path: str, end_id: int, cache: int):
+    def run(batches):
+        encode, n = encoder(path, cache), 0
         for batch in batches:
-            at, flat, size = 0, [], 0
-            for k in range(0, batch.num_rows, 256):
-                for x in encode.each([t or "" for t in batch.column("text").slice(k, 256).to_pylist()]):
-                    flat.append(x + end)
-                    size += len(x)
-                    if size > 4 * BLOCK:
-                        yield rows(batch.slice(at, len(flat)), flat)
-                        at, flat, size = at + len(flat), [], 0
-            if flat:
-                yield rows(batch.slice(at), flat)
+            at = 0
+            for ids, lengths in encode.runs(pc.fill_null(batch.column("text"), "")):
+                part, at = batch.slice(at, len(lengths)), at + len(lengths)
+                ends = np.cumsum(lengths)
+                offsets = np.append(0, ends + np.arange(1, len(ends) + 1)).astype(np.int32)
+                flat = pa.array(np.insert(ids, ends, end_id).view(np.int32))
+                numbers = pa.array(np.arange(n, n := n + len(lengths)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("shard"), numbers, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "shard", "row", "ids"])
 
     return run
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -544,6 +545,54 @@ def test_chunked_encoding_is_the_librarys(monkeypatch):
     assert list(e.each(some)) == list(map(library_ids, some))
 
 
+class Watched:
+    """A tokenizer that counts the characters it is given as text."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.n = tokenizer, 0
+
+    def encode(self, text, **more):
+        self.n += len(text)
+        return self.tokenizer.encode(text, **more)
+
+    def encode_batch_fast(self, texts, **more):
+        self.n += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+
+def test_new_words_are_not_pre_tokenized_again():
+    """Words and signs go to the library's model as they are: its pre-tokenizer took most of the time."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e = tokens.encoder.__wrapped__(path, 1000)
+    e.tokenizer = Watched(e.tokenizer)
+    word = lambda: "".join(rng.choice(["the", "ein", "ción", "ß", "Éa", "or", "qu"]) for _ in range(rng.randint(2, 6)))
+    texts = [" ".join(word() + rng.choice(["", ".", ",", "***", ".\nIn"]) for _ in range(200)) for _ in range(40)]
+    assert list(e.each(texts)) == [np.array(e.tokenizer.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.tokenizer.n * 20 < sum(map(len, texts))
+
+
+@pytest.mark.parametrize("cache", [20, 5000])
+def test_ids_of_many_texts_are_the_librarys(monkeypatch, cache):
+    """Letters beside signs, line ends, apostrophes and letters of other scripts; few chunks kept, added tokens, long texts, small blocks."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for name, n in {"TOGETHER": 200, "BLOCK": 90, "MARKS": 3, "LONGEST": 8}.items():
+        monkeypatch.setattr(tokens, name, n)
+    e = tokens.encoder.__wrapped__(path, cache)
+    ids = lambda t: e.tokenizer.encode(t, add_special_tokens=False).ids
+    bits = [" ", " ", " ", "  ", "\n", "\n\n", "\t", "a", "Ä", "ß", "word", "'s", "'ll", "’s", ".", "***", "12", "_", "½", "ª", "ж", "日", "e\u0301", "\x85", "\xa0", "x" * 9, "<|endoftext|>", "<|endof"]
+    for _ in range(400):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(rng.randrange(1, 12))]
+        got = list(e.runs(pa.array(texts, pa.string())))
+        want = [ids(t) for t in texts]
+        assert np.concatenate([n for _, n in got]).tolist() == list(map(len, want))
+        assert np.concatenate([x for x, _ in got]).tolist() == sum(want, [])
+        assert len(e.kept) == len(e.ends) - 1 < 2 * cache + 400 and len(e.marks) <= 3
+    assert list(e.runs(pa.array([], pa.string()))) == []
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and mixing.mix(none).count() == 0
