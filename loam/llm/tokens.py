@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import giving_back, new_path, saved, table
 
 END_ID = 2
-#: Chunks of text whose ids a Python worker keeps when it makes room, which it does at twice as many: some 70 MB.
-CACHE = 200_000
+#: Chunks of text whose ids a Python worker keeps when it makes room, which it does at twice as many: some 80 MB.
+CACHE = 250_000
 #: Characters of a chunk that is kept then, and on average of all that are kept.
 LONGEST, USUAL = 64, 16
 #: Characters that are cut into chunks at once.
@@ -34,7 +34,7 @@ BLOCK = 1_000_000
 #: New chunks that are encoded as one text.
 JOINED = 100
 #: Characters of texts that are encoded at once, and runs without letters whose ids a worker keeps.
-TOGETHER, MARKS = 2_000_000, 20_000
+TOGETHER, MARKS = 4_000_000, 20_000
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(8 << 20), "orc.encoding.strategy": "SPEED", "compression": "zstd"}
 
 
@@ -249,13 +249,15 @@ class Ids(Encoder):
         return ids
 
     def learn(self, missing: list[str]) -> None:
-        rest = []
+        rest, kept, tokenize, mark = [], self.kept, self.tokenize, self.space
         for c in missing:
-            if c in self.kept:  # as a part of one before
+            if c in kept:  # as a part of one before
                 continue
             space = c[0] != " "
             text = c if space else c[1:]
-            if text.isalpha() and (text.isascii() or _WORD.fullmatch(text)):
+            if text.isalpha() and text.isascii():
+                self.put(c, [t.id for t in tokenize(mark + text if space else text)])
+            elif text.isalpha() and _WORD.fullmatch(text):
                 self.put(c, self.word(text, space))
             elif _MADE.fullmatch(text):
                 ids = []
@@ -294,10 +296,11 @@ class Ids(Encoder):
         chunks = told.dictionary.to_numpy(zero_copy_only=False).tolist()
         slots = np.fromiter(map(self.kept.get, chunks, repeat(-1)), np.int32, len(chunks))
         new = np.flatnonzero(slots < 0)
-        touching = np.fromiter((self.touching(chunks[k]) for k in new.tolist()), bool, len(new))
-        fresh = [chunks[k] for k in new[~touching].tolist()]
+        fresh = [chunks[k] for k in new.tolist()]
+        usual = ~np.fromiter(map(self.touching, fresh), bool, len(fresh))
+        fresh = fresh if usual.all() else [c for c, u in zip(fresh, usual.tolist(), strict=True) if u]
         self.learn(fresh)
-        slots[new[~touching]] = [self.kept[c] for c in fresh]
+        slots[new[usual]] = np.fromiter(map(self.kept.__getitem__, fresh), np.int32, len(fresh))
         counts = np.bincount(order, minlength=len(chunks))
         bad = slots < 0
         seq = slots[order]
