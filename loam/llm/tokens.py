@@ -39,8 +39,8 @@ ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "or
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, cache: int = CACHE) -> Ids:
-    return Ids(path, cache)
+def encoder(path: str, cache: int = CACHE, together: int = TOGETHER) -> Ids:
+    return Ids(path, cache, together)
 
 
 #: A place between chunks.
@@ -201,8 +201,9 @@ class Ids(Encoder):
     A new chunk of letters is one pre-token, which the library's model takes as it is. One of words and signs is put together from
     its parts, since pre-tokenization breaks between them. All others are left to the library as they stand."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, together: int = TOGETHER):
         super().__init__(path, cache)
+        self.together = together
         mapped = lambda t: self.tokenizer.pre_tokenizer.pre_tokenize_str(t)[0][0]
         self.space = mapped(" a")[:-1]
         self.letters = {k: mapped(chr(k)) for k in range(128, 384) if _WORD.match(chr(k))}
@@ -325,14 +326,14 @@ class Ids(Encoder):
         return [x.tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])]
 
     def runs(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The ids of texts, and how many each has, for some texts after another: TOGETHER characters of those without added tokens."""
+        """The ids of texts, and how many each has, for some texts after another: `together` characters of those without added tokens."""
         size = pc.binary_length(texts).to_numpy()
         single = size > BLOCK
         if self.breaks:
             single |= pc.match_substring_regex(texts, self.breaks.pattern).to_numpy(zero_copy_only=False)
         held = n = 0
         for k, (alone, x) in enumerate(zip(single.tolist(), size.tolist(), strict=True)):
-            if k > held and (alone or n + x > TOGETHER):
+            if k > held and (alone or n + x > self.together):
                 yield self.many(texts.slice(held, k - held))
                 held, n = k, 0
             n += x
@@ -344,9 +345,9 @@ class Ids(Encoder):
             yield self.many(texts.slice(held))
 
 
-def _encode(path: str, end_id: int, cache: int):
+def _encode(path: str, end_id: int, cache: int, together: int = TOGETHER):
     def run(batches):
-        encode, n = encoder(path, cache), 0
+        encode, n = encoder(path, cache, together), 0
         for batch in batches:
             at = 0
             for ids, lengths in encode.runs(pc.fill_null(batch.column("text"), "")):
@@ -360,18 +361,18 @@ def _encode(path: str, end_id: int, cache: int):
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None, cache: int = CACHE) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None, cache: int = CACHE, together: int = TOGETHER) -> None:
     """Write docs (doc_id, text) as ORC (doc_id, shard, row, ids): one file a range of doc_id, in ascending order; row is
     the place in the file, from 0.
 
     A null text is empty and has the end id alone; null ids come first; rows with the same id stay together, in
     the order of their texts; extra columns are ignored; no rows make a readable table without rows. `shards`:
-    the number of ranges (the session's shuffle partitions if none). `cache`: see CACHE; it changes the time and memory
-    that a task takes, not what it writes."""
+    the number of ranges (the session's shuffle partitions if none). `cache`, `together`: see CACHE and TOGETHER; they
+    change the time and memory that a task takes, not what it writes."""
     rows = docs.select("doc_id", "text")
     dealt = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
     dealt = dealt.withColumn("shard", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(giving_back(_encode(tokenizer, end_id, cache)), "doc_id long, shard int, row long, ids array<int>").write.options(**ORC).orc(path)
+    dealt.mapInArrow(giving_back(_encode(tokenizer, end_id, cache, together)), "doc_id long, shard int, row long, ids array<int>").write.options(**ORC).orc(path)
 
 
 def _checksums(batches):
@@ -403,11 +404,11 @@ def lookup(spark, path: str, doc_ids: list[int]) -> DataFrame:
     return spark.read.orc(path).filter(F.col("doc_id").isin(doc_ids))
 
 
-def encode_table(docs: DataFrame, tokenizer: str, cache: int = CACHE) -> DataFrame:
+def encode_table(docs: DataFrame, tokenizer: str, cache: int = CACHE, together: int = TOGETHER) -> DataFrame:
     """Write docs into the shared folder, read the files back and index them."""
     spark = docs.sparkSession
     path = new_path(spark, "orc")
-    write(docs, path, tokenizer, cache=cache)
+    write(docs, path, tokenizer, cache=cache, together=together)
     rows = spark.read.schema("doc_id long, shard int, row long, ids array<int>").orc(path)
     return index(rows)
 

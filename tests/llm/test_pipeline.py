@@ -107,3 +107,27 @@ def test_empty(spark, tables, tmp_path):
     spark.read.parquet(f"{root}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{root}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_batches(spark, tables, monkeypatch):
+    """However long texts are, a stage is handed a few megabytes of them at once; a run leaves the session as it was."""
+
+    def bounded(items):
+        def run(batches):
+            for batch in batches:
+                assert batch.nbytes < 10_000_000
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(decontaminate, "_clean", bounded)
+    long = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), 250_000).alias("text"))
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.orc.columnarReaderBatchSize"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        assert corpus_pipeline.decontamination(spark, long, tables[0]).count() == 40
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
+    corpus_pipeline.run(spark, tables[0])
+    assert [spark.conf.get(n) for n in names] == before
