@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,12 @@ from ..schema import KEYS, TABLES
 
 #: Buckets of a new store; a sync of few files writes about one in BUCKETS of the bytes for each.
 BUCKETS = 64
+#: Bytes of Parquet that a batch deals out to buckets at once: what their shuffles take on disk goes before the next are dealt out.
+AT_ONCE = 256 << 20
+#: Texts take a third less than with Parquet's default.
+COMPRESSION = "zstd"
+#: Spark's own setting by which a query's shuffle files go when it is done, not when the driver happens to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Store:
@@ -43,6 +51,10 @@ class Store:
         fs, p = self._fs(path)
         return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
+    def _bytes(self, path: str) -> int:
+        fs, p = self._fs(path)
+        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
     def _delete(self, path: str) -> None:
         fs, p = self._fs(path)
         fs.delete(p, True)
@@ -133,7 +145,7 @@ class Store:
         dealt = (dealt.withColumn(*part) if part else dealt).hint("rebalance", *by)
         if order:
             dealt = dealt.sortWithinPartitions(*by, order)
-        dealt.write.partitionBy(*by).parquet(f"{self.root}/{table}/{version}")
+        dealt.write.partitionBy(*by).parquet(f"{self.root}/{table}/{version}", compression=COMPRESSION)
         return {n.removeprefix("bucket="): version for n in self._names(f"{self.root}/{table}/{version}") if n.startswith("bucket=")}
 
     def stage_all(self, tables: dict[str, DataFrame]) -> dict[str, dict[str, str]]:
@@ -141,6 +153,40 @@ class Store:
         with ThreadPoolExecutor(len(tables) or 1) as pool:
             return dict(zip(tables, pool.map(self.stage, tables, tables.values()), strict=True))
 
+    def groups(self, buckets: set[int], tables: dict[str, set[int]]) -> list[set[int]]:
+        """buckets in groups of about AT_ONCE bytes, by what cut() has written and by what some buckets of tables hold."""
+        named = self.manifest()["tables"]
+        paths = [self._work] + [f"{self.root}/{t}/{v}/bucket={b}" for t, some in tables.items() for b, v in named.get(t, {}).items() if int(b) in some]
+        n = min(len(buckets), 1 + sum(map(self._bytes, paths)) // AT_ONCE)
+        return [set(sorted(buckets)[i::n]) for i in range(n)]
+
+    def of(self, rows: DataFrame, buckets: set[int]) -> DataFrame:
+        """The rows (source_file) of some buckets."""
+        own = self.bucket(F.col("source_file"))
+        return rows if len(buckets) == self._buckets else rows.filter(own.isin(*buckets))
+
+    def stage_groups(self, groups: list[set[int]], tables: Callable[[set[int]], dict[str, DataFrame]]) -> dict[str, dict[str, str]]:
+        """stage_all() of what tables() gives for each group of buckets, one group after the other."""
+        staged: dict[str, dict[str, str]] = {}
+        for some in groups:
+            for table, folders in self.stage_all(tables(some)).items():
+                staged[table] = staged.get(table, {}) | folders
+        return staged
+
+    @contextmanager
+    def shuffles_deleted(self) -> Iterator[None]:
+        """Within, shuffle files go as soon as the query that wrote them is done: all that a batch works out is written."""
+        before = self.spark.conf.get(SHUFFLES_GO, None)
+        self.spark.conf.set(SHUFFLES_GO, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(SHUFFLES_GO, before) if before is not None else self.spark.conf.unset(SHUFFLES_GO)
+
+    def vectors(self, hashes: DataFrame, stored: DataFrame) -> DataFrame:
+        """content_hash and embedding of stored chunks that have one of some hashes."""
+        return stored.select("content_hash", "embedding").join(hashes, "content_hash", "left_semi")
+
     def staged(self, table: str, folders: dict[str, str]) -> DataFrame:
         return self._load(table, folders)
 
@@ -170,7 +216,7 @@ class Store:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write an intermediate table into the store's work folder and read it again."""
         path = f"{self._work}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=COMPRESSION)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def tidy(self) -> None:
@@ -223,36 +269,55 @@ def file_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source_file").agg(F.count("*").alias("chunk_count"), F.min("updated_at").alias("first_updated"), F.max("updated_at").alias("last_updated"), *told)
 
 
-def replace(store: Store, gone: DataFrame, tables: dict[str, DataFrame], chunks=None, hashes: DataFrame | None = None, batch: tuple[str, int] | None = None, snapshot: DataFrame | None = None) -> None:
+def replace(store: Store, gone: DataFrame, tables: dict[str, DataFrame], chunks: DataFrame | None = None, embed=None, batch: tuple[str, int] | None = None, snapshot: DataFrame | None = None) -> None:
     """One batch: all rows of the files in gone (source_file) go, and those of tables (outlines and edges of such files)
-    come. chunks: a function of what the touched buckets hold that gives the new chunks of such files; hashes: their
-    content_hash, which other files' rows lose. snapshot: the new snapshot, whole. Only the buckets of these files and
-    hashes are read and written."""
-    gone = store.cut(gone.select("source_file").distinct(), "gone")
-    own = store.buckets_of(gone, "source_file")
-    without = lambda table: store.read(table, own).join(gone, "source_file", "left_anti")
-    new = {name: without(name).unionByName(tables[name].select(*without(name).columns)) if name in tables else without(name) for name in ("doc_outlines", "doc_relationships")}
-    touched, left = own, without("doc_chunks")
-    if hashes is not None:
-        held = store.read("chunk_hashes", store.buckets_of(hashes, "content_hash")).join(hashes, "content_hash", "left_semi")
+    and chunks come, whose content_hash other files' rows lose. embed: a function of chunks and of stored ones with the same
+    hashes that gives them vectors. snapshot: the new snapshot, whole. Only the buckets of these files and hashes are read and
+    written, some at a time; what goes is told from files and hashes alone, so that texts are shuffled once, to be dealt out."""
+    with store.shuffles_deleted():
+        gone = store.cut(gone.select("source_file").distinct(), "gone")
+        own = store.buckets_of(gone, "source_file")
+        pair = lambda df: df.select("content_hash", "source_file")
+        stored = pair(store.read("doc_chunks", own))
+        leaving = stored.join(gone, "source_file", "left_semi")
+        held = stored.limit(0)
+        if chunks is not None:
+            hashes = chunks.select("content_hash")
+            known = store.read("chunk_hashes", store.buckets_of(hashes, "content_hash"))
+            held = pair(known).unionByName(stored).join(hashes, "content_hash", "left_semi").distinct()
+        held = store.cut(held, "held")
         touched = own | store.buckets_of(held, "source_file")
-        left = store.read("doc_chunks", touched).join(gone, "source_file", "left_anti").join(hashes, "content_hash", "left_anti")
-    stored = store.read("doc_chunks", touched)
-    new["doc_chunks"] = left if chunks is None else left.unionByName(chunks(stored).select(*left.columns))
-    where: dict[str, set[int] | None] = {"doc_outlines": own, "doc_relationships": own, "doc_chunks": touched, "file_stats": touched}
-    if snapshot is not None:
-        new["snapshot"], where["snapshot"] = snapshot, None
-    staged = store.stage_all(new)
-
-    rows = store.staged("doc_chunks", staged["doc_chunks"])
-    pair = lambda df, sign: df.select("content_hash", "source_file", F.lit(sign).alias("n"))
-    moved = pair(stored, -1).unionByName(pair(rows, 1)).groupBy("content_hash", "source_file").agg(F.sum("n").alias("n")).filter("n <> 0")
-    moved = store.cut(moved, "hashes")
-    where["chunk_hashes"] = store.buckets_of(moved, "content_hash")
-    known = store.read("chunk_hashes", where["chunk_hashes"]).join(moved.filter("n < 0"), ["content_hash", "source_file"], "left_anti")
-    staged |= store.stage_all({"file_stats": file_stats(rows), "chunk_hashes": known.unionByName(moved.filter("n > 0").drop("n"))})
-    store.publish(staged, where, batch)
-    store.tidy()
+        had = store.cut(store.vectors(held.select("content_hash"), store.read("doc_chunks", touched)), "vectors")
+        # of each table the files that it has, so that a batch of new files takes no old row through a join
+        leavers = {t: store.cut(store.read(t, own).select("source_file").join(gone, "source_file", "left_semi").distinct(), "leaving") for t in ("doc_chunks", "doc_outlines", "doc_relationships")}
+
+        def group(some: set[int]) -> dict[str, DataFrame]:
+            without = lambda table, some: store.read(table, some).join(store.of(leavers[table], some), "source_file", "left_anti")
+            new = {"doc_chunks": without("doc_chunks", some).join(store.of(held, some), ["content_hash", "source_file"], "left_anti")}
+            if chunks is not None:
+                new["doc_chunks"] = new["doc_chunks"].unionByName(embed(store.of(chunks, some), had))
+            for name in ("doc_outlines", "doc_relationships") if some & own else ():
+                new[name] = without(name, some & own)
+                if name in tables:
+                    new[name] = new[name].unionByName(store.of(tables[name], some))
+            return new
+
+        where: dict[str, set[int] | None] = {"doc_outlines": own, "doc_relationships": own, "doc_chunks": touched, "file_stats": touched}
+        staged = store.stage_groups(store.groups(touched, {"doc_chunks": touched, "doc_outlines": own}), group)
+        if snapshot is not None:
+            staged["snapshot"], where["snapshot"] = store.stage("snapshot", snapshot), None
+
+        signed = lambda df, n: pair(df).withColumn("n", F.lit(n))
+        moved = signed(leaving.unionByName(held).distinct(), -1)
+        moved = moved if chunks is None else moved.unionByName(signed(chunks, 1))
+        moved = store.cut(moved.groupBy("content_hash", "source_file").agg(F.sum("n").alias("n")).filter("n <> 0"), "hashes")
+        where["chunk_hashes"] = store.buckets_of(moved, "content_hash")
+        less, more = (store.cut(pair(moved.filter(f"n {sign} 0")), "hashes") for sign in "<>")
+        known = store.read("chunk_hashes", where["chunk_hashes"]).join(less, ["content_hash", "source_file"], "left_anti")
+        rows = store.staged("doc_chunks", staged.get("doc_chunks", {}))
+        staged |= store.stage_all({"file_stats": file_stats(rows), "chunk_hashes": known.unionByName(more)})
+        store.publish(staged, where, batch)
+        store.tidy()
 
 
 def delete_files(store: Store, files: DataFrame) -> int:

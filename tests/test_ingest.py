@@ -280,3 +280,25 @@ def test_versions_of_a_file_and_of_the_store(spark, tmp_path):
         s.wipe()
     s.clear(keep=1)
     assert s.read("doc_chunks").isEmpty() and not list((tmp_path / "versions" / "doc_chunks").iterdir())
+
+
+def test_a_batch_deals_out_some_buckets_at_once_and_leaves_no_shuffles(spark, tmp_path, monkeypatch):
+    """In groups of one bucket the tables are those of all at once; what a batch has shuffled is off the disk when it is done."""
+    lite = Settings(repo_prefix="p", lite=True)
+    text = lambda k: doc(k % 9, f"## One {k}\nwords of file {k}\n## One {k}\nwords of file {k}\n## Same\nin each third file {k % 3}\n###\n# Two\ttabs")
+    frame = lambda ks: spark.createDataFrame([(f"p/docs/f{k}.md", text(k)) for k in ks], "source_file string, text string")
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for n in local.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    s, seen, groups = store.Store(spark, str(tmp_path / "store"), buckets=3), shuffled(), []
+    monkeypatch.setattr(s, "stage_groups", lambda some, made: groups.append(len(some)) or store.Store.stage_groups(s, some, made))
+    with monkeypatch.context() as m:
+        m.setattr(store, "AT_ONCE", 1)
+        ingest.reindex(s, ingest.index(frame(range(0, 20, 2)), lite, store=s), HashedWords(4))
+        ingest.sync(s, ingest.index(frame(range(1, 20, 2)), lite, store=s), frame([2, 99]).select("source_file"), HashedWords(4))
+    assert groups == [3, 3] and not shuffled() - seen
+    again = store.Store(spark, str(tmp_path / "again"))
+    ingest.reindex(again, ingest.index(frame(sorted({*range(20)} - {2})), lite), HashedWords(4))
+    for t, columns in (("doc_chunks", ("content_hash", "content", "embedding")), ("doc_outlines", ("source_file", "outline")), ("doc_relationships", ("source_file", "relation", "target"))):
+        assert sorted(map(str, s.read(t).select(*columns).collect())) == sorted(map(str, again.read(t).select(*columns).collect()))
+    pairs = sorted(map(tuple, s.read("doc_chunks").select("content_hash", "source_file").collect()))
+    assert len(pairs) == 22 and pairs == sorted(map(tuple, s.read("chunk_hashes").select("content_hash", "source_file").collect()))
