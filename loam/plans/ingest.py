@@ -148,7 +148,7 @@ def sync(store: Store, new: Indexed, deleted: DataFrame, embedder: Embedder, bat
         gone = new.files.unionByName(deleted.select("source_file"))
         chunks = new.chunks if new.written else store.cut(new.chunks, "chunks")
         tables = {"doc_outlines": new.outlines, "doc_relationships": new.edges}
-        replace(store, gone, tables, chunks, lambda rows, stored: fresh(rows, stored, embedder), batch, snapshot)
+        replace(store, gone, tables, lambda stored: fresh(chunks, stored, embedder), chunks.select("content_hash", "source_file"), batch, snapshot)
 
 
 def sync_folder(spark: SparkSession, root: str, store: Store, settings: Settings, embedder: Embedder) -> dict[str, int]:

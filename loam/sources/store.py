@@ -269,11 +269,12 @@ def file_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source_file").agg(F.count("*").alias("chunk_count"), F.min("updated_at").alias("first_updated"), F.max("updated_at").alias("last_updated"), *told)
 
 
-def replace(store: Store, gone: DataFrame, tables: dict[str, DataFrame], chunks: DataFrame | None = None, embed=None, batch: tuple[str, int] | None = None, snapshot: DataFrame | None = None) -> None:
+def replace(store: Store, gone: DataFrame, tables: dict[str, DataFrame], chunks=None, hashes: DataFrame | None = None, batch: tuple[str, int] | None = None, snapshot: DataFrame | None = None) -> None:
     """One batch: all rows of the files in gone (source_file) go, and those of tables (outlines and edges of such files)
-    and chunks come, whose content_hash other files' rows lose. embed: a function of chunks and of stored ones with the same
-    hashes that gives them vectors. snapshot: the new snapshot, whole. Only the buckets of these files and hashes are read and
-    written, some at a time; what goes is told from files and hashes alone, so that texts are shuffled once, to be dealt out."""
+    come. chunks: a function of stored vectors (content_hash, embedding) that gives the new chunks of such files; hashes: their
+    content_hash, which other files' rows lose, and source_file, which is read from the chunks if it isn't there. snapshot: the
+    new snapshot, whole. Only the buckets of these files and hashes are read and written, some at a time; what goes is told
+    from files and hashes alone, so that texts are shuffled once, to be dealt out, unless too much goes to be broadcast."""
     with store.shuffles_deleted():
         gone = store.cut(gone.select("source_file").distinct(), "gone")
         own = store.buckets_of(gone, "source_file")
@@ -281,8 +282,7 @@ def replace(store: Store, gone: DataFrame, tables: dict[str, DataFrame], chunks:
         stored = pair(store.read("doc_chunks", own))
         leaving = stored.join(gone, "source_file", "left_semi")
         held = stored.limit(0)
-        if chunks is not None:
-            hashes = chunks.select("content_hash")
+        if hashes is not None:
             known = store.read("chunk_hashes", store.buckets_of(hashes, "content_hash"))
             held = pair(known).unionByName(stored).join(hashes, "content_hash", "left_semi").distinct()
         held = store.cut(held, "held")
@@ -295,11 +295,11 @@ def replace(store: Store, gone: DataFrame, tables: dict[str, DataFrame], chunks:
             without = lambda table, some: store.read(table, some).join(store.of(leavers[table], some), "source_file", "left_anti")
             new = {"doc_chunks": without("doc_chunks", some).join(store.of(held, some), ["content_hash", "source_file"], "left_anti")}
             if chunks is not None:
-                new["doc_chunks"] = new["doc_chunks"].unionByName(embed(store.of(chunks, some), had))
+                new["doc_chunks"] = new["doc_chunks"].unionByName(store.of(chunks(had), some).select(*new["doc_chunks"].columns))
             for name in ("doc_outlines", "doc_relationships") if some & own else ():
                 new[name] = without(name, some & own)
                 if name in tables:
-                    new[name] = new[name].unionByName(store.of(tables[name], some))
+                    new[name] = new[name].unionByName(store.of(tables[name], some).select(*new[name].columns))
             return new
 
         where: dict[str, set[int] | None] = {"doc_outlines": own, "doc_relationships": own, "doc_chunks": touched, "file_stats": touched}
@@ -308,13 +308,14 @@ def replace(store: Store, gone: DataFrame, tables: dict[str, DataFrame], chunks:
             staged["snapshot"], where["snapshot"] = store.stage("snapshot", snapshot), None
 
         signed = lambda df, n: pair(df).withColumn("n", F.lit(n))
+        rows = store.staged("doc_chunks", staged.get("doc_chunks", {}))
         moved = signed(leaving.unionByName(held).distinct(), -1)
-        moved = moved if chunks is None else moved.unionByName(signed(chunks, 1))
+        if hashes is not None:
+            moved = moved.unionByName(signed(hashes if "source_file" in hashes.columns else rows.join(hashes, "content_hash", "left_semi"), 1))
         moved = store.cut(moved.groupBy("content_hash", "source_file").agg(F.sum("n").alias("n")).filter("n <> 0"), "hashes")
         where["chunk_hashes"] = store.buckets_of(moved, "content_hash")
         less, more = (store.cut(pair(moved.filter(f"n {sign} 0")), "hashes") for sign in "<>")
         known = store.read("chunk_hashes", where["chunk_hashes"]).join(less, ["content_hash", "source_file"], "left_anti")
-        rows = store.staged("doc_chunks", staged.get("doc_chunks", {}))
         staged |= store.stage_all({"file_stats": file_stats(rows), "chunk_hashes": known.unionByName(more)})
         store.publish(staged, where, batch)
         store.tidy()
